@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
-from . import decontaminate, html, license, mixing, pii, quality, sharding, simhash
+from . import decontaminate, html, license, maxent, mixing, pii, quality, sharding, simhash, suffixes
 
 QUERIES = {
     "op1_decontamination": decontaminate.op1_decontamination,
     "op2_license": license.op2_license,
     "op3_simhash": simhash.op3_simhash,
     "op4_sharding": sharding.op4_sharding,
+    "op5_suffixes": suffixes.op5_suffixes,
     "op6_html": html.op6_html,
     "op7_quality": quality.op7_quality,
     "op8_mixing": mixing.op8_mixing,
     "op9_pii": pii.op9_pii,
+    "op10_lm": maxent.op10_lm,
 }
 
 SQL = {
