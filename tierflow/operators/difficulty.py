@@ -24,15 +24,15 @@ def first_by(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     return df.withColumn("__n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).filter("__n = 1").drop("__n")
 
 
-def best(attempts: DataFrame) -> DataFrame:
+def best(attempts: DataFrame, own: list[str] = OWN) -> DataFrame:
     """The best attempt of each entity at each item: by value, score and time as text, then by arrival; nulls last."""
     order = [F.col(c).desc_nulls_last() for c in ("value", "score", "recorded_at")] + [F.col("seq")]
-    return first_by(attempts, [*OWN, "item_id"], order)
+    return first_by(attempts, [*own, "item_id"], order)
 
 
-def ranked(best: DataFrame) -> DataFrame:
-    """rank_value and rank_recent (of those with a time) within each entity and mode, and n, its attempts."""
-    by = Window.partitionBy(*OWN)
+def ranked(best: DataFrame, own: list[str] = OWN) -> DataFrame:
+    """rank_value and rank_recent (of those with a time) within each entity and mode (``own``), and n, its attempts."""
+    by = Window.partitionBy(*own)
     desc = lambda c: F.col(c).desc_nulls_last()
     recent = F.row_number().over(by.orderBy(desc("recorded_ts"), desc("value"), desc("score"), F.col("item_id")))
     return best.select(
@@ -50,21 +50,21 @@ def baselines(ranked: DataFrame, least: int = P.MIN_ATTEMPTS) -> DataFrame:
     return out.filter((F.col("window_n") == P.BASE_LAST - P.BASE_FIRST + 1) & (F.col("baseline") > 0))
 
 
-def with_baseline(ranked: DataFrame, least: int = P.MIN_ATTEMPTS) -> DataFrame:
+def with_baseline(ranked: DataFrame, least: int | Column = P.MIN_ATTEMPTS, own: list[str] = OWN) -> DataFrame:
     """Every row with its entity's baseline (null for those without one), in the exchange that the ranks have made."""
-    by = Window.partitionBy(*OWN)
+    by = Window.partitionBy(*own)
     inside = F.col("rank_value").between(P.BASE_FIRST, P.BASE_LAST)
     mean = F.avg(F.when(inside, F.col("value"))).over(by)
-    enough = (F.col("n") >= max(least, P.BASE_LAST)) & (mean > 0)
+    enough = (F.col("n") >= least) & (F.col("n") >= P.BASE_LAST) & (mean > 0)
     return ranked.withColumn("baseline", F.when(enough, mean))
 
 
-def selected(ranked: DataFrame, least: int = P.MIN_ATTEMPTS) -> DataFrame:
+def selected(ranked: DataFrame, least: int | Column = P.MIN_ATTEMPTS, own: list[str] = OWN) -> DataFrame:
     """Rows of entities with a baseline, and whether each is selected: in the top or recent fifth, or in the top 100 where those are under 100."""
     limit = F.ceil(F.col("n") * P.FRACTION)
-    rows = with_baseline(ranked, least).filter("baseline is not null").withColumn("rank_limit", limit)
+    rows = with_baseline(ranked, least, own).filter("baseline is not null").withColumn("rank_limit", limit)
     window = (F.col("rank_value") <= F.col("rank_limit")) | F.coalesce(F.col("rank_recent") <= F.col("rank_limit"), F.lit(False))
-    rows = rows.withColumn("in_window", window).withColumn("union_n", F.sum(F.col("in_window").cast("int")).over(Window.partitionBy(*OWN)))
+    rows = rows.withColumn("in_window", window).withColumn("union_n", F.sum(F.col("in_window").cast("int")).over(Window.partitionBy(*own)))
     fallback = F.col("union_n") < P.FALLBACK
     return rows.withColumns({
         "uses_fallback": fallback, "selected": F.when(fallback, F.col("rank_value") <= P.FALLBACK).otherwise(F.col("in_window")), "residual": F.col("value") - F.col("baseline"),
@@ -111,16 +111,16 @@ def slopes(best: DataFrame, keys: list[str] | None = None) -> DataFrame:
     return out.select(*keys, "rows", "levels", F.when((F.col("rows") >= P.BIN_ROWS) & (F.col("levels") >= P.BIN_LEVELS) & (F.col("xx") > 0) & (slope > 0), slope).alias("slope"))
 
 
-def shrinkage(measured: DataFrame) -> DataFrame:
-    """Prior strength k by mode from the ratio of variance within items to that between them, for rows (mode, folder, location, std, contributors)."""
-    rows = measured.filter("location is not null and contributors > 0")
+def shrinkage(measured: DataFrame, support: str = "contributors") -> DataFrame:
+    """Prior strength k by mode from the ratio of variance within items to that between them, for rows (mode, folder, location, std, ``support``)."""
+    rows = measured.filter(F.col("location").isNotNull() & (F.col(support) > 0))
     centre = rows.groupBy("mode", "folder").agg(F.percentile("location", F.lit(0.5)).alias("centre"))
-    many = F.col("contributors") > 1
+    many = F.col(support) > 1
     square = F.col("std") * F.col("std")
     sums = rows.join(centre, ["mode", "folder"]).groupBy("mode").agg(
         F.count("*").alias("items"), F.count_if(many).alias("repeated"), F.var_samp(F.col("location") - F.col("centre")).alias("observed"),
-        (F.sum(F.when(many, square * (F.col("contributors") - 1))) / F.sum(F.when(many, F.col("contributors") - 1))).alias("within"),
-        F.avg(F.when(many, square / F.col("contributors"))).alias("noise"),
+        (F.sum(F.when(many, square * (F.col(support) - 1))) / F.sum(F.when(many, F.col(support) - 1))).alias("within"),
+        F.avg(F.when(many, square / F.col(support))).alias("noise"),
     )
     ratio = F.col("within") / F.greatest(F.col("observed") - F.col("noise"), F.lit(1e-6))
     enough = (F.col("items") >= 10) & (F.col("repeated") >= 3) & (ratio > 0)

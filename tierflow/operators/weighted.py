@@ -44,21 +44,21 @@ def weighted_stats(rows: DataFrame, keys: list[str], value: str, weight: str) ->
     return out.select(*keys, "n", "ess", "mean", "median", "location", "std", (F.col("location") - half).alias("low"), (F.col("location") + half).alias("high"))
 
 
-def without_item(ranked: DataFrame) -> DataFrame:
+def without_item(ranked: DataFrame, own: list[str] = OWN) -> DataFrame:
     """Rating of each attempt's entity without that attempt: ranks 11 to 30 of the rest; null with fewer than 31 attempts."""
     at = lambda r: F.max(F.when(F.col("rank_value") == r, F.col("value")))
     inside = F.col("rank_value").between(P.BASE_FIRST, P.BASE_LAST)
-    sums = ranked.groupBy(*OWN).agg(F.sum(F.when(inside, F.col("value"))).alias("s"), at(P.BASE_FIRST).alias("first"), at(P.BASE_LAST + 1).alias("next"))
+    sums = ranked.groupBy(*own).agg(F.sum(F.when(inside, F.col("value"))).alias("s"), at(P.BASE_FIRST).alias("first"), at(P.BASE_LAST + 1).alias("next"))
     rank = F.col("rank_value")
     total = F.when(rank < P.BASE_FIRST, F.col("s") - F.col("first") + F.col("next")).when(inside, F.col("s") - F.col("value") + F.col("next")).otherwise(F.col("s"))
     rating = F.when(F.col("n") > P.BASE_LAST, fx.skill_rating(F.col("mode"), total / (P.BASE_LAST - P.BASE_FIRST + 1)))
-    return ranked.join(sums, OWN).withColumn("rating_without", rating).drop("s", "first", "next")
+    return ranked.join(sums, own).withColumn("rating_without", rating).drop("s", "first", "next")
 
 
-def top_rating(ranked: DataFrame) -> DataFrame:
+def top_rating(ranked: DataFrame, own: list[str] = OWN) -> DataFrame:
     """Skill rating by entity and mode from its best twenty attempts, the sum of its best fifty, and the value at rank fifty."""
     rank = F.col("rank_value")
-    out = ranked.groupBy(*OWN).agg(
+    out = ranked.groupBy(*own).agg(
         F.avg(F.when(rank <= P.RATING_TOP, F.col("value"))).alias("top_mean"), F.sum(F.when(rank <= P.TOP, F.col("value"))).alias("top_sum"),
         F.max(F.when(rank == P.TOP, F.col("value"))).alias("cutoff"), F.count("*").alias("n"),
     )

@@ -25,7 +25,14 @@ ARCHIVE_FACTORS = (
 # Names of the seven effect bands, from the easiest on.
 BANDS = ("Overrated", "Very Easy", "Easy", "Medium", "Hard", "Very Hard", "Underrated")
 
+# Grades to aim at in the group mode by whole difficulty.
+GROUP_GOALS = {
+    10: "SSS+", 11: "SSS+", 12: "SSS", 13: "SS", 14: "S", 15: "S", 16: "S", 17: "AAA", 18: "AAA",
+    19: "AA+", 20: "AA+", 21: "AA+", 22: "A", 23: "A", 24: "A",
+}
+
 MODES = ("Single", "Double")
+GROUP, GROUP_ANCHORS, GROUP_MEDAL = "CoOp", (10.0, 16.0, 24.9), "Fair Game"
 MIN_LEVEL, BASE_FIRST, BASE_LAST, MIN_ATTEMPTS = 16, 11, 30, 50
 FRACTION, FALLBACK, PUBLISHED, PROVISIONAL, LIMITED = 0.2, 100, 10, 5, 20
 BIN, BIN_SCORE, BIN_ROWS, BIN_LEVELS = 2500, 900_000, 30, 3

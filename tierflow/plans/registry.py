@@ -46,7 +46,7 @@ STEPS = {
       strftime(l_shipdate, '%Y-%m-%dT%H:%M:%SZ') AS recorded_at, l_shipdate AS recorded_ts, l_tax >= 0.08::DOUBLE AS is_broken,
       CASE WHEN l_linestatus = 'F' THEN 'archive' ELSE 'current' END AS source, [{", ".join(f"'{n}'" for n, _, _ in P.MEDALS)}][l_linenumber] AS medal, l_orderkey * 10 + l_linenumber AS seq
       FROM lineitem JOIN part ON l_partkey = p_partkey""",
-    "items": f"SELECT CAST(p_partkey AS VARCHAR) AS item_id, p_name AS title, {_mode} AS mode, {_level} AS level, p_brand AS author, 500 + p_size AS notes_archive, 500 + p_size % 40 AS notes_current FROM part",
+    "items": f"SELECT CAST(p_partkey AS VARCHAR) AS item_id, p_name AS title, {_mode} AS mode, {_level} AS level, p_brand AS author, 500 + p_size AS notes_archive, 500 + p_size % 40 AS notes_current, {_level} - CASE WHEN p_partkey % 10 <> 9 AND p_size % 7 = 0 THEN 1 ELSE 0 END AS level_archive FROM part",
     "valid": "SELECT * FROM attempts WHERE value > 0 AND NOT is_broken AND mode IN ('Single', 'Double')",
     "best": "SELECT * FROM valid QUALIFY row_number() OVER (PARTITION BY mode, entity_id, item_id ORDER BY value DESC NULLS LAST, score DESC NULLS LAST, recorded_at DESC NULLS LAST, seq) = 1",
     "ranked": """SELECT *, row_number() OVER (PARTITION BY mode, entity_id ORDER BY value DESC, score DESC, item_id) AS rank_value,

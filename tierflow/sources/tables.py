@@ -24,6 +24,7 @@ def items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/part.parquet").select(
         key.cast("string").alias("item_id"), F.col("p_name").alias("title"), item_mode(key).alias("mode"), item_level(key, size).alias("level"),
         F.col("p_brand").alias("author"), (500 + size).alias("notes_archive"), (500 + size % 40).alias("notes_current"),
+        (item_level(key, size) - F.when((key % 10 != 9) & (size % 7 == 0), 1).otherwise(0)).alias("level_archive"),
     )
 
 
