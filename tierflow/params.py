@@ -39,6 +39,7 @@ BIN, BIN_SCORE, BIN_ROWS, BIN_LEVELS = 2500, 900_000, 30, 3
 SCALE, RANGE_ITEMS, DEFAULT_K, LEAST_K, MOST_K = 0.4, 30, 5.0, 0.5, 20.0
 CLIP = 2.5 * 1.4826
 TOP, SHOWN, RATING_TOP, RADIUS = 50, 50, 20, 1.0
+PEER_TARGETS, PEER_RADII = (20, 10, 5), (0.2, 0.3, 0.4, 0.5)
 SOURCE_WEIGHTS = {"archive": 1.0, "current": 2.0}
 #: Multiplier of the reference result (grade S with the second medal) of the skill rating.
 REFERENCE = (750 - 5 * 5 + 1) / 750
