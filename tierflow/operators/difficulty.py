@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from .. import params as P
 from ..functions import formulas as fx
+from .lineage import written
 
 OWN = ["mode", "entity_id"]
 
@@ -165,6 +166,7 @@ def placed(rows: DataFrame) -> DataFrame:
 
 def analysis(attempts: DataFrame, items: DataFrame) -> DataFrame:
     """The whole standalone analysis."""
-    rows = ranked(best(valid(attempts)))
-    chosen = selected(rows)
+    # written, as item statistics and slopes read them several times
+    rows = written(ranked(best(valid(attempts))))
+    chosen = written(selected(rows).select("mode", "entity_id", "item_id", "level", "selected", "baseline", "residual"))
     return within_level(items, item_stats(chosen), slopes(rows))
