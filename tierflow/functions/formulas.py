@@ -143,3 +143,16 @@ def one_decimal(x: Column) -> Column:
 
 def log_miss(score: Column) -> Column:
     return F.log1p(F.lit(1_000_000.0) - score)
+
+
+def progress(value: Column, rungs: list[tuple[str, int]]) -> Column:
+    """Where a value stands on a ladder of (label, threshold) that starts at 0: struct (rung, label, next_label, remaining, percent); nothing or less counts as 0."""
+    v = F.greatest(F.lit(0.0), F.coalesce(F.nanvl(value.cast("double"), F.lit(0.0)), F.lit(0.0)))
+    labels, steps = F.array(*[F.lit(n) for n, _ in rungs]), F.array(*[F.lit(float(t)) for _, t in rungs])
+    at = F.size(F.filter(steps, lambda t: t <= v))
+    low, high = F.get(steps, at - 1), F.get(steps, at)
+    last = high.isNull()
+    return F.struct(
+        (at - 1).alias("rung"), F.get(labels, at - 1).alias("label"), F.get(labels, at).alias("next_label"),
+        F.when(last, 0.0).otherwise(high - v).alias("remaining"), F.when(last, 100.0).otherwise((v - low) / (high - low) * 100).alias("percent"),
+    )

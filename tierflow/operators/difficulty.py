@@ -85,6 +85,34 @@ def robust(rows: DataFrame, keys: list[str], value: str = "residual") -> DataFra
     return out.withColumn("location", F.when((F.col("n_values") < 3) | (F.col("mad") <= 0), F.col("mean")).otherwise(F.col("clipped"))).drop("clipped")
 
 
+def bootstrap(rows: DataFrame, keys: list[str], row: str, resamples: int = P.RESAMPLES, seed: int = P.SEED, value: str = "residual") -> DataFrame:
+    """(keys, low, high): 2.5 and 97.5 % of the clipped mean over resamples with replacement of each key's rows, which ``row`` tells apart.
+
+    Draws come from a hash of seed, key, resample and place, so that reruns agree. Rows are multiplied by ``resamples``; they are never gathered by key.
+    One row, or no resamples, give the location itself.
+    """
+    if not resamples:
+        return robust(rows, keys, value).select(*keys, F.col("location").alias("low"), F.col("location").alias("high"))
+    by = Window.partitionBy(*keys)
+    placed = written(rows.select(*keys, value, (F.row_number().over(by.orderBy(row)) - 1).alias("place"), F.count("*").over(by).alias("n")))
+    mark = F.concat_ws(":", F.lit(str(seed)), *[F.col(k).cast("string") for k in keys], F.col("b").cast("string"), F.col("place").cast("string"))
+    draw = F.conv(F.substring(F.sha2(mark.cast("binary"), 256), 1, 8), 16, 10).cast("long") % F.col("n")
+    draws = placed.select(*keys, "place", "n", F.explode(F.sequence(F.lit(1), F.lit(resamples))).alias("b")).select(*keys, "b", draw.alias("place"))
+    times = draws.groupBy(*keys, "b", "place").agg(F.count("*").alias("times"))
+    drawn = written(times.join(placed.select(*keys, F.col("place").cast("long").alias("place"), value), [*keys, "place"]))
+    half = lambda c: F.percentile(c, F.lit(0.5), F.col("times"))
+    x, again = F.col(value), [*keys, "b"]
+    mean = F.sum(x * F.col("times")) / F.sum("times")
+    first = drawn.groupBy(*again).agg(half(x).alias("median"), mean.alias("mean"), F.sum("times").alias("n"))
+    around = drawn.join(first, again)
+    mads = around.groupBy(*again).agg(half(F.abs(x - F.col("median"))).alias("mad"))
+    clip = F.lit(P.CLIP) * F.col("mad")
+    held = F.least(F.greatest(x, F.col("median") - clip), F.col("median") + clip)
+    clipped = around.join(mads, again).groupBy(*again).agg((F.sum(held * F.col("times")) / F.sum("times")).alias("clipped"), F.first("mad").alias("mad"), F.first("mean").alias("mean"), F.first("n").alias("n"))
+    location = F.when((F.col("n") < 3) | (F.col("mad") <= 0), F.col("mean")).otherwise(F.col("clipped"))
+    return clipped.select(*keys, location.alias("location")).groupBy(*keys).agg(F.percentile("location", F.lit(0.025)).alias("low"), F.percentile("location", F.lit(0.975)).alias("high"))
+
+
 def item_stats(selected: DataFrame) -> DataFrame:
     """By item of level 16 and more: entities that scored it and were selected, and statistics of the selected residuals."""
     rows = selected.filter(F.col("level") >= P.MIN_LEVEL)

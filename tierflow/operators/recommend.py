@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -97,45 +99,105 @@ def gain_order() -> list[Column]:
     return [F.col("gain").desc_nulls_last(), F.col("estimate"), F.col("expected").desc_nulls_last(), F.lower("title"), F.col("item_id")]
 
 
-def recommendations(ratings: DataFrame, peers: DataFrame, placed: DataFrame, ranked: DataFrame, goals: DataFrame, medals: DataFrame) -> DataFrame:
-    """The 50 items of most gain for every entity and mode, all at once.
-
-    ``ratings``: (mode, entity_id, rating, projection); ``peers`` as above, with whose rows leave-one-out ratings come;
-    ``placed``: items with an estimate; ``ranked``: own current attempts; ``goals`` of the archive; ``medals``: the usual medal by mode and grade.
-    """
+def near_levels(ratings: DataFrame, placed: DataFrame) -> DataFrame:
+    """Items with an estimate within two levels of each entity's rating; levels are exploded, so that the range is an equi-join."""
     low, high = F.greatest(F.lit(P.MIN_LEVEL), F.floor("rating") - 2), F.floor("rating") + 2
     levels = ratings.filter(high >= low).withColumn("level", F.explode(F.sequence(low, high))).withColumn("level", F.col("level").cast("int"))
-    items = placed.filter("estimate is not null").select("mode", "level", "item_id", "title", "estimate")
-    rows = levels.join(items, ["mode", "level"])
+    return levels.join(placed.filter("estimate is not null").select("mode", "level", "item_id", "title", "estimate"), ["mode", "level"])
+
+
+def candidates(ratings: DataFrame, peers: DataFrame, placed: DataFrame, goals: DataFrame, medals: DataFrame, usual: DataFrame, project: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Every item near each entity's rating with its projected score, grade and medal and what that would be worth.
+
+    ``ratings``: (mode, entity_id, rating, projection); ``peers`` as above, with whose rows leave-one-out ratings come; ``placed``: items with an estimate;
+    ``goals`` of the archive; ``medals``: the entity's own (mode, grade, medal), ``usual``: the population's. ``project`` adds ``projected``, ``support``, ``origin``
+    and ``confidence`` to rows with a rating, a difficulty and a peer score. A goal above the projection replaces it.
+    """
+    rows = near_levels(ratings, placed)
     without = peers.select(*OWN, "item_id", F.col("rating").alias("own_rating"))
     rows = written(rows.join(without, [*OWN, "item_id"], "left").withColumn("wanted", F.coalesce("own_rating", "projection")).drop("own_rating"))
-    projected = peer_scores(rows.select(*OWN, "item_id", F.col("wanted").alias("rating")), peers)
-    rows = rows.join(projected, [*OWN, "item_id"], "left").join(goals, ["entity_id", "item_id"], "left")
-    model, model_grade = grade_floor(F.col("peer_score")), fx.grade(F.col("peer_score"))
+    near = peer_scores(rows.select(*OWN, "item_id", F.col("wanted").alias("rating")), peers)
+    asked = rows.select(*OWN, "item_id", F.col("wanted").alias("rating"), F.col("estimate").alias("difficulty")).join(near, [*OWN, "item_id"], "left")
+    rows = rows.join(project(asked).drop("rating", "difficulty"), [*OWN, "item_id"], "left").join(goals, ["entity_id", "item_id"], "left")
+    model, model_grade = grade_floor(F.col("projected")), fx.grade(F.col("projected"))
     own = F.col("goal_score").isNotNull() & (model.isNull() | (F.col("goal_score") > model))
-    rows = rows.withColumns({"score": F.when(own, F.col("goal_score")).otherwise(model), "grade": F.when(own, F.col("goal_grade")).otherwise(model_grade), "from_archive": own})
-    rows = rows.join(medals, ["mode", "grade"], "left").withColumn("expected", fx.attempt_value(F.col("mode"), F.col("level"), F.col("grade"), F.col("medal")))
-    rows = written(rows)
-    rows = wt.gains(rows, ranked, wt.top_rating(ranked), F.col("expected")).withColumn("gain", F.when(F.col("expected").isNotNull(), F.col("gain")))
+    rows = rows.withColumns({
+        "score": F.when(own, F.col("goal_score")).otherwise(model), "grade": F.when(own, F.col("goal_grade")).otherwise(model_grade),
+        "from_archive": own, "confidence": F.when(own, "high").otherwise(F.col("confidence")),
+    })
+    rows = rows.join(medals.select(*OWN, "grade", F.col("medal").alias("own_medal")), [*OWN, "grade"], "left").join(usual, ["mode", "grade"], "left").withColumn("medal", F.coalesce("own_medal", "medal"))
+    rows = rows.withColumn("expected", fx.attempt_value(F.col("mode"), F.col("level"), F.col("grade"), F.col("medal")))
+    return rows.withColumn("edge", F.col("level") + 0.5 - F.col("estimate"))
+
+
+def recommendations(rows: DataFrame, ranked: DataFrame, own: list[str] = OWN) -> DataFrame:
+    """The 50 candidates of most gain by ``own``, which is (mode, entity_id), or (entity_id) for one pool of both modes; ``ranked``: own current attempts in that pool."""
+    rank = F.col("rank_value")
+    totals = ranked.groupBy(*own).agg(F.max(F.when(rank == P.TOP, F.col("value"))).alias("cutoff"), F.count("*").alias("n"))
+    rows = wt.gains(rows, ranked, totals, F.col("expected"), own).withColumn("gain", F.when(F.col("expected").isNotNull(), F.col("gain")))
     rows = rows.filter((F.col("estimate") <= F.col("rating") + P.RADIUS) | (F.col("from_archive") & (F.col("gain") > 0)))
-    rows = rows.withColumn("edge", F.col("level") + 0.5 - F.col("estimate")).withColumn("place", F.row_number().over(Window.partitionBy(*OWN).orderBy(*gain_order())))
-    return rows.filter(F.col("place") <= P.SHOWN).withColumn("confidence", F.when(F.col("from_archive"), "high").otherwise(fx.peer_confidence(F.coalesce("support", F.lit(0)))))
+    return rows.withColumn("place", F.row_number().over(Window.partitionBy(*own).orderBy(*gain_order()))).filter(F.col("place") <= P.SHOWN)
 
 
-def source_offset(rows: DataFrame) -> DataFrame:
-    """One row (slope, n, offset): how much higher scores are in the current source for entities with both, at equal difficulty.
+def edge_order() -> list[Column]:
+    """Order where no gain is known: easiest for its level first."""
+    return [F.col("edge").desc(), F.col("estimate"), F.lower("title"), F.col("item_id")]
+
+
+def by_rating(asked: DataFrame, placed: DataFrame) -> DataFrame:
+    """The 50 easiest items for their level for each (mode, entity_id, rating) that is only stated, without attempts, up to a level over it."""
+    rows = near_levels(asked, placed).withColumns({"edge": F.round(F.col("level") + 0.5 - F.col("estimate"), 6), "distance": F.round(F.col("estimate") - F.col("rating"), 6)})
+    rows = rows.filter(F.col("estimate") <= F.col("rating") + P.RADIUS)
+    return rows.withColumn("place", F.row_number().over(Window.partitionBy(*OWN).orderBy(*edge_order()))).filter(F.col("place") <= P.SHOWN)
+
+
+def short_baselines(ranked: DataFrame, placed: DataFrame) -> DataFrame:
+    """By (mode, entity_id) the mean value and edge of ranks 11 to 30, or of the better half under 30 attempts, and the mean estimate as rating."""
+    rank, n = F.col("rank_value"), F.col("n")
+    inside = F.when(n >= P.BASE_LAST, rank.between(P.BASE_FIRST, P.BASE_LAST)).otherwise(rank <= F.greatest(F.lit(1), F.ceil(n * 0.5)))
+    rows = ranked.filter(inside).join(placed.select(*KEYS, "estimate"), KEYS, "left").withColumn("estimate", F.coalesce("estimate", F.col("level") + 0.5))
+    return rows.groupBy(*OWN).agg(F.avg("value").alias("base"), F.avg("estimate").alias("rating"), F.avg(F.col("level") + 0.5 - F.col("estimate")).alias("base_edge"))
 
-    ``rows``: (mode, entity_id, source, difficulty, score). The slope is within entities and sources; a rising one counts as flat.
+
+def single_source(ranked: DataFrame, placed: DataFrame, slopes: DataFrame) -> DataFrame:
+    """The 50 items of most gain from one source alone: expected is the baseline moved by the mode's slope and the edge over the baseline's.
+
+    Every item of level 16 and more with an estimate is a candidate, so rows grow with entities times the catalog.
+    """
+    base = short_baselines(ranked, placed).join(slopes.filter("slope > 0").select("mode", "slope"), "mode")
+    items = placed.filter((F.col("level") >= P.MIN_LEVEL) & F.col("estimate").isNotNull()).select("mode", "item_id", "title", "level", "estimate")
+    rows = base.join(items, "mode").withColumn("edge", F.col("level") + 0.5 - F.col("estimate"))
+    rows = rows.withColumn("expected", F.greatest(F.lit(0.0), F.col("base") + F.col("slope") * (F.col("edge") - F.col("base_edge"))))
+    totals = ranked.groupBy(*OWN).agg(F.max(F.when(F.col("rank_value") == P.TOP, F.col("value"))).alias("cutoff"), F.count("*").alias("n"))
+    rows = wt.gains(rows, ranked, totals, F.col("expected"))
+    return rows.withColumn("place", F.row_number().over(Window.partitionBy(*OWN).orderBy(*gain_order()))).filter(F.col("place") <= P.SHOWN)
+
+
+def clipped(lists: DataFrame, ratings: DataFrame) -> DataFrame:
+    """Stored lists (mode, entity_id, item_id, level, place) cut to the levels near today's rating and to 50 rows, numbered anew."""
+    rows = lists.join(ratings.select(*OWN, "rating"), OWN).filter((F.col("level") >= P.MIN_LEVEL) & fx.level_window(F.col("level"), F.col("rating")))
+    return rows.withColumn("place", F.row_number().over(Window.partitionBy(*OWN).orderBy("place", "item_id"))).filter(F.col("place") <= P.SHOWN)
+
+
+def source_offsets(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """By ``keys`` (slope, n, offset): how much higher scores are in the current source for entities with both, at equal difficulty.
+
+    ``rows``: (keys, entity_id, source, difficulty, score). The slope is within entities and sources; a rising one counts as flat.
     """
     x, y = F.col("difficulty"), F.col("score")
-    sums = rows.groupBy("entity_id", "source").agg(
+    sums = rows.groupBy(*keys, "entity_id", "source").agg(
         F.avg(y).alias("my"), F.avg(x).alias("mx"), (F.sum(x * y) - F.sum(x) * F.sum(y) / F.count("*")).alias("xy"), (F.sum(x * x) - F.sum(x) * F.sum(x) / F.count("*")).alias("xx"),
     )
-    slope = sums.agg(F.when(F.sum("xx") > 0, -F.sum("xy") / F.sum("xx")).otherwise(0.0).alias("slope"))
+    slope = sums.groupBy(*keys).agg(F.when(F.sum("xx") > 0, -F.sum("xy") / F.sum("xx")).otherwise(0.0).alias("slope"))
     level = F.col("my") + F.greatest(F.lit(0.0), F.col("slope")) * F.col("mx")
-    levels = sums.join(F.broadcast(slope), how="cross").select("entity_id", "source", "slope", level.alias("level"))  # one row
-    both = levels.groupBy("entity_id").agg(F.max(F.when(F.col("source") == "current", F.col("level"))).alias("c"), F.max(F.when(F.col("source") == "archive", F.col("level"))).alias("a"), F.max("slope").alias("slope"))
-    return both.agg(F.max("slope").alias("slope"), F.count(F.col("c") - F.col("a")).alias("n"), F.coalesce(F.percentile(F.col("c") - F.col("a"), F.lit(0.5)), F.lit(0.0)).alias("offset"))
+    levels = (sums.join(slope, keys) if keys else sums.join(F.broadcast(slope), how="cross")).select(*keys, "entity_id", "source", "slope", level.alias("level"))  # one row without keys
+    both = levels.groupBy(*keys, "entity_id").agg(F.max(F.when(F.col("source") == "current", F.col("level"))).alias("c"), F.max(F.when(F.col("source") == "archive", F.col("level"))).alias("a"), F.max("slope").alias("slope"))
+    return both.groupBy(*keys).agg(F.max("slope").alias("slope"), F.count(F.col("c") - F.col("a")).alias("n"), F.coalesce(F.percentile(F.col("c") - F.col("a"), F.lit(0.5)), F.lit(0.0)).alias("offset"))
+
+
+def source_offset(rows: DataFrame) -> DataFrame:
+    """The same over all rows, as one row."""
+    return source_offsets(rows, [])
 
 
 def top_scores(ranked: DataFrame, placed: DataFrame) -> DataFrame:

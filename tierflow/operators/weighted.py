@@ -103,9 +103,9 @@ def median_medal(distribution: DataFrame) -> DataFrame:
     return distribution.withColumn("run", run).filter(F.col("run") + 1e-12 >= 0.5).groupBy("mode", "grade").agg(F.min_by("medal", "ord").alias("medal"))
 
 
-def gains(candidates: DataFrame, ranked: DataFrame, totals: DataFrame, value: Column) -> DataFrame:
-    """``gain`` of each candidate (mode, entity_id, item_id) whose result would be worth ``value``."""
-    own = ranked.select(*OWN, "item_id", F.col("value").alias("existing"), "rank_value")
-    rows = candidates.join(own, [*OWN, "item_id"], "left").join(totals.select(*OWN, "cutoff", F.col("n").alias("own_n")), OWN, "left")
+def gains(candidates: DataFrame, ranked: DataFrame, totals: DataFrame, value: Column, own: list[str] = OWN) -> DataFrame:
+    """``gain`` of each candidate (own, item_id) whose result would be worth ``value``, in the pool of attempts that ``own`` keys."""
+    mine = ranked.select(*own, "item_id", F.col("value").alias("existing"), "rank_value")
+    rows = candidates.join(mine, [*own, "item_id"], "left").join(totals.select(*own, "cutoff", F.col("n").alias("own_n")), own, "left")
     in_top = F.coalesce(F.col("rank_value") <= P.TOP, F.lit(False))
     return rows.withColumn("gain", fx.marginal_gain(value, F.col("existing"), in_top, F.coalesce("own_n", F.lit(0)), F.col("cutoff")))

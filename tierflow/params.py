@@ -31,6 +31,25 @@ GROUP_GOALS = {
     19: "AA+", 20: "AA+", 21: "AA+", 22: "A", 23: "A", 24: "A",
 }
 
+# Thresholds of the ladders' groups, by mode; a group's rungs are numbered from 1.
+TITLE_STEPS = (
+    ("Beginner", (0,)),
+    ("Intermediate", (5000, 6000, 7000, 8000, 9000, 10000, 11000, 12000, 13000, 14000)),
+    ("Advanced", (15000, 15250, 15500, 15750, 16000, 16250, 16500, 16750, 17000, 17250)),
+    ("Expert", (17500, 17700, 17900, 18100, 18300, 18500, 18600, 18700, 18800, 18900)),
+    ("Master", (19000,)),
+)
+RANK_STEPS = (
+    ("Unranked", (0,)), ("Bronze", (10000, 10500, 11000, 11500, 12000)), ("Silver", (12500, 13000, 13500, 14000, 14500)),
+    ("Gold", (15000, 15200, 15400, 15600, 15800)), ("Platinum", (16000, 16200, 16400, 16600, 16800)),
+    ("Diamond", (17000, 17200, 17400, 17600, 17800)), ("Red Beryl", (18000, 18200, 18400, 18600, 18800)),
+    ("Alexandrite", (19000, 19200, 19400, 19600, 19800)), ("Highest", (20000,)),
+)
+GROUP_STEPS = (
+    ("No title", (0,)), ("Level", (1000, 2000, 3000, 4000, 5000, 6000, 7000, 8000, 9000, 10000)),
+    ("Advanced", (12000,)), ("Expert", (14000,)), ("Master", (16000,)),
+)
+
 MODES = ("Single", "Double")
 GROUP, GROUP_ANCHORS, GROUP_MEDAL = "CoOp", (10.0, 16.0, 24.9), "Fair Game"
 MIN_LEVEL, BASE_FIRST, BASE_LAST, MIN_ATTEMPTS = 16, 11, 30, 50
@@ -40,6 +59,11 @@ SCALE, RANGE_ITEMS, DEFAULT_K, LEAST_K, MOST_K = 0.4, 30, 5.0, 0.5, 20.0
 CLIP = 2.5 * 1.4826
 TOP, SHOWN, RATING_TOP, RADIUS = 50, 50, 20, 1.0
 PEER_TARGETS, PEER_RADII = (20, 10, 5), (0.2, 0.3, 0.4, 0.5)
+#: Folds of entities, step of a surface's axes, radii of its smoothing and of its support, and the least support.
+FOLDS, STEP, SMOOTH, SUPPORT_RADIUS, LEAST_SUPPORT = 5, 0.1, 8, 5, 5
+#: Weight of the population's medals, what an unseen medal counts, and how many archive medals may count at most.
+MEDAL_PRIOR, MEDAL_ROOM, MEDAL_CAPS, DEFAULT_CAP = 8.0, 0.25, (5, 10, 20, 40, 80), 20
+RESAMPLES, SEED = 500, 20260807
 SOURCE_WEIGHTS = {"archive": 1.0, "current": 2.0}
 #: Multiplier of the reference result (grade S with the second medal) of the skill rating.
 REFERENCE = (750 - 5 * 5 + 1) / 750
@@ -53,3 +77,8 @@ def normal_maximum(n: int) -> float:
 def compression(n: int) -> float:
     """How much the range of a folder with ``n`` measured items is drawn in."""
     return 1.0 if n <= RANGE_ITEMS else min(1.0, normal_maximum(RANGE_ITEMS) / normal_maximum(n))
+
+
+def rungs(steps: tuple) -> list[tuple[str, int]]:
+    """(label, threshold) of each rung, numbered where a group has several."""
+    return [(f"{name} {i}" if len(bounds) > 1 else name, b) for name, bounds in steps for i, b in enumerate(bounds, 1)]

@@ -9,7 +9,10 @@ from .. import params as P
 from ..functions import formulas as fx
 from ..operators import combined as cb
 from ..operators import difficulty as df
+from ..operators import medals as md
 from ..operators import recommend as rc
+from ..operators import surface as sf
+from ..operators import upkeep as up
 from ..operators import weighted as wt
 from ..operators.lineage import written
 from ..sources import tables as tb
@@ -96,17 +99,39 @@ def _(s, d):
     return rc.peer_scores(rows.select("mode", "entity_id", "item_id", "rating"), rows).select("mode", "entity_id", "item_id", "support", *six("peer_score"))
 
 
+def scored_candidates(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """(candidates of all entities, valued current attempts), which both kinds of recommendations share."""
+    valued = written(worth(s, d))
+    rows = cb.normalised(df.best(df.valid(valued), cb.OWN), tb.items(s, d)).drop("level_archive")
+    rated = written(rc.own_ratings(df.ranked(rows, cb.OWN), cb.OWN))
+    placed = written(cb.difficulty(cb.observations(tb.attempts(s, d), tb.items(s, d)), tb.items(s, d)).select("mode", "level", "item_id", "title", "estimate"))
+    learned = sf.prepared(sf.joined_scores(rated), placed)
+    axis, surface = sf.fit(learned)
+    known = learned.filter(F.col("fit") == sf.ALL)
+    weight = F.when(F.col("source") == "archive", P.SOURCE_WEIGHTS["archive"]).otherwise(P.SOURCE_WEIGHTS["current"])
+    lent = written(known.filter(fx.medal_name(F.col("medal")).isNotNull()).select("mode", "entity_id", "item_id", "rating", F.col("calibrated").alias("score"), weight.alias("weight")))
+    joined = rated.withColumns({"grade": fx.grade(F.col("score")), "medal": fx.medal_name(F.col("medal"))}).filter("grade is not null and medal is not null")
+    joined = up.precedence(joined.filter("source = 'current'"), joined.filter("source = 'archive'"), ["mode", "entity_id", "item_id"])
+    population, counts = written(wt.medal_distribution(joined)), written(md.own_counts(joined))
+    medals = md.projected(counts, population, md.chosen_cap(md.cap_losses(counts, population)))
+    ratings = rc.chosen_ratings(wt.top_rating(rated, cb.OWN).join(rated.groupBy(*cb.OWN).agg(F.max("full_rating").alias("full_rating")), cb.OWN))
+    project = lambda asked: sf.projections(asked, known, axis, surface)
+    out = rc.candidates(ratings, lent, placed, archive_goals(s, d), medals, wt.median_medal(population), project)
+    return written(out), written(df.best(df.valid(valued).filter("source = 'current'")))
+
+
 @query("m18_recommendations")
 def _(s, d):
-    valued = written(worth(s, d))
-    lent = written(peers(s, d, valued))
-    observed = cb.observations(tb.attempts(s, d), tb.items(s, d))
-    placed = cb.difficulty(observed, tb.items(s, d))
-    ranked = written(df.ranked(df.best(df.valid(valued).filter("source = 'current'"))))
-    ratings = rc.chosen_ratings(ratings_by_source(valued))
-    medals = wt.median_medal(wt.medal_distribution(ranked.withColumn("grade", fx.grade(F.col("score")))))
-    out = rc.recommendations(ratings, lent, placed, ranked, archive_goals(s, d), medals)
-    return out.select("mode", "entity_id", "item_id", "place", "level", *six("rating", "estimate", "edge", "expected", "gain"), "score", "grade", "medal", "from_archive", "support", "confidence")
+    rows, own = scored_candidates(s, d)
+    out = rc.recommendations(rows, df.ranked(own))
+    return out.select("mode", "entity_id", "item_id", "place", "level", *six("rating", "estimate", "edge", "expected", "gain"), "score", "grade", "medal", "from_archive", "support", "origin", "confidence")
+
+
+@query("m19_overall_recommendations")
+def _(s, d):
+    rows, own = scored_candidates(s, d)
+    out = rc.recommendations(rows, df.ranked(own, ["entity_id"]), ["entity_id"])
+    return out.select("entity_id", "mode", "item_id", "place", "level", *six("estimate", "expected", "gain"), "score", "grade", "medal", "from_archive", "confidence")
 
 
 @query("m20_group_candidates")
