@@ -94,3 +94,47 @@ def failed_rules(rows: DataFrame, rules: dict[str, Column]) -> DataFrame:
     sums = rows.agg(*[F.count_if(~F.coalesce(c, F.lit(False))).alias(n) for n, c in rules.items()])
     pairs = F.array(*[F.struct(F.lit(n).alias("rule"), F.col(f"`{n}`").alias("n")) for n in rules])
     return sums.select(F.explode(pairs).alias("x")).select("x.*").filter("n > 0")
+
+
+def paired_responses(left: DataFrame, right: DataFrame, group: str, keys: list[str], body: str) -> DataFrame:
+    """By ``group``: pairs of responses by (group, keys) that are exact, differ or miss a side, and keys that a side has twice."""
+    side = lambda df, name: df.groupBy(group, *keys).agg(F.count("*").alias(f"n_{name}"), F.min(body).alias(name))
+    both = side(left, "l").join(side(right, "r"), [group, *keys], "full_outer")
+    paired = F.col("n_l").isNotNull() & F.col("n_r").isNotNull()
+    same = F.col("l").eqNullSafe(F.col("r"))
+    return both.groupBy(group).agg(
+        F.count_if(paired & same).alias("exact"), F.count_if(paired & ~same).alias("mismatches"), F.count_if(~paired).alias("missing"),
+        F.count_if((F.coalesce("n_l", F.lit(0)) > 1) | (F.coalesce("n_r", F.lit(0)) > 1)).alias("duplicates"),
+    )
+
+
+def drift(candidate: DataFrame, active: DataFrame, key: str, within: int) -> DataFrame:
+    """One row: how many keys each table has, by how many they differ, keys of one table only, and whether both are within the bound."""
+    sides = candidate.select(key, F.lit(1).alias("a"), F.lit(0).alias("b")).unionByName(active.select(key, F.lit(0).alias("a"), F.lit(1).alias("b")))
+    keys = sides.groupBy(key).agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
+    out = keys.agg(F.coalesce(F.sum("a"), F.lit(0)).alias("candidates"), F.coalesce(F.sum("b"), F.lit(0)).alias("actives"), F.count_if((F.col("a") == 0) | (F.col("b") == 0)).alias("odd_keys"))
+    out = out.withColumn("difference", F.abs(F.col("candidates") - F.col("actives")))
+    return out.withColumn("ok", (F.col("difference") <= within) & (F.col("odd_keys") <= within))
+
+
+def correlated_sources(events: DataFrame, label: str, source: str, identity: str, two: tuple[str, str]) -> DataFrame:
+    """By label: identities, and whether there is exactly one, seen once by each of ``two`` sources and by no other."""
+    of = lambda s: F.count_if(F.col(source) == s)
+    ids = events.groupBy(label, identity).agg(of(two[0]).alias("a"), of(two[1]).alias("b"), F.count("*").alias("m"))
+    good = (F.col("a") == 1) & (F.col("b") == 1) & (F.col("m") == 2)
+    return ids.groupBy(label).agg(F.count("*").alias("identities"), F.sum("a").alias("first"), F.sum("b").alias("second"), F.sum(F.col("m") - F.col("a") - F.col("b")).alias("others"), ((F.count("*") == 1) & F.bool_and(good)).alias("ok"))
+
+
+def typed_events(raw: DataFrame, column: str, kinds: list[str], allowed: list[str]) -> DataFrame:
+    """``raw`` with ``kind`` and ``problem``: the kind from JSON, or else from a text kind=...; null problem for known kinds without further fields."""
+    keys = F.json_object_keys(column)
+    kind = F.coalesce(F.get_json_object(column, "$.kind"), F.nullif(F.regexp_extract(column, r"\bkind=([A-Za-z_-]+)", 1), F.lit("")))
+    extra = F.size(F.array_except(keys, F.array(*map(F.lit, allowed)))) > 0
+    rows = raw.withColumn("kind", kind)
+    return rows.withColumn("problem", F.when(F.col("kind").isNull(), "no event").when(~F.col("kind").isin(*kinds), "unknown kind").when(keys.isNotNull() & extra, "unknown field"))
+
+
+def same_sources(now: DataFrame, stored: DataFrame) -> DataFrame:
+    """(name, reuse): whether the checkpoint of each source (name, n, digest) may be used again, as the stored digest is the same."""
+    was = stored.select("name", F.struct("n", "digest").alias("was"))
+    return now.join(was, "name", "left").select("name", F.coalesce(F.struct("n", "digest") == F.col("was"), F.lit(False)).alias("reuse"))

@@ -53,3 +53,30 @@ def close_titles(rows: DataFrame, catalog: DataFrame, least: float = 0.45, most:
     near = pairs.withColumn("alike", alike).filter(F.col("alike") >= least)
     place = F.row_number().over(Window.partitionBy("text_id").orderBy(F.col("alike").desc(), "item_id"))
     return near.withColumn("place", place).filter(F.col("place") <= most).select("text_id", "item_id", "alike", "place")
+
+
+def variant(normal: Column) -> Column:
+    """short-cut, full-song or normal, of a title in normal form."""
+    return F.when(normal.rlike("short ?cut"), "short-cut").when(normal.rlike("full ?song"), "full-song").otherwise("normal")
+
+
+def base_name(normal: Column) -> Column:
+    """The normal form without words for its variant."""
+    return F.trim(F.regexp_replace(F.regexp_replace(normal, r"\b(?:short\s*cut|full\s*song)\b", " "), r"\s+", " "))
+
+
+def core_names(normal: Column, suffixes: list[str]) -> Column:
+    """The base name, and it without a featured guest and the given suffixes, where that leaves something else."""
+    name = base_name(normal)
+    core = F.trim(F.regexp_replace(name, r"\s+(?:feat|ft)\b.*$", ""))
+    for suffix in suffixes:
+        core = F.trim(F.regexp_replace(core, rf"\s+(?:{suffix})$", ""))
+    return F.array_distinct(F.when(core != "", F.array(name, core)).otherwise(F.array(name)))
+
+
+def pattern_rank(text: Column, steps: list[tuple[str, int]], otherwise: int = 0) -> Column:
+    """The rank of the first pattern that ``text`` has."""
+    out = F.when(F.lit(False), F.lit(None).cast("int"))
+    for pattern, rank in steps:
+        out = out.when(text.rlike(pattern), rank)
+    return out.otherwise(otherwise)

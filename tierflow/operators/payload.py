@@ -40,7 +40,7 @@ def nested(placed: DataFrame, columns: list[str]) -> DataFrame:
 def write_tree(placed: DataFrame, path: str, columns: list[str], digits: int = 6) -> None:
     """CSV files by mode and folder, with doubles at ``digits`` decimals."""
     types = dict(placed.dtypes)
-    cells = [F.format_string(f"%.{digits}f", F.col(c)).alias(c) if types[c] == "double" else F.col(c) for c in columns]
+    cells = [F.when(F.col(c).isNotNull(), F.format_string(f"%.{digits}f", F.col(c))).alias(c) if types[c] == "double" else F.col(c) for c in columns]
     placed.select("mode", "folder", *cells).repartition("mode", "folder").sortWithinPartitions("mode", "folder").write.partitionBy("mode", "folder").option("header", True).csv(path)
 
 

@@ -104,3 +104,40 @@ def latency_summary(samples: DataFrame, keys: list[str], value: str) -> DataFram
     rows = samples.filter(F.col(value).isNotNull()).select(*keys, value, F.row_number().over(by.orderBy(value)).alias("r"), F.count("*").over(by).alias("n"))
     at = lambda p: F.max(F.when(F.col("r") == F.ceil(F.col("n") * p), F.col(value)))
     return rows.groupBy(*keys).agg(F.max("n").alias("n"), at(0.5).alias("p50"), at(0.95).alias("p95"), F.when(F.max("n") >= 100, at(0.99)).alias("p99"), F.max(value).alias("most"))
+
+
+def semantic_digest(df: DataFrame, *volatile: str) -> DataFrame:
+    """The digest of a table without its volatile columns, as times of generation are."""
+    return table_digest(df, *[c for c in df.columns if c not in volatile])
+
+
+def publish(tables: dict[str, DataFrame], folder: str, generation: str, expected: dict[str, int] | None = None) -> DataFrame:
+    """Write tables under a new generation, check their row counts, and append the pointer last; a failed check leaves the old generation in use.
+
+    Returns the counts (name, n). Readers take the generation of the newest pointer.
+    """
+    session = next(iter(tables.values())).sparkSession
+    counts = {}
+    for name, df in tables.items():
+        path = f"{folder}/generation={generation}/{name}"
+        df.write.parquet(path)
+        counts[name] = session.read.schema(df.schema).parquet(path).count()
+    if wrong := {n: (counts[n], want) for n, want in (expected or {}).items() if counts.get(n) != want}:
+        raise ValueError(f"row counts differ: {wrong}")
+    session.createDataFrame([(generation,)], "generation string").withColumn("at", F.current_timestamp()).write.mode("append").parquet(f"{folder}/pointer")
+    return session.createDataFrame(sorted(counts.items()), "name string, n long")
+
+
+def current_generation(session, folder: str) -> str:
+    return session.read.schema("generation string, at timestamp").parquet(f"{folder}/pointer").agg(F.max_by("generation", F.struct("at", "generation"))).first()[0]
+
+
+def freshness(rows: DataFrame, generation: str, current: Column, synced: str, now: Column, seconds: int = 60) -> DataFrame:
+    """``fresh``: of the current generation and synced within ``seconds``; nulls aren't fresh."""
+    young = F.col(synced) >= now - F.expr(f"interval {seconds} seconds")
+    return rows.withColumn("fresh", F.coalesce((F.col(generation) == current) & young, F.lit(False)))
+
+
+def alias(name: Column, names: dict[str, str]) -> Column:
+    """The source that a name in any case, with blanks around, stands for; null for an unknown one."""
+    return F.element_at(F.create_map(*[F.lit(x) for pair in names.items() for x in pair]), F.lower(F.trim(name)))
