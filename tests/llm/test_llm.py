@@ -173,6 +173,20 @@ def test_odd_pages(spark):
     assert got == {1: ("", 0), 2: ("", 0), 3: ("", 0), 4: ("plain &", 7), 5: ("", 0), None: ("w " * 4999 + "w", 9999)}
 
 
+LONG = "The body goes on for a good while here, with many words that tell one what there is to tell, and some more."
+
+
+@pytest.mark.parametrize(
+    ("noise", "kept"),
+    [
+        ("<p class='notice'>note<p>body", "body"), ("<ul><li class='share'>x</ul>", ""), ("<ul><li class='share'>a<ul><li>b</ul>c<li>next</ul>", "next"),
+        ("<table><tr><td class='ad'>x<td>cell</table>", "cell"), ("<table><tr class='ad'><td>x<tr><td>row</table>", "row"), ("<dl><dt class='ad'>x<dd>y</dl>", "y"), ("<div><span class='ad'>x</div>", ""),
+    ],
+)
+def test_noise_without_end_tag(noise, kept):
+    assert html.main_text(f"<body><div>{noise}<p>{LONG}</div></body>") == f"{kept} {LONG}".strip()
+
+
 def longest_runs(w):
     n = len(w)
     return [max((next((k for k in range(n) if max(i, j) + k >= n or w[i + k] != w[j + k]), 0) for j in range(n) if j != i), default=0) for i in range(n)]

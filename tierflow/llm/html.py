@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from html import unescape
 
 import pyarrow as pa
@@ -34,7 +34,19 @@ NOISE = frozenset(
     "cookie cookies consent notice notices popup modal newsletter subscribe subscription signup comment comments disqus respond social share sharing related "
     "recommended widget pagination pager masthead complementary contentinfo".split()
 )
-OPTIONAL_END = frozenset("p li dt dd tr td th option thead tbody tfoot".split())
+#: Elements whose start ends an open one without its end tag: by their tag, those that they end. A p ends at any start of a block.
+_ROWS = ("thead", "tbody", "tfoot")
+OPTIONAL_END = {
+    "li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "option": ("option",), "optgroup": ("option", "optgroup"), "td": ("td", "th"), "th": ("td", "th"), "tr": ("td", "th", "tr"),
+    **dict.fromkeys(_ROWS, ("td", "th", "tr", *_ROWS)),
+}
+#: Elements that end tags and implied ends of those inside don't reach beyond.
+_CELLS = ("table", "td", "th", "caption", "button")
+SCOPES = {
+    **dict.fromkeys(("td", "th", "tr", "table", "caption", *_ROWS), ("table",)), "li": ("ul", "ol", "menu", "dir", "dl", "section", "article", "blockquote", *_CELLS),
+    **dict.fromkeys(("dt", "dd"), ("dl", "ul", "ol", "section", "article", "blockquote", *_CELLS)),
+}
+P_STAYS = frozenset("body caption head html legend option tbody td tfoot th thead tr".split())
 
 
 def is_noise(tag: str, attrs: str, inside: bool) -> bool:
@@ -47,16 +59,63 @@ def is_noise(tag: str, attrs: str, inside: bool) -> bool:
     return any(w in NOISE for w in re.split(r"[^a-z]+", found))
 
 
-def lines(html: str) -> list[tuple[str, int, bool]]:
-    """The page's lines: (text, its characters outside links, whether it is in an article or main element)."""
-    out: list[tuple[str, int, bool]] = []
+class OpenElements:
+    """The elements open at a place of a page; finding and closing one takes constant time for each element that was opened."""
+
+    def __init__(self):
+        self.stack: list[str] = []
+        self.places: dict[str, list[int]] = {}
+        self.blocks: list[int] = []
+
+    def last(self, tags: Iterable[str]) -> int:
+        return max((p[-1] for t in tags if (p := self.places.get(t))), default=-1)
+
+    def cut(self, at: int) -> None:
+        while len(self.stack) > at:
+            tag = self.stack.pop()
+            self.places[tag].pop()
+            if tag in BREAKS:
+                self.blocks.pop()
+
+    def start(self, tag: str) -> None:
+        """Ends what the start of ``tag`` implies the end of."""
+        if tag in BREAKS and tag not in P_STAYS and (at := self.last(("p",))) > self.last(_CELLS):
+            self.cut(at)
+        if closed := OPTIONAL_END.get(tag):
+            bound = self.last(SCOPES.get(tag, _CELLS)) if tag not in ("td", "th") else self.last(("table", "tr"))
+            found = [p[-1] for t in closed if (p := self.places.get(t)) and p[-1] > bound]
+            if found:
+                self.cut(min(found))
+
+    def push(self, tag: str) -> None:
+        self.places.setdefault(tag, []).append(len(self.stack))
+        if tag in BREAKS:
+            self.blocks.append(len(self.stack))
+        self.stack.append(tag)
+
+    def end(self, tag: str) -> None:
+        """Ends the innermost open ``tag`` and all in it; an end tag without a start is ignored."""
+        if not (p := self.places.get(tag)):
+            return
+        if tag in BREAKS:
+            bound = self.last(t for t in SCOPES.get(tag, _CELLS) if t != tag) if tag not in ("html", "body") else -1
+        else:
+            bound = self.blocks[-1] if self.blocks else -1
+        if p[-1] > bound:
+            self.cut(p[-1])
+
+
+def lines(html: str) -> list[tuple[str, int, int]]:
+    """The page's lines: (text, its characters outside links, number of the outermost article or main element that it is in, or 0)."""
+    out: list[tuple[str, int, int]] = []
     held: list[str] = []
-    plain = skip = link = body = at = 0
-    skipped = ""
+    opened = OpenElements()
+    plain = link = at = regions = 0
+    region, skip = (-1, 0), -1  # place of the outermost article or main element and its number; place of an element that isn't content
 
     def put(text: str) -> None:
         nonlocal plain
-        if text and not skip:
+        if text and skip < 0:
             text = unescape(text) if "&" in text else text
             held.append(text)
             if not link:
@@ -65,7 +124,7 @@ def lines(html: str) -> list[tuple[str, int, bool]]:
     def end() -> None:
         nonlocal plain
         if held and (text := " ".join("".join(held).split())):
-            out.append((text, plain, body > 0))
+            out.append((text, plain, region[1]))
         held.clear()
         plain = 0
 
@@ -75,24 +134,35 @@ def lines(html: str) -> list[tuple[str, int, bool]]:
         at = m.end()
         if m["raw"] or not m["tag"]:
             continue
-        tag, closing = m["tag"].lower(), bool(m["end"])
-        if skip:  # in an element that isn't content: up to its own end tag
-            if tag == skipped and not m["attrs"].endswith("/"):
-                skip += -1 if closing else 1
-                if not skip:
-                    end()
-            continue
-        if tag in BREAKS:
+        tag, attrs, closing = m["tag"].lower(), m["attrs"], bool(m["end"])
+        alone = tag in VOID or attrs.endswith("/") and (len(attrs) == 1 or attrs[-2] in " \t\r\n\f\"'")
+        if skip < 0 and tag in BREAKS:
+            end()
+        if closing:
+            opened.end(tag)
+        else:
+            opened.start(tag)
+        if len(opened.stack) <= region[0]:
             end()
-        elif tag == "br":
-            put(" ")
-        if tag in ("article", "main"):
-            body = max(0, body - 1) if closing else body + 1
-        elif tag == "a":
-            link = 0 if closing else 1
-        elif not closing and tag not in VOID and is_noise(tag, m["attrs"], body > 0) and not m["attrs"].endswith("/"):
+            region = (-1, 0)
+        if len(opened.stack) <= skip:
             end()
-            skip, skipped = 1, tag
+            skip = -1
+            if closing:
+                continue
+        if skip < 0:
+            if tag == "br":
+                put(" ")
+            elif tag == "a":
+                link = 0 if closing else 1
+            elif not closing and not alone and is_noise(tag, attrs, region[1] > 0):
+                end()
+                skip = len(opened.stack)
+            elif not closing and not alone and tag in ("article", "main") and not region[1]:
+                regions += 1
+                region = (len(opened.stack), regions)
+        if not closing and not alone:
+            opened.push(tag)
     put(html[at:])
     end()
     return out
@@ -125,8 +195,9 @@ def extract(pages: DataFrame, block: int = BLOCK, surge: int = SURGE) -> DataFra
     left falls into lines at the elements that break them, with character references decoded and white space made single.
     Characters outside links are summed over ``block`` lines from each line on. The text is kept from the first line
     whose sum reaches ``surge`` (the largest sum, if none does) to the end of the last such block, without lines of links
-    at either end. Where a page marks its article or main element, the region is that element. A null, empty or
-    markup-only page has an empty text. Pages aren't shuffled, and whole pages are read.
+    at either end. Where a page marks its article or main element, the region is that element. Elements end as HTML says, also
+    where it lets their end tags be left out. A null, empty or markup-only page has an empty text. Pages aren't shuffled, and whole
+    pages are read.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
