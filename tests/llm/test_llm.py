@@ -187,6 +187,15 @@ def test_noise_without_end_tag(noise, kept):
     assert html.main_text(f"<body><div>{noise}<p>{LONG}</div></body>") == f"{kept} {LONG}".strip()
 
 
+def test_article_element_is_weighed():
+    teaser = "<article><h3>Teaser</h3><p>Only a teaser.</p></article>"
+    assert html.main_text(f"<div>{f'<p>{LONG}' * 4}</div>{teaser}").startswith(" ".join([LONG] * 4))
+    comment = f"<article class='comment-body'><p>{LONG}</article>"
+    assert html.main_text(f"<div><p>Body. {LONG}</div>{comment * 3}") == f"Body. {LONG}"
+    # an element with most of the text keeps its short ends and nothing beside it
+    assert html.main_text(f"<p>Home<article><p>Start<p>{LONG}<p>1<p>2<p>3<p>4</article><p>More") == f"Start {LONG} 1 2 3 4"
+
+
 def longest_runs(w):
     n = len(w)
     return [max((next((k for k in range(n) if max(i, j) + k >= n or w[i + k] != w[j + k]), 0) for j in range(n) if j != i), default=0) for i in range(n)]

@@ -50,12 +50,14 @@ P_STAYS = frozenset("body caption head html legend option tbody td tfoot th thea
 
 
 def is_noise(tag: str, attrs: str, inside: bool) -> bool:
-    """Whether an element is no content by its name, or by a word of its class, id or role."""
+    """Whether an element is no content by its name, or by a word of its class, id or role (of an article, one that such a name begins with)."""
     if tag in ASIDE or tag == "header" and not inside:
         return True
-    if "=" not in attrs or tag in ("html", "body", "article", "main"):
+    if "=" not in attrs or tag in ("html", "body", "main"):
         return False
     found = " ".join(a or b or c for a, b, c in ATTRIBUTE.findall(attrs)).lower()
+    if tag == "article":
+        return any(re.split(r"[^a-z]+", name, maxsplit=1)[0] in NOISE for name in found.split())
     return any(w in NOISE for w in re.split(r"[^a-z]+", found))
 
 
@@ -169,10 +171,12 @@ def lines(html: str) -> list[tuple[str, int, int]]:
 
 
 def main_text(html: str, block: int = BLOCK, surge: int = SURGE) -> str:
-    """The text between the first surge and the last dive of the page's line blocks, joined by single spaces."""
+    """The text between the first surge and the last dive of the page's line blocks, joined by single spaces.
+
+    If article and main elements hold at least half of the characters outside links of that text, it is the lines of those
+    of them that it touches: what else lies between surge and dive goes, and their short first and last lines come in.
+    """
     found = lines(html)
-    if any(x[2] for x in found):
-        return " ".join(x[0] for x in found if x[2])
     sizes = [x[1] for x in found]
     sums = [sum(sizes[i : i + block]) for i in range(len(sizes))]
     if not any(sums):
@@ -185,7 +189,11 @@ def main_text(html: str, block: int = BLOCK, surge: int = SURGE) -> str:
     stop = min(len(sizes), stop + block)
     while not sizes[stop - 1]:
         stop -= 1
-    return " ".join(x[0] for x in found[start:stop])
+    kept = found[start:stop]
+    if 2 * sum(x[1] for x in kept if x[2]) >= sum(x[1] for x in kept):
+        regions = {x[2] for x in kept if x[2]}
+        kept = [x for x in found if x[2] in regions]
+    return " ".join(x[0] for x in kept)
 
 
 def extract(pages: DataFrame, block: int = BLOCK, surge: int = SURGE) -> DataFrame:
@@ -195,7 +203,7 @@ def extract(pages: DataFrame, block: int = BLOCK, surge: int = SURGE) -> DataFra
     left falls into lines at the elements that break them, with character references decoded and white space made single.
     Characters outside links are summed over ``block`` lines from each line on. The text is kept from the first line
     whose sum reaches ``surge`` (the largest sum, if none does) to the end of the last such block, without lines of links
-    at either end. Where a page marks its article or main element, the region is that element. Elements end as HTML says, also
+    at either end. Where article or main elements hold most of it, the lines of those are kept. Elements end as HTML says, also
     where it lets their end tags be left out. A null, empty or markup-only page has an empty text. Pages aren't shuffled, and whole
     pages are read.
     """
