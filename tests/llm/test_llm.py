@@ -241,6 +241,13 @@ def test_personal_data_base(spark):
         assert got[i] == sorted(want, key=lambda x: (x[0], pii.KINDS.index(x[1])))
 
 
+def test_personal_data_in_very_long_runs(spark):
+    long = ["7 " * 20_000, "1" * 50_000, "a@b" + ".c" * 30_000, "4111 1111-1111 1111", "1 " * 9_000 + "x 4111111111111111"]
+    docs = spark.createDataFrame(list(enumerate(long)), "doc_id long, text string")
+    got = {r.doc_id: [(c.start, pii.KINDS[c.kind], c.end) for c in r.base] for r in pii.find(docs).collect()}
+    assert got == {0: [], 1: [], 2: [(0, "email", 60_003)], 3: [(0, "card", 19)], 4: [(18_002, "card", 18_018)]}
+
+
 def test_targets_fill_up(spark):
     sizes = spark.createDataFrame([("a", 10), ("b", 1000), ("c", 20), (None, 500), ("d", 0)], "source string, source_size long")
     got = {r.source: r.target for r in mixing.targets(sizes).collect()}

@@ -14,11 +14,12 @@ from .common import settled, texts_of
 #: Kinds in the order of their listing; those of the contract first.
 KINDS = ("email", "ip", "card", "phone", "secret")
 #: Generators by kind: (pattern, whether the contract's rules apply to its matches). Those of the contract are fixed by it; a start
-#: that can't be the leftmost is ruled out first, so that long runs take linear time.
+#: that can't be the leftmost is ruled out first, so that long runs take linear time, and repeated groups are possessive, as Java's
+#: regex calls itself for each repetition of others. Nothing follows them that they could give back to.
 GENERATORS = [
-    ("email", r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", True),
+    ("email", r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++", True),
     ("ip", r"(?:\G|(?<![0-9]))[0-9]++(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", True),
-    ("card", r"[0-9]([\x20-]?[0-9])+", True),
+    ("card", r"[0-9](?:[\x20-]?[0-9])++", True),
     ("phone", r"\+[0-9][\x20().0-9-]+[0-9]", True),
     ("email", r"(?<![^\s<>(),;:])[^\s@<>(),;:]++@[^\s@<>(),;:]++", False),
     ("phone", r"(?<![0-9A-Za-z.+-])\(?[0-9]{2,4}\)?(?:[\x20./-][0-9]{2,4}){2,4}(?![0-9A-Za-z])", False),
