@@ -248,6 +248,17 @@ def test_personal_data_in_very_long_runs(spark):
     assert got == {0: [], 1: [], 2: [(0, "email", 60_003)], 3: [(0, "card", 19)], 4: [(18_002, "card", 18_018)]}
 
 
+def test_rare_kind_has_a_threshold(spark):
+    """20 keys among 40,000 numbers, of which a sample by hash alone of this size has next to none."""
+    token = lambda i: hashlib.sha256(str(i).encode()).hexdigest()
+    rows = [(i, " ".join(f"{i}x{100 + j}" for j in range(40))) for i in range(1000)] + [(1000 + i, f"api key = {token(i)} in use") for i in range(20)]
+    found = pii.candidates(spark.createDataFrame(rows, "doc_id long, text string"))
+    _, best = pii.fit(found, sample=400)
+    assert pii.KINDS.index("secret") in best
+    added = {r.doc_id for r in pii.find(spark.createDataFrame(rows, "doc_id long, text string"), sample=400).collect() if any(pii.KINDS[c.kind] == "secret" for c in r.added)}
+    assert added == set(range(1000, 1020))
+
+
 def test_targets_fill_up(spark):
     sizes = spark.createDataFrame([("a", 10), ("b", 1000), ("c", 20), (None, 500), ("d", 0)], "source string, source_size long")
     got = {r.source: r.target for r in mixing.targets(sizes).collect()}

@@ -25,7 +25,8 @@ GENERATORS = [
     ("phone", r"(?<![0-9A-Za-z.+-])\(?[0-9]{2,4}\)?(?:[\x20./-][0-9]{2,4}){2,4}(?![0-9A-Za-z])", False),
     ("secret", r"(?<![A-Za-z0-9_-])(?=[A-Za-z_-]*[0-9])[A-Za-z0-9_-]{20,}+", False),
 ]
-#: Candidates that the trees are fitted on at most (taken by hash), trees, depth, share of right ones that a threshold promises.
+#: Candidates that the trees are fitted on (at most about as many, by hash, the same number of each kind and label), trees, depth, share of right ones
+#: that a threshold promises.
 SAMPLE, TREES, DEPTH, PRECISION = 20_000, 12, 3, 0.95
 FEATURES = ("length", "digits", "letters", "groups", "dots", "plus", "at", "before", "after", "hint", *KINDS)
 HINT = r"(?i)(tel|phone|fon|call|card|karte|tarjeta|carte|mail|ip|addr|token|key|secret|pass)\w*\W{0,4}$"
@@ -105,28 +106,44 @@ def fit(found: DataFrame, sample: int = SAMPLE) -> tuple[object, dict[int, float
     """(trees as a function from features to a margin, thresholds by kind), or (None, {}) without examples of both sorts.
 
     Right ones are candidates that pass the contract's rules or are keys in a context that names them, wrong ones those
-    that fail; the rest have no label. Of all labelled candidates those with the ``sample`` smallest hashes are
-    taken; four fifths fit the trees. A kind's threshold is the lowest margin from which on at least PRECISION of the last fifth is right.
+    that fail; the rest have no label. Each kind and label has an equal part of ``sample``, taken by hash; four fifths of what is
+    taken fit the trees. All other labelled candidates give the thresholds, each standing for as many of its kind and label as were
+    taken away: a kind's is the lowest margin from which on at least PRECISION of them are right.
     """
     rows = found.select("doc_id", F.explode("found").alias("c")).filter("c.label is not null")
     key = F.xxhash64("doc_id", "c.kind", "c.start", "c.end")
-    taken = rows.select(key.alias("key"), "c.kind", "c.features", F.col("c.label").cast("double").alias("label")).orderBy("key", "kind").limit(sample)
-    taken = settled(taken)
-    train = taken.filter("pmod(key, 5) <> 0").withColumn("vector", array_to_vector("features"))
+    rows = rows.select(key.alias("key"), "c.kind", "c.features", F.col("c.label").cast("double").alias("label"))
+    sizes = {(r.kind, r.label): r.n for r in rows.groupBy("kind", "label").agg(F.count("*").alias("n")).collect()}
+    if len({label for _, label in sizes}) < 2:
+        return None, {}
+    share = F.create_map(*[F.lit(v) for (k, x), n in sizes.items() for v in (k * 2 + int(x), min(1.0, sample / len(sizes) / n))])
+    fraction = F.shiftrightunsigned("key", 11) / F.lit(float(1 << 53))
+    stratum = (F.col("kind") * 2 + F.col("label")).cast("int")
+    fits = (fraction <= F.element_at(share, stratum)) & (F.pmod("key", F.lit(5)) != 0)
+    train = settled(rows.filter(fits).withColumn("vector", array_to_vector("features")))
     if train.select("label").distinct().count() < 2:
         return None, {}
     model = GBTClassifier(featuresCol="vector", labelCol="label", maxIter=TREES, maxDepth=DEPTH, seed=1, maxBins=32, cacheNodeIds=False).fit(train)
     parts = [(float(w), t._call_java("rootNode")) for w, t in zip(model.treeWeights, model.trees, strict=True)]
     margin = lambda x: reduce(lambda a, b: a + b, [F.lit(w) * _tree(root, x) for w, root in parts])
-    held = taken.filter("pmod(key, 5) = 0").select("kind", "label", F.round(margin(F.col("features")), 2).alias("margin"))
+    held = rows.filter(~fits).select("kind", "label", F.round(margin(F.col("features")), 2).alias("margin"))
+    counts = held.groupBy("kind", "label", "margin").agg(F.count("*").alias("n")).collect()
+    left: dict[tuple[int, float], int] = {}
+    for r in counts:
+        left[r.kind, r.label] = left.get((r.kind, r.label), 0) + r.n
+    steps: dict[tuple[int, float], list[float]] = {}
+    for r in counts:
+        step, n = steps.setdefault((r.kind, r.margin), [0.0, 0.0]), r.n * sizes[r.kind, r.label] / left[r.kind, r.label]
+        step[0] += r.label * n
+        step[1] += n
     sums: dict[int, list[float]] = {}
     best: dict[int, float] = {}
-    for r in held.groupBy("kind", "margin").agg(F.sum("label").alias("right"), F.count("*").alias("n")).orderBy(F.col("margin").desc()).collect():
-        s = sums.setdefault(r.kind, [0.0, 0.0])
-        s[0] += r.right
-        s[1] += r.n
+    for (kind, m), (right, n) in sorted(steps.items(), key=lambda x: -x[0][1]):
+        s = sums.setdefault(kind, [0.0, 0.0])
+        s[0] += right
+        s[1] += n
         if s[0] >= PRECISION * s[1]:
-            best[r.kind] = r.margin
+            best[kind] = m
     return margin, best
 
 
