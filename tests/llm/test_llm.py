@@ -319,6 +319,30 @@ def test_pipeline_stages(spark, texts):
     assert corpus_pipeline.run(spark, DATA).filter(F.col("shard").isNull()).count() == 0
 
 
+def test_pipeline_dedup_brute_force(spark):
+    rng = np.random.default_rng(7)
+    rows = []
+    for n in (3, 12, 40, 90, 90, 300):
+        base = rng.integers(0, 4000, n).tolist()
+        for edits in (0, 0, 1, 1, 2, 3, 4, 6, 9):
+            w = list(base)
+            for at in rng.integers(0, n, edits):
+                w[at] = int(rng.integers(4000, 9000))
+            rows.append(" ".join(f"W{x}" for x in w))
+    rows += ["", None, " \n"]
+    rows = [rows[i] for i in rng.permutation(len(rows))]
+
+    def grams(t):
+        w = (t or "").translate(LOW).split()
+        return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+    sets = [grams(t) for t in rows]
+    near = [(i, j) for i, a in enumerate(sets) for j, b in enumerate(sets[:i]) if a == b or len(a & b) / len(a | b) >= 0.8]
+    roots = union_find(near, len(rows))
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string").coalesce(1)
+    assert sorted(r.doc_id for r in corpus_pipeline.dedup(spark, docs, DATA).collect()) == sorted(set(roots))
+
+
 def test_hash_of_kept_bytes(spark):
     rows = spark.createDataFrame([(1, "ä" * 80), (2, "ä" * 80)], "doc_id long, text string")
     got = {r.doc_id: hashlib.sha256(bytes(r.kept)).hexdigest() for r in suffixes.drop_repeats(rows).collect()}
