@@ -14,7 +14,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tierflow.llm import decontaminate, html, license, maxent, mixing, pii, quality, sharding, simhash, suffixes
+from tierflow.llm import decontaminate, html, license, maxent, mixing, pii, quality, sharding, simhash, similar, suffixes
 from tierflow.llm.queries import QUERIES, SQL
 
 DATA = "/root/testdata/sf0.001"
@@ -308,8 +308,7 @@ def test_pipeline_stages(spark, texts):
     verdicts = {r.doc_id: r.kept for r in quality.rate(docs).collect()}
     kept = corpus_pipeline.quality(spark, docs, DATA)
     assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {d for d, k in verdicts.items() if k}
-    groups = simhash.near_duplicates(docs)
-    assert corpus_pipeline.dedup(spark, docs, DATA).count() == groups.select("component_id").distinct().count()
+    assert corpus_pipeline.dedup(spark, docs, DATA).count() == len(set(near_roots([t for _, t in texts])))
     hit = {r.doc_id for r in QUERIES["op1_decontamination"](spark, DATA).filter("contaminated").collect()}
     clean = corpus_pipeline.decontamination(spark, docs, DATA)
     assert {r.doc_id for r in clean.collect()} == {d for d, _ in texts} - hit
@@ -319,6 +318,18 @@ def test_pipeline_stages(spark, texts):
     assert corpus_pipeline.run(spark, DATA).filter(F.col("shard").isNull()).count() == 0
 
 
+def near_roots(texts):
+    """The first text of each component of pairs with a Jaccard similarity of 0.8 or more."""
+
+    def grams(t):
+        w = (t or "").translate(LOW).split()
+        return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+    sets = [grams(t) for t in texts]
+    near = [(i, j) for i, a in enumerate(sets) for j, b in enumerate(sets[:i]) if a == b or len(a & b) / len(a | b) >= 0.8]
+    return union_find(near, len(texts))
+
+
 def test_pipeline_dedup_brute_force(spark):
     rng = np.random.default_rng(7)
     rows = []
@@ -331,16 +342,25 @@ def test_pipeline_dedup_brute_force(spark):
             rows.append(" ".join(f"W{x}" for x in w))
     rows += ["", None, " \n"]
     rows = [rows[i] for i in rng.permutation(len(rows))]
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string").coalesce(1)
+    assert sorted(r.doc_id for r in corpus_pipeline.dedup(spark, docs, DATA).collect()) == sorted(set(near_roots(rows)))
 
-    def grams(t):
-        w = (t or "").translate(LOW).split()
-        return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
 
-    sets = [grams(t) for t in rows]
-    near = [(i, j) for i, a in enumerate(sets) for j, b in enumerate(sets[:i]) if a == b or len(a & b) / len(a | b) >= 0.8]
-    roots = union_find(near, len(rows))
-    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string").coalesce(1)
-    assert sorted(r.doc_id for r in corpus_pipeline.dedup(spark, docs, DATA).collect()) == sorted(set(roots))
+def test_blocks_equal_all_pairs(spark, monkeypatch):
+    """A cluster that is compared in many blocks."""
+    monkeypatch.setattr(similar, "BLOCK", 8)
+    monkeypatch.setattr(similar, "COLUMNS", 16)
+    rng = np.random.default_rng(11)
+    base = rng.integers(0, 500, 60).tolist()
+    rows = []
+    for _ in range(70):
+        w = list(base)
+        for at in rng.integers(0, 60, int(rng.integers(0, 5))):
+            w[at] = int(rng.integers(500, 900))
+        rows.append(" ".join(map(str, w)))
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in similar.near_copies(docs).collect()}
+    assert [got.get(i, i) for i in range(70)] == near_roots(rows) and len(set(near_roots(rows))) < 60
 
 
 def test_hash_of_kept_bytes(spark):
