@@ -9,6 +9,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -83,12 +84,35 @@ def as_bytes(batch: pa.RecordBatch, column: str = "text") -> list[bytes]:
     return [x or b"" for x in batch.column(column).cast(pa.binary()).to_pylist()]
 
 
+class WordHashes:
+    """64-bit hashes of words, each hashed once; starts anew after ``most`` different ones."""
+
+    def __init__(self, most: int = 1 << 20):
+        self.most, self.ids, self.hashes = most, {}, np.zeros(0, np.uint64)
+
+    def of(self, texts: list[list[bytes]]) -> list[np.ndarray]:
+        """Of each list of words their hashes."""
+        if len(self.ids) > self.most:
+            self.ids, self.hashes = {}, np.zeros(0, np.uint64)
+        put, known = self.ids.setdefault, len(self.ids)
+        numbers = [np.array([put(w, len(self.ids)) for w in ws], np.int64) for ws in texts]
+        new = list(self.ids)[known:]
+        self.hashes = np.concatenate([self.hashes, np.fromiter(map(xxhash.xxh64_intdigest, new), np.uint64, len(new))])
+        return [self.hashes[x] for x in numbers]
+
+
 def texts_of(df: DataFrame, key: str = "doc_id", text: str = "text", extra: dict[str, Column] | None = None) -> DataFrame:
     """Key, text and ``extra`` alone, so that other columns of the input, whatever their names, play no part."""
     more = [c.alias(name) for name, c in (extra or {}).items()]
     return df.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"), *more)
 
 
+def unnamed(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """``df`` with its columns named c0, c1, ..., so that no name of its own can clash with those that an operator adds, and the new name of each."""
+    column = {c: f"c{i}" for i, c in enumerate(df.columns)}
+    return df.toDF(*column.values()), column
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of ``edges`` (a, b long): one row (node, root) for each node but the roots; root is the smallest node.
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import settled
+from .common import settled, unnamed
 
 #: Weights of the sources in the order of their names, repeating; times its size that a source may be used; hash seed.
 WEIGHTS, MOST, SEED = (1, 2, 3), 3, "mix-1"
@@ -50,21 +50,29 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, s
     of the added ones are replaced.
     """
     added = ["size", "source_size", "target", "rate", "copies"]
-    rows = docs.select(*[c for c in docs.columns if c not in added], n_words(F.col("text")).alias("size"))
+    rows, column = _mix(docs, weights, most, seed)
+    kept = [c for c in docs.columns if c not in added]
+    return rows.select(*[column[c] for c in kept], *added).toDF(*kept, *added)
+
+
+def _mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, seed: str = SEED) -> tuple[DataFrame, dict[str, str]]:
+    """The mix with the columns of ``docs`` under other names, and these names."""
+    rows, column = unnamed(docs)
+    rows = rows.withColumns({"size": n_words(F.col(column["text"]).cast("string")), "source": F.col(column["source"])})
     plan = settled(targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), weights, most))
-    plan = plan.withColumn("rate", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0))
-    code = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary")), 1, 13), 16, 10)
+    plan = plan.withColumn("rate", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)).withColumnRenamed("source", "of")
+    code = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(column["doc_id"]).cast("string"), F.lit(""))).cast("binary")), 1, 13), 16, 10)
     fraction = code.cast("long") / F.lit(float(1 << 52))
-    plan = plan.withColumnRenamed("source", "__source")
-    joined = rows.join(plan, rows["source"].eqNullSafe(plan["__source"])).drop("__source")
+    joined = rows.join(plan, F.col("source").eqNullSafe(F.col("of"))).drop("of", "source")
     base = F.floor("rate")
-    return joined.withColumn("copies", base + F.when(fraction < F.col("rate") - base, 1).otherwise(0))
+    return joined.withColumn("copies", base + F.when(fraction < F.col("rate") - base, 1).otherwise(0)), column
 
 
 def mixed(docs: DataFrame, **options) -> DataFrame:
-    """The mix itself: each row of ``docs`` as often as it is taken, with the columns of ``docs``."""
-    out = mix(docs, **options).withColumn("copies", F.explode(F.expr("case when copies > 0 then sequence(1L, copies) end")))
-    return out.select(*docs.columns)
+    """The mix itself: each row of ``docs`` as often as it is taken, with the columns of ``docs``, whatever their names."""
+    rows, column = _mix(docs, **options)
+    out = rows.withColumn("copies", F.explode(F.expr("case when copies > 0 then sequence(1L, copies) end")))
+    return out.select(*column.values()).toDF(*docs.columns)
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,60 +5,99 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import settled
+from .common import settled, unnamed, written
 
-#: Bytes of text that a shard may hold, and hash bits that the directory may use at most.
-LIMIT, BITS = 4 << 20, 24
+#: Bytes of text that a shard may hold, bits of a row's hash, and levels that are summed in one turn.
+LIMIT, BITS, STEP = 4 << 20, 60, 8
 
 
-def hash_code(key: Column, bits: int = BITS) -> Column:
-    """The first ``bits`` bits of the MD5 of ``key`` (string) as a long."""
-    return F.shiftrightunsigned(F.conv(F.substring(F.md5(key.cast("binary")), 1, 12), 16, 10).cast("long"), 48 - bits)
+def hash_code(key: Column) -> Column:
+    """The first BITS bits of the MD5 of ``key`` (string) as a long."""
+    return F.conv(F.substring(F.md5(key.cast("binary")), 1, BITS // 4), 16, 10).cast("long")
 
 
-def split_buckets(coded: DataFrame, limit: int, bits: int) -> DataFrame:
-    """Buckets (depth, prefix, shard_bytes, shard_docs) for ``coded`` (code, n_bytes): only oversized ones split on another bit.
+def split_buckets(coded: DataFrame, limit: int) -> DataFrame:
+    """Buckets (part, depth, prefix, shard_bytes, shard_docs) of ``coded`` (part, code, n_bytes): only oversized ones split on another bit.
 
-    Sizes are summed once for each hash code and from there for every prefix of it, so that all turns of splitting come
-    from two groupings with partial sums: a bucket is the shortest prefix that holds ``limit`` bytes at most, or a
-    whole code if even that holds more. Its parent is too large, or it is the root.
+    A bucket is the shortest prefix of the codes of a part that holds ``limit`` bytes or one row at most, or a whole code if even that holds more.
+    A turn sums the sizes at STEP more bits with partial sums, from there those of the levels between, and the next turn
+    only takes up the codes of prefixes that are still too large.
     """
-    codes = coded.groupBy("code").agg(F.sum("n_bytes").alias("b"), F.count("*").alias("n"))
-    depth = F.explode(F.sequence(F.lit(0), F.lit(bits))).alias("depth")
-    nodes = codes.select("code", "b", "n", depth).withColumn("prefix", F.expr(f"shiftrightunsigned(code, {bits} - depth)"))
-    sizes = settled(nodes.groupBy("depth", "prefix").agg(F.sum("b").alias("shard_bytes"), F.sum("n").alias("shard_docs")))
-    large = F.col("shard_bytes") > limit
-    children = sizes.filter(large).select(
-        (F.col("depth") + 1).alias("depth"), F.explode(F.array(F.col("prefix") * 2, F.col("prefix") * 2 + 1)).alias("prefix")
-    )
-    reached = sizes.join(children, ["depth", "prefix"], "left_semi").union(sizes.filter("depth = 0"))
-    return reached.filter(~large | (F.col("depth") == bits))
-
-
-def assign_shards(df: DataFrame, limit: int = LIMIT, bits: int = BITS, key: str = "doc_id", text: str = "text") -> DataFrame:
+    found, depth, open_ = [], 0, coded
+    large = (F.col("shard_bytes") > limit) & (F.col("shard_docs") > 1)
+    while True:
+        deep = min(depth + STEP, BITS)
+        fine = open_.groupBy("part", F.shiftrightunsigned("code", BITS - deep).alias("p")).agg(F.sum("n_bytes").alias("b"), F.count("*").alias("n"))
+        level = F.explode(F.sequence(F.lit(depth), F.lit(deep))).alias("depth")
+        nodes = fine.select("part", "p", "b", "n", level).withColumn("prefix", F.expr(f"shiftrightunsigned(p, {deep} - depth)"))
+        sizes = settled(nodes.groupBy("part", "depth", "prefix").agg(F.sum("b").alias("shard_bytes"), F.sum("n").alias("shard_docs")))
+        twice = F.explode(F.array(F.col("prefix") * 2, F.col("prefix") * 2 + 1)).alias("prefix")
+        children = sizes.filter(large).select("part", (F.col("depth") + 1).alias("depth"), twice)
+        reached = sizes.join(children, ["part", "depth", "prefix"], "left_semi")
+        if depth == 0:
+            reached = reached.union(sizes.filter("depth = 0"))
+        found.append(reached.filter(~large | (F.col("depth") == BITS)))
+        rest = sizes.filter(large & (F.col("depth") == deep)).select("part", F.col("prefix").alias("p"))
+        if deep == BITS or rest.isEmpty():
+            break
+        open_ = open_.withColumn("p", F.shiftrightunsigned("code", BITS - deep)).join(rest, ["part", "p"], "left_semi").select("part", "code", "n_bytes")
+        depth = deep
+    out = found[0]
+    for more in found[1:]:
+        out = out.union(more)
+    return out
+
+
+def directory(buckets: DataFrame) -> DataFrame:
+    """``buckets`` (part, depth, prefix, ...) with bits and entry: where the first bits of a code lead.
+
+    Of n buckets of a part the directory has as many bits as n entries need, so that there are 2 n entries at most for buckets of fewer bits, which
+    stand at all entries that begin with theirs; those of more bits stand at the entry that they begin with, and are told apart by the rest of theirs.
+    """
+    n = settled(buckets.groupBy("part").agg(F.ceil(F.log2(F.count("*"))).cast("int").alias("bits")))
+    wide = buckets.join(n, "part").withColumn("over", F.greatest(F.col("bits") - F.col("depth"), F.lit(0)))
+    entries = F.explode(F.sequence(F.lit(0).cast("long"), F.expr("shiftleft(1L, over) - 1"))).alias("i")
+    first = F.expr("shiftleft(shiftrightunsigned(prefix, greatest(depth - bits, 0)), over) + i")
+    return wide.select("*", entries).withColumn("entry", first).drop("over", "i")
+
+
+def assign_shards(df: DataFrame, limit: int = LIMIT, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``df`` with shard (its hash prefix as binary digits, "" for the root), local_depth, n_bytes, shard_bytes and shard_docs.
 
-    The directory has an entry for each value of the first bits of the hash, as many bits as the deepest bucket has;
-    entries that share a bucket point to the same shard, and each row finds its shard by an equi-join on the entry.
-    Rows go by the MD5 of their key, those with a null key by their text's; a null text has no bytes. Rows with equal
-    hashes (repeated rows) can't be parted, and a row of more than ``limit`` bytes is alone but for its hash's other
-    rows; such shards, at the full depth, may exceed the limit, no others do. Columns of ``df`` with the names of the
-    added ones are replaced. An empty table stays empty.
+    Rows go by the MD5 of their key, those with a null key by their text's; a null text has no bytes. Each row finds its shard by an equi-join on
+    its entry in the directory, which Spark broadcasts if it is small. Rows with equal hashes (repeated rows and keys) whose bucket is still too large
+    at the full depth split on the bits of a second hash, of a number that each gets;
+    their shard's digits and depth go on after the first BITS. So a shard exceeds ``limit`` only if it is a single row that does. An empty table
+    stays empty. Columns of ``df`` with the names of the added ones are replaced.
     """
     added = ["shard", "local_depth", "n_bytes", "shard_bytes", "shard_docs"]
-    code = hash_code(F.coalesce(F.col(key).cast("string"), F.md5(F.col(text).cast("binary")), F.lit("")), bits)
-    size = F.coalesce(F.octet_length(F.col(text).cast("string")), F.lit(0)).cast("long")
-    buckets = settled(split_buckets(df.select(code.alias("code"), size.alias("n_bytes")), limit, bits))
-    deepest = buckets.agg(F.max("depth")).first()[0] or 0
-    entries = F.sequence(F.lit(0).cast("long"), F.expr(f"shiftleft(1L, {deepest} - depth)") - 1)
-    directory = buckets.select(
-        F.explode(F.transform(entries, lambda i: F.expr(f"shiftleft(prefix, {deepest} - depth)") + i)).alias("__entry"),
-        F.when(F.col("depth") == 0, "").otherwise(F.expr("lpad(bin(prefix), depth, '0')")).alias("shard"),
-        F.col("depth").alias("local_depth"), "shard_bytes", "shard_docs",
-    )
-    entry = F.shiftrightunsigned(code, bits - deepest).alias("__entry")
-    rows = df.select(*[c for c in df.columns if c not in added], entry, size.alias("n_bytes"))
-    return rows.join(directory, "__entry").drop("__entry")
+    plain, column = unnamed(df)
+    kept = [(column[c], c) for c in df.columns if c not in added]
+    first = hash_code(F.coalesce(F.col(column[key]).cast("string"), F.md5(F.col(column[text]).cast("binary")), F.lit("")))
+    size = F.coalesce(F.octet_length(F.col(column[text]).cast("string")), F.lit(0)).cast("long")
+    rows = plain.select("*", first.alias("code"), size.alias("n_bytes"))
+    buckets = settled(split_buckets(rows.select(F.lit(-1).cast("long").alias("part"), "code", "n_bytes"), limit))
+    full = buckets.filter((F.col("depth") == BITS) & (F.col("shard_bytes") > limit) & (F.col("shard_docs") > 1)).select(F.col("prefix").alias("code"))
+    digits = F.when(F.col("depth") == 0, "").otherwise(F.expr("lpad(bin(prefix), depth, '0')"))
+    whole = written(directory(buckets).withColumn("shard", digits))
+    bits = whole.agg(F.max("bits")).first()[0] or 0  # the same in all rows
+    rows = rows.withColumn("entry", F.shiftrightunsigned("code", BITS - bits))
+    inside = F.expr(f"shiftrightunsigned(code, {BITS} - depth) = prefix")
+    columns = [c for c, _ in kept] + added
+    if full.isEmpty():
+        found = rows.join(whole.drop("bits"), "entry").filter(inside).withColumnRenamed("depth", "local_depth").select(*columns)
+    else:  # few codes, with rows that their bits can't part
+        hot = rows.drop("entry").join(full, "code", "left_semi")
+        hot = written(hot.withColumn("place", hash_code(F.monotonically_increasing_id().cast("string"))))  # places are kept, so that they stay the same
+        again = settled(split_buckets(hot.select(F.col("code").alias("part"), F.col("place").alias("code"), "n_bytes"), limit))
+        more = written(directory(again).withColumn("shard", digits))
+        found = rows.join(full, "code", "left_anti").join(whole.drop("bits"), "entry").filter(inside).withColumnRenamed("depth", "local_depth").select(*columns)
+        hot = hot.join(more.groupBy(F.col("part").alias("code")).agg(F.max("bits").alias("bits")), "code")
+        hot = hot.withColumn("entry", F.expr(f"shiftrightunsigned(place, {BITS} - bits)")).drop("bits")
+        hot = hot.join(more.drop("bits").withColumnRenamed("part", "code"), ["code", "entry"]).filter(f"shiftrightunsigned(place, {BITS} - depth) = prefix")
+        hot = hot.withColumns({"shard": F.concat(F.expr(f"lpad(bin(code), {BITS}, '0')"), "shard"), "local_depth": F.col("depth") + BITS})
+        found = found.union(hot.select(*columns))
+    return found.toDF(*[c for _, c in kept], *added)
 
 
 def write_shards(df: DataFrame, path: str, **options) -> None:
@@ -76,14 +115,14 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 OP4_SQL = f"""
 WITH d AS (
   SELECT doc_id, CAST(coalesce(strlen(text), 0) AS BIGINT) AS n_bytes,
-    CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), md5(text), '')), 1, 12) AS BIGINT) >> {48 - BITS} AS code FROM documents),
+    CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), md5(text), '')), 1, {BITS // 4}) AS BIGINT) AS code FROM documents),
 x AS (SELECT unnest(range(0, {BITS + 1})) AS depth),
 s AS (
   SELECT depth, code >> ({BITS} - depth) AS prefix, CAST(sum(n_bytes) AS BIGINT) AS shard_bytes, count(*) AS shard_docs
   FROM d, x GROUP BY ALL),
 leaf AS (
   SELECT s.* FROM s LEFT JOIN s AS p ON p.depth = s.depth - 1 AND p.prefix = s.prefix >> 1
-  WHERE (s.shard_bytes <= {LIMIT} OR s.depth = {BITS}) AND (s.depth = 0 OR p.shard_bytes > {LIMIT}))
+  WHERE (s.shard_bytes <= {LIMIT} OR s.shard_docs = 1 OR s.depth = {BITS}) AND (s.depth = 0 OR p.shard_bytes > {LIMIT} AND p.shard_docs > 1))
 SELECT doc_id, CASE WHEN depth = 0 THEN '' ELSE lpad(ltrim(bin(prefix), '0'), CAST(depth AS INTEGER), '0') END AS shard,
   CAST(depth AS INTEGER) AS local_depth, n_bytes, shard_bytes, shard_docs
 FROM leaf JOIN d ON code >> ({BITS} - depth) = prefix
