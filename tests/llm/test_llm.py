@@ -61,10 +61,40 @@ def test_phrase_and_proximity(spark):
     docs = spark.createDataFrame([(1, "x A b c d y"), (2, "a b x c d"), (3, "a b c"), (4, "b c"), (5, None)], "doc_id long, text string")
     bench = spark.createDataFrame([(10, "a b c d e"), (11, "B, C!"), (12, ""), (None, "a")], "item_id long, text string")
     one = {r.doc_id: (r.n_hit, r["items"]) for r in decontaminate.decontaminate(docs, bench, window=4).collect()}
-    assert one == {1: (4, ["10", "11"]), 2: (0, []), 3: (2, ["11"]), 4: (2, ["11"]), 5: (0, [])}
+    assert one == {1: (4, ["10", "11"]), 2: (1, []), 3: (3, ["11"]), 4: (2, ["11"]), 5: (0, [])}
     blocks = {r.doc_id: (r.n_hit, r["items"]) for r in decontaminate.decontaminate(docs, bench, window=4, query_bytes=6).collect()}
     assert blocks == one
     assert {r.doc_id for r in decontaminate.decontaminate(docs, bench).collect() if "11" in r.near} == {1, 3, 4, 2}
+    unnamed = spark.createDataFrame([(None, "b c"), (None, None)], "item_id long, text string")
+    assert {r.doc_id: (r.n_hit, r.n_items, r.contaminated) for r in decontaminate.decontaminate(docs, unnamed).collect()} == {1: (2, 0, True), 2: (0, 0, False), 3: (2, 0, True), 4: (2, 0, True), 5: (0, 0, False)}
+
+
+def test_proximity_brute_force(spark):
+    rng = np.random.default_rng(2)
+    texts = [" ".join(f"w{min(int(x), 300)}" for x in rng.zipf(1.3, int(rng.integers(1, 200)))) for _ in range(60)]
+    items = [" ".join(f"w{x}" for x in rng.integers(1, 60, int(rng.integers(1, 9)))) for _ in range(40)]
+    docs, bench = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    count = collections.Counter(w for t in texts for w in t.split())
+    order = {w: i for i, w in enumerate(dict.fromkeys(w for t in items for w in t.split()))}
+    for blocks in (1 << 20, 300):
+        got = {r.doc_id: set(map(int, r.near)) for r in decontaminate.decontaminate(docs, bench, query_bytes=blocks).collect()}
+        for d, t in enumerate(texts):
+            at = collections.defaultdict(list)
+            for i, w in enumerate(t.split()):
+                at[w].append(i)
+            for k, item in enumerate(items):
+                own = sorted(set(item.split()), key=lambda w: (count[w], order[w]))
+                if len(own) < 2 or len({count[w] for w in own}) < len(own):  # ties may go either way
+                    continue
+                want = any(all(any(abs(i - j) <= 20 for j in at[w]) for w in own[:4]) for i in at[own[0]])
+                assert (k in got[d]) == want
+
+
+def test_long_item_in_segments(spark):
+    item = [f"w{i}" for i in range(9000)]
+    docs = spark.createDataFrame([(1, " ".join(item[4080:4120])), (2, " ".join(item[4090:4099])), (3, " ".join(item[8980:]))], "doc_id long, text string")
+    got = {r.doc_id: (r.n_hit, r.n_items) for r in decontaminate.decontaminate(docs, spark.createDataFrame([(5, " ".join(item))], "item_id long, text string")).collect()}
+    assert got == {1: (40, 1), 2: (0, 0), 3: (20, 1)}
 
 
 def union_find(pairs, n):
@@ -128,6 +158,28 @@ def test_shards_fit(spark):
     assert not any(a != b and b.startswith(a) for a in sizes for b in sizes)
 
 
+def test_shards_of_rows_that_hashes_cannot_part(spark):
+    """A key with a third of all rows, a row over the limit, and columns with the names that the operator uses inside."""
+    rows = [(7 if i % 3 == 0 else i, "x" * 30, 1, "p") for i in range(300)] + [(1000, "y" * 900, 1, "p"), (None, None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, depth int, prefix string")
+    out = sharding.assign_shards(docs, limit=400)
+    got = out.collect()
+    assert len(got) == len(rows) and out.columns[:4] == docs.columns
+    sizes = collections.Counter()
+    for r in got:
+        sizes[r.shard] += len(r.text or "")
+        assert len(r.shard) == r.local_depth
+    assert sorted(sizes.values())[-1] == 900 and sorted(sizes.values())[-2] <= 400
+    assert all(r.shard_bytes == sizes[r.shard] for r in got) and not any(a != b and b.startswith(a) for a in sizes for b in sizes)
+    assert sharding.split_buckets(spark.createDataFrame([(0, 5, 900), (0, 1 << 59, 1)], "part long, code long, n_bytes long"), 400).count() == 2
+
+
+def test_mix_keeps_columns_of_the_same_name(spark):
+    docs = spark.createDataFrame([(i, "a b", "s", "own", i) for i in range(5)], "doc_id long, text string, source string, copies string, size long")
+    out = mixing.mixed(docs)
+    assert out.columns == docs.columns and {(r.copies, r.size) for r in out.collect()} == {("own", i) for i in range(5)}
+
+
 def cut(rows):
     seen, out = set(), {}
     for d, t in sorted(rows):
@@ -283,7 +335,7 @@ def test_language_model(spark, texts):
 
 
 def test_odd_rows(spark, odd):
-    assert suffixes.drop_repeats(odd).count() == simhash.near_duplicates(odd).count() == len(ODD)
+    assert decontaminate.decontaminate(odd, odd.selectExpr("doc_id item_id", "text", "size")).count() == suffixes.drop_repeats(odd).count() == simhash.near_duplicates(odd).count() == len(ODD)
     sizes = {r.doc_id: r.size for r in mixing.mix(odd).collect()}
     assert sizes[1] == sizes[2] == sizes[7] == 0 and sizes[8] == 30_000
     shards = sharding.assign_shards(odd, limit=1000)

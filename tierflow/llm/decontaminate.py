@@ -3,30 +3,27 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import repeat
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WORD_TABLE, as_bytes, settled, text_blocks, texts_of, written
+from .common import WORD_TABLE, WordHashes, as_bytes, settled, text_blocks, texts_of, written
 
 #: Consecutive item words that count as a leak.
 WINDOW = 10
 #: A proximity match: all of an item's NEAR_TERMS rarest terms within NEAR_SPAN words of the rarest.
 NEAR_TERMS, NEAR_SPAN = 4, 20
 #: Bytes of text in one shard of the index, and of benchmark text that is searched (and broadcast) at once; a larger
-#: benchmark is searched block by block.
-SHARD_BYTES, QUERY_BYTES = 4 << 20, 16 << 20
+#: benchmark is searched block by block. Words of an item's segment, of which a longer item has several.
+SHARD_BYTES, QUERY_BYTES, SEGMENT = 4 << 20, 4 << 20, 4096
 #: Candidate places that are held at once while lists are intersected.
 CANDIDATES = 1 << 20
 
-INDEX = (
-    "rows array<bigint>, doc_ids array<bigint>, n_words array<int>, starts array<int>, "
-    "terms array<int>, counts array<int>, postings binary"
-)
+INDEX = "rows array<bigint>, doc_ids array<bigint>, n_words array<int>, starts array<int>, terms array<bigint>, counts array<int>, postings binary"
 HITS = "row long, doc_id long, n_words long, starts array<int>, ends array<int>, items array<string>, near array<string>"
 
 
@@ -36,15 +33,14 @@ def words(text: bytes) -> list[bytes]:
 
 
 class Queries:
-    """Windows of benchmark items over their own vocabulary; small, and sent to the tasks."""
+    """Windows of benchmark items over their own vocabulary of hashed terms; small, and sent to the tasks."""
 
-    def __init__(self, items: list[tuple[str, bytes]], window: int):
-        self.vocab: dict[bytes, int] = {}
+    def __init__(self, items: list[tuple[str | None, bytes]], window: int):
+        vocab: dict[bytes, int] = {}
         self.items = [i for i, _ in items]
-        rows, owner = [], []
-        self.item_terms: list[np.ndarray] = []
+        rows, owner, self.item_terms = [], [], []
         for k, (_, text) in enumerate(items):
-            ids = [self.vocab.setdefault(w, len(self.vocab)) for w in words(text)]
+            ids = [vocab.setdefault(w, len(vocab)) for w in words(text)]
             self.item_terms.append(np.unique(np.array(ids, np.int32)))
             n = min(window, len(ids))
             for i in range(len(ids) - n + 1 if n else 0):
@@ -56,108 +52,130 @@ class Queries:
             _, first = np.unique(np.column_stack([self.words, self.owner]), axis=0, return_index=True)
             self.words, self.owner = self.words[first], self.owner[first]
         self.length = (self.words >= 0).sum(1).astype(np.int32)
+        hashes = np.fromiter(map(xxhash.xxh64_intdigest, vocab), np.uint64, len(vocab)).view(np.int64)
+        self.by_hash = np.argsort(hashes)
+        self.terms = hashes[self.by_hash]
+
+    def slots(self, terms: np.ndarray) -> np.ndarray:
+        """Of each word of the vocabulary the place of its hash in ``terms`` (ascending), or -1; one more -1 for what pads a short window."""
+        at = np.minimum(np.searchsorted(terms, self.terms), max(0, len(terms) - 1))
+        out = np.full(len(self.terms) + 1, -1, np.int64)
+        if len(terms):
+            out[self.by_hash] = np.where(terms[at] == self.terms, at, -1)
+        return out
 
     def rank(self, counts: dict[int, int]) -> None:
-        """Order each window's offsets, and each item's terms, from the corpus' rarest term on."""
-        freq = np.zeros(len(self.vocab) + 1, np.int64)
-        for t, n in counts.items():
-            freq[t] = n
+        """Order each window's offsets, and each item's terms, from the corpus' rarest term on; ``counts`` are by hash."""
+        freq = np.zeros(len(self.terms) + 1, np.int64)
+        freq[self.by_hash] = [counts.get(t, 0) for t in self.terms.tolist()]
         freq[-1] = np.iinfo(np.int64).max  # what pads a short window goes last
         self.order = np.argsort(freq[self.words], axis=1, kind="stable").astype(np.int32)
-        self.item_terms = [t[np.argsort(freq[t], kind="stable")][:NEAR_TERMS] for t in self.item_terms]
+        self.near = np.full((len(self.items), NEAR_TERMS), -1, np.int64)
+        for k, t in enumerate(self.item_terms):
+            own = t[np.argsort(freq[t], kind="stable")][:NEAR_TERMS]
+            self.near[k, : len(own)] = own
 
 
-def build_index(docs: DataFrame, vocab: dict[bytes, int], gap: int = WINDOW, shard_bytes: int = SHARD_BYTES) -> DataFrame:
-    """Positional inverted index of ``docs`` (row, doc_id, text), a row for each shard of documents.
+def build_index(docs: DataFrame, gap: int = WINDOW, shard_bytes: int = SHARD_BYTES) -> DataFrame:
+    """Positional inverted index of all tokens of ``docs`` (row, doc_id, text), a row for each shard of documents.
 
-    ``terms`` are a shard's terms in ascending order, ``counts`` the lengths of their lists, ``postings`` the lists of
+    ``terms`` are the 64-bit hashes of a shard's terms in ascending order, ``counts`` the lengths of their lists, ``postings`` the lists of
     ascending int32 positions one after another. Document ``i`` has the positions from ``starts[i]`` on; documents are
-    ``gap`` or more positions apart, so no phrase crosses two. Only words of ``vocab`` get a list, others a position.
+    ``gap`` or more positions apart, so no phrase crosses two.
     """
-    spark = docs.sparkSession
-    sent = spark.sparkContext.broadcast(vocab)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        get = sent.value.get
+        known = WordHashes()
         for batch in text_blocks(batches, shard_bytes):
-            found, counts, starts, at = [], [], [], 0
-            for text in as_bytes(batch):
-                ws = words(text)
-                found.append(np.fromiter(map(get, ws, repeat(-1)), np.int32, len(ws)))
-                counts.append(len(ws))
-                starts.append(at)
-                at += len(ws) + gap
-            ids = np.concatenate(found)
-            at = np.arange(len(ids), dtype=np.int32) + np.repeat(np.arange(len(counts), dtype=np.int32) * gap, counts)
-            at, ids = at[ids >= 0], ids[ids >= 0]
-            order = np.argsort(ids, kind="stable")
-            terms, n = np.unique(ids, return_counts=True)
+            found = known.of([words(text) for text in as_bytes(batch)])
+            n = np.array([len(x) for x in found], np.int64)
+            starts = np.cumsum(n + gap) - n - gap
+            hashes = np.concatenate(found).view(np.int64)
+            at = np.arange(len(hashes)) + np.repeat(np.arange(len(n)) * gap, n)
+            order = np.argsort(hashes, kind="stable")
+            terms, counts = np.unique(hashes, return_counts=True)
             one = {
-                "rows": batch.column("row").to_pylist(), "doc_ids": batch.column("doc_id").to_pylist(), "n_words": counts, "starts": starts,
-                "terms": terms, "counts": n.astype(np.int32), "postings": at[order].tobytes(),
+                "rows": batch.column("row").to_pylist(), "doc_ids": batch.column("doc_id").to_pylist(), "n_words": n.astype(np.int32), "starts": starts.astype(np.int32),
+                "terms": terms, "counts": counts.astype(np.int32), "postings": at[order].astype(np.int32).tobytes(),
             }
-            kinds = [pa.list_(pa.int64())] * 2 + [pa.list_(pa.int32())] * 4 + [pa.binary()]
+            kinds = [pa.list_(pa.int64())] * 2 + [pa.list_(pa.int32())] * 2 + [pa.list_(pa.int64()), pa.list_(pa.int32()), pa.binary()]
             yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(one.values(), kinds, strict=True)], list(one))
 
     return docs.mapInArrow(run, INDEX)
 
 
-def term_counts(index: DataFrame) -> DataFrame:
-    """How many postings each term has in the whole corpus; reads the short columns of the index alone."""
-    each = index.select(F.explode(F.arrays_zip("terms", "counts")).alias("x"))
-    return each.groupBy(F.col("x.terms").alias("term")).agg(F.sum("x.counts").alias("n"))
-
-
-def _phrases(q: Queries, terms: np.ndarray, bounds: np.ndarray, keys: np.ndarray, at: np.ndarray, span: int) -> tuple[np.ndarray, np.ndarray]:
-    """(window, start) of each occurrence in a shard, by intersecting offset-adjusted lists from the rarest term on."""
-    slot = np.full(len(q.vocab) + 1, -1, np.int64)
-    slot[terms] = np.arange(len(terms))
-    rare = q.order[:, 0]
-    first = slot[q.words[np.arange(len(q.words)), rare]]
-    # a window all of whose terms are in the shard, others can't occur
-    live = np.flatnonzero((first >= 0) & ((slot[q.words] >= 0) | (q.words < 0)).all(1))
-    sizes = (bounds[first[live] + 1] - bounds[first[live]]).astype(np.int64)
-    found = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
-    lo = 0
-    while lo < len(live):
-        hi = max(lo + 1, int(np.searchsorted(np.cumsum(sizes[lo:]), CANDIDATES, "right")) + lo)
-        win = np.repeat(live[lo:hi], sizes[lo:hi])
-        ends = np.cumsum(sizes[lo:hi])
-        inner = np.arange(len(win)) - np.repeat(ends - sizes[lo:hi], sizes[lo:hi])
-        start = at[bounds[first[win]] + inner].astype(np.int64) - rare[win]
-        win, start = win[start >= 0], start[start >= 0]
-        for step in range(1, q.words.shape[1]):
-            off = q.order[win, step]
-            word = q.words[win, off]
-            want = slot[word] * span + start + off
-            place = np.minimum(np.searchsorted(keys, want), len(keys) - 1)
-            keep = (word < 0) | (keys[place] == want)
-            win, start = win[keep], start[keep]
-        found.append((win, start))
-        lo = hi
-    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
-
-
-def _near(q: Queries, terms: np.ndarray, bounds: np.ndarray, at: np.ndarray, doc_of) -> list[tuple[int, int]]:
-    """(item, document) pairs where an item's rarest terms all stand within NEAR_SPAN words of the rarest one."""
-    slot = dict(zip(terms.tolist(), range(len(terms)), strict=True))
-    out = []
-    for k, own in enumerate(q.item_terms):
-        lists = [slot.get(int(t)) for t in own]
-        if len(own) < 2 or None in lists:
-            continue
-        here = at[bounds[lists[0]] : bounds[lists[0] + 1]]
-        doc = doc_of(here)
-        for s in lists[1:]:
-            other = at[bounds[s] : bounds[s + 1]]
-            right = np.minimum(np.searchsorted(other, here), len(other) - 1)
-            left = np.maximum(right - 1, 0)
-            ok = np.zeros(len(here), bool)
-            for x in (left, right):
-                ok |= (np.abs(other[x] - here) <= NEAR_SPAN) & (doc_of(other[x]) == doc)
-            here, doc = here[ok], doc[ok]
-        out += [(k, int(d)) for d in np.unique(doc)]
-    return out
+def term_counts(index: DataFrame, queries: Queries) -> DataFrame:
+    """(term, n): how many postings each term of ``queries`` has in the whole corpus; reads the short columns of the index alone."""
+    sent = index.sparkSession.sparkContext.broadcast(queries.terms)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = sent.value
+        total = np.zeros(len(own), np.int64)
+        for batch in batches:
+            for i in range(batch.num_rows):
+                terms, n = (batch.column(c)[i].values.to_numpy() for c in ("terms", "counts"))
+                if len(terms):
+                    at = np.minimum(np.searchsorted(terms, own), len(terms) - 1)
+                    total += np.where(terms[at] == own, n[at], 0)
+        yield pa.RecordBatch.from_arrays([pa.array(own[total > 0]), pa.array(total[total > 0])], ["term", "n"])
+
+    return index.select("terms", "counts").mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n"))
+
+
+class Lists:
+    """The posting lists of a shard, as ascending keys of (list, position)."""
+
+    def __init__(self, counts: np.ndarray, postings: np.ndarray, span: int):
+        self.bounds = np.concatenate([[0], np.cumsum(counts)])
+        self.at, self.span = postings, span
+        self.keys = np.repeat(np.arange(len(counts)), counts) * span + postings
+
+    def rounds(self, slots: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(number, position) of all postings of ``slots``, about CANDIDATES in a turn."""
+        sizes = (self.bounds[slots + 1] - self.bounds[slots]).astype(np.int64)
+        ends = np.cumsum(sizes)
+        lo = 0
+        while lo < len(slots):
+            hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + CANDIDATES, "right")))
+            own = np.repeat(np.arange(lo, hi), sizes[lo:hi])
+            inner = np.arange(len(own)) - np.repeat(np.cumsum(sizes[lo:hi]) - sizes[lo:hi], sizes[lo:hi])
+            yield own, self.at[self.bounds[slots[own]] + inner].astype(np.int64)
+            lo = hi
+
+    def phrases(self, q: Queries, slot: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(window, start) of each occurrence in the shard, by intersecting offset-adjusted lists from the rarest term on."""
+        rare = q.order[:, 0]
+        first = slot[q.words[np.arange(len(q.words)), rare]]
+        # windows all of whose terms are in the shard, others can't occur
+        live = np.flatnonzero((first >= 0) & ((slot[q.words] >= 0) | (q.words < 0)).all(1))
+        found = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+        for own, at in self.rounds(first[live]):
+            win = live[own]
+            start = at - rare[win]
+            win, start = win[start >= 0], start[start >= 0]
+            for step in range(1, q.words.shape[1]):
+                off = q.order[win, step]
+                word = q.words[win, off]
+                want = slot[word] * self.span + start + off
+                keep = (word < 0) | (self.keys[np.minimum(np.searchsorted(self.keys, want), len(self.keys) - 1)] == want)
+                win, start = win[keep], start[keep]
+            found.append((win, start))
+        return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+
+    def close(self, q: Queries, slot: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(item, position of its rarest term) where all of the item's NEAR_TERMS rarest terms, two at least, stand within NEAR_SPAN words of that."""
+        lists = slot[q.near]
+        live = np.flatnonzero((q.near[:, 1] >= 0) & ((lists >= 0) | (q.near < 0)).all(1))
+        found = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+        for own, at in self.rounds(lists[live, 0]):
+            item = live[own]
+            for step in range(1, NEAR_TERMS):
+                low = lists[item, step] * self.span + at
+                place = np.searchsorted(self.keys, low - NEAR_SPAN)  # the next posting of that list, if it is in reach
+                ok = (q.near[item, step] < 0) | (self.keys[np.minimum(place, len(self.keys) - 1)] >= low - NEAR_SPAN) & (self.keys[np.minimum(place, len(self.keys) - 1)] <= low + NEAR_SPAN)
+                item, at = item[ok], at[ok]
+            found.append((item, at))
+        return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
 
 def search(index: DataFrame, queries: Queries) -> DataFrame:
@@ -179,12 +197,12 @@ def search(index: DataFrame, queries: Queries) -> DataFrame:
                     out[c] = [[] for _ in range(len(out))]
                 terms, at = np.asarray(x.terms, np.int64), np.frombuffer(x.postings, np.int32)
                 if len(at) and len(q.words):
-                    bounds = np.concatenate([[0], np.cumsum(np.asarray(x.counts, np.int64))])
-                    span = int(starts[-1] + n[-1] + q.words.shape[1] + 1)
-                    keys = np.repeat(np.arange(len(terms)), np.diff(bounds)) * span + at
+                    # keys of neighbouring lists are farther apart than any offset or distance
+                    lists = Lists(np.asarray(x.counts, np.int64), at, int(starts[-1] + n[-1] + q.words.shape[1] + NEAR_SPAN + 1))
+                    slot = q.slots(terms)
                     doc_of = lambda p, s=starts: np.searchsorted(s, p, "right") - 1
-                    win, start = _phrases(q, terms, bounds, keys, at, span)
-                    delta = np.zeros(span + 1, np.int32)
+                    win, start = lists.phrases(q, slot)
+                    delta = np.zeros(lists.span + 1, np.int32)
                     np.add.at(delta, start, 1)
                     np.add.at(delta, start + q.length[win], -1)
                     edge = np.diff(np.concatenate([[0], (np.cumsum(delta) > 0).astype(np.int8)]))
@@ -192,40 +210,53 @@ def search(index: DataFrame, queries: Queries) -> DataFrame:
                     for b, e, d in zip(begin, end, doc_of(begin), strict=True):
                         out.at[d, "starts"].append(int(b - starts[d]))
                         out.at[d, "ends"].append(int(e - starts[d]))
-                    for d, k in np.unique(np.column_stack([doc_of(start), q.owner[win]]), axis=0):
-                        out.at[d, "items"].append(q.items[k])
-                    for k, d in _near(q, terms, bounds, at, doc_of):
-                        out.at[d, "near"].append(q.items[k])
+                    item, place = lists.close(q, slot)
+                    for c, at, own in (("items", start, q.owner[win]), ("near", place, item)):
+                        for d, k in np.unique(np.column_stack([doc_of(at), own]), axis=0):
+                            if q.items[k] is not None:
+                                out.at[d, c].append(q.items[k])
                 yield out
 
     return index.mapInPandas(run, HITS)
 
 
+def segments(items: DataFrame, window: int, most: int = SEGMENT) -> DataFrame:
+    """(item_id, text): the words of each item of ``items`` (item_id, text) in runs of ``most``, with window - 1 words of the next, so that no window is cut."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in text_blocks(batches, SHARD_BYTES):
+            out = []
+            for item, text in zip(batch.column("item_id").to_pylist(), as_bytes(batch), strict=True):
+                ws = words(text)
+                out += [(item, b" ".join(ws[i : i + most + window - 1])) for i in range(0, max(1, len(ws) - window + 1), most) if ws]
+            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.string()), pa.array([x[1].decode() for x in out], pa.string())], ["item_id", "text"])
+
+    return items.mapInArrow(run, "item_id string, text string")
+
+
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, query_bytes: int = QUERY_BYTES, row: str | None = None) -> DataFrame:
     """Leaks of ``benchmark`` (item_id, text) in ``docs`` (doc_id, text): a row for each row of ``docs``.
 
     Returns row (the column of ``docs`` that tells its rows apart, numbers if none is named), doc_id, n_words, starts, ends (runs of hit words), items (ids as strings, sorted), near (the same for
-    proximity matches), n_hit, n_items, contaminated. The index is built and stored once for each block of at most
-    ``query_bytes`` of benchmark text; the benchmark is only sent to tasks by such blocks, so its size is bounded
-    whatever it is. Documents are never shuffled.
+    proximity matches, those of an item's segments), n_hit, n_items, contaminated. The index of all training tokens is built and stored once, and searched for each block of about
+    ``query_bytes`` of benchmark text; the benchmark is cut into segments and only sent to tasks by such blocks, so what is sent is bounded
+    whatever its size. Documents are never shuffled.
 
-    Null and empty texts have no words and hit nothing; benchmark rows without an id or a word are left out; repeated
-    benchmark rows count once; repeated document rows each get their row; an empty table gives an empty result.
+    Null and empty texts have no words and hit nothing. Benchmark rows without a word are left out; those without an id hit words, but have no id to
+    list or count. Repeated benchmark rows count once; repeated document rows each get their row; an empty table gives an empty result. Other
+    columns play no part. Words are told apart by 64-bit hashes.
     """
-    spark = docs.sparkSession
-    items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text"))
-    items = items.filter("item_id is not null and text is not null").distinct()
+    items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text")).filter("text is not null")
+    items = written(segments(items, window).distinct())
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n_blocks = max(1, -(-2 * total // query_bytes)) if total > query_bytes else 1
+    n_blocks = 1 + int(2 * total // query_bytes) if total > query_bytes else 1
     rows = texts_of(docs, extra={"row": F.col(row) if row else F.monotonically_increasing_id()})
-    if n_blocks > 1:
-        rows = written(rows)
+    index = written(build_index(rows, gap=max(window, NEAR_SPAN + 1)))
     found = []
     for k in range(n_blocks):
         block = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(n_blocks)) == k)
         q = Queries([(r.item_id, r.text.encode()) for r in block.toLocalIterator()], window)
-        index = written(build_index(rows, q.vocab, gap=max(window, NEAR_SPAN + 1)))
-        q.rank({r.term: r.n for r in term_counts(index).collect()})  # at most the block's vocabulary
+        q.rank({r.term: r.n for r in term_counts(index, q).collect()})  # at most the block's vocabulary
         found.append(search(index, q))
     hits = found[0]
     if n_blocks > 1:
@@ -259,7 +290,7 @@ WITH d AS (
     '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents),
 b AS (
   SELECT CAST(item_id AS VARCHAR) AS item, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
-    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM benchmark WHERE item_id IS NOT NULL AND text IS NOT NULL),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM benchmark WHERE text IS NOT NULL),
 w AS (
   SELECT DISTINCT item, n, array_to_string(ws[i:i + n - 1], ' ') AS k
   FROM (SELECT item, ws, least(len(ws), 10) AS n, unnest(range(1, len(ws) - least(len(ws), 10) + 2)) AS i FROM b WHERE len(ws) > 0)),
@@ -268,7 +299,7 @@ p AS (
   WHERE i + n - 1 <= len(ws)),
 h AS (SELECT doc_id, i, p.n, item FROM p JOIN w ON p.n = w.n AND array_to_string(ws[i:i + p.n - 1], ' ') = w.k),
 c AS (SELECT doc_id, count(DISTINCT j) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS j FROM h) GROUP BY doc_id),
-t AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, item FROM h) GROUP BY doc_id)
+t AS (SELECT doc_id, count(item) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, item FROM h) GROUP BY doc_id)
 SELECT d.doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
   sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN c USING (doc_id) LEFT JOIN t USING (doc_id)
