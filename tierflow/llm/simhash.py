@@ -11,15 +11,17 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import as_bytes, components, key_runs, settled, text_blocks, texts_of
+from .common import as_bytes, components, key_runs, settled, text_blocks, texts_of, written
 
 #: Words in a shingle, bits that linked fingerprints may differ in, seed of XXH64.
 SHINGLE, RADIUS, SEED = 3, 2, 42
 #: A tile holds the fingerprints with the same population count in each of SEGMENTS equal parts: 17 ** 4 = 83,521 tiles
-#: at most, whatever the corpus. A tile is dealt out in chunks of about CHUNK fingerprints.
-SEGMENTS, CHUNK = 4, 2048
+#: at most, whatever the corpus. A tile is stored in blocks of about CHUNK fingerprints, one row each.
+SEGMENTS, CHUNK = 4, 8192
 #: Comparisons held at once in a task.
 CELLS = 1 << 20
+#: A fingerprint is frequent if one in HOT rows has it; there are HOT such ones at most.
+HOT = 1000
 
 
 def fingerprint(hashes: np.ndarray) -> int:
@@ -71,33 +73,38 @@ def links(fps: DataFrame, radius: int = RADIUS, segments: int = SEGMENTS, chunk:
 
     A bit that differs moves the population count of one segment by one, so two fingerprints can only be near if
     the counts of their tiles differ by ``radius`` at most, summed over the segments; all other tile pairs are skipped.
-    Each chunk of a tile is compared with the tiles around it by exclusive or and bit counts, exactly. Of the links
-    within a chunk's comparisons a spanning forest is returned, as its components are the same.
+    Blocks of a tile are compared with the blocks of tiles around it by exclusive or and bit counts, exactly; a task holds two blocks at a time,
+    and what is sent is a row for each pair of blocks. Of the links in a comparison a spanning forest is returned, as its components are the same.
     """
     bits, base = 64 // segments, 64 // segments + 1
     counts = [F.bit_count(F.shiftrightunsigned("fp", bits * i).bitwiseAND(F.lit((1 << bits) - 1))) for i in range(segments)]
     tile = sum((c.cast("long") * base**i for i, c in enumerate(counts)), F.lit(0).cast("long"))
-    fps = fps.select("fp", *[c.alias(f"c{i}") for i, c in enumerate(counts)], tile.alias("tile"))
+    fps = fps.select("fp", tile.alias("tile"))
+    # sizes has at most base ** segments rows
     sizes = settled(fps.groupBy("tile").agg(F.ceil(F.count("*") / chunk).alias("chunks")))
+    placed = fps.join(F.broadcast(sizes), "tile").select("tile", F.pmod(F.xxhash64("fp"), "chunks").alias("part"), "fp")
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in key_runs(batches, "tile", "part"):
+            yield pa.RecordBatch.from_arrays([*[pa.array([group[c][0].as_py()]) for c in ("tile", "part")], pa.array([group["fp"].to_numpy().tobytes()])], ["tile", "part", "fps"])
+
+    blocks = written(placed.repartition("tile", "part").sortWithinPartitions("tile", "part").mapInArrow(pack, "tile long, part long, fps binary"))
     around = [d for d in product(range(-radius, radius + 1), repeat=segments) if sum(map(abs, d)) <= radius and d >= (0,) * segments]
 
     def moved(d: tuple[int, ...]):
-        inside = [F.col(f"c{i}").between(max(0, -x), min(bits, bits - x)) for i, x in enumerate(d) if x]
         to = F.col("tile") + sum(x * base**i for i, x in enumerate(d))
-        for ok in inside:
-            to = F.when(ok, to)
+        for i, x in enumerate(d):
+            if x:
+                to = F.when(F.expr(f"pmod(tile div {base**i}, {base})").between(max(0, -x), min(bits, bits - x)), to)
         return to
 
-    near = fps.select("fp", F.explode(F.array_compact(F.array(*map(moved, around)))).alias("tile"))
-    # sizes has at most base ** segments rows
-    left = fps.join(F.broadcast(sizes), "tile").select("fp", "tile", F.pmod(F.xxhash64("fp"), "chunks").alias("part"), F.lit(True).alias("own"))
-    right = near.join(F.broadcast(sizes), "tile").select("fp", "tile", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("part"), F.lit(False).alias("own"))
-
-    def compare(group: pa.Table) -> pa.RecordBatch:
-        own = group["own"].to_numpy()
-        fp = group["fp"].to_numpy().view(np.uint64)
-        nodes, at = np.unique(fp, return_inverse=True)
-        (mine, mine_at), (other, other_at) = ((fp[x], at[x]) for x in (own, ~own))
+    near = blocks.select(F.col("tile").alias("from"), F.col("part").alias("block"), "fps", F.explode(F.array_compact(F.array(*map(moved, around)))).alias("tile"))
+    near = near.join(F.broadcast(sizes), "tile").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    near = near.filter("from <> tile or block >= part").select("tile", "part", F.lit(1).alias("side"), "fps")
+
+    def compare(mine: np.ndarray, other: np.ndarray) -> pa.RecordBatch:
+        nodes, at = np.unique(np.concatenate([mine, other]), return_inverse=True)
+        mine_at, other_at = at[: len(mine)], at[len(mine) :]
         label = np.arange(len(nodes))
         step = max(1, CELLS // max(1, len(other)))
         for i in range(0, len(mine), step):
@@ -107,11 +114,25 @@ def links(fps: DataFrame, radius: int = RADIUS, segments: int = SEGMENTS, chunk:
         return pa.RecordBatch.from_arrays([pa.array(nodes[x].view(np.int64)) for x in (moved, label[moved])], ["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for group in key_runs(batches, "tile", "part"):
-            if (out := compare(group)).num_rows:
-                yield out
+        mine, small = np.zeros(0, np.uint64), []
 
-    dealt = left.union(right).repartition("tile", "part").sortWithinPartitions("tile", "part")
+        def done() -> Iterator[pa.RecordBatch]:
+            if small and (out := compare(mine, np.concatenate(small))).num_rows:
+                yield out
+            small.clear()
+
+        for batch in batches:
+            for side, fps in zip(batch.column("side").to_pylist(), batch.column("fps"), strict=True):
+                own = np.frombuffer(fps.as_py(), np.uint64)
+                if side == 0 or sum(map(len, small)) + len(own) > chunk:  # a block's own row comes first; small blocks are compared together
+                    yield from done()
+                if side == 0:
+                    mine = own
+                else:
+                    small.append(own)
+        yield from done()
+
+    dealt = blocks.select("tile", "part", F.lit(0).alias("side"), "fps").union(near).repartition("tile", "part").sortWithinPartitions("tile", "part", "side")
     return dealt.mapInArrow(run, "a long, b long")
 
 
@@ -120,15 +141,22 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIU
 
     Copies meet in one fingerprint before anything is compared, so a group of copies of any size costs one row; then
     all pairs of different fingerprints within ``radius`` bits link, and ``component_id`` is the smallest doc_id that
-    can be reached by links. Texts without words share fingerprint zero and link like any other. Rows with a null
-    doc_id take part and get their component's smallest id (null if it has none); repeated rows each get theirs.
+    can be reached by links. Rows get their component back by an equi-join, those of frequent fingerprints, HOT at most, by a broadcast.
+    Texts without words share fingerprint zero and link like any other. Rows with a null
+    doc_id take part and get their component's smallest id (null if it has none); repeated rows each get theirs; an empty table gives an empty
+    result. Other columns play no part.
     """
     prints = settled(fingerprints(docs, shingle))
-    nodes = prints.groupBy("fp").agg(F.min("doc_id").alias("first"))
+    nodes = settled(prints.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")))
+    total = nodes.agg(F.sum("n")).first()[0] or 0
     roots = components(links(nodes.select("fp"), radius)).withColumnRenamed("node", "fp")
-    placed = nodes.join(roots, "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
+    placed = nodes.join(roots, "fp", "left").select("fp", "first", "n", F.coalesce("root", "fp").alias("root"))
     ids = placed.groupBy("root").agg(F.min("first").alias("component_id"))
-    return prints.join(placed.join(ids, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
+    placed = settled(placed.join(ids, "root").select("fp", "n", "component_id"))
+    often = F.col("n") >= max(2, total / HOT)
+    hot, rest = F.broadcast(placed.filter(often).drop("n")), placed.filter(~often).drop("n")
+    out = prints.join(hot, "fp").unionByName(prints.join(hot.select("fp"), "fp", "left_anti").join(rest, "fp"))
+    return out.select("doc_id", "fp", "component_id")
 
 
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
