@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -87,10 +87,10 @@ def as_bytes(batch: pa.RecordBatch, column: str = "text") -> list[bytes]:
 class WordHashes:
     """64-bit hashes of words, each hashed once; starts anew after ``most`` different ones."""
 
-    def __init__(self, most: int = 1 << 20):
+    def __init__(self, most: int = 1 << 19):
         self.most, self.ids, self.hashes = most, {}, np.zeros(0, np.uint64)
 
-    def of(self, texts: list[list[bytes]]) -> list[np.ndarray]:
+    def of(self, texts: Iterable[list[bytes]]) -> list[np.ndarray]:
         """Of each list of words their hashes."""
         if len(self.ids) > self.most:
             self.ids, self.hashes = {}, np.zeros(0, np.uint64)

@@ -87,7 +87,7 @@ def build_index(docs: DataFrame, gap: int = WINDOW, shard_bytes: int = SHARD_BYT
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = WordHashes()
         for batch in text_blocks(batches, shard_bytes):
-            found = known.of([words(text) for text in as_bytes(batch)])
+            found = known.of(words(text) for text in as_bytes(batch))
             n = np.array([len(x) for x in found], np.int64)
             starts = np.cumsum(n + gap) - n - gap
             hashes = np.concatenate(found).view(np.int64)
