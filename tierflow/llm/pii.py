@@ -23,27 +23,56 @@ GENERATORS = [
     ("phone", r"\+[0-9][\x20().0-9-]+[0-9]", True),
     ("email", r"(?<![^\s<>(),;:])[^\s@<>(),;:]++@[^\s@<>(),;:]++", False),
     ("phone", r"(?<![0-9A-Za-z.+-])\(?[0-9]{2,4}\)?(?:[\x20./-][0-9]{2,4}){2,4}(?![0-9A-Za-z])", False),
+    ("ip", r"(?<![0-9A-Za-z:])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![0-9A-Za-z:])", False),
     ("secret", r"(?<![A-Za-z0-9_-])(?=[A-Za-z_-]*[0-9])[A-Za-z0-9_-]{20,}+", False),
 ]
 #: Candidates that the trees are fitted on (at most about as many, by hash, the same number of each kind and label), trees, depth, share of right ones
 #: that a threshold promises.
 SAMPLE, TREES, DEPTH, PRECISION = 20_000, 12, 3, 0.95
-FEATURES = ("length", "digits", "letters", "groups", "dots", "plus", "at", "before", "after", "hint", *KINDS)
-HINT = r"(?i)(tel|phone|fon|call|card|karte|tarjeta|carte|mail|ip|addr|token|key|secret|pass)\w*\W{0,4}$"
+FEATURES = (
+    "length", "digits", "letters", "capitals", "hex", "groups", "widest", "dots", "dashes", "spaces", "slashes", "changes", "plus", "at", "dot after at", "zero",
+    "word before", "word after", "colon before", "quote before", "line start", *KINDS,
+)
+#: What labels a candidate, by the words right before it: those that name its kind, and those that name something else. The features don't see these words.
+NAMES = {
+    "email": r"(?i)\b(e-?mail|mail|mailto|correo|courriel|contact|adresse?)\W{0,4}$", "ip": r"(?i)\b(ip|ipv[46]|host|server|address|adresse|gateway|client)\W{0,4}$",
+    "card": r"(?i)\b(card|karte|tarjeta|carte|visa|mastercard|amex|kreditkarte|account|konto)\W{0,4}$",
+    "phone": r"(?i)\b(tel|telefon|telefono|t\u00e9l\u00e9phone|phone|fon|call|mobile|mobil|cell|fax|whatsapp|dial)\W{0,4}$",
+    "secret": r"(?i)(token|key|secret|passw(or)?d|pwd|bearer|credential|api)\W{0,4}$",
+}
+OTHER = (
+    r"(?i)(\b(version|ver|release|build|isbn|issn|order|invoice|rechnung|factura|facture|ticket|ref|page|pages|pp|section|chapter|date|datum|fecha|year|since|until|size|range|"
+    r"commit|sha[0-9]*|md5|hash|checksum|digest|uuid|guid|id|at|v|no|nr|number|total|sum|price)|[$\u20ac\u00a3#])\W{0,4}$"
+)
+#: Matches that are taken up together while their places are summed.
+PART = 128
 
 
 def spans(text: Column, pattern: str) -> Column:
-    """Array of (start, end, found) for the matches from left to right, in code points, end exclusive."""
+    """Array of (start, end, found) for the matches from left to right, in code points, end exclusive.
+
+    Places are summed within parts of PART matches, then over the parts, so that a text of n matches takes n * PART and (n / PART) ** 2 steps.
+    """
     pieces, found = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,found:string>>").alias("out"))
+    rows = F.filter(F.arrays_zip(pieces.alias("piece"), found.alias("found")), lambda x: x["found"].isNotNull())
+    kind = "array<struct<start:int,end:int,found:string>>"
+    zero = F.struct(F.lit(0).alias("at"), F.array().cast(kind).alias("out"))
 
     def step(a: Column, x: Column) -> Column:
         start = a["at"] + F.length(x["piece"])
         end = start + F.length(x["found"])
         one = F.array(F.struct(start.alias("start"), end.alias("end"), x["found"].alias("found")))
-        return F.when(x["found"].isNull(), a).otherwise(F.struct(end.alias("at"), F.concat(a["out"], one).alias("out")))
+        return F.struct(end.alias("at"), F.concat(a["out"], one).alias("out"))
+
+    def whole(rows: Column) -> Column:
+        parts = F.transform(F.sequence(F.lit(0), F.floor((F.size(rows) - 1) / PART).cast("int")), lambda k: F.aggregate(F.slice(rows, k * PART + 1, F.lit(PART)), zero, step))
+        first = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
+        bases = F.aggregate(parts, first, lambda a, x: F.struct((a["at"] + x["at"]).alias("at"), F.concat(a["out"], F.array(a["at"])).alias("out")))["out"]
+        moved = lambda x, base: F.transform(x["out"], lambda m: F.struct((m["start"] + base).alias("start"), (m["end"] + base).alias("end"), m["found"].alias("found")))
+        return F.flatten(F.zip_with(parts, bases, moved))
 
-    return F.aggregate(F.arrays_zip(pieces.alias("piece"), found.alias("found")), zero, step)["out"]
+    # a lambda's argument is evaluated once, where a column that is named again may not be
+    return F.transform(F.array(rows), lambda r: F.when(F.size(r) <= PART, F.aggregate(r, zero, step)["out"]).otherwise(whole(r)))[0]
 
 
 def luhn(digits: Column) -> Column:
@@ -73,17 +102,21 @@ def candidates(docs: DataFrame) -> DataFrame:
 
     def describe(m: Column, kind: str, ruled: bool) -> Column:
         x = m["found"]
-        before = text.substr(F.greatest(m["start"] - 15, F.lit(1)), F.least(m["start"], F.lit(16)))
-        base = passes(kind, x) if ruled else F.lit(False)
-        hint = before.rlike(HINT)
-        known = base if ruled else (count(x, "[^A-Fa-f0-9]") >= 32) & hint if kind == "secret" else F.lit(None).cast("boolean")
+        before = text.substr(F.greatest(m["start"] - 23, F.lit(1)), F.least(m["start"], F.lit(24)))
+        rule = passes(kind, x) if kind != "secret" and ruled else F.lit(False)
+        named, other = before.rlike(NAMES[kind]), before.rlike(OTHER)
+        known = F.when(named & ~other, F.lit(True)).when((other | ~rule if ruled else other) & ~named, F.lit(False))
+        runs = F.regexp_extract_all(x, F.lit("[0-9]+"), F.lit(0))
         features = [
-            F.length(x).cast("double"), count(x, "[^0-9]"), count(x, "[^A-Za-z]"), F.size(F.regexp_extract_all(x, F.lit("[0-9]+"), F.lit(0))).cast("double"),
-            count(x, r"[^.]"), flag(x.startswith("+")), flag(x.contains("@")), flag(before.rlike(r"\w$")), flag(text.substr(m["end"] + 1, F.lit(1)).rlike(r"\w")), flag(hint),
-            *[F.lit(float(kind == other)) for other in KINDS],
+            F.length(x).cast("double"), count(x, "[^0-9]"), count(x, "[^A-Za-z]"), count(x, "[^A-Z]"), count(x, "[^A-Fa-f0-9]"), F.size(runs).cast("double"),
+            F.coalesce(F.array_max(F.transform(F.slice(runs, 1, 16), lambda r: F.length(r))), F.lit(0)).cast("double"), count(x, "[^.]"), count(x, "[^-]"), count(x, r"[^\x20]"), count(x, "[^/]"),
+            F.size(F.regexp_extract_all(x, F.lit("[A-Za-z](?=[0-9])"), F.lit(0))).cast("double"), flag(x.startswith("+")), flag(x.contains("@")), flag(x.rlike(r"@.*\.\p{L}{2,}$")), flag(x.startswith("0")),
+            flag(before.rlike(r"\w$")), flag(text.substr(m["end"] + 1, F.lit(1)).rlike(r"\w")),
+            flag(before.rlike(r"[:=]\W{0,3}$")), flag(before.rlike("[\"']$")), flag((before == "") | before.rlike(r"\n\s*$")),
+            *[F.lit(float(kind == k)) for k in KINDS],
         ]
         return F.struct(
-            F.lit(KINDS.index(kind)).alias("kind"), m["start"].alias("start"), m["end"].alias("end"), base.alias("base"), known.alias("label"), F.array(*features).alias("features")
+            F.lit(KINDS.index(kind)).alias("kind"), m["start"].alias("start"), m["end"].alias("end"), rule.alias("base"), known.alias("label"), F.array(*features).alias("features")
         )
 
     def generate(kind: str, pattern: str, ruled: bool) -> Column:
@@ -105,10 +138,13 @@ def _tree(node, x: Column) -> Column:
 def fit(found: DataFrame, sample: int = SAMPLE) -> tuple[object, dict[int, float]]:
     """(trees as a function from features to a margin, thresholds by kind), or (None, {}) without examples of both sorts.
 
-    Right ones are candidates that pass the contract's rules or are keys in a context that names them, wrong ones those
-    that fail; the rest have no label. Each kind and label has an equal part of ``sample``, taken by hash; four fifths of what is
-    taken fit the trees. All other labelled candidates give the thresholds, each standing for as many of its kind and label as were
-    taken away: a kind's is the lowest margin from which on at least PRECISION of them are right.
+    Right ones are candidates of any generator right after words that name their kind, wrong ones those right after words that name something else
+    (a version, an order, a date, a commit) and, without words that name them, matches of the contract's generators that fail its rules; the rest have no label, those that
+    pass the rules too. The features don't see those words, so the trees have to
+    tell right from wrong by format and by other context. Each kind and label has an equal part of ``sample``, taken by hash; four fifths of what is
+    taken fit the trees. All other labelled candidates calibrate them, each standing for as many of its kind and label as were
+    taken away: by kind, the share of right ones at each margin is made monotone (isotonic regression), and the threshold is the lowest margin at which it is at
+    least PRECISION. A kind without right ones has no threshold and gets no spans added.
     """
     rows = found.select("doc_id", F.explode("found").alias("c")).filter("c.label is not null")
     key = F.xxhash64("doc_id", "c.kind", "c.start", "c.end")
@@ -136,23 +172,34 @@ def fit(found: DataFrame, sample: int = SAMPLE) -> tuple[object, dict[int, float
         step, n = steps.setdefault((r.kind, r.margin), [0.0, 0.0]), r.n * sizes[r.kind, r.label] / left[r.kind, r.label]
         step[0] += r.label * n
         step[1] += n
-    sums: dict[int, list[float]] = {}
     best: dict[int, float] = {}
-    for (kind, m), (right, n) in sorted(steps.items(), key=lambda x: -x[0][1]):
-        s = sums.setdefault(kind, [0.0, 0.0])
-        s[0] += right
-        s[1] += n
-        if s[0] >= PRECISION * s[1]:
-            best[kind] = m
+    for kind in {k for k, _ in steps}:
+        curve = calibrated([(m, *x) for (k, m), x in sorted(steps.items()) if k == kind])
+        if sure := [m for m, p in curve if p >= PRECISION]:
+            best[kind] = min(sure)
     return margin, best
 
 
+def calibrated(points: list[tuple[float, float, float]]) -> list[tuple[float, float]]:
+    """(margin, probability) from (margin, right, all) in ascending order: the monotone curve that fits best (pool adjacent violators)."""
+    blocks: list[list] = []
+    for m, right, n in points:
+        blocks.append([[m], right, n])
+        while len(blocks) > 1 and blocks[-2][1] * blocks[-1][2] >= blocks[-1][1] * blocks[-2][2]:
+            margins, r, k = blocks.pop()
+            blocks[-1][0] += margins
+            blocks[-1][1] += r
+            blocks[-1][2] += k
+    return [(m, r / n) for margins, r, n in blocks for m in margins]
+
+
 def find(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """(doc_id, base, added) for each row of ``docs`` (doc_id, text): arrays of (start, kind, end), kind a number in KINDS.
 
     ``base`` are the matches of the contract's generators that pass its rules. ``added`` are candidates of the other
     generators, and matches that failed, whose margin reaches their kind's threshold; of overlapping ones the one with the larger margin stays, then the
-    first in (start, kind, end), and none overlaps a base span. Null, empty and wordless texts have none. All work on texts is in column
+    first in (start, kind, end), and none overlaps a base span. Null, empty and wordless texts have none. Repeated rows each get theirs, an empty table
+    gives an empty result, other columns play no part. All work on texts is in column
     expressions of one pass without a shuffle; candidates are few and are kept as a checkpoint.
     """
     found = settled(candidates(texts_of(docs)))
@@ -187,4 +234,6 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     count = lambda k: F.size(F.filter("base", lambda c: c["kind"] == k)).cast("long")
     counts = [count(k).alias(f"n_{kind}") for k, kind in enumerate(KINDS[:4])]
     every = F.array_sort(F.concat("base", "added"))
-    return out.select("doc_id", *counts, F.sha2(digest(F.col("base")).cast("binary"), 256).alias("base_sha256"), digest(every).alias("spans"))
+    return out.select(
+        "doc_id", *counts, F.sha2(digest(F.col("base")).cast("binary"), 256).alias("base_sha256"), digest(every).alias("spans"), F.size(every).cast("long").alias("n_spans"), F.size("added").cast("long").alias("n_added"),
+    )
