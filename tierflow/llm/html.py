@@ -34,6 +34,11 @@ NOISE = frozenset(
     "cookie cookies consent notice notices popup modal newsletter subscribe subscription signup comment comments disqus respond social share sharing related "
     "recommended widget pagination pager masthead complementary contentinfo".split()
 )
+#: Parts that a name of several may have besides: whole names count, so "with-sidebar" or "post-related" are no noise, "site-footer" and "ad-box" are.
+NEUTRAL = frozenset(
+    "area articles bar block body bottom box button buttons col column container content footer form global group header holder icons inner inline item items left links list "
+    "main message module outer overlay page panel posts primary right row secondary section site slot small stories text thread title top unit widget wrap wrapper".split()
+)
 #: Elements whose start ends an open one without its end tag: by their tag, those that they end. A p ends at any start of a block.
 _ROWS = ("thead", "tbody", "tfoot")
 OPTIONAL_END = {
@@ -49,16 +54,20 @@ SCOPES = {
 P_STAYS = frozenset("body caption head html legend option tbody td tfoot th thead tr".split())
 
 
-def is_noise(tag: str, attrs: str, inside: bool) -> bool:
-    """Whether an element is no content by its name, or by a word of its class, id or role (of an article, one that such a name begins with)."""
-    if tag in ASIDE or tag == "header" and not inside:
-        return True
+def is_aside(tag: str, inside: bool) -> bool:
+    """Whether an element is no content by its tag."""
+    return tag in ASIDE or tag == "header" and not inside
+
+
+def is_noise(tag: str, attrs: str) -> bool:
+    """Whether a whole name in class, id or role says that an element is no content (of an article, a name that begins so)."""
     if "=" not in attrs or tag in ("html", "body", "main"):
         return False
-    found = " ".join(a or b or c for a, b, c in ATTRIBUTE.findall(attrs)).lower()
-    if tag == "article":
-        return any(re.split(r"[^a-z]+", name, maxsplit=1)[0] in NOISE for name in found.split())
-    return any(w in NOISE for w in re.split(r"[^a-z]+", found))
+    for name in " ".join(a or b or c for a, b, c in ATTRIBUTE.findall(attrs)).lower().split():
+        parts = [w for w in re.split(r"[^a-z]+", name) if w]
+        if any(w in NOISE for w in parts) and (all(w in NOISE or w in NEUTRAL for w in parts) or tag == "article" and parts[0] in NOISE):
+            return True
+    return False
 
 
 class OpenElements:
@@ -108,12 +117,17 @@ class OpenElements:
 
 
 def lines(html: str) -> list[tuple[str, int, int]]:
-    """The page's lines: (text, its characters outside links, number of the outermost article or main element that it is in, or 0)."""
-    out: list[tuple[str, int, int]] = []
+    """The page's lines: (text, its characters outside links, number of the outermost article or main element that it is in, or 0).
+
+    Elements that aren't content by their tag are left out, and those that aren't by their names unless nothing else has a surge and they hold over half of
+    the page's characters outside links.
+    """
+    out: list[tuple[str, int, int, tuple[int, ...]]] = []
     held: list[str] = []
     opened = OpenElements()
-    plain = link = at = regions = 0
-    region, skip = (-1, 0), -1  # place of the outermost article or main element and its number; place of an element that isn't content
+    plain = link = at = regions = named = 0
+    region, skip = (-1, 0), -1  # place of the outermost article or main element and its number; place of an element that is left out
+    noise: list[tuple[int, int]] = []  # place and number of the open elements that aren't content by their names
 
     def put(text: str) -> None:
         nonlocal plain
@@ -126,7 +140,7 @@ def lines(html: str) -> list[tuple[str, int, int]]:
     def end() -> None:
         nonlocal plain
         if held and (text := " ".join("".join(held).split())):
-            out.append((text, plain, region[1]))
+            out.append((text, plain, region[1], tuple(n for _, n in noise)))
         held.clear()
         plain = 0
 
@@ -144,10 +158,14 @@ def lines(html: str) -> list[tuple[str, int, int]]:
             opened.end(tag)
         else:
             opened.start(tag)
-        if len(opened.stack) <= region[0]:
+        depth = len(opened.stack)
+        if depth <= region[0]:
             end()
             region = (-1, 0)
-        if len(opened.stack) <= skip:
+        while noise and depth <= noise[-1][0]:
+            end()
+            noise.pop()
+        if depth <= skip:
             end()
             skip = -1
             if closing:
@@ -157,17 +175,31 @@ def lines(html: str) -> list[tuple[str, int, int]]:
                 put(" ")
             elif tag == "a":
                 link = 0 if closing else 1
-            elif not closing and not alone and is_noise(tag, attrs, region[1] > 0):
+            elif closing or alone:
+                pass
+            elif is_aside(tag, region[1] > 0):
+                end()
+                skip = depth
+            elif is_noise(tag, attrs):
                 end()
-                skip = len(opened.stack)
-            elif not closing and not alone and tag in ("article", "main") and not region[1]:
+                named += 1
+                noise.append((depth, named))
+            if not closing and not alone and skip < 0 and not noise and tag in ("article", "main") and not region[1]:
                 regions += 1
-                region = (len(opened.stack), regions)
+                region = (depth, regions)
         if not closing and not alone:
             opened.push(tag)
     put(html[at:])
     end()
-    return out
+    clean = [x[:3] for x in out if not x[3]]
+    if len(clean) == len(out) or any(sum(x[1] for x in clean[i : i + BLOCK]) >= SURGE for i in range(len(clean))):
+        return clean
+    sums: dict[int, int] = {}
+    for _, n, _, within in out:
+        for x in within:
+            sums[x] = sums.get(x, 0) + n
+    total = sum(x[1] for x in out)
+    return [x[:3] for x in out if all(2 * sums[k] > total for k in x[3])]
 
 
 def main_text(html: str, block: int = BLOCK, surge: int = SURGE) -> str:
@@ -199,13 +231,13 @@ def main_text(html: str, block: int = BLOCK, surge: int = SURGE) -> str:
 def extract(pages: DataFrame, block: int = BLOCK, surge: int = SURGE) -> DataFrame:
     """(page_id, url, text, n_chars) for each row of ``pages`` (page_id, url, html).
 
-    Scripts, styles, comments and elements that aren't content by their name or by class, id or role are stripped; what is
-    left falls into lines at the elements that break them, with character references decoded and white space made single.
+    Scripts, styles, comments and elements that aren't content by their tag or by a whole name in class, id or role (unless such an element holds over half of
+    the page's text and no block of the rest reaches ``SURGE``) are stripped; what is left falls into lines at the elements that break them, with character references decoded and white space made single.
     Characters outside links are summed over ``block`` lines from each line on. The text is kept from the first line
     whose sum reaches ``surge`` (the largest sum, if none does) to the end of the last such block, without lines of links
     at either end. Where article or main elements hold most of it, the lines of those are kept. Elements end as HTML says, also
-    where it lets their end tags be left out. A null, empty or markup-only page has an empty text. Pages aren't shuffled, and whole
-    pages are read.
+    where it lets their end tags be left out. A null, empty or markup-only page has an empty text. Repeated rows each get theirs, an empty table gives an empty result,
+    other columns play no part. Pages aren't shuffled, and whole pages are read.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
