@@ -257,7 +257,7 @@ def test_container_of_the_text_is_kept(name):
 
 def test_long_comments_under_a_short_text():
     comments = f"<div id='comments'>{f'<p>{LONG}' * 9}</div>"
-    assert html.main_text(f"<body><div><p>{LONG}</div>{comments}</body>") == LONG
+    assert html.main_text(f"<body><div><p>{LONG}<p>{LONG}</div>{comments}</body>") == f"{LONG} {LONG}"
 
 
 class Article(HTMLParser):
