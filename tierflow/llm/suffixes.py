@@ -16,10 +16,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import as_bytes, text_blocks, texts_of
+from .common import as_bytes, text_blocks, texts_of, written
 
 #: Bytes of a repeated string, and of the gram at its anchor.
 LENGTH, GRAM = 100, 16
@@ -252,8 +252,10 @@ def drop_repeats(docs: DataFrame) -> DataFrame:
     has to give its rows in the same order each time, as a table that is read from files does.
     """
     rows = texts_of(docs, extra={"row": F.monotonically_increasing_id()})
-    grams_of = found_grams(rows).withColumn("n", F.count("*").over(Window.partitionBy("g")))
-    wanted = grams_of.filter("n > 1 or twice").groupBy("row").agg(F.collect_list("g").alias("grams"))
+    found = written(found_grams(rows))
+    shared = found.groupBy("g").agg(F.count("*").alias("n"), F.max("twice").alias("twice")).filter("n > 1 or twice").select("g")
+    # joined from the side of the texts, so that Spark can split a gram that very many of them have
+    wanted = found.join(shared, "g", "left_semi").groupBy("row").agg(F.collect_list("g").alias("grams"))
     spans = repeated_spans(members(rows.join(wanted, "row")))
     spans = spans.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("spans"))
 
