@@ -437,6 +437,24 @@ def test_language_model(spark, texts):
     assert sum(r.score for r in held) > sum(r.base_score for r in held)  # better than the base on texts it hasn't learned from
 
 
+def test_tree_of_words():
+    """Every leaf has its own way, the tree's probabilities by mass are the leaves' shares, and the model's add up to one whatever its weights."""
+    rng = np.random.default_rng(4)
+    for n in (1, 2, 7, 300):
+        mass = rng.pareto(1.0, n) + 0.1
+        start, node, right, bias = maxent.paths(mass)
+        ways = [tuple(zip(node[a:b].tolist(), right[a:b].tolist(), strict=True)) for a, b in zip(start[:-1], start[1:], strict=True)]
+        assert len(set(ways)) == n
+        share = [math.prod(1 / (1 + math.exp(-bias[k] if r else bias[k])) for k, r in way) for way in ways]
+        assert share == pytest.approx((mass / mass.sum()).tolist())
+    common = np.sort(rng.integers(0, 1 << 63, 50).astype(np.uint64))
+    model = maxent.Model(common, rng.integers(1, 90, 50), rng.integers(0, maxent.CLASSES, 50), rng.random(maxent.CLASSES) * 9 + 0.1, 10, rng.normal(0, 1, 1 << 10).astype(np.float32))
+    leaves = np.arange(50 + maxent.CLASSES)
+    seen = [np.full(len(leaves), x, np.uint64) for x in (11, 12, 13)]
+    token, right, z, _, _ = model.decisions(leaves, seen)
+    assert np.exp(np.bincount(token, -np.logaddexp(0, np.where(right, -z, z)))).sum() == pytest.approx(1)
+
+
 def test_odd_rows(spark, odd):
     assert decontaminate.decontaminate(odd, odd.selectExpr("doc_id item_id", "text", "size")).count() == suffixes.drop_repeats(odd).count() == simhash.near_duplicates(odd).count() == len(ODD)
     sizes = {r.doc_id: r.size for r in mixing.mix(odd).collect()}

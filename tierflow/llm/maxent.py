@@ -11,26 +11,23 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import as_bytes, key_runs, text_blocks, texts_of, written
-
-#: Word classes: the TOP most frequent tokens are one each, others go by a hash of their last three bytes into SUFFIXES.
-#: The classes in turn make groups of GROUP; a softmax picks the group and one more the class in it.
-TOP, SUFFIXES, GROUP = 24, 40, 8
-CLASSES = TOP + SUFFIXES
-GROUPS = CLASSES // GROUP
-#: Of a feature, rows of the weight table: one for the groups and one for the classes of each group.
-ROWS = GROUPS + 1
-#: Rows of the hashed feature table, rounds of updates (each over its own share of the training documents), what
-#: keeps updates of rare features small, and the largest one.
-BUCKETS, ROUNDS, DAMP, LARGEST = 1 << 13, 3, 4.0, 2.0
+from .common import as_bytes, text_blocks, texts_of, written
+
+#: Word classes, by a hash of a word's last three bytes.
+CLASSES = 40
+#: Decisions on the way to a word that see all features (they pick its class); those after see the word before.
+DEEP = 6
+#: The weight table has a weight for so many training tokens, and so many bits at most and at least.
+SPREAD, BITS, LEAST_BITS = 1, 20, 16
+#: Rounds of updates (each over its own share of the training documents), what keeps updates of rare features small, and the largest weight.
+ROUNDS, DAMP, LARGEST = 3, 1.0, 3.0
 #: Added to each token's count.
 SMOOTH = 0.1
-#: A token with at least this share of all training tokens is frequent: 500,000 at most are, whatever the corpus.
-FREQUENT = 2e-6
-#: Distinct words after which a task's vocabulary starts anew, parts of the gradient.
-VOCAB, PARTS = 1 << 20, 8
+#: A token with at least this share of all training tokens is frequent: 200,000 at most are, whatever the corpus.
+FREQUENT = 5e-6
+#: Distinct words after which a task's vocabulary starts anew, parts of the gradient, bytes of text at once.
+VOCAB, PARTS, BLOCK = 1 << 20, 64, 1 << 19
 END = b"\n"
-FEATURES = 3
 
 
 class Vocabulary:
@@ -53,7 +50,7 @@ class Vocabulary:
         new = list(self.ids)[known:]
         self.hashes = np.concatenate([self.hashes, np.fromiter(map(xxhash.xxh64_intdigest, new), np.uint64, len(new))])
         tails = np.fromiter(map(xxhash.xxh32_intdigest, (w[-3:] for w in new)), np.int64, len(new))
-        self.suffixes = np.concatenate([self.suffixes, tails % SUFFIXES])
+        self.suffixes = np.concatenate([self.suffixes, tails % CLASSES])
         return np.concatenate(out), np.array(counts, np.int64)
 
 
@@ -88,130 +85,179 @@ def count_tokens(rows: DataFrame) -> DataFrame:
     return each.groupBy("h").agg(F.min("suffix").alias("suffix"), F.sum("c").alias("c"))
 
 
-class Model:
-    """What tasks need for scores: classes of frequent tokens, class sizes and the weights; its size doesn't grow with the corpus."""
+def paths(mass: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """A binary tree over leaves with ``mass``, each part split where its halves weigh most alike: (start, node, right) and bias.
 
-    def __init__(self, top: np.ndarray, weights: np.ndarray, bias: np.ndarray):
-        self.top, self.order = np.sort(top), np.argsort(top)
-        self.weights, self.bias = weights, bias
+    The decisions of leaf i are those from start[i] to start[i + 1]: the node, and whether it goes right. A node is named by its split;
+    ``bias`` is the log odds of going right by mass.
+    """
+    n = len(mass)
+    total = np.concatenate([[0.0], np.cumsum(mass)])
+    lo, hi = np.zeros(n, np.int64), np.full(n, n)
+    leaf, bias = np.arange(n), np.zeros(n)
+    found = [(np.zeros(0, np.int64),) * 3]
+    while len(leaf := leaf[hi[leaf] - lo[leaf] > 1]):
+        a, b = lo[leaf], hi[leaf]
+        split = np.clip(np.searchsorted(total, (total[a] + total[b]) / 2), a + 1, b - 1)
+        bias[split] = np.log((total[b] - total[split]) / (total[split] - total[a]))
+        right = leaf >= split
+        found.append((leaf, split, right.astype(np.int64)))
+        lo[leaf], hi[leaf] = np.where(right, split, a), np.where(right, b, split)
+    leaf, node, right = (np.concatenate(x) for x in zip(*found, strict=True))
+    order = np.argsort(leaf, kind="stable")
+    return np.concatenate([[0], np.cumsum(np.bincount(leaf, minlength=n))]), node[order], right[order], bias
 
-    def classes(self, vocab: Vocabulary) -> np.ndarray:
-        """The class of each word of ``vocab``."""
-        if not len(self.top):
-            return TOP + vocab.suffixes
-        at = np.minimum(np.searchsorted(self.top, vocab.hashes), len(self.top) - 1)
-        return np.where(self.top[at] == vocab.hashes, self.order[at], TOP + vocab.suffixes)
 
+class Model:
+    """What tasks need for scores: frequent tokens with their counts, what the rest of each class has, and the weights.
 
-def contexts(h: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """Feature rows of each token: the word before, the one before that (skip), and both (trigram); a start where there is none."""
+    Leaves of the tree are the frequent tokens and, of each class, the rest, in the order of classes; so the first decisions pick
+    a token's class, and the others the token in it. The tree is made anew in each process from the counts.
+    """
+
+    def __init__(self, common: np.ndarray, counts: np.ndarray, suffixes: np.ndarray, room: np.ndarray, bits: int, weights: np.ndarray | None = None):
+        self.common, self.counts, self.suffixes, self.room, self.bits = common, counts, suffixes, room, bits
+        self.weights = np.zeros(1 << bits, np.float32) if weights is None else weights
+        self._tree = None
+
+    def __getstate__(self):
+        return self.__dict__ | {"_tree": None}
+
+    def tree(self):
+        """(leaf of each frequent token, leaf of each class' rest, start, node, right, bias)."""
+        if self._tree is None:
+            of = np.concatenate([self.suffixes, np.arange(CLASSES)])
+            mass = np.concatenate([self.counts + SMOOTH, self.room])
+            order = np.lexsort((-mass, of))
+            place = np.empty(len(of), np.int64)
+            place[order] = np.arange(len(of))
+            start, node, right, bias = paths(mass[order])
+            self._tree = place[: len(self.common)], place[len(self.common) :], start, node, right.astype(np.int8), bias.astype(np.float32)
+        return self._tree
+
+    def find(self, vocab: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
+        """(number among the frequent tokens or -1, leaf) of each word of ``vocab``."""
+        own, rest = self.tree()[:2]
+        if not len(self.common):
+            return np.full(len(vocab.hashes), -1), rest[vocab.suffixes]
+        at = np.minimum(np.searchsorted(self.common, vocab.hashes), len(self.common) - 1)
+        here = self.common[at] == vocab.hashes
+        return np.where(here, at, -1), np.where(here, own[at], rest[vocab.suffixes])
+
+    def decisions(self, leaf: np.ndarray, seen: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(token, right, z, first rows, (decision, rows) of the others): all decisions of tokens with these leaves and features (``seen``)."""
+        _, _, start, node, right, bias = self.tree()
+        n = start[leaf + 1] - start[leaf]
+        token = np.repeat(np.arange(len(leaf)), n)
+        inner = np.arange(len(token)) - np.repeat(np.cumsum(n) - n, n)
+        at = start[leaf][token] + inner
+        on = node[at]
+        mark = on.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        shift = np.uint64(64 - self.bits)
+        row = lambda f, k: ((((seen[f][token[k]] ^ mark[k]) * np.uint64(0xD6E8FEB86659FD93)) >> shift)).astype(np.int64)
+        first, high = row(0, slice(None)), np.flatnonzero(inner < DEEP)
+        others = np.stack([row(f, high) for f in range(1, len(seen))])
+        z = bias[on] + self.weights[first]
+        z[high] += self.weights[others].sum(0)
+        return token, right[at], z, first, (high, others)
+
+
+def contexts(h: np.ndarray, counts: np.ndarray) -> list[np.ndarray]:
+    """Features of each token by hash: the word before, the one before that (skip), and both (trigram); a start where there is none."""
     first = np.zeros(len(h), bool)
     first[np.concatenate([[0], np.cumsum(counts)[:-1]])] = True
     one = np.roll(h, 1)
     one[first] = 1
     two = np.roll(one, 1)
     two[first] = 2
-    mixed = [one * np.uint64(0x9E3779B97F4A7C15), two * np.uint64(0xC2B2AE3D27D4EB4F) + np.uint64(1)]
-    mixed.append((mixed[0] ^ (mixed[1] >> np.uint64(7))) * np.uint64(0x165667B19E3779F9))
-    return np.column_stack([(x >> np.uint64(40)) % np.uint64(BUCKETS) for x in mixed]).astype(np.int64)
-
-
-def choices(where: np.ndarray, target: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(weight rows by feature, bias row, pick) of each token's two choices: all tokens' groups, then all tokens' classes in their group."""
-    group = target // GROUP
-    rows = where.T * ROWS
-    return np.concatenate([rows, rows + 1 + group], axis=1), np.concatenate([np.zeros_like(group), 1 + group]), np.concatenate([group, target % GROUP])
-
-
-def odds(model: Model, rows: np.ndarray, kind: np.ndarray) -> np.ndarray:
-    """Unnormalised probabilities of the GROUP picks of each choice; weights are bounded, so nothing overflows."""
-    z = np.take(model.bias, kind, axis=0)
-    for own in rows:
-        z += np.take(model.weights, own, axis=0)
-    return np.exp(z, out=z)
+    found = [one * np.uint64(0x9E3779B97F4A7C15), two * np.uint64(0xC2B2AE3D27D4EB4F) + np.uint64(1)]
+    found.append((found[0] ^ (found[1] >> np.uint64(7))) * np.uint64(0x165667B19E3779F9))
+    return [x ^ (x >> np.uint64(31)) for x in found]
 
 
 def gradient(rows: DataFrame, model: Model) -> tuple[np.ndarray, np.ndarray]:
-    """(seen, expected) sums over the texts of ``rows`` for each weight; summed by parts of the table on the executors."""
+    """(slope, curvature) of the log probability of the texts of ``rows`` for each weight; summed by parts of the table on the executors.
+
+    A task sends each number's upper 16 bits, and the tables' parts are added one after another.
+    """
     sent = rows.sparkSession.sparkContext.broadcast(model)
-    n = BUCKETS * ROWS
+    size = 1 << model.bits
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m, vocab = sent.value, Vocabulary()
-        seen, expected = np.zeros(n * GROUP), np.zeros((GROUP, n))
-        for batch in text_blocks(batches, 1 << 20):
+        sums = np.zeros((2, size))
+        for batch in text_blocks(batches, BLOCK):
             if len(vocab.ids) > VOCAB:
                 vocab = Vocabulary()
             ids, counts = vocab.numbers(as_bytes(batch))
-            own, kind, pick = choices(contexts(vocab.hashes[ids], counts), m.classes(vocab)[ids])
-            p = odds(m, own, kind)
-            p = np.ascontiguousarray((p / p.sum(1, keepdims=True)).T)
-            for f in own:
-                seen += np.bincount(f * GROUP + pick, minlength=n * GROUP)
-                for j in range(GROUP):
-                    expected[j] += np.bincount(f, p[j], minlength=n)
-        sums = np.stack([seen.reshape(n, GROUP), expected.T]).astype(np.float32)
-        pieces = [x.tobytes() for x in np.split(sums, PARTS, axis=1)]
+            _, right, z, first, (high, others) = m.decisions(m.find(vocab)[1][ids], contexts(vocab.hashes[ids], counts))
+            p = 1 / (1 + np.exp(-z))
+            for k, x in enumerate((right - p, p * (1 - p))):
+                sums[k] += np.bincount(first, x, size)
+                for own in others:
+                    sums[k] += np.bincount(own, x[high], size)
+        if not sums.any():
+            return
+        short = ((sums.astype("<f4").view("<u4") + np.uint32(0x8000)) >> np.uint32(16)).astype("<u2")
+        pieces = [x.tobytes() for x in np.split(short, PARTS, axis=1)]
         yield pa.RecordBatch.from_arrays([pa.array(range(PARTS), pa.int64()), pa.array(pieces)], ["part", "sums"])
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for group in key_runs(batches, "part"):
-            total = np.zeros(2 * n * GROUP // PARTS)
-            for x in group["sums"]:
-                total += np.frombuffer(x.as_py(), np.float32)
-            yield pa.RecordBatch.from_arrays([pa.array([group["part"][0].as_py()], pa.int64()), pa.array([total.tobytes()])], ["part", "sums"])
+        part, total = None, np.zeros(0)
+        out = lambda: pa.RecordBatch.from_arrays([pa.array([part], pa.int64()), pa.array([total.astype("<f4").tobytes()])], ["part", "sums"])
+        for batch in batches:
+            for k, x in zip(batch.column("part").to_pylist(), batch.column("sums"), strict=True):
+                if k != part:
+                    if part is not None:
+                        yield out()
+                    part, total = k, np.zeros(2 * size // PARTS)
+                total += (np.frombuffer(x.as_py(), "<u2").astype("<u4") << np.uint32(16)).view("<f4")
+        if part is not None:
+            yield out()
 
     parts = rows.select("text").mapInArrow(run, "part long, sums binary").repartition("part").sortWithinPartitions("part").mapInArrow(add, "part long, sums binary")
-    found = {r.part: np.frombuffer(r.sums).reshape(2, -1, GROUP) for r in parts.collect()}  # two numbers for each weight
-    out = np.concatenate([found[k] for k in range(PARTS)], axis=1) if found else np.zeros((2, n, GROUP))
-    return out[0], out[1]
+    found = {r.part: np.frombuffer(r.sums, "<f4").reshape(2, -1) for r in parts.collect()}  # two numbers for each weight
+    return tuple(np.concatenate([found[k] for k in range(PARTS)], axis=1)) if found else (np.zeros(size),) * 2
 
 
-def train(rows: DataFrame, top: np.ndarray, class_sizes: np.ndarray) -> Model:
-    """The model after ROUNDS synchronous gradient updates, each from its own share of the training texts, all of which are used.
+def train(rows: DataFrame, model: Model) -> Model:
+    """``model`` after ROUNDS synchronous gradient updates, each from its own share of the training texts, all of which are used.
 
-    An update moves each weight by (seen - expected) / (expected + DAMP), over the number of features, so that a frequent and a rare
-    feature learn alike. The bias is the classes' share of the training tokens.
+    An update moves each weight by slope / (curvature + DAMP), so that a frequent and a rare feature learn alike.
     """
-    sizes = class_sizes.reshape(GROUPS, GROUP) + 1
-    bias = np.log(np.concatenate([sizes.sum(1)[None, :] / sizes.sum(), sizes / sizes.sum(1, keepdims=True)])).astype(np.float32)
-    model = Model(top, np.zeros((BUCKETS * ROWS, GROUP), np.float32), bias)
     for k in range(ROUNDS):
-        seen, expected = gradient(rows.filter(~F.col("held_out") & (F.pmod(F.xxhash64("doc_id"), F.lit(ROUNDS)) == k)), model)
-        step = np.clip((seen - expected) / (expected + DAMP), -LARGEST, LARGEST) / FEATURES
-        model = Model(top, (model.weights + step).astype(np.float32), bias)
+        slope, curve = gradient(rows.filter(~F.col("held_out") & (F.pmod(F.xxhash64("doc_id"), F.lit(ROUNDS)) == k)), model)
+        weights = np.clip(model.weights + slope / (curve + DAMP) / 2, -LARGEST, LARGEST).astype(np.float32)
+        model = Model(model.common, model.counts, model.suffixes, model.room, model.bits, weights)
     return model
 
 
-def partial_scores(rows: DataFrame, model: Model, room: np.ndarray, common: np.ndarray, counts: np.ndarray) -> DataFrame:
+def partial_scores(rows: DataFrame, model: Model) -> DataFrame:
     """(row, doc_id, held_out, n_tokens, n_known, base, model, h, n): per text the sums that a task can make by itself.
 
-    ``base`` sums log10(c + SMOOTH) over the frequent tokens (``common`` are their sorted hashes, ``counts`` theirs);
-    ``model`` is the log10 probability of the text's word classes over the classes' denominators, ``room``. ``h`` and ``n`` are the other tokens, each once, and how often.
+    ``base`` sums log10(c + SMOOTH) over the frequent tokens; ``model`` is the log10 probability of the text's leaves, less the room of their class
+    for tokens that aren't frequent. ``h`` and ``n`` are those tokens, each once, and how often.
     """
-    sent = rows.sparkSession.sparkContext.broadcast((model, np.log(room), common, counts))
+    sent = rows.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m, room, common, counts = sent.value
-        logs, vocab = np.log10(counts + SMOOTH), Vocabulary()
-        for batch in text_blocks(batches, 1 << 20):
+        m, vocab = sent.value, Vocabulary()
+        logs, room = np.append(np.log10(m.counts + SMOOTH), 0.0), np.log10(m.room)
+        for batch in text_blocks(batches, BLOCK):
             if len(vocab.ids) > VOCAB:
                 vocab = Vocabulary()
             ids, n = vocab.numbers(as_bytes(batch))
             doc = np.repeat(np.arange(len(n)), n)
-            target = m.classes(vocab)[ids]
-            own, kind, pick = choices(contexts(vocab.hashes[ids], n), target)
-            p = odds(m, own, kind)
-            prob = np.log(p[np.arange(len(pick)), pick] / p.sum(1)).reshape(2, -1).sum(0) - room[target]
-            at = np.minimum(np.searchsorted(common, vocab.hashes), max(0, len(common) - 1))
-            here = common[at] == vocab.hashes if len(common) else np.zeros(len(vocab.ids), bool)
-            often = here[ids]
-            sums = [np.bincount(doc, w, len(n)) for w in (often.astype(float), np.where(often, (logs[at] if len(common) else np.zeros(len(at)))[ids], 0.0), prob / math.log(10))]
+            common, leaf = (x[ids] for x in m.find(vocab))
+            token, right, z, _, _ = m.decisions(leaf, contexts(vocab.hashes[ids], n))
+            chosen = np.bincount(doc[token], -np.logaddexp(0, np.where(right, -z, z)), len(n)) / math.log(10)
+            often = common >= 0
+            rest = np.bincount(doc[~often], room[vocab.suffixes[ids[~often]]], len(n))
             key, times = np.unique(doc[~often] * len(vocab.ids) + ids[~often], return_counts=True)
             cuts = np.searchsorted(key, np.arange(len(n) + 1) * len(vocab.ids)).astype(np.int32)
             lists = [pa.ListArray.from_arrays(pa.array(cuts), pa.array(x)) for x in (vocab.hashes[key % len(vocab.ids)].view(np.int64), times.astype(np.int32))]
-            columns = [batch.column(c) for c in ("row", "doc_id", "held_out")] + [pa.array(n), pa.array(sums[0].astype(np.int64)), pa.array(sums[1]), pa.array(sums[2]), *lists]
-            yield pa.RecordBatch.from_arrays(columns, ["row", "doc_id", "held_out", "n_tokens", "n_known", "base", "model", "h", "n"])
+            sums = [pa.array(x) for x in (n, np.bincount(doc[often], minlength=len(n)), np.bincount(doc, logs[common], len(n)), chosen - rest)]
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in ("row", "doc_id", "held_out")], *sums, *lists], ["row", "doc_id", "held_out", "n_tokens", "n_known", "base", "model", "h", "n"])
 
     return rows.mapInArrow(run, "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, model double, h array<long>, n array<int>")
 
@@ -219,42 +265,37 @@ def partial_scores(rows: DataFrame, model: Model, room: np.ndarray, common: np.n
 def score(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score (log10 probability) for each row of ``docs`` (doc_id, text).
 
-    Tokens are lowered words and one end. A token's probability in the model is its class' from the hashed features of the
-    two words before, times its smoothed share of its class' training tokens; so the sum over a text needs the same
-    counts as the base. Counts of all training tokens are summed with partial sums; frequent tokens, of which there is a
+    Tokens are lowered words and one end. A token's probability in the model is that of its class times that of the token in its class, both by
+    decisions in a tree, each of which is a softmax of two over hashed features: the word before, and for the class also the one before that and both.
+    A token that isn't frequent shares the leaf of its class' rest, of which it gets its smoothed share. The probabilities of all tokens, with
+    one unseen one for each class, add up to one. The weight table grows with the training tokens up to 2 ** BITS weights, counts without a bound.
+    Counts of all training tokens are summed with partial sums; frequent tokens, of which there is a
     bounded number, are looked up in the tasks, so no hot token is ever a join key, and the rest by an equi-join on their 64-bit hashes.
     Words with the same hash would count as one (with a billion distinct words, one such pair is expected once in forty corpora).
-    A null, empty or blank text is its end alone. Repeated rows are scored alike. An empty table gives an empty result.
+    A null, empty or blank text is its end alone. Repeated rows are scored alike. An empty table gives an empty result. Other columns play no part.
     """
     rows = marked(docs)
     vocab = written(count_tokens(rows))
     total, distinct = (int(x or 0) for x in vocab.agg(F.sum("c"), F.sum((F.col("c") > 0).cast("long"))).first())
-    top = [r for r in vocab.filter("c > 0").orderBy(F.col("c").desc(), "h").limit(TOP).collect()]
     frequent = F.col("c") >= max(1.0, FREQUENT * total)
-    known = vocab.filter(frequent).select("h", "c").toArrow()
+    known = vocab.filter(frequent).select("h", "suffix", "c").toArrow()
     common = known["h"].to_numpy().view(np.uint64)
     order = np.argsort(common)
-    common, counts = common[order], known["c"].to_numpy()[order]
-    own = [r.h for r in top]
-    sizes, kinds = np.zeros(CLASSES), np.zeros(CLASSES)
-    for i, r in enumerate(top):
-        sizes[i], kinds[i] = r.c, 1
-    others = vocab.filter(~F.col("h").isin(own)) if own else vocab
-    for r in others.filter("c > 0").groupBy("suffix").agg(F.sum("c").alias("c"), F.count("*").alias("v")).collect():
-        sizes[TOP + r.suffix], kinds[TOP + r.suffix] = r.c, r.v
-    # a frequent token's class has that token alone, all others leave room for a word not seen
-    room = np.where(np.arange(CLASSES) < TOP, sizes + SMOOTH, sizes + SMOOTH * (kinds + 1))
-    model = train(rows, np.array(own, np.int64).view(np.uint64), sizes)
-    parts = written(partial_scores(rows, model, room, common, counts))
+    room = np.full(CLASSES, SMOOTH)
+    for r in vocab.filter(~frequent & (F.col("c") > 0)).groupBy("suffix").agg(F.sum("c").alias("c"), F.count("*").alias("v")).collect():
+        room[r.suffix] = r.c + SMOOTH * (r.v + 1)  # a word not seen has room in each class
+    bits = min(BITS, max(LEAST_BITS, (total // SPREAD).bit_length()))
+    model = train(rows, Model(common[order], known["c"].to_numpy()[order], known["suffix"].to_numpy()[order], room, bits))
+    parts = written(partial_scores(rows, model))
     tail = parts.select("row", F.explode(F.arrays_zip("h", "n")).alias("x")).select("row", "x.h", "x.n")
     rare = vocab.filter(~frequent & (F.col("c") > 0)).select("h", "c")
     found = tail.join(rare, "h", "left").groupBy("row").agg(
         F.sum(F.col("n") * F.log10(F.coalesce("c", F.lit(0)) + SMOOTH)).alias("more"), F.sum(F.when(F.col("c") > 0, F.col("n"))).alias("also")
     )
-    logs = F.col("base") + F.coalesce("more", F.lit(0.0))
+    more = F.coalesce("more", F.lit(0.0))
     return parts.drop("h", "n").join(found, "row", "left").select(
         "doc_id", "held_out", "n_tokens", (F.col("n_known") + F.coalesce("also", F.lit(0))).alias("n_known"), F.lit(total).cast("long").alias("train_tokens"),
-        (logs - F.col("n_tokens") * math.log10(total + SMOOTH * (distinct + 1))).alias("base_score"), (logs + F.col("model")).alias("score"),
+        (F.col("base") + more - F.col("n_tokens") * math.log10(total + SMOOTH * (distinct + 1))).alias("base_score"), (F.col("model") + more).alias("score"),
     )
 
 
