@@ -128,3 +128,22 @@ def test_published_files_and_lists(spark, tmp_path):
     manifest = pl.write_shards(rows.coalesce(1), f"{tmp_path}/shards", ["id", "k"], 10).collect()
     assert sorted(m.n for m in manifest) == [3, 10, 10] and len({m.digest for m in manifest}) == 3
     assert sorted(map(tuple, pl.unpacked(pl.packed(rows, "k", ["id"], "id"), "k").collect())) == sorted((i % 3, i) for i in range(23))
+
+
+def test_bootstrap_of_arrays_and_of_rows_agree(spark):
+    rows = spark.createDataFrame([("a", i, float((i * 37) % 11)) for i in range(40)] + [("b", i, float(i)) for i in range(2)], "k string, row int, residual double")
+    ends = lambda held: {r.k: (round(r.low, 9), round(r.high, 9)) for r in df.bootstrap(rows, ["k"], "row", 60, held=held).collect()}
+    assert ends(0) == ends(1000) == ends(10) and set(ends(10)) == {"a", "b"}
+
+
+def test_interval_ends_change_sides(spark):
+    """Residuals of 100 either way in a folder, no shrinkage: 0.8 levels, and from 0.72 to 0.88."""
+    items = spark.createDataFrame([("e", "E", "Single", 20), ("h", "H", "Single", 20)], "item_id string, title string, mode string, level int")
+    stats = spark.createDataFrame([("Single", "e", 10, 10, 100.0, 0.0, 100.0, 100.0), ("Single", "h", 10, 10, -100.0, 0.0, -110.0, -90.0)], "mode string, item_id string, scored long, contributors long, location double, std double, low double, high double")
+    slopes = spark.createDataFrame([("Single", 50.0)], "mode string, slope double")
+    got = {r.item_id: r for r in df.within_level(items, stats, slopes).collect()}
+    # the prior of a small catalog takes a third away
+    share = 10 / 15
+    assert got["h"].delta == pytest.approx(0.8 * share) and got["h"].estimate == pytest.approx(20.5 + 0.8 * share)
+    assert (got["h"].delta_low, got["h"].delta_high) == (pytest.approx(0.72 * share), pytest.approx(0.88 * share))
+    assert got["e"].delta_low == got["e"].delta_high == pytest.approx(-0.8 * share)

@@ -5,6 +5,10 @@ Rows are dealt by (mode, entity) for ranks, baselines and selection, and by (mod
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -85,23 +89,67 @@ def robust(rows: DataFrame, keys: list[str], value: str = "residual") -> DataFra
     return out.withColumn("location", F.when((F.col("n_values") < 3) | (F.col("mad") <= 0), F.col("mean")).otherwise(F.col("clipped"))).drop("clipped")
 
 
-def bootstrap(rows: DataFrame, keys: list[str], row: str, resamples: int = P.RESAMPLES, seed: int = P.SEED, value: str = "residual") -> DataFrame:
+def draw(base: Column, b: Column, place: Column, n: Column) -> Column:
+    """Place that resample ``b`` draws for ``place``, of n, by 32-bit mixing of the key's ``base``."""
+    mask = F.lit(0xFFFFFFFF)
+    x = (base + b.cast("long") * 2654435761 + place.cast("long") * 2246822519).bitwiseAND(mask)
+    for _ in range(2):
+        x = (x.bitwiseXOR(F.shiftright(x, 16)) * 73244475).bitwiseAND(mask)
+    return x.bitwiseXOR(F.shiftright(x, 16)) % n
+
+
+def interval(values: np.ndarray, base: int, resamples: int) -> tuple[float, float]:
+    """``bootstrap`` for the values of one key, in the order of their places, with draws as in ``draw``."""
+    n, out, mask = len(values), [], np.uint64(0xFFFFFFFF)
+    place = np.arange(n, dtype=np.uint64) * np.uint64(2246822519)
+    step = max(1, (1 << 21) // n)
+    for first in range(1, resamples + 1, step):
+        b = np.arange(first, min(first + step, resamples + 1), dtype=np.uint64)
+        x = (np.uint64(base) + b[:, None] * np.uint64(2654435761) + place[None, :]) & mask
+        for _ in range(2):
+            x = ((x ^ (x >> np.uint64(16))) * np.uint64(73244475)) & mask
+        drawn = values[((x ^ (x >> np.uint64(16))) % np.uint64(n)).astype(np.int64)]
+        mean, median = drawn.mean(1), np.median(drawn, axis=1)
+        clip = P.CLIP * np.median(np.abs(drawn - median[:, None]), axis=1)
+        held = np.clip(drawn, (median - clip)[:, None], (median + clip)[:, None]).mean(1)
+        out.append(np.where((n < 3) | (clip <= 0), mean, held))
+    low, high = np.percentile(np.concatenate(out), [2.5, 97.5])
+    return float(low), float(high)
+
+
+def bootstrap(rows: DataFrame, keys: list[str], row: str, resamples: int = P.RESAMPLES, seed: int = P.SEED, value: str = "residual", held: int = P.HELD) -> DataFrame:
     """(keys, low, high): 2.5 and 97.5 % of the clipped mean over resamples with replacement of each key's rows, which ``row`` tells apart.
 
-    Draws come from a hash of seed, key, resample and place, so that reruns agree. Rows are multiplied by ``resamples``; they are never gathered by key.
-    One row, or no resamples, give the location itself.
+    Draws come from a hash of seed, key, resample and place, so that reruns agree. A key of up to ``held`` rows is one array, resampled in numpy; the rows of a larger
+    one are multiplied by ``resamples`` and never gathered, with the same draws. One row, or no resamples, give the location itself.
     """
     if not resamples:
         return robust(rows, keys, value).select(*keys, F.col("location").alias("low"), F.col("location").alias("high"))
     by = Window.partitionBy(*keys)
-    placed = written(rows.select(*keys, value, (F.row_number().over(by.orderBy(row)) - 1).alias("place"), F.count("*").over(by).alias("n")))
-    mark = F.concat_ws(":", F.lit(str(seed)), *[F.col(k).cast("string") for k in keys], F.col("b").cast("string"), F.col("place").cast("string"))
-    draw = F.conv(F.substring(F.sha2(mark.cast("binary"), 256), 1, 8), 16, 10).cast("long") % F.col("n")
-    draws = placed.select(*keys, "place", "n", F.explode(F.sequence(F.lit(1), F.lit(resamples))).alias("b")).select(*keys, "b", draw.alias("place"))
+    mark = F.concat_ws(":", F.lit(str(seed)), *[F.col(k).cast("string") for k in keys])
+    base = F.conv(F.substring(F.sha2(mark.cast("binary"), 256), 1, 8), 16, 10).cast("long").alias("base")
+    placed = written(rows.select(*keys, base, F.col(value).cast("double").alias("x"), (F.row_number().over(by.orderBy(row)) - 1).alias("place"), F.count("*").over(by).alias("n")))
+    names = [f"k{i}" for i in range(len(keys))]
+
+    def resampled(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            found = [interval(np.array([c["x"] for c in cells]), int(b), resamples) for cells, b in zip(batch["cells"], batch["base"], strict=True)]
+            yield batch[names].assign(low=[x[0] for x in found], high=[x[1] for x in found])
+
+    small = placed.filter(F.col("n") <= held).groupBy(*keys, "base").agg(F.array_sort(F.collect_list(F.struct("place", "x"))).alias("cells")).toDF(*names, "base", "cells")
+    kinds = ", ".join(f"{n} {t}" for n, (_, t) in zip(names, placed.select(*keys).dtypes, strict=True))
+    out = small.mapInPandas(resampled, f"{kinds}, low double, high double").toDF(*keys, "low", "high")
+    return out.union(_resampled_rows(placed.filter(F.col("n") > held), keys, resamples))
+
+
+def _resampled_rows(placed: DataFrame, keys: list[str], resamples: int) -> DataFrame:
+    """``bootstrap`` of large keys, whose rows stay apart."""
+    draws = placed.select(*keys, "base", "place", "n", F.explode(F.sequence(F.lit(1), F.lit(resamples))).alias("b"))
+    draws = draws.select(*keys, "b", draw(F.col("base"), F.col("b"), F.col("place"), F.col("n")).alias("place"))
     times = draws.groupBy(*keys, "b", "place").agg(F.count("*").alias("times"))
-    drawn = written(times.join(placed.select(*keys, F.col("place").cast("long").alias("place"), value), [*keys, "place"]))
+    drawn = written(times.join(placed.select(*keys, F.col("place").cast("long").alias("place"), "x"), [*keys, "place"]))
     half = lambda c: F.percentile(c, F.lit(0.5), F.col("times"))
-    x, again = F.col(value), [*keys, "b"]
+    x, again = F.col("x"), [*keys, "b"]
     mean = F.sum(x * F.col("times")) / F.sum("times")
     first = drawn.groupBy(*again).agg(half(x).alias("median"), mean.alias("mean"), F.sum("times").alias("n"))
     around = drawn.join(first, again)
@@ -113,12 +161,13 @@ def bootstrap(rows: DataFrame, keys: list[str], row: str, resamples: int = P.RES
     return clipped.select(*keys, location.alias("location")).groupBy(*keys).agg(F.percentile("location", F.lit(0.025)).alias("low"), F.percentile("location", F.lit(0.975)).alias("high"))
 
 
-def item_stats(selected: DataFrame) -> DataFrame:
-    """By item of level 16 and more: entities that scored it and were selected, and statistics of the selected residuals."""
+def item_stats(selected: DataFrame, resamples: int | None = None) -> DataFrame:
+    """By item of level 16 and more: entities that scored it and were selected, and statistics of the selected residuals, with ``low`` and ``high`` of their location if resamples are asked for."""
     rows = selected.filter(F.col("level") >= P.MIN_LEVEL)
     keys = ["mode", "item_id"]
     counts = rows.groupBy(*keys).agg(F.count("*").alias("scored"), F.count_if("selected").alias("contributors"), F.avg(F.when(F.col("selected"), F.col("baseline"))).alias("mean_baseline"))
-    return counts.join(robust(rows.filter("selected"), keys).drop("n_values"), keys, "left")
+    out = counts.join(robust(rows.filter("selected"), keys).drop("n_values"), keys, "left")
+    return out if resamples is None else out.join(bootstrap(rows.filter("selected"), keys, "entity_id", resamples), keys, "left")
 
 
 def slopes(best: DataFrame, keys: list[str] | None = None) -> DataFrame:
@@ -158,23 +207,29 @@ def shrinkage(measured: DataFrame, support: str = "contributors") -> DataFrame:
 
 
 def compressions(df: DataFrame, n: str) -> DataFrame:
-    """(n, compression) for counts up to the largest in ``df``, which a catalog's size bounds."""
-    most = df.agg(F.max(n)).first()[0] or 0
-    return df.sparkSession.createDataFrame([(i, P.compression(i)) for i in range(most + 1)], f"{n} long, compression double")
+    """(n, compression) for the counts in ``df``, of a row for each folder."""
+    found = [r[0] for r in df.select(n).distinct().collect()]
+    return df.sparkSession.createDataFrame([(i, P.compression(i)) for i in found], f"{n} long, compression double")
 
 
 def within_level(items: DataFrame, stats: DataFrame, slopes: DataFrame) -> DataFrame:
-    """Each item's difference from its folder in levels, its estimate, ranks, percentile, decile and band."""
+    """Each item's difference from its folder in levels, its estimate, ranks, percentile, decile and band; with ``low`` and ``high`` in ``stats``, also intervals.
+
+    A larger residual is an easier item, so the ends of an interval change sides.
+    """
     rows = items.filter(F.col("mode").isin(*P.MODES) & (F.col("level") >= P.MIN_LEVEL)).withColumn("folder", fx.folder(F.col("mode"), F.col("level")))
     # a row for each item of the catalog, which four steps read
-    rows = rows.join(stats, ["mode", "item_id"], "left").fillna(0, ["scored", "contributors"]).persist()
+    rows = written(rows.join(stats, ["mode", "item_id"], "left").fillna(0, ["scored", "contributors"]))
     folders = rows.groupBy("mode", "folder").agg(F.percentile("location", F.lit(0.5)).alias("reference"), F.count("location").alias("measured"))
     folders = folders.join(compressions(folders, "measured"), "measured")
     ratio = F.when(F.col("scored") > 0, F.col("contributors") / F.col("scored"))
     rows = rows.join(folders, ["mode", "folder"]).join(shrinkage(rows), "mode", "left").join(slopes.select("mode", "slope"), "mode", "left")
     weight = F.col("contributors") / (F.col("contributors") + F.col("k"))
-    delta = weight * (F.col("location") - F.col("reference")) / F.col("slope") * F.col("compression") * -P.SCALE
-    rows = rows.withColumns({"appearance": ratio, "status": fx.status(F.col("contributors")), "weight": weight, "delta": delta}).withColumn("estimate", F.col("level") + 0.5 + F.col("delta"))
+    delta = lambda c: weight * (F.col(c) - F.col("reference")) / F.col("slope") * F.col("compression") * -P.SCALE
+    rows = rows.withColumns({"appearance": ratio, "status": fx.status(F.col("contributors")), "weight": weight, "delta": delta("location")}).withColumn("estimate", F.col("level") + 0.5 + F.col("delta"))
+    if "low" in rows.columns:
+        rows = rows.withColumns({"delta_low": delta("high"), "delta_high": delta("low")})
+        rows = rows.withColumns({f"estimate_{end}": F.col("level") + 0.5 + F.col(f"delta_{end}") for end in ("low", "high")})
     return placed(rows)
 
 
@@ -192,9 +247,9 @@ def placed(rows: DataFrame) -> DataFrame:
     return rows.withColumns({"decile": fx.decile(F.col("percentile")), "band": fx.band(F.col("delta"))}).withColumn("band_name", fx.band_name(F.col("band")))
 
 
-def analysis(attempts: DataFrame, items: DataFrame) -> DataFrame:
-    """The whole standalone analysis."""
+def analysis(attempts: DataFrame, items: DataFrame, resamples: int | None = P.RESAMPLES) -> DataFrame:
+    """The whole standalone analysis; without ``resamples`` (None) there are no intervals."""
     # written, as item statistics and slopes read them several times
     rows = written(ranked(best(valid(attempts))))
     chosen = written(selected(rows).select("mode", "entity_id", "item_id", "level", "selected", "baseline", "residual"))
-    return within_level(items, item_stats(chosen), slopes(rows))
+    return within_level(items, item_stats(chosen, resamples), slopes(rows))

@@ -154,7 +154,7 @@ def _(s, d):
 
 @query("f12_unrated", "SELECT item_id, folder, contributors < 20 AS limited FROM final WHERE delta IS NULL OR contributors < 20")
 def _(s, d):
-    out = df.analysis(tb.attempts(s, d), tb.items(s, d))
+    out = df.analysis(tb.attempts(s, d), tb.items(s, d), resamples=None)
     return out.filter(F.col("delta").isNull() | (F.col("contributors") < P.LIMITED)).select("item_id", "folder", (F.col("contributors") < P.LIMITED).alias("limited"))
 
 

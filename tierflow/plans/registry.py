@@ -221,18 +221,35 @@ def _(s, d):
     return df.shrinkage(rows).select("mode", "items", "repeated", *six("k"))
 
 
+def _mixed(x: str) -> str:
+    return f"(xor({x}, {x} >> 16) * 73244475) & 4294967295"
+
+
+#: The SQL of resampled locations, on the steps: ends (mode, item_id, low, high).
+BOOTSTRAP = f""", bp AS (SELECT mode, item_id, residual, row_number() OVER (PARTITION BY mode, item_id ORDER BY entity_id) - 1 AS place, count(*) OVER (PARTITION BY mode, item_id) AS n,
+      CAST('0x' || substr(sha256('{P.SEED}:' || mode || ':' || item_id), 1, 8) AS BIGINT) AS base FROM chosen WHERE selected AND level >= 16),
+    b0 AS (SELECT mode, item_id, b, n, (base + b * 2654435761 + place * 2246822519) & 4294967295 AS x FROM bp, (SELECT unnest(range(1, {P.RESAMPLES + 1})) AS b)),
+    b1 AS (SELECT mode, item_id, b, n, {_mixed("x")} AS x FROM b0), b2 AS (SELECT mode, item_id, b, n, {_mixed("x")} AS x FROM b1),
+    dv AS MATERIALIZED (SELECT b2.mode, b2.item_id, b, residual AS x FROM b2 JOIN bp ON b2.mode = bp.mode AND b2.item_id = bp.item_id AND xor(b2.x, b2.x >> 16) % b2.n = bp.place),
+    bm AS (SELECT mode, item_id, b, median(x) AS median, avg(x) AS mean, count(*) AS n FROM dv GROUP BY ALL), bd AS (SELECT mode, item_id, b, median(abs(x - median)) AS mad FROM dv JOIN bm USING (mode, item_id, b) GROUP BY ALL),
+    bl AS (SELECT mode, item_id, b, CASE WHEN any_value(n) < 3 OR any_value(mad) <= 0 THEN any_value(mean) ELSE avg(least(greatest(x, median - {P.CLIP!r}::DOUBLE * mad), median + {P.CLIP!r}::DOUBLE * mad)) END AS l FROM dv JOIN bm USING (mode, item_id, b) JOIN bd USING (mode, item_id, b) GROUP BY mode, item_id, b),
+    ends AS (SELECT mode, item_id, quantile_cont(l, 0.025) AS low, quantile_cont(l, 0.975) AS high FROM bl GROUP BY mode, item_id)"""
+_moved = lambda c: f"round(-0.4::DOUBLE * contributors / (contributors + k) * ({c} - reference) / slope * compression + 1e-9, 6)"
+_at = lambda c: f"round(level + 0.5 + -0.4::DOUBLE * contributors / (contributors + k) * ({c} - reference) / slope * compression + 1e-9, 6)"
+
+
 @query(
     "m1_difficulty_analysis",
-    f"""SELECT mode, item_id, folder, contributors, {_status("contributors")} AS status, {r6("delta", "estimate", "percentile", "weight")},
+    f"""{BOOTSTRAP} SELECT mode, item_id, folder, contributors, {_status("contributors")} AS status, {r6("delta", "estimate", "percentile", "weight")}, {_moved("high")} AS delta_low, {_moved("low")} AS delta_high, {_at("high")} AS estimate_low, {_at("low")} AS estimate_high,
     CAST(CASE WHEN delta IS NOT NULL THEN row_number() OVER (PARTITION BY mode ORDER BY delta NULLS LAST, contributors DESC, title, item_id) END AS INTEGER) AS mode_rank,
     CAST(CASE WHEN delta IS NOT NULL THEN row_number() OVER (PARTITION BY mode, folder ORDER BY delta NULLS LAST, contributors DESC, title, item_id) END AS INTEGER) AS level_rank,
     CAST(least(10, floor(percentile * 10) + 1) AS INTEGER) * CASE WHEN percentile IS NULL THEN NULL ELSE 1 END AS decile,
     CASE WHEN delta < -0.5 THEN 'Overrated' WHEN delta < -0.3 THEN 'Very Easy' WHEN delta < -0.1 THEN 'Easy' WHEN delta <= 0.1 THEN 'Medium' WHEN delta <= 0.3 THEN 'Hard' WHEN delta <= 0.5 THEN 'Very Hard' WHEN delta > 0.5 THEN 'Underrated' END AS band_name
-    FROM final""",
+    FROM final LEFT JOIN ends USING (mode, item_id)""",
 )
 def _(s, d):
     out = df.analysis(tb.attempts(s, d), tb.items(s, d))
-    return out.select("mode", "item_id", "folder", "contributors", "status", *six("delta", "estimate", "percentile", "weight"), "mode_rank", "level_rank", "decile", "band_name")
+    return out.select("mode", "item_id", "folder", "contributors", "status", *six("delta", "estimate", "percentile", "weight", "delta_low", "delta_high", "estimate_low", "estimate_high"), "mode_rank", "level_rank", "decile", "band_name")
 
 
 _weights = "SELECT mode, item_id, value, (CASE WHEN source = 'archive' THEN 1.0 ELSE 2.0 END)::DOUBLE AS w FROM best"

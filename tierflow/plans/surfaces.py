@@ -140,23 +140,14 @@ def _(s, d):
     return rows.select("mode", "entity_id", "rung", "label", "next_label", *six("remaining", "percent"))
 
 
-#: Resamples of the registered query; the operator's own default is larger.
-RESAMPLES = 100
-
-
-@query("a6_bootstrap", f""", bp AS (SELECT mode, item_id, residual, row_number() OVER (PARTITION BY mode, item_id ORDER BY entity_id) - 1 AS place, count(*) OVER (PARTITION BY mode, item_id) AS n FROM chosen WHERE selected AND level >= 16),
-    dr AS (SELECT mode, item_id, b, CAST('0x' || substr(sha256('{P.SEED}:' || mode || ':' || item_id || ':' || b || ':' || place), 1, 8) AS BIGINT) % n AS place FROM bp, (SELECT unnest(range(1, {RESAMPLES + 1})) AS b)),
-    dv AS MATERIALIZED (SELECT dr.mode, dr.item_id, b, residual AS x FROM dr JOIN bp ON dr.mode = bp.mode AND dr.item_id = bp.item_id AND dr.place = bp.place),
-    bm AS (SELECT mode, item_id, b, median(x) AS median, avg(x) AS mean, count(*) AS n FROM dv GROUP BY ALL), bd AS (SELECT mode, item_id, b, median(abs(x - median)) AS mad FROM dv JOIN bm USING (mode, item_id, b) GROUP BY ALL),
-    bl AS (SELECT mode, item_id, b, CASE WHEN any_value(n) < 3 OR any_value(mad) <= 0 THEN any_value(mean) ELSE avg(least(greatest(x, median - {P.CLIP!r}::DOUBLE * mad), median + {P.CLIP!r}::DOUBLE * mad)) END AS l FROM dv JOIN bm USING (mode, item_id, b) JOIN bd USING (mode, item_id, b) GROUP BY mode, item_id, b)
-    SELECT mode, item_id, round(quantile_cont(l, 0.025) + 1e-9, 6) AS low, round(quantile_cont(l, 0.975) + 1e-9, 6) AS high FROM bl GROUP BY mode, item_id""")
+@query("a6_bootstrap", rg.BOOTSTRAP + " SELECT mode, item_id, round(low + 1e-9, 6) AS low, round(high + 1e-9, 6) AS high FROM ends")
 def _(s, d):
     rows = df.selected(rg.ranked(s, d)).filter((F.col("level") >= P.MIN_LEVEL) & F.col("selected"))
-    return df.bootstrap(rows, ["mode", "item_id"], "entity_id", RESAMPLES).select("mode", "item_id", *six("low", "high"))
+    return df.bootstrap(rows, ["mode", "item_id"], "entity_id").select("mode", "item_id", *six("low", "high"))
 
 
 def analysed(s: SparkSession, d: str) -> DataFrame:
-    return df.analysis(tb.attempts(s, d), tb.items(s, d))
+    return df.analysis(tb.attempts(s, d), tb.items(s, d), resamples=None)
 
 
 @query("m23_tier_payload", "SELECT mode, item_id, folder, round(estimate + 1e-9, 6) AS estimate, row_number() OVER (PARTITION BY mode ORDER BY estimate NULLS LAST, title, item_id) AS place FROM final")
