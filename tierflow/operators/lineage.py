@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -9,8 +10,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; where it names none, as in tests, one of this machine."""
+    """The folder that the cluster names in spark.checkpoint.dir; where it names none and Spark runs in one process, as in tests, one of this machine."""
     if not (found := spark.conf.get("spark.checkpoint.dir", None)):
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
         found = f"file:{tempfile.mkdtemp(prefix='spark-')}"
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -40,12 +42,65 @@ def title_links(texts: DataFrame, catalog: DataFrame) -> DataFrame:
 
     ``texts``: (text_id, label, normal), ``catalog``: (item_id, label, normal).
     """
-    rows = texts.join(catalog.select("item_id", "label", F.col("normal").alias("name")).filter("name <> ''"), "label")
-    found = rows.filter(F.contains(F.concat(F.lit(" "), "normal", F.lit(" ")), F.concat(F.lit(" "), "name", F.lit(" "))))
     best = Window.partitionBy("text_id", "label").orderBy(F.length("name").desc(), "item_id")
+    found = named(texts, catalog.select("item_id", "label", F.col("normal").alias("name")))
     return found.withColumn("place", F.row_number().over(best)).filter("place = 1").select("text_id", "label", "item_id")
 
 
+def named(texts: DataFrame, names: DataFrame) -> DataFrame:
+    """The pairs of ``texts`` (label, normal, ...) and ``names`` (label, name, ...) whose name stands in the text as whole words.
+
+    They meet at the longest word of the name, so that a text is only held against names of which it has that word.
+    """
+    words = F.split("name", " ")
+    longest = F.array_max(F.transform(words, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
+    keyed = names.filter("name <> ''").withColumn("word", longest)
+    rows = texts.withColumn("word", F.explode(F.array_distinct(F.split("normal", " ")))).join(keyed, ["label", "word"])
+    return rows.filter(F.contains(F.concat(F.lit(" "), "normal", F.lit(" ")), F.concat(F.lit(" "), "name", F.lit(" ")))).drop("word")
+
+
+def linked_items(catalog: DataFrame, texts: DataFrame, overrides: DataFrame) -> DataFrame:
+    """(item_id, status, text_id): the text that each item is linked with.
+
+    ``catalog``: (item_id, label, name), a row for each name of an item; ``texts``: (text_id, label, normal, rank), the lower rank the better; ``overrides``:
+    (item_id, text_id). An override goes before all else; then the best candidate is ``mapped``, two different texts of the same best rank make an item
+    ``ambiguous`` and no candidate makes it ``missing``, both without a text. An override of an unknown item or text is an error.
+    """
+    unknown = overrides.join(catalog, "item_id", "left_anti").select("item_id").union(overrides.join(texts, "text_id", "left_anti").select("text_id"))
+    if bad := [r[0] for r in unknown.limit(5).collect()]:
+        raise ValueError(f"overrides name unknown items or texts, as {', '.join(bad)}")
+    found = named(texts, catalog).groupBy("item_id", "rank").agg(F.count_distinct("text_id").alias("n"), F.min("text_id").alias("text_id"))
+    first = found.groupBy("item_id").agg(F.min_by(F.struct("n", "text_id"), "rank").alias("top"))
+    rows = catalog.select("item_id").distinct().join(first, "item_id", "left").join(overrides.select("item_id", F.col("text_id").alias("forced")), "item_id", "left")
+    status = F.when(F.col("forced").isNotNull(), "override").when(F.col("top").isNull(), "missing").when(F.col("top.n") > 1, "ambiguous").otherwise("mapped")
+    rows = rows.withColumn("status", status)
+    return rows.select("item_id", "status", F.when(F.col("status") == "override", F.col("forced")).when(F.col("status") == "mapped", F.col("top.text_id")).alias("text_id"))
+
+
+def rerates(rows: DataFrame, catalog: DataFrame, aliases: dict[str, str] | None = None, least: int = 16) -> tuple[DataFrame, DataFrame]:
+    """(moves, problems) of an import: rows (source_row, title, old, new) with the labels of before and after, several in a cell.
+
+    The nth old label goes with the nth new one if there are as many; pairs that change their mode or keep their level aren't moves, and labels under
+    ``least`` aren't looked at. ``catalog``: (item_id, label, title). moves: (item_id, source_row, from_label, to_label, delta, direction). problems:
+    (source_row, title, from_label, problem), ``unmatched`` where not exactly one item has the title and label, ``twice`` where an item is moved more than once.
+    """
+    pairs = rows.select("source_row", "title", F.explode(paired_tokens(F.upper("old"), F.upper("new"), "[SD][0-9]+")).alias("x")).select("source_row", "title", "x.*")
+    level = lambda c: F.expr(f"cast(substr({c}, 2) as int)")
+    pairs = pairs.filter((F.expr("left(old, 1) = left(new, 1)")) & (level("old") != level("new")) & (level("old") >= least))
+    known = F.create_map(*[F.lit(x) for pair in aliases.items() for x in pair]) if aliases else None
+    title = F.coalesce(F.element_at(known, F.col("title")), F.col("title")) if aliases else F.col("title")
+    pairs = pairs.select("source_row", "title", F.col("old").alias("label"), "new", normal_title(title).alias("normal"))
+    matched, unmatched = unique_matches(pairs, catalog.select("item_id", "label", normal_title(F.col("title")).alias("normal")), ["normal", "label"])
+    again = matched.groupBy("item_id").agg(F.count("*").alias("n"))
+    delta = level("new") - level("label")
+    moves = matched.join(again, "item_id").select(
+        "item_id", "source_row", "title", F.col("label").alias("from_label"), F.col("new").alias("to_label"), delta.alias("delta"), F.when(delta > 0, "uprated").otherwise("downrated").alias("direction"), "n"
+    )
+    problems = unmatched.select("source_row", "title", F.col("label").alias("from_label"), F.lit("unmatched").alias("problem"))
+    problems = problems.union(moves.filter("n > 1").select("source_row", "title", "from_label", F.lit("twice")))
+    return moves.filter("n = 1").drop("n", "title"), problems
+
+
 def close_titles(rows: DataFrame, catalog: DataFrame, least: float = 0.45, most: int = 3) -> DataFrame:
     """The closest titles of the same label, by edit distance as a share of the longer one; up to ``most`` that are at least ``least`` alike."""
     pairs = rows.join(catalog.select("item_id", "label", F.col("normal").alias("name")), "label")
@@ -60,15 +115,32 @@ def variant(normal: Column) -> Column:
     return F.when(normal.rlike("short ?cut"), "short-cut").when(normal.rlike("full ?song"), "full-song").otherwise("normal")
 
 
+#: Words, as in a normal form, that only tell a variant, and those that a guest's name follows.
+VARIANT_PAIRS, GUEST = (("short", "cut"), ("full", "song")), ("feat", "ft")
+
+
+def _before(words: Column, stops: Column) -> Column:
+    """The words before the first, after the first word, of ``stops``."""
+    place = F.array_min(F.transform(stops, lambda g: F.when(F.array_position(F.slice(words, 2, 10_000), g) > 0, F.array_position(F.slice(words, 2, 10_000), g))))
+    return F.when(place.isNull(), words).otherwise(F.slice(words, F.lit(1), place.cast("int")))
+
+
 def base_name(normal: Column) -> Column:
-    """The normal form without words for its variant."""
-    return F.trim(F.regexp_replace(F.regexp_replace(normal, r"\b(?:short\s*cut|full\s*song)\b", " "), r"\s+", " "))
+    """The normal form without words for its variant, which may be written as one."""
+    words = F.filter(F.split(normal, " "), lambda w: w != "")
+    joined = [a + b for a, b in VARIANT_PAIRS]
+    following = F.concat(F.slice(words, 2, 10_000), F.array(F.lit("")))
+    leading = F.concat(F.array(F.lit("")), words)
+    is_pair = lambda a, b: reduce(lambda t, p: t | ((a == p[0]) & (b == p[1])), VARIANT_PAIRS, F.lit(False))
+    cells = F.arrays_zip(words.alias("w"), following.alias("f"), leading.alias("l"))
+    kept = F.filter(cells, lambda c: c["w"].isNotNull() & ~c["w"].isin(*joined) & ~is_pair(c["w"], c["f"]) & ~is_pair(c["l"], c["w"]))
+    return F.array_join(F.transform(kept, lambda c: c["w"]), " ")
 
 
 def core_names(normal: Column, suffixes: list[str]) -> Column:
-    """The base name, and it without a featured guest and the given suffixes, where that leaves something else."""
+    """The base name, and it without a guest and the given last words (a pattern each), where that leaves something else."""
     name = base_name(normal)
-    core = F.trim(F.regexp_replace(name, r"\s+(?:feat|ft)\b.*$", ""))
+    core = F.array_join(_before(F.split(name, " "), F.array(*map(F.lit, GUEST))), " ")
     for suffix in suffixes:
         core = F.trim(F.regexp_replace(core, rf"\s+(?:{suffix})$", ""))
     return F.array_distinct(F.when(core != "", F.array(name, core)).otherwise(F.array(name)))

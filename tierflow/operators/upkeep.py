@@ -27,6 +27,21 @@ def due(entities: DataFrame, days: int = 7, hours: int = 24) -> DataFrame:
     return entities.withColumn("action", action).withColumn("since", F.when(F.col("action") == "incremental", F.col("last_ts") - F.expr(f"interval {days} days")))
 
 
+def merged_states(base: DataFrame, live: DataFrame) -> DataFrame:
+    """A row for each entity of ``base`` (entity_id, synced, ...): that of the state synced later; the live one at the same time, the base one if only it has a time or none has."""
+    rows = base.withColumn("side", F.lit(0)).unionByName(live.join(base.select("entity_id"), "entity_id", "left_semi").filter("synced is not null").withColumn("side", F.lit(1)))
+    return first_by(rows, ["entity_id"], [F.col("synced").desc_nulls_last(), F.col("side").desc()]).drop("side")
+
+
+def cross_references(source: DataFrame, target: DataFrame, known: DataFrame | None = None) -> DataFrame:
+    """(source_item, target_item, source_level, target_level): items (item_id, upstream, level) of two catalogs with the same upstream id, whose levels replace those of ``known`` pairs."""
+    left = source.select(F.col("item_id").alias("source_item"), "upstream", F.col("level").alias("source_level"))
+    found = left.join(target.select(F.col("item_id").alias("target_item"), "upstream", F.col("level").alias("target_level")), "upstream").drop("upstream")
+    found = found.select("source_item", "target_item", "source_level", "target_level")
+    keys = ["source_item", "target_item"]
+    return found if known is None else found.unionByName(known.join(found, keys, "left_anti").select(*found.columns))
+
+
 def keep_known(attempts: DataFrame, entities: DataFrame, items: DataFrame) -> DataFrame:
     """Attempts whose entity still consents and whose item is still in the catalog."""
     return attempts.join(entities.select("entity_id"), "entity_id", "left_semi").join(items.select("item_id"), "item_id", "left_semi")
