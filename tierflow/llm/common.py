@@ -5,7 +5,9 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections import defaultdict
 from collections.abc import Iterable, Iterator
+from itertools import count, islice
 
 import numpy as np
 import pyarrow as pa
@@ -91,15 +93,15 @@ class WordHashes:
     """64-bit hashes of words, each hashed once; starts anew after ``most`` different ones."""
 
     def __init__(self, most: int = 1 << 19):
-        self.most, self.ids, self.hashes = most, {}, np.zeros(0, np.uint64)
+        self.most, self.ids, self.hashes = most, defaultdict(count().__next__), np.zeros(0, np.uint64)
 
     def of(self, texts: Iterable[list[bytes]]) -> list[np.ndarray]:
         """Of each list of words their hashes."""
         if len(self.ids) > self.most:
-            self.ids, self.hashes = {}, np.zeros(0, np.uint64)
-        put, known = self.ids.setdefault, len(self.ids)
-        numbers = [np.array([put(w, len(self.ids)) for w in ws], np.int64) for ws in texts]
-        new = list(self.ids)[known:]
+            self.__init__(self.most)
+        number, known = self.ids.__getitem__, len(self.ids)
+        numbers = [np.fromiter(map(number, ws), np.int64, len(ws)) for ws in texts]
+        new = list(islice(reversed(self.ids), len(self.ids) - known))[::-1]
         self.hashes = np.concatenate([self.hashes, np.fromiter(map(xxhash.xxh64_intdigest, new), np.uint64, len(new))])
         return [self.hashes[x] for x in numbers]
 

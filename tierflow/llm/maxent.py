@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -25,33 +26,67 @@ ROUNDS, DAMP, LARGEST = 3, 1.0, 3.0
 SMOOTH = 0.1
 #: A token with at least this share of all training tokens is frequent: 200,000 at most are, whatever the corpus.
 FREQUENT = 5e-6
-#: Distinct words after which a task's vocabulary starts anew, parts of the gradient, bytes of text at once.
-VOCAB, PARTS, BLOCK = 1 << 20, 64, 1 << 19
-END = b"\n"
-
-
-class Vocabulary:
-    """The words that a task has met: number, 64-bit hash and suffix class of each."""
-
-    def __init__(self):
-        self.ids: dict[bytes, int] = {}
-        self.hashes = np.zeros(0, np.uint64)
-        self.suffixes = np.zeros(0, np.int64)
-
-    def numbers(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """Numbers of the tokens of ``texts`` one after another, and how many each has: lowered words, then one end."""
-        put, known = self.ids.setdefault, len(self.ids)
-        out, counts = [], []
-        for text in texts:
-            tokens = text.lower().split()
-            tokens.append(END)
-            out.append(np.array([put(w, len(self.ids)) for w in tokens], np.int64))
-            counts.append(len(tokens))
-        new = list(self.ids)[known:]
-        self.hashes = np.concatenate([self.hashes, np.fromiter(map(xxhash.xxh64_intdigest, new), np.uint64, len(new))])
-        tails = np.fromiter(map(xxhash.xxh32_intdigest, (w[-3:] for w in new)), np.int64, len(new))
-        self.suffixes = np.concatenate([self.suffixes, tails % CLASSES])
-        return np.concatenate(out), np.array(counts, np.int64)
+#: Parts of the gradient, bytes of text and tokens that are worked on at once.
+PARTS, BLOCK, STEP = 64, 1 << 20, 1 << 15
+#: Distinct tokens of blocks that a task holds before it sends their counts.
+HELD = 1 << 21
+#: Of each byte, lower case and whether it is white space; odd multiplier of the hash, and what it makes of each byte.
+LOWER = np.array([b + 32 if 0x41 <= b <= 0x5A else b for b in range(256)], np.uint8)
+SPACE = np.isin(np.arange(256), list(b" \t\n\x0b\x0c\r"))
+FACTOR = 0x9E3779B97F4A7C15
+VALUE = np.array([xxhash.xxh64_intdigest(bytes([b]), 7) for b in range(256)], np.uint64)
+END = np.uint64(xxhash.xxh64_intdigest(b"\n"))
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    return x ^ (x >> np.uint64(29))
+
+
+@lru_cache(maxsize=2)
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first n powers of FACTOR and of its inverse, modulo 2 ** 64."""
+    out = []
+    for x in (FACTOR, pow(FACTOR, -1, 1 << 64)):
+        each = np.full(n, x, np.uint64)
+        each[0] = 1
+        out.append(np.multiply.accumulate(each))
+    return tuple(out)
+
+
+def _words(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start, hash, suffix class) of the words of some bytes. A hash is a sum over the word's bytes of their values times powers of FACTOR, mixed."""
+    low = LOWER[raw]
+    edge = np.diff(np.concatenate([[0], (~SPACE[low]).astype(np.int8), [0]]))
+    start, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+    power, inverse = _powers(1 << max(12, int(len(raw)).bit_length()))
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(VALUE[low] * power[: len(low)], dtype=np.uint64)])
+    h = _mixed((sums[end] - sums[start]) * inverse[start])
+    tail = np.zeros(len(start), np.uint64)
+    for k in (3, 2, 1):
+        tail = tail * np.uint64(256) + np.where(end - k >= start, low[np.maximum(end - k, 0)], 0).astype(np.uint64)
+    return start, h, (_mixed(tail * np.uint64(FACTOR)) >> np.uint64(33)).astype(np.int64) % CLASSES
+
+
+def tokens(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, suffix class, how many each text has) of the tokens of ``texts`` one after another: lowered words, then one end. Long texts are taken up in pieces, cut at white space."""
+    raw = np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)
+    found, at = [], 0
+    while at < len(raw):
+        stop = at + BLOCK
+        while stop < len(raw) and not SPACE[raw[stop - 1]]:
+            spaces = np.flatnonzero(SPACE[raw[stop : stop + BLOCK]])
+            stop += int(spaces[0]) + 1 if len(spaces) else BLOCK
+        start, h, suffix = _words(raw[at:stop])
+        found.append((start + at, h, suffix))
+        at = stop
+    start, h, suffix = (np.concatenate(x) for x in zip(*found, strict=True))
+    doc = np.searchsorted(np.cumsum([len(t) + 1 for t in texts]), start, "right")
+    counts = np.bincount(doc, minlength=len(texts)) + 1
+    place = np.arange(len(h)) + doc
+    out, classes = np.full(len(h) + len(texts), END), np.zeros(len(h) + len(texts), np.int64)
+    out[place], classes[place] = h, suffix
+    return out, classes, counts
 
 
 def marked(docs: DataFrame) -> DataFrame:
@@ -64,21 +99,23 @@ def count_tokens(rows: DataFrame) -> DataFrame:
     """(h, suffix, c): for each distinct token of all texts its hash, suffix class and count in training texts (0 for those only held out)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocab, counts = Vocabulary(), np.zeros(0, np.int64)
+        held, size = [], 0
 
         def out() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(vocab.hashes.view(np.int64)), pa.array(vocab.suffixes), pa.array(counts)], ["h", "suffix", "c"])
+            h, suffix, c = (np.concatenate(x) for x in zip(*held, strict=True))
+            one, first, where = np.unique(h, return_index=True, return_inverse=True)
+            return pa.RecordBatch.from_arrays([pa.array(one.view(np.int64)), pa.array(suffix[first]), pa.array(np.bincount(where, c).astype(np.int64))], ["h", "suffix", "c"])
 
-        for batch in text_blocks(batches, 4 << 20):
-            ids, n = vocab.numbers(as_bytes(batch))
+        for batch in text_blocks(batches, BLOCK):
+            h, suffix, n = tokens(as_bytes(batch))
+            one, first, where = np.unique(h, return_index=True, return_inverse=True)
             train = np.repeat(~batch.column("held_out").to_numpy(zero_copy_only=False), n)
-            more = np.bincount(ids[train], minlength=len(vocab.ids))
-            more[: len(counts)] += counts
-            counts = more
-            if len(vocab.ids) > VOCAB:
+            held.append((one, suffix[first], np.bincount(where, train, len(one))))
+            size += len(one)
+            if size > HELD:
                 yield out()
-                vocab, counts = Vocabulary(), np.zeros(0, np.int64)
-        if len(counts):
+                held, size = [], 0
+        if held:
             yield out()
 
     each = rows.mapInArrow(run, "h long, suffix long, c long")
@@ -124,7 +161,7 @@ class Model:
         return self.__dict__ | {"_tree": None}
 
     def tree(self):
-        """(leaf of each frequent token, leaf of each class' rest, start, node, right, bias)."""
+        """(leaf of each frequent token, leaf of each class' rest, start, and of each decision on the way to a leaf the node's hash, right and bias)."""
         if self._tree is None:
             of = np.concatenate([self.suffixes, np.arange(CLASSES)])
             mass = np.concatenate([self.counts + SMOOTH, self.room])
@@ -132,32 +169,33 @@ class Model:
             place = np.empty(len(of), np.int64)
             place[order] = np.arange(len(of))
             start, node, right, bias = paths(mass[order])
-            self._tree = place[: len(self.common)], place[len(self.common) :], start, node, right.astype(np.int8), bias.astype(np.float32)
+            mark = node.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+            self._tree = place[: len(self.common)], place[len(self.common) :], start, mark, right.astype(np.int8), bias[node].astype(np.float32)
         return self._tree
 
-    def find(self, vocab: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
-        """(number among the frequent tokens or -1, leaf) of each word of ``vocab``."""
+    def find(self, h: np.ndarray, suffix: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(number among the frequent tokens or -1, leaf) of each token."""
         own, rest = self.tree()[:2]
         if not len(self.common):
-            return np.full(len(vocab.hashes), -1), rest[vocab.suffixes]
-        at = np.minimum(np.searchsorted(self.common, vocab.hashes), len(self.common) - 1)
-        here = self.common[at] == vocab.hashes
-        return np.where(here, at, -1), np.where(here, own[at], rest[vocab.suffixes])
+            return np.full(len(h), -1), rest[suffix]
+        one, first, where = np.unique(h, return_index=True, return_inverse=True)
+        at = np.minimum(np.searchsorted(self.common, one), len(self.common) - 1)
+        here = self.common[at] == one
+        return np.where(here, at, -1)[where], np.where(here, own[at], rest[suffix[first]])[where]
 
     def decisions(self, leaf: np.ndarray, seen: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """(token, right, z, first rows, (decision, rows) of the others): all decisions of tokens with these leaves and features (``seen``)."""
-        _, _, start, node, right, bias = self.tree()
+        _, _, start, mark, right, bias = self.tree()
         n = start[leaf + 1] - start[leaf]
         token = np.repeat(np.arange(len(leaf)), n)
         inner = np.arange(len(token)) - np.repeat(np.cumsum(n) - n, n)
-        at = start[leaf][token] + inner
-        on = node[at]
-        mark = on.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        at = np.repeat(start[leaf], n) + inner
+        mark = mark[at]
         shift = np.uint64(64 - self.bits)
         row = lambda f, k: ((((seen[f][token[k]] ^ mark[k]) * np.uint64(0xD6E8FEB86659FD93)) >> shift)).astype(np.int64)
         first, high = row(0, slice(None)), np.flatnonzero(inner < DEEP)
         others = np.stack([row(f, high) for f in range(1, len(seen))])
-        z = bias[on] + self.weights[first]
+        z = bias[at] + self.weights[first]
         z[high] += self.weights[others].sum(0)
         return token, right[at], z, first, (high, others)
 
@@ -184,18 +222,19 @@ def gradient(rows: DataFrame, model: Model) -> tuple[np.ndarray, np.ndarray]:
     size = 1 << model.bits
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m, vocab = sent.value, Vocabulary()
+        m = sent.value
         sums = np.zeros((2, size))
         for batch in text_blocks(batches, BLOCK):
-            if len(vocab.ids) > VOCAB:
-                vocab = Vocabulary()
-            ids, counts = vocab.numbers(as_bytes(batch))
-            _, right, z, first, (high, others) = m.decisions(m.find(vocab)[1][ids], contexts(vocab.hashes[ids], counts))
-            p = 1 / (1 + np.exp(-z))
-            for k, x in enumerate((right - p, p * (1 - p))):
-                sums[k] += np.bincount(first, x, size)
-                for own in others:
-                    sums[k] += np.bincount(own, x[high], size)
+            h, suffix, counts = tokens(as_bytes(batch))
+            leaf, seen = m.find(h, suffix)[1], contexts(h, counts)
+            for i in range(0, len(h), STEP):
+                _, right, z, first, (high, others) = m.decisions(leaf[i : i + STEP], [x[i : i + STEP] for x in seen])
+                p = 1 / (1 + np.exp(-z))
+                for k, x in enumerate((right - p, p * (1 - p))):
+                    x = x.astype(np.float64)  # of the same type, numpy adds fast
+                    np.add.at(sums[k], first, x)
+                    for own in others:
+                        np.add.at(sums[k], own, x[high])
         if not sums.any():
             return
         short = ((sums.astype("<f4").view("<u4") + np.uint32(0x8000)) >> np.uint32(16)).astype("<u2")
@@ -241,22 +280,25 @@ def partial_scores(rows: DataFrame, model: Model) -> DataFrame:
     sent = rows.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m, vocab = sent.value, Vocabulary()
+        m = sent.value
         logs, room = np.append(np.log10(m.counts + SMOOTH), 0.0), np.log10(m.room)
         for batch in text_blocks(batches, BLOCK):
-            if len(vocab.ids) > VOCAB:
-                vocab = Vocabulary()
-            ids, n = vocab.numbers(as_bytes(batch))
+            h, suffix, n = tokens(as_bytes(batch))
             doc = np.repeat(np.arange(len(n)), n)
-            common, leaf = (x[ids] for x in m.find(vocab))
-            token, right, z, _, _ = m.decisions(leaf, contexts(vocab.hashes[ids], n))
-            chosen = np.bincount(doc[token], -np.logaddexp(0, np.where(right, -z, z)), len(n)) / math.log(10)
+            common, leaf = m.find(h, suffix)
+            seen, chosen = contexts(h, n), np.zeros(len(n))
+            for i in range(0, len(h), STEP):
+                token, right, z, _, _ = m.decisions(leaf[i : i + STEP], [x[i : i + STEP] for x in seen])
+                # biases are log odds of counts and weights are bounded, so nothing overflows
+                chosen += np.bincount(doc[i + token], -np.log1p(np.exp(np.where(right, -z, z))), len(n))
             often = common >= 0
-            rest = np.bincount(doc[~often], room[vocab.suffixes[ids[~often]]], len(n))
-            key, times = np.unique(doc[~often] * len(vocab.ids) + ids[~often], return_counts=True)
-            cuts = np.searchsorted(key, np.arange(len(n) + 1) * len(vocab.ids)).astype(np.int32)
-            lists = [pa.ListArray.from_arrays(pa.array(cuts), pa.array(x)) for x in (vocab.hashes[key % len(vocab.ids)].view(np.int64), times.astype(np.int32))]
-            sums = [pa.array(x) for x in (n, np.bincount(doc[often], minlength=len(n)), np.bincount(doc, logs[common], len(n)), chosen - rest)]
+            rest = np.bincount(doc[~often], room[suffix[~often]], len(n))
+            by = np.lexsort((h[~often], doc[~often]))
+            rare, of = h[~often][by], doc[~often][by]
+            at = np.flatnonzero(np.concatenate([[True], (rare[1:] != rare[:-1]) | (of[1:] != of[:-1])])) if len(rare) else np.zeros(0, np.int64)
+            cuts = np.searchsorted(of[at], np.arange(len(n) + 1)).astype(np.int32)
+            lists = [pa.ListArray.from_arrays(pa.array(cuts), pa.array(x)) for x in (rare[at].view(np.int64), np.diff(np.append(at, len(rare))).astype(np.int32))]
+            sums = [pa.array(x) for x in (n, np.bincount(doc[often], minlength=len(n)), np.bincount(doc, logs[common], len(n)), chosen / math.log(10) - rest)]
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in ("row", "doc_id", "held_out")], *sums, *lists], ["row", "doc_id", "held_out", "n_tokens", "n_known", "base", "model", "h", "n"])
 
     return rows.mapInArrow(run, "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, model double, h array<long>, n array<int>")
