@@ -5,9 +5,8 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
-from collections import defaultdict
-from collections.abc import Iterable, Iterator
-from itertools import count, islice
+from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -22,6 +21,13 @@ WORD_TABLE = bytes(
     b + 32 if 0x41 <= b <= 0x5A else b if 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A or b >= 0x80 else 0x20 for b in range(256)
 )
 
+#: Of each byte its lower case, and whether it is white space; odd multiplier of the hash of words, what it makes of each byte, and bytes that are hashed at once.
+LOWER = bytes(b + 32 if 0x41 <= b <= 0x5A else b for b in range(256))
+SPACE = np.isin(np.arange(256), list(b" \t\n\x0b\x0c\r"))
+FACTOR = 0x9E3779B97F4A7C15
+VALUE = np.array([xxhash.xxh64_intdigest(bytes([b]), 7) for b in range(256)], np.uint64)
+PIECE = 1 << 20
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where it is unset and Spark runs in one process."""
@@ -89,21 +95,54 @@ def as_bytes(batch: pa.RecordBatch, column: str = "text") -> list[bytes]:
     return [x or b"" for x in batch.column(column).cast(pa.binary()).to_pylist()]
 
 
-class WordHashes:
-    """64-bit hashes of words, each hashed once; starts anew after ``most`` different ones."""
+def mixed(x: np.ndarray) -> np.ndarray:
+    """64-bit numbers with their bits mixed."""
+    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    return x ^ (x >> np.uint64(29))
+
+
+@lru_cache(maxsize=2)
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first n powers of FACTOR and of its inverse, modulo 2 ** 64."""
+    out = []
+    for x in (FACTOR, pow(FACTOR, -1, 1 << 64)):
+        each = np.full(n, x, np.uint64)
+        each[0] = 1
+        out.append(np.multiply.accumulate(each))
+    return tuple(out)
+
 
-    def __init__(self, most: int = 1 << 19):
-        self.most, self.ids, self.hashes = most, defaultdict(count().__next__), np.zeros(0, np.uint64)
+def _words(low: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start, hash, last three bytes) of the words of some bytes."""
+    edge = np.diff(np.concatenate([[0], (~SPACE[low]).astype(np.int8), [0]]))
+    start, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+    power, inverse = _powers(1 << max(12, len(low).bit_length()))
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(VALUE[low] * power[: len(low)], dtype=np.uint64)])
+    tail = np.zeros(len(start), np.uint64)
+    for k in (3, 2, 1):
+        tail = tail * np.uint64(256) + np.where(end - k >= start, low[np.maximum(end - k, 0)], 0).astype(np.uint64)
+    return start, mixed((sums[end] - sums[start]) * inverse[start]), tail
 
-    def of(self, texts: Iterable[list[bytes]]) -> list[np.ndarray]:
-        """Of each list of words their hashes."""
-        if len(self.ids) > self.most:
-            self.__init__(self.most)
-        number, known = self.ids.__getitem__, len(self.ids)
-        numbers = [np.fromiter(map(number, ws), np.int64, len(ws)) for ws in texts]
-        new = list(islice(reversed(self.ids), len(self.ids) - known))[::-1]
-        self.hashes = np.concatenate([self.hashes, np.fromiter(map(xxhash.xxh64_intdigest, new), np.uint64, len(new))])
-        return [self.hashes[x] for x in numbers]
+
+def hashed_words(texts: list[bytes], table: bytes | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, how many each text has, last three bytes as a number) of the words of ``texts`` one after another.
+
+    Bytes are replaced by ``table`` (A-Z lowered if none is given), and words are what is left between ASCII white space. A hash is the sum of a word's
+    bytes' values times powers of FACTOR, modulo 2 ** 64 and mixed, so that all words are hashed at once. Long texts are taken up in pieces, cut at white space.
+    """
+    raw = np.frombuffer((b"\n".join(texts) + b"\n").translate(table or LOWER), np.uint8)
+    found, at = [], 0
+    while at < len(raw):
+        stop = at + PIECE
+        while stop < len(raw) and not SPACE[raw[stop - 1]]:
+            spaces = np.flatnonzero(SPACE[raw[stop : stop + PIECE]])
+            stop += int(spaces[0]) + 1 if len(spaces) else PIECE
+        start, h, tail = _words(raw[at:stop])
+        found.append((start + at, h, tail))
+        at = stop
+    start, h, tail = (np.concatenate(x) for x in zip(*found, strict=True))
+    doc = np.searchsorted(np.cumsum([len(t) + 1 for t in texts]), start, "right")
+    return h, np.bincount(doc, minlength=len(texts)), tail
 
 
 def texts_of(df: DataFrame, key: str = "doc_id", text: str = "text", extra: dict[str, Column] | None = None) -> DataFrame:

@@ -7,11 +7,10 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WORD_TABLE, WordHashes, as_bytes, settled, text_blocks, texts_of, written
+from .common import WORD_TABLE, as_bytes, hashed_words, settled, text_blocks, texts_of, written
 
 #: Consecutive item words that count as a leak.
 WINDOW = 10
@@ -52,7 +51,7 @@ class Queries:
             _, first = np.unique(np.column_stack([self.words, self.owner]), axis=0, return_index=True)
             self.words, self.owner = self.words[first], self.owner[first]
         self.length = (self.words >= 0).sum(1).astype(np.int32)
-        hashes = np.fromiter(map(xxhash.xxh64_intdigest, vocab), np.uint64, len(vocab)).view(np.int64)
+        hashes = hashed_words([b" ".join(vocab)], WORD_TABLE)[0].view(np.int64)
         self.by_hash = np.argsort(hashes)
         self.terms = hashes[self.by_hash]
 
@@ -85,15 +84,14 @@ def build_index(docs: DataFrame, gap: int = WINDOW, shard_bytes: int = SHARD_BYT
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = WordHashes()
         for batch in text_blocks(batches, shard_bytes):
-            found = known.of(words(text) for text in as_bytes(batch))
-            n = np.array([len(x) for x in found], np.int64)
+            hashes, n, _ = hashed_words(as_bytes(batch), WORD_TABLE)
+            hashes = hashes.view(np.int64)
             starts = np.cumsum(n + gap) - n - gap
-            hashes = np.concatenate(found).view(np.int64)
             at = np.arange(len(hashes)) + np.repeat(np.arange(len(n)) * gap, n)
             order = np.argsort(hashes, kind="stable")
-            terms, counts = np.unique(hashes, return_counts=True)
+            at_term = np.flatnonzero(np.diff(hashes[order], prepend=hashes[order][:1] - 1)) if len(order) else order
+            terms, counts = hashes[order][at_term], np.diff(np.append(at_term, len(order)))
             one = {
                 "rows": batch.column("row").to_pylist(), "doc_ids": batch.column("doc_id").to_pylist(), "n_words": n.astype(np.int32), "starts": starts.astype(np.int32),
                 "terms": terms, "counts": counts.astype(np.int32), "postings": at[order].astype(np.int32).tobytes(),

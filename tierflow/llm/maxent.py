@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -12,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import as_bytes, text_blocks, texts_of, written
+from .common import as_bytes, hashed_words, mixed, text_blocks, texts_of, written
 
 #: Word classes, by a hash of a word's last three bytes.
 CLASSES = 40
@@ -30,63 +29,16 @@ FREQUENT = 5e-6
 PARTS, BLOCK, STEP = 64, 1 << 20, 1 << 15
 #: Distinct tokens of blocks that a task holds before it sends their counts.
 HELD = 1 << 21
-#: Of each byte, lower case and whether it is white space; odd multiplier of the hash, and what it makes of each byte.
-LOWER = np.array([b + 32 if 0x41 <= b <= 0x5A else b for b in range(256)], np.uint8)
-SPACE = np.isin(np.arange(256), list(b" \t\n\x0b\x0c\r"))
-FACTOR = 0x9E3779B97F4A7C15
-VALUE = np.array([xxhash.xxh64_intdigest(bytes([b]), 7) for b in range(256)], np.uint64)
 END = np.uint64(xxhash.xxh64_intdigest(b"\n"))
 
 
-def _mixed(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-    return x ^ (x >> np.uint64(29))
-
-
-@lru_cache(maxsize=2)
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The first n powers of FACTOR and of its inverse, modulo 2 ** 64."""
-    out = []
-    for x in (FACTOR, pow(FACTOR, -1, 1 << 64)):
-        each = np.full(n, x, np.uint64)
-        each[0] = 1
-        out.append(np.multiply.accumulate(each))
-    return tuple(out)
-
-
-def _words(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(start, hash, suffix class) of the words of some bytes. A hash is a sum over the word's bytes of their values times powers of FACTOR, mixed."""
-    low = LOWER[raw]
-    edge = np.diff(np.concatenate([[0], (~SPACE[low]).astype(np.int8), [0]]))
-    start, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-    power, inverse = _powers(1 << max(12, int(len(raw)).bit_length()))
-    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(VALUE[low] * power[: len(low)], dtype=np.uint64)])
-    h = _mixed((sums[end] - sums[start]) * inverse[start])
-    tail = np.zeros(len(start), np.uint64)
-    for k in (3, 2, 1):
-        tail = tail * np.uint64(256) + np.where(end - k >= start, low[np.maximum(end - k, 0)], 0).astype(np.uint64)
-    return start, h, (_mixed(tail * np.uint64(FACTOR)) >> np.uint64(33)).astype(np.int64) % CLASSES
-
-
 def tokens(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(hash, suffix class, how many each text has) of the tokens of ``texts`` one after another: lowered words, then one end. Long texts are taken up in pieces, cut at white space."""
-    raw = np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)
-    found, at = [], 0
-    while at < len(raw):
-        stop = at + BLOCK
-        while stop < len(raw) and not SPACE[raw[stop - 1]]:
-            spaces = np.flatnonzero(SPACE[raw[stop : stop + BLOCK]])
-            stop += int(spaces[0]) + 1 if len(spaces) else BLOCK
-        start, h, suffix = _words(raw[at:stop])
-        found.append((start + at, h, suffix))
-        at = stop
-    start, h, suffix = (np.concatenate(x) for x in zip(*found, strict=True))
-    doc = np.searchsorted(np.cumsum([len(t) + 1 for t in texts]), start, "right")
-    counts = np.bincount(doc, minlength=len(texts)) + 1
-    place = np.arange(len(h)) + doc
+    """(hash, suffix class, how many each text has) of the tokens of ``texts`` one after another: lowered words, then one end."""
+    h, counts, tail = hashed_words(texts)
+    place = np.arange(len(h)) + np.repeat(np.arange(len(texts)), counts)
     out, classes = np.full(len(h) + len(texts), END), np.zeros(len(h) + len(texts), np.int64)
-    out[place], classes[place] = h, suffix
-    return out, classes, counts
+    out[place], classes[place] = h, (mixed(tail * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)).astype(np.int64) % CLASSES
+    return out, classes, counts + 1
 
 
 def marked(docs: DataFrame) -> DataFrame:
