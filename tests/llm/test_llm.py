@@ -455,6 +455,11 @@ def test_tree_of_words():
     assert np.exp(np.bincount(token, -np.logaddexp(0, np.where(right, -z, z)))).sum() == pytest.approx(1)
 
 
+def test_near_copies_of_texts_without_words(spark):
+    docs = spark.createDataFrame([(3, ""), (5, None), (9, " \n")], "doc_id long, text string")
+    assert {tuple(r) for r in similar.near_copies(docs).collect()} == {(5, 3), (9, 3)}
+
+
 def test_odd_rows(spark, odd):
     assert decontaminate.decontaminate(odd, odd.selectExpr("doc_id item_id", "text", "size")).count() == suffixes.drop_repeats(odd).count() == simhash.near_duplicates(odd).count() == len(ODD)
     sizes = {r.doc_id: r.size for r in mixing.mix(odd).collect()}

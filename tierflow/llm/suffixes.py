@@ -1,6 +1,7 @@
 """Removal of repeated byte strings: sorted suffixes of shards, merged by interleave refinement.
 
-A suffix is only taken up at anchors: of every LENGTH-byte string the place of its smallest GRAM-byte hash, which depends
+The dealt method, merging the Burrows-Wheeler transforms of shards turn by turn, is replaced (the README has figures): each turn passes over all symbols, and
+a hundred are needed. What is kept of it is the interleave that is refined and whose turns give common prefixes and intervals. A suffix is only taken up at anchors: of every LENGTH-byte string the place of its smallest GRAM-byte hash, which depends
 on that string's bytes alone, so equal strings have their anchor at the same offset. For each anchor a shard
 sends the bytes to its right (its suffix) and those to its left (what the Burrows-Wheeler transform has before
 the suffix, further than one symbol), as far as strings with this anchor reach. The sequences of all shards are
@@ -19,7 +20,8 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import as_bytes, text_blocks, texts_of, written
+from .common import as_bytes, key_runs, text_blocks, texts_of
+from .keys import KEY, answers, bucket_bits, sent_keys, shared_keys
 
 #: Bytes of a repeated string, and of the gram at its anchor.
 LENGTH, GRAM = 100, 16
@@ -87,30 +89,36 @@ def anchors(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
-def found_grams(rows: DataFrame) -> DataFrame:
-    """(row, g, twice): the different grams at the anchors of each text, and whether a text has one at several anchors."""
+def gram_counts(texts: list[bytes]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Of each text the different grams at its anchors, and how many anchors each has."""
+    out = []
+    pos, _, _, g = anchors(texts)
+    cuts = np.searchsorted(pos, np.cumsum([0, *map(len, texts)]))
+    for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+        out.append(np.unique(g[a:b], return_counts=True))
+    return out
+
+
+def shared_grams(rows: DataFrame, size: int) -> DataFrame:
+    """(row, grams): of each text the keys of its grams that stand at two anchors or more, there or elsewhere; texts without one are left out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in text_blocks(batches, BLOCK):
-            texts = as_bytes(batch)
-            pos, _, _, g = anchors(texts)
-            doc = np.searchsorted(np.cumsum([len(t) for t in texts]), pos, "right")
-            order = np.lexsort((g, doc))
-            doc, g = doc[order], g[order]
-            first = np.concatenate([[True], (doc[1:] != doc[:-1]) | (g[1:] != g[:-1])]) if len(g) else np.zeros(0, bool)
-            at = np.flatnonzero(first)
-            twice = np.diff(np.append(at, len(g))) > 1
-            row = batch.column("row").to_numpy()[doc[at]]
-            yield pa.RecordBatch.from_arrays([pa.array(row), pa.array(g[at].view(np.int64)), pa.array(twice)], ["row", "g", "twice"])
+        for group in key_runs(batches, "chunk"):
+            ids, _, doc, key, _ = answers(group)
+            order = np.argsort(doc, kind="stable")
+            some, first = np.unique(doc[order], return_index=True)
+            cuts = np.append(first, len(doc)).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(ids[some]), pa.ListArray.from_arrays(pa.array(cuts), pa.array(key[order].view(np.int64)))], ["row", "grams"])
 
-    return rows.select("row", "text").mapInArrow(run, "row long, g long, twice boolean")
+    replies = shared_keys(sent_keys(rows, gram_counts, bucket_bits(size)))
+    return replies.repartition("chunk").sortWithinPartitions("chunk").mapInArrow(run, "row long, grams array<long>")
 
 
 MEMBER = "g long, doc_id long, row long, at long, least int, left binary, right binary"
 
 
-def members(rows: DataFrame) -> DataFrame:
-    """For each text of ``rows`` (row, doc_id, text, grams) the contexts of its anchors whose gram is in ``grams``.
+def members(rows: DataFrame, bits: int) -> DataFrame:
+    """For each text of ``rows`` (row, doc_id, text, grams) the contexts of its anchors whose gram's key, of ``bits`` bits, is in ``grams``.
 
     Of equal contexts that a task meets, those after the first in (doc_id, row, position) are repeated for certain: they go on as
     spans (``right`` null, from ``at`` for ``least`` bytes) under a random group, so that a group has about one member of many copies for each task.
@@ -122,7 +130,7 @@ def members(rows: DataFrame) -> DataFrame:
             texts = as_bytes(batch)
             raw, ends = b"".join(texts), np.cumsum([len(t) for t in texts])
             pos, least, most, g = anchors(texts)
-            keep = np.isin(g, batch.column("grams").flatten().to_numpy().view(np.uint64))
+            keep = np.isin(g >> np.uint64(64 - bits), batch.column("grams").flatten().to_numpy().view(np.uint64))
             pos, least, most, g = pos[keep], least[keep], most[keep], g[keep].view(np.int64)
             doc = np.searchsorted(ends, pos, "right")
             begin = np.concatenate([[0], ends])[doc]
@@ -252,11 +260,9 @@ def drop_repeats(docs: DataFrame) -> DataFrame:
     has to give its rows in the same order each time, as a table that is read from files does.
     """
     rows = texts_of(docs, extra={"row": F.monotonically_increasing_id()})
-    found = written(found_grams(rows))
-    shared = found.groupBy("g").agg(F.count("*").alias("n"), F.max("twice").alias("twice")).filter("n > 1 or twice").select("g")
-    # joined from the side of the texts, so that Spark can split a gram that very many of them have
-    wanted = found.join(shared, "g", "left_semi").groupBy("row").agg(F.collect_list("g").alias("grams"))
-    spans = repeated_spans(members(rows.join(wanted, "row")))
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    wanted = shared_grams(rows.select(F.col("row").alias("doc_id"), "text"), size)
+    spans = repeated_spans(members(rows.join(wanted, "row"), KEY + bucket_bits(size)))
     spans = spans.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("spans"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
