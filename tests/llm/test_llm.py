@@ -455,6 +455,50 @@ def test_tree_of_words():
     assert np.exp(np.bincount(token, -np.logaddexp(0, np.where(right, -z, z)))).sum() == pytest.approx(1)
 
 
+MIT = """MIT License  Copyright (c) 2024 Some One
+
+Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including
+without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the
+following conditions:
+The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT
+SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR
+OTHER DEALINGS IN THE SOFTWARE."""
+
+
+def filled(tree, rng, optional):
+    """A text of a template, with each optional region by chance and replaceable ones filled."""
+    out = []
+    for x in tree:
+        if isinstance(x, list):
+            out += filled(x, rng, optional) if rng.random() < optional else []
+        elif isinstance(x, tuple):
+            pick = x[1].split("|") if x[1] and "|" in x[1] else ["2024"] if x[1] else ["some", "person", "7"]
+            out += [str(w) for w in rng.choice(pick, int(rng.integers(1, x[0] + 1)))]
+        else:
+            out.append(x)
+    return out
+
+
+def test_license_texts(spark):
+    rng = np.random.default_rng(6)
+    texts = [MIT, MIT.replace("free of charge", "for a fee"), MIT.replace("THE AUTHORS OR COPYRIGHT HOLDERS", "Acme Inc."), MIT.replace("sublicense, and/or", "and")]
+    names = list(license.TEMPLATES)
+    made = [" ".join(filled(license.parse(license.TEMPLATES[n]), rng, p)) for n in names for p in (0.0, 0.5, 1.0)]
+    docs = spark.createDataFrame(list(enumerate(texts + made)), "doc_id long, text string")
+    got = {r.doc_id: {m.label for m in r.matches if m.template} for r in license.scan(docs).collect()}
+    assert "MIT" in got[0] and "MIT" in got[2] and "MIT" not in got[1] | got[3]
+    for i, n in enumerate(names * 3):
+        assert names[i // 3] in got[len(texts) + i]
+    # a word of the mandatory wording changed
+    for n in names:
+        tree = license.parse(license.TEMPLATES[n])
+        words = filled(tree, rng, 0.0)
+        at = max(i for i, w in enumerate(words) if w in tree and w not in ("some", "person", "7", "2024"))
+        words[at] = "elsewhat"
+        assert license.Automaton(license.TEMPLATES[n]).match([w.encode() for w in words], 0) == -1
+
+
 def test_near_copies_of_texts_without_words(spark):
     docs = spark.createDataFrame([(3, ""), (5, None), (9, " \n")], "doc_id long, text string")
     assert {tuple(r) for r in similar.near_copies(docs).collect()} == {(5, 3), (9, 3)}

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from .common import as_bytes, text_blocks, texts_of
 from .decontaminate import words
+from .templates import TEXTS
 
 #: Phrases and their labels (fixed by the contract of operator 2).
 PHRASES = {"gnu general public license": "gpl", "apache license": "apache", "cc by": "cc-by", "mit license": "mit"}
@@ -27,13 +28,14 @@ TEMPLATES = {
     "cc-by-nc-notice": "[[this work is]] licensed under [[a]] [[creative commons]] cc by nc {{version:2:[0-9]+}} [[international]] [[license]]",
     "bsd-notice": "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met",
     "copyright-all-rights": "copyright [[c]] {{year:1:[0-9]{4}}} {{holder:6}} all rights reserved",
+    **TEXTS,
 }
 
 
 def parse(markup: str) -> list:
-    """The template as a list of words, nested lists (optional regions) and (most, pattern) pairs (replaceable ones)."""
+    """The template as a list of words, as texts are split into them, nested lists (optional regions) and (most, pattern) pairs (replaceable ones)."""
     stack: list[list] = [[]]
-    for part in re.findall(r"\[\[|\]\]|\{\{.*?\}\}+|[^\s\[\]{}]+", markup):
+    for part in re.findall(r"\[\[|\]\]|\{\{.*?\}\}+|[^\[\]{}]+", markup):
         if part == "[[":
             stack.append([])
         elif part == "]]":
@@ -43,7 +45,7 @@ def parse(markup: str) -> list:
             _, most, *pattern = part[2:-2].split(":", 2)
             stack[-1].append((int(most), pattern[0] if pattern else None))
         else:
-            stack[-1].append(part)
+            stack[-1] += [w.decode() for w in words(part.encode())]
     if len(stack) != 1:
         raise ValueError(f"an optional region isn't closed in {markup!r}")
     return stack[0]
@@ -134,7 +136,8 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, phrases: dict
     if its mandatory words stand exactly as written, with any optional region left out and any replaceable one filled;
     of a start the longest run counts, and of nested runs of one template the outermost. Positions are words from 0, end exclusive.
     Documents aren't shuffled, whole texts are read, and an automaton only runs where its first words stand, in documents
-    with all its mandatory words. Null, empty and wordless texts have no words and no matches.
+    with all its mandatory words; a run ends at the first word that doesn't fit, so a text takes its words times a template's length at most. Null, empty and wordless
+    texts have no words and no matches. Repeated rows each get theirs, an empty table gives an empty result, other columns play no part.
     """
     templates = TEMPLATES if templates is None else templates
     phrases = PHRASES if phrases is None else phrases
@@ -186,7 +189,7 @@ def op2_license(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def as_regex(tree: list) -> str:
     """The parsed template as a regular expression over words that each follow a space."""
-    part = lambda x: f"(?:{as_regex(x)})?" if isinstance(x, list) else f"(?: {x[1] or '[^ ]+'}){{1,{x[0]}}}" if isinstance(x, tuple) else f" {x}"
+    part = lambda x: f"(?:{as_regex(x)})?" if isinstance(x, list) else f"(?: (?:{x[1] or '[^ ]+'})){{1,{x[0]}}}" if isinstance(x, tuple) else f" {x}"
     return "".join(map(part, tree))
 
 
