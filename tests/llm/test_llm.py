@@ -590,3 +590,69 @@ def test_hash_of_kept_bytes(spark):
     got = {r.doc_id: hashlib.sha256(bytes(r.kept)).hexdigest() for r in suffixes.drop_repeats(rows).collect()}
     # 160 bytes: every later 100-byte string that starts at an even offset has come before
     assert got[2] == hashlib.sha256(b"").hexdigest()
+
+
+def plain_pipeline(rows, items):
+    """The rows that the pipeline gives, by plain loops: (doc_id, text, source, times)."""
+    kept = []
+    for r in rows:
+        w = (r["text"] or "").encode().split()
+        if len(w) < 50:
+            continue
+        triples = collections.Counter(zip(w, w[1:], w[2:], strict=False))
+        twice = {k for i in range(len(w) - 2) if triples[tuple(w[i : i + 3])] > 1 for k in range(i, i + 3)}
+        runs = longest_runs(w)
+        covered = {k for i, n in enumerate(runs) if n >= quality.LEAST for k in range(i, i + n)}
+        longest = max((n for n in runs if n >= quality.LEAST), default=0)
+        if 100 * len(twice) <= 50 * len(w) and len(covered) / len(w) <= quality.COVERED and longest <= quality.LONGEST * len(w):
+            kept.append(r)
+    roots = near_roots([r["text"] for r in kept])
+    kept = [r for i, r in enumerate(kept) if roots[i] == i]
+    words = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").translate(LOW))
+    windows = {tuple(w[i : i + min(10, len(w))]) for w in map(words, items) if w for i in range(len(w) - min(10, len(w)) + 1)}
+    hit = lambda w: any(tuple(w[i : i + n]) in windows for n in {len(x) for x in windows} for i in range(len(w)))
+    kept = [r for r in kept if not hit(words(r["text"]))]
+    size = lambda r: len((r["text"] or "").encode().split())
+    sizes = collections.Counter()
+    for r in kept:
+        sizes[r["source"]] += size(r)
+    order = sorted(sizes, key=lambda x: (x is None, x or ""))
+    weight = {s: (1, 2, 3)[i % 3] for i, s in enumerate(order)}
+    room, full = sum(sizes.values()), {}
+    while True:  # what is over goes to the others by weight, until none is above
+        open_ = [s for s in order if s not in full]
+        level = (room - sum(full.values())) / max(1, sum(weight[s] for s in open_))
+        over = {s: 3 * sizes[s] for s in open_ if level * weight[s] > 3 * sizes[s]}
+        if not over:
+            break
+        full |= over
+    out = collections.Counter()
+    for r in kept:
+        s = r["source"]
+        rate = full.get(s, level * weight[s]) / sizes[s]
+        key = "" if r["doc_id"] is None else str(r["doc_id"])
+        part = int(hashlib.md5(f"{mixing.SEED}:{key}".encode()).hexdigest()[:13], 16) / float(1 << 52)
+        out[(r["doc_id"], r["text"], s, r["size"], r["row"])] += math.floor(rate) + (part < rate - math.floor(rate))
+    return +out
+
+
+@pytest.mark.parametrize("empty", [False, True])
+def test_pipeline_brute_force(spark, tmp_path, empty):
+    """Nulls, repeated rows, ties, an empty table, and columns with the names that stages use."""
+    rng = np.random.default_rng(9)
+    text = lambda n=80: " ".join(f"w{x}" for x in rng.integers(0, 2000, n))
+    items = [text(12), text(4), None, ""]
+    rows, base = [], [text() for _ in range(14)]
+    for i, t in enumerate(base):
+        w = t.split()
+        w[int(rng.integers(0, 80))] = "other"
+        rows += [(i, t, f"s{i % 4}"), (100 + i, " ".join(w), f"s{i % 3}")] + ([(i, t, f"s{i % 4}")] if i % 5 == 0 else [])
+    rows += [(200 + i, text(200), None if i % 2 else "s9") for i in range(6)] + [(None, text(), "s1"), (None, text(), "s1"), (300, None, "s1"), (301, "", None), (302, "short text", "s2")]
+    rows += [(400, f"{text(60)} {items[0]}", "s2"), (401, f"{text(60)} {items[1]} {text(9)}", "s2"), (402, " ".join([text(11)] * 7), "s1"), (403, "x " * 300, "s1")]
+    rows = [] if empty else [dict(zip(("doc_id", "text", "source", "size", "copies", "row", "shard"), (*r, i, "own", -i, None), strict=True)) for i, r in enumerate(rows)]
+    spark.createDataFrame(rows, "doc_id long, text string, source string, size long, copies string, row long, shard string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(None if i == 1 else i, t) for i, t in enumerate(items)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    want = plain_pipeline(rows, items)
+    assert collections.Counter((r.doc_id, r.text, r.source, r["size"], r.row) for r in got) == want
+    assert all(r.shard == "" and r.copies == "own" for r in got) and (empty or len(want) > 15)
