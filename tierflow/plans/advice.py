@@ -134,7 +134,17 @@ def _(s, d):
     return out.select("entity_id", "mode", "item_id", "place", "level", *six("estimate", "expected", "gain"), "score", "grade", "medal", "from_archive", "confidence")
 
 
-@query("m20_group_candidates")
+_goal = "CASE CAST(floor(continuous + 1e-9) AS INTEGER) " + " ".join(f"WHEN {k} THEN '{g}'" for k, g in P.GROUP_GOALS.items()) + " END"
+_least = "CASE ladder_grade " + " ".join(f"WHEN '{g}' THEN {b}" for b, g, _ in P.GRADE_BANDS) + " END"
+_worth = lambda grade: f"floor((120.0::DOUBLE - 0.8::DOUBLE * {rg._map(grade, rg._pen | P.DOUBLE_PENALTIES)} + 0.16::DOUBLE * {float(dict((n, u) for n, _, u in P.MEDALS)[P.GROUP_MEDAL])!r}::DOUBLE + 1e-9::DOUBLE) * 100) / 100.0::DOUBLE"
+
+
+@query("m20_group_candidates", ts.FITTED + GOALS + f""", la AS (SELECT i.item_id, i.title, continuous, {_goal} AS ladder_grade FROM gp JOIN items i USING (item_id)), lb AS (SELECT *, {_least} AS ladder_score FROM la),
+    ca AS (SELECT CAST(s_suppkey AS VARCHAR) AS entity_id, lb.* FROM supplier, lb), cb AS (SELECT ca.*, goal_score, go.goal_grade, gm.rating AS existing, goal_score IS NOT NULL AND (ladder_score IS NULL OR goal_score > ladder_score) AS own
+      FROM ca LEFT JOIN go USING (entity_id, item_id) LEFT JOIN gm ON gm.source = 'current' AND gm.entity_id = ca.entity_id AND gm.item_id = ca.item_id),
+    cd AS (SELECT *, CASE WHEN own THEN goal_score ELSE ladder_score END AS score, CASE WHEN own THEN goal_grade ELSE ladder_grade END AS grade FROM cb), ce AS (SELECT *, {_worth("grade")} AS expected FROM cd WHERE grade IS NOT NULL),
+    cg AS (SELECT *, greatest(0.0::DOUBLE, round(expected - coalesce(existing, 0), 2)) AS gain FROM ce)
+    SELECT entity_id, item_id, CAST(row_number() OVER (PARTITION BY entity_id ORDER BY gain DESC, continuous, expected DESC, lower(title), item_id) AS INTEGER) AS place, score, grade, {r6("expected", "gain")} FROM cg QUALIFY place <= 50""")
 def _(s, d):
     from ..operators import group_mode as gm
 

@@ -168,7 +168,50 @@ def _(s, d):
     return gm.calibrated(gm.signals(rows, [0.0, 0.0, 0.0, 0.0])).select("item_id", *six("continuous"))
 
 
-@query("m8_group_difficulty")
+def _eliminated() -> str:
+    """Steps that solve the four equations of the sums in ``sm``: cf (b1, b2, b3, b4); a term without spread gets zero."""
+    steps, names = "", [f"a{i}{j}" for i in range(1, 5) for j in range(1, 6)]
+    last = "sm"
+    for k in range(1, 4):
+        cells = [f"CASE WHEN a{k}{k} > 1e-12 THEN a{i}{j} - a{i}{k} / a{k}{k} * a{k}{j} ELSE a{i}{j} END AS a{i}{j}" if i > k else f"a{i}{j}" for i in range(1, 5) for j in range(1, 6)]
+        steps += f", e{k} AS (SELECT {', '.join(cells)} FROM {last})"
+        last = f"e{k}"
+    for k in range(4, 0, -1):
+        known = "".join(f" - a{k}{j} * b{j}" for j in range(k + 1, 5))
+        steps += f", f{k} AS (SELECT *, CASE WHEN a{k}{k} > 1e-12 THEN (a{k}5{known}) / a{k}{k} ELSE 0 END AS b{k} FROM {last})"
+        last = f"f{k}"
+    assert len(names) == 20
+    return f"{steps}, cf AS (SELECT b1, b2, b3, b4 FROM {last})"
+
+
+_terms = ("x1", "x2", "x3", "x4")
+_sums = ", ".join(f"sum({_terms[i]} * {(*_terms, 'y')[j]}) AS a{i + 1}{j + 1}" for i in range(4) for j in range(5))
+_own = COMBINED.split(",\n    ")
+FITTED = (
+    GROUPS
+    + f""", hb AS (SELECT * FROM attempts WHERE value > 0 AND NOT is_broken AND mode = 'CoOp' QUALIFY row_number() OVER (PARTITION BY source, entity_id, item_id ORDER BY value DESC NULLS LAST, score DESC NULLS LAST, recorded_at DESC NULLS LAST, seq) = 1),
+    {_own[1].replace("nz AS", "hz AS", 1).replace("FROM sb b", "FROM hb b")},
+    {_own[2].replace("nv AS", "hv AS", 1).replace("FROM nz", "FROM hz")},
+    hm AS (SELECT source, entity_id, avg(value) AS ability FROM (SELECT *, row_number() OVER (PARTITION BY source, entity_id ORDER BY value DESC, item_id, seq) AS r FROM hv) WHERE r <= 20 GROUP BY ALL HAVING count(*) = 20),
+    hp AS (SELECT source, entity_id, CASE WHEN count(*) OVER s = 1 THEN 0.5::DOUBLE ELSE (rank() OVER (PARTITION BY source ORDER BY ability) - 1 + (count(*) OVER (PARTITION BY source, ability) - 1) / 2) / (count(*) OVER s - 1) END AS p FROM hm WINDOW s AS (PARTITION BY source)),
+    dg AS (SELECT gm.*, coalesce(o.p, q.p, 0.5::DOUBLE) - 0.5 AS x1, CASE WHEN gm.source = 'current' THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS x4, ln(1 + 1e6::DOUBLE - score) AS y
+      FROM gm LEFT JOIN hp o ON o.source = gm.source AND o.entity_id = gm.entity_id LEFT JOIN hp q ON q.source <> gm.source AND q.entity_id = gm.entity_id),
+    dt AS (SELECT *, x1 * x1 AS x2, x1 * x1 * x1 AS x3 FROM dg),
+    dc AS (SELECT {", ".join(f"{x} - avg({x}) OVER (PARTITION BY item_id) AS {x}" for x in (*_terms, "y"))} FROM dt),
+    sm AS (SELECT {_sums} FROM dc)"""
+    + _eliminated()
+    + """, sg AS (SELECT item_id, quantile_cont(y - b1 * x1 - b2 * x2 - b3 * x3 - b4 * x4 + b4, 0.25) AS signal, count(*) AS support, count(*) FILTER (source = 'archive') AS archive_n, count(*) FILTER (source = 'current') AS current_n FROM dt, cf GROUP BY item_id),
+    oo AS (SELECT *, row_number() OVER (ORDER BY signal, item_id) AS r, count(*) OVER () AS n FROM sg),
+    en AS (SELECT min(signal) AS lo, max(signal) FILTER (r = (n + 1) // 2) AS un, max(signal) FILTER (r = n // 2 + 1) AS ov, max(signal) AS hi FROM oo),
+    cn AS (SELECT sg.*, greatest(10, least(24.9, CASE WHEN lo = hi THEN 16 WHEN signal <= un THEN CASE WHEN un > lo THEN 10 + 6 * (signal - lo) / (un - lo) ELSE 16 END WHEN signal <= ov THEN 16 WHEN hi > ov THEN 16 + 8.9 * (signal - ov) / (hi - ov) ELSE 16 END)) AS continuous FROM sg, en),
+    tq AS (SELECT item_id, score, grade, medal FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score, rating, entity_id, source) AS r, count(*) OVER (PARTITION BY item_id) AS m FROM gm) WHERE r = ceil(0.75::DOUBLE * m)),
+    gp AS (SELECT cn.*, score, grade, medal, row_number() OVER (ORDER BY continuous, signal, score DESC, item_id) AS mode_rank, count(*) OVER () AS n FROM cn JOIN tq USING (item_id))"""
+)
+
+
+@query("m8_group_difficulty", FITTED + f""" SELECT i.item_id, i.level || 'x' AS folder, coalesce(support, 0) AS support, coalesce(archive_n, 0) AS archive_n, coalesce(current_n, 0) AS current_n, {rg._status("coalesce(support, 0)")} AS status,
+    {r6("signal", "continuous")}, round((mode_rank - 0.5::DOUBLE) / n + 1e-9, 6) AS percentile, CAST(floor(continuous + 1e-9) AS INTEGER) AS estimate, CAST(mode_rank AS INTEGER) AS mode_rank, score, grade, medal
+    FROM items i LEFT JOIN gp USING (item_id) WHERE i.mode = 'CoOp' AND i.level BETWEEN 2 AND 5""")
 def _(s, d):
     out = gm.difficulty(groups(s, d), abilities(s, d), tb.items(s, d))
     return out.select("item_id", "folder", "support", "archive_n", "current_n", "status", *six("signal", "continuous", "percentile"), "estimate", "mode_rank", "score", "grade", "medal")
