@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,7 +17,7 @@ WINDOW = 10
 NEAR_TERMS, NEAR_SPAN = 4, 20
 #: Bytes of text in one shard of the index, and of benchmark text that is searched (and broadcast) at once; a larger
 #: benchmark is searched block by block. Words of an item's segment, of which a longer item has several.
-SHARD_BYTES, QUERY_BYTES, SEGMENT = 4 << 20, 4 << 20, 4096
+SHARD_BYTES, QUERY_BYTES, SEGMENT = 2 << 20, 4 << 20, 4096
 #: Candidate places that are held at once while lists are intersected.
 CANDIDATES = 1 << 20
 
@@ -184,19 +183,18 @@ def search(index: DataFrame, queries: Queries) -> DataFrame:
     """
     sent = index.sparkSession.sparkContext.broadcast(queries)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         q = sent.value
         for batch in batches:
-            for x in batch.itertuples(index=False):
-                starts = np.asarray(x.starts, np.int64)
-                n = np.asarray(x.n_words, np.int64)
-                out = pd.DataFrame({"row": list(x.rows), "doc_id": pd.array(list(x.doc_ids), dtype="Int64"), "n_words": n})
-                for c in ("starts", "ends", "items", "near"):
-                    out[c] = [[] for _ in range(len(out))]
-                terms, at = np.asarray(x.terms, np.int64), np.frombuffer(x.postings, np.int32)
+            for k in range(batch.num_rows):
+                cell = {c: batch.column(c)[k] for c in batch.schema.names}
+                rows, doc_ids = cell["rows"].values, cell["doc_ids"].values
+                starts, n = (cell[c].values.to_numpy().astype(np.int64) for c in ("starts", "n_words"))
+                terms, at = cell["terms"].values.to_numpy(), np.frombuffer(cell["postings"].as_py(), np.int32)
+                found = {c: [[] for _ in range(len(n))] for c in ("starts", "ends", "items", "near")}
                 if len(at) and len(q.words):
                     # keys of neighbouring lists are farther apart than any offset or distance
-                    lists = Lists(np.asarray(x.counts, np.int64), at, int(starts[-1] + n[-1] + q.words.shape[1] + NEAR_SPAN + 1))
+                    lists = Lists(cell["counts"].values.to_numpy().astype(np.int64), at, int(starts[-1] + n[-1] + q.words.shape[1] + NEAR_SPAN + 1))
                     slot = q.slots(terms)
                     doc_of = lambda p, s=starts: np.searchsorted(s, p, "right") - 1
                     win, start = lists.phrases(q, slot)
@@ -206,16 +204,17 @@ def search(index: DataFrame, queries: Queries) -> DataFrame:
                     edge = np.diff(np.concatenate([[0], (np.cumsum(delta) > 0).astype(np.int8)]))
                     begin, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
                     for b, e, d in zip(begin, end, doc_of(begin), strict=True):
-                        out.at[d, "starts"].append(int(b - starts[d]))
-                        out.at[d, "ends"].append(int(e - starts[d]))
+                        found["starts"][d].append(int(b - starts[d]))
+                        found["ends"][d].append(int(e - starts[d]))
                     item, place = lists.close(q, slot)
-                    for c, at, own in (("items", start, q.owner[win]), ("near", place, item)):
-                        for d, k in np.unique(np.column_stack([doc_of(at), own]), axis=0):
-                            if q.items[k] is not None:
-                                out.at[d, c].append(q.items[k])
-                yield out
-
-    return index.mapInPandas(run, HITS)
+                    for c, where, own in (("items", start, q.owner[win]), ("near", place, item)):
+                        for d, i in np.unique(np.column_stack([doc_of(where), own]), axis=0):
+                            if q.items[i] is not None:
+                                found[c][d].append(q.items[i])
+                kinds = [pa.list_(pa.int32())] * 2 + [pa.list_(pa.string())] * 2
+                yield pa.RecordBatch.from_arrays([rows, doc_ids, pa.array(n), *[pa.array(x, t) for x, t in zip(found.values(), kinds, strict=True)]], ["row", "doc_id", "n_words", *found])
+
+    return index.mapInArrow(run, HITS)
 
 
 def segments(items: DataFrame, window: int, most: int = SEGMENT) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import settled, unnamed
+from .common import unnamed, written
 
 #: Weights of the sources in the order of their names, repeating; times its size that a source may be used; hash seed.
 WEIGHTS, MOST, SEED = (1, 2, 3), 3, "mix-1"
@@ -46,7 +46,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, s
     and doc_id, as a fraction, is under the rest of the rate, so reruns agree and no document is taken more than
     ``most`` times. Sizes are summed before anything moves; sources, few and of a row each, are then joined to the documents.
     A null or empty text has size 0; null is a source of its own; a null doc_id hashes as an empty one; repeated rows
-    are decided alike; a source without words has target and rate 0; an empty table stays empty. Columns with the names
+    are decided alike; a source without words has target and rate 0; an empty table stays empty. Other columns are kept, those with the names
     of the added ones are replaced.
     """
     added = ["size", "source_size", "target", "rate", "copies"]
@@ -59,7 +59,8 @@ def _mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST,
     """The mix with the columns of ``docs`` under other names, and these names."""
     rows, column = unnamed(docs)
     rows = rows.withColumns({"size": n_words(F.col(column["text"]).cast("string")), "source": F.col(column["source"])})
-    plan = settled(targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), weights, most))
+    # a table, so that Spark knows its size and sends it to the documents where it is small
+    plan = written(targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), weights, most))
     plan = plan.withColumn("rate", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)).withColumnRenamed("source", "of")
     code = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(column["doc_id"]).cast("string"), F.lit(""))).cast("binary")), 1, 13), 16, 10)
     fraction = code.cast("long") / F.lit(float(1 << 52))

@@ -135,14 +135,18 @@ def rate(docs: DataFrame, least: int = LEAST, max_covered: float = COVERED, max_
 
 def keep_good(docs: DataFrame, least: int = LEAST, max_covered: float = COVERED, max_longest: float = LONGEST) -> DataFrame:
     """The rows of ``docs`` that ``rate`` keeps, with all their columns; rows pass through one step and aren't shuffled."""
-    held = docs.select(F.struct(*[F.col(c).alias(f"c{i}") for i, c in enumerate(docs.columns)]).alias("held"), F.col("text").cast("string").alias("text"))
+    held = docs.select(F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)]).alias("held"))
+    place = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in text_blocks(batches, BLOCK):
-            kept = measure(as_bytes(batch), least, max_covered, max_longest)["kept"]
-            yield batch.select(["held"]).filter(pa.array(kept))
-
-    out = held.mapInArrow(run, held.select("held").schema)
+        for batch in batches:
+            # the text is looked at where it is in the row, so that it is sent once
+            texts = pa.RecordBatch.from_arrays([batch.column("held").field(place).cast(pa.string()), pa.array(range(batch.num_rows), pa.int32())], ["text", "row"])
+            for part in text_blocks(iter([texts]), BLOCK):
+                kept = measure(as_bytes(part), least, max_covered, max_longest)["kept"]
+                yield batch.slice(part.column("row")[0].as_py(), part.num_rows).filter(pa.array(kept))
+
+    out = held.mapInArrow(run, held.schema)
     return out.select(*[F.col(f"held.c{i}").alias(c) for i, c in enumerate(docs.columns)])
 
 
