@@ -29,6 +29,19 @@ def first_by(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     return df.withColumn("__n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).filter("__n = 1").drop("__n")
 
 
+def ranked_in_bins(rows: DataFrame, keys: list[str], bin_: Column, order: list[Column], name: str) -> DataFrame:
+    """``name``: each row's place among those of its keys, where ``bin_`` rises with ``order`` and isn't null; rows are put in order within bins, and bins are counted.
+
+    So no task orders all rows of a key, only as many rows as it has bins.
+    """
+    marked = rows.withColumn("__bin", bin_)
+    counts = marked.groupBy(*keys, "__bin").agg(F.count("*").alias("__n"))
+    before = Window.partitionBy(*keys).orderBy("__bin").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select(*keys, "__bin", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
+    inner = F.row_number().over(Window.partitionBy(*keys, "__bin").orderBy(*order))
+    return marked.withColumn("__inner", inner).join(offsets, [*keys, "__bin"]).withColumn(name, (F.col("__before") + F.col("__inner")).cast("int")).drop("__bin", "__before", "__inner")
+
+
 def best(attempts: DataFrame, own: list[str] = OWN) -> DataFrame:
     """The best attempt of each entity at each item: by value, score and time as text, then by arrival; nulls last."""
     order = [F.col(c).desc_nulls_last() for c in ("value", "score", "recorded_at")] + [F.col("seq")]
@@ -237,13 +250,13 @@ def placed(rows: DataFrame) -> DataFrame:
     """Ranks by mode and folder, percentile, decile and band of rows (mode, folder, delta, contributors, title, item_id)."""
     known = F.col("delta").isNotNull()
     order = [F.col("delta").asc_nulls_last(), F.col("contributors").desc(), F.col("title"), F.col("item_id")]
-    mode, level = Window.partitionBy("mode"), Window.partitionBy("mode", "folder")
+    level = Window.partitionBy("mode", "folder")
     ties = F.count("*").over(Window.partitionBy("mode", "folder", "delta"))
     n = F.count("delta").over(level)
     percentile = (F.rank().over(level.orderBy(F.col("delta").asc_nulls_last())) + (ties - 1) / 2 - 0.5) / n
-    rows = rows.withColumns({
-        "mode_rank": F.when(known, F.row_number().over(mode.orderBy(*order))), "level_rank": F.when(known, F.row_number().over(level.orderBy(*order))), "percentile": F.when(known, percentile),
-    })
+    rows = rows.withColumns({"level_rank": F.when(known, F.row_number().over(level.orderBy(*order))), "percentile": F.when(known, percentile)})
+    # hundredths of a level; those without a difference come last
+    rows = ranked_in_bins(rows, ["mode"], F.coalesce(F.floor(F.col("delta") * 100), F.lit(1 << 60)), order, "mode_rank").withColumn("mode_rank", F.when(known, F.col("mode_rank")))
     return rows.withColumns({"decile": fx.decile(F.col("percentile")), "band": fx.band(F.col("delta"))}).withColumn("band_name", fx.band_name(F.col("band")))
 
 

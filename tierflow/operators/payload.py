@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import params as P
 from ..functions import formulas as fx
+from .difficulty import ranked_in_bins
 
 
 def tier_order(placed: DataFrame) -> DataFrame:
     """``place`` of each item in its mode by estimate, those without one last, then title and id."""
-    return placed.withColumn("place", F.row_number().over(Window.partitionBy("mode").orderBy(F.col("estimate").asc_nulls_last(), "title", "item_id")))
+    bins = F.coalesce(F.floor(F.col("estimate") * 100), F.lit(1 << 60))
+    return ranked_in_bins(placed, ["mode"], bins, [F.col("estimate").asc_nulls_last(), F.col("title"), F.col("item_id")], "place")
 
 
 def buckets(placed: DataFrame) -> DataFrame:

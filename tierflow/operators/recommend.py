@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from .. import params as P
 from ..functions import formulas as fx
 from . import weighted as wt
-from .difficulty import OWN
+from .difficulty import OWN, ranked_in_bins
 from .lineage import written
 
 KEYS = ["mode", "item_id"]
@@ -54,15 +54,17 @@ def peer_scores(wanted: DataFrame, peers: DataFrame) -> DataFrame:
     others = peers.filter("rating is not null").select(*KEYS, F.col("entity_id").alias("peer"), F.col("rating").alias("peer_rating"), "score", "weight", bins.alias("bin"))
     off = F.abs(F.col("rating") - F.col("peer_rating"))
     pairs = near.join(others, [*KEYS, "bin"]).filter(F.col("peer") != F.col("entity_id")).withColumn("off", off).filter(F.col("off") <= WIDTH + 1e-9)
+    # the widest step, read twice; of pairs with the same distance, score and weight one row stays, with their number
+    pairs = written(pairs.groupBy(*OWN, "item_id", "off", "score", "weight").agg(F.count("*").alias("times")))
     within = lambda r: F.col("off") <= r + 1e-9
-    counts = pairs.groupBy(*OWN, "item_id").agg(*[F.count_if(within(r)).alias(f"n{i}") for i, r in enumerate(P.PEER_RADII)])
+    counts = pairs.groupBy(*OWN, "item_id").agg(*[F.sum(F.when(within(r), F.col("times")).otherwise(0)).alias(f"n{i}") for i, r in enumerate(P.PEER_RADII)])
     radius, support = F.lit(None).cast("double"), F.lit(None).cast("long")
     for target in sorted(P.PEER_TARGETS):  # the largest target is asked first, so it is put on top last
         for i in reversed(range(len(P.PEER_RADII))):
             reached = F.col(f"n{i}") >= target
             radius, support = F.when(reached, P.PEER_RADII[i]).otherwise(radius), F.when(reached, F.col(f"n{i}")).otherwise(support)
     chosen = counts.select(*OWN, "item_id", radius.alias("radius"), support.alias("support")).filter("radius is not null")
-    used = pairs.join(chosen, [*OWN, "item_id"]).filter(F.col("off") <= F.col("radius") + 1e-9)
+    used = pairs.join(chosen, [*OWN, "item_id"]).filter(F.col("off") <= F.col("radius") + 1e-9).withColumn("weight", F.col("weight") * F.col("times"))
     scores = wt.lower_quantile(used, [*OWN, "item_id"], "score", "weight", 0.5, "peer_score")
     return scores.join(chosen.drop("radius"), [*OWN, "item_id"])
 
@@ -162,13 +164,21 @@ def short_baselines(ranked: DataFrame, placed: DataFrame) -> DataFrame:
 def single_source(ranked: DataFrame, placed: DataFrame, slopes: DataFrame) -> DataFrame:
     """The 50 items of most gain from one source alone: expected is the baseline moved by the mode's slope and the edge over the baseline's.
 
-    Every item of level 16 and more with an estimate is a candidate, so rows grow with entities times the catalog.
+    Every item of level 16 and more with an estimate may be among them, but what is expected of an item depends on its edge alone. So of the items that an entity has
+    no attempt at only the first in the order of edges can have a gain, and only the first in the order of estimates can follow without one; with n own attempts, 50 + n of
+    each order are looked at, and the own items. Rows don't grow with the catalog.
     """
     base = short_baselines(ranked, placed).join(slopes.filter("slope > 0").select("mode", "slope"), "mode")
-    items = placed.filter((F.col("level") >= P.MIN_LEVEL) & F.col("estimate").isNotNull()).select("mode", "item_id", "title", "level", "estimate")
-    rows = base.join(items, "mode").withColumn("edge", F.col("level") + 0.5 - F.col("estimate"))
-    rows = rows.withColumn("expected", F.greatest(F.lit(0.0), F.col("base") + F.col("slope") * (F.col("edge") - F.col("base_edge"))))
+    items = placed.filter((F.col("level") >= P.MIN_LEVEL) & F.col("estimate").isNotNull()).select("mode", "item_id", "title", "level", "estimate", (F.col("level") + 0.5 - F.col("estimate")).alias("edge"))
+    ties = [F.lower("title"), F.col("item_id")]
+    items = ranked_in_bins(items, ["mode"], F.floor(F.col("edge") * -100), [F.col("edge").desc(), F.col("estimate"), *ties], "by_edge")
+    items = written(ranked_in_bins(items, ["mode"], F.floor(F.col("estimate") * 100), [F.col("estimate"), F.col("edge").desc(), *ties], "by_estimate"))
     totals = ranked.groupBy(*OWN).agg(F.max(F.when(F.col("rank_value") == P.TOP, F.col("value"))).alias("cutoff"), F.count("*").alias("n"))
+    places = base.join(totals.select(*OWN, "n"), OWN).select(*OWN, F.explode(F.sequence(F.lit(1), (F.col("n") + P.SHOWN).cast("int"))).alias("k"))
+    wanted = [places.withColumnRenamed("k", by).join(items.select("mode", by, "item_id"), ["mode", by]).select(*OWN, "item_id") for by in ("by_edge", "by_estimate")]
+    own = ranked.select(*OWN, "item_id")
+    rows = wanted[0].union(wanted[1]).union(own).distinct().join(base, OWN).join(items, KEYS)
+    rows = rows.withColumn("expected", F.greatest(F.lit(0.0), F.col("base") + F.col("slope") * (F.col("edge") - F.col("base_edge"))))
     rows = wt.gains(rows, ranked, totals, F.col("expected"))
     return rows.withColumn("place", F.row_number().over(Window.partitionBy(*OWN).orderBy(*gain_order()))).filter(F.col("place") <= P.SHOWN)
 

@@ -70,11 +70,13 @@ def ability_percentile(best_by_score: DataFrame) -> DataFrame:
     rank = F.row_number().over(Window.partitionBy("entity_id").orderBy(F.col("score").desc(), "item_id", "seq"))
     means = best_by_score.select("entity_id", "score", rank.alias("r")).filter(F.col("r") <= P.RATING_TOP).groupBy("entity_id").agg(F.avg("score").alias("ability"), F.count("*").alias("n"))
     means = means.filter(F.col("n") == P.RATING_TOP)
-    # one row for each different ability, of which there are at most as many as entities; ranks need all of them in order
-    levels = means.groupBy("ability").agg(F.count("*").alias("ties"))
-    whole = Window.orderBy("ability")
-    under = F.coalesce(F.sum("ties").over(whole.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    total = F.sum("ties").over(Window.partitionBy())
+    # counts by ability are put in order within bins of ABILITY_BIN points; a row for each bin, of which scores allow a few thousand, is summed in one task
+    levels = means.groupBy("ability").agg(F.count("*").alias("ties")).withColumn("bin", F.floor(F.col("ability") / P.ABILITY_BIN))
+    whole, inner = Window.orderBy("bin"), Window.partitionBy("bin").orderBy("ability")
+    bins = levels.groupBy("bin").agg(F.sum("ties").alias("n"))
+    bins = bins.select("bin", F.coalesce(F.sum("n").over(whole.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"), F.sum("n").over(Window.partitionBy()).alias("total"))
+    under = F.col("before") + F.coalesce(F.sum("ties").over(inner.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    levels, total = levels.join(bins, "bin"), F.col("total")
     share = F.when(total == 1, F.lit(0.5)).otherwise((under + (F.col("ties") - 1) / 2) / (total - 1))
     return means.join(levels.select("ability", share.alias("percentile")), "ability").select("entity_id", "ability", "percentile")
 

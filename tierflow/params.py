@@ -64,6 +64,8 @@ FOLDS, STEP, SMOOTH, SUPPORT_RADIUS, LEAST_SUPPORT = 5, 0.1, 8, 5, 5
 #: Weight of the population's medals, what an unseen medal counts, and how many archive medals may count at most.
 MEDAL_PRIOR, MEDAL_ROOM, MEDAL_CAPS, DEFAULT_CAP = 8.0, 0.25, (5, 10, 20, 40, 80), 20
 RESAMPLES, SEED = 500, 20260807
+#: Points of a mean score in one bin of abilities.
+ABILITY_BIN = 250
 #: Rows of a key that are resampled as one array.
 HELD = 50_000
 SOURCE_WEIGHTS = {"archive": 1.0, "current": 2.0}

@@ -177,12 +177,12 @@ _gain = "CASE WHEN in_top THEN greatest(0, expected - coalesce(existing, 0)) WHE
     ex AS (SELECT ba.mode, ba.entity_id, f.item_id, title, estimate, greatest(0, base + s.slope * (f.level + 0.5 - estimate - base_edge)) AS expected FROM ba JOIN slopes s USING (mode) JOIN final f USING (mode) WHERE estimate IS NOT NULL AND s.slope > 0),
     gn AS (SELECT ex.*, r.value AS existing, coalesce(rank_value <= 50, false) AS in_top, cutoff, m FROM ex LEFT JOIN ranked r USING (mode, entity_id, item_id) JOIN ct ON ct.mode = ex.mode AND ct.entity_id = ex.entity_id),
     go AS (SELECT *, {_gain} AS gain FROM gn)
-    SELECT mode, entity_id, round(gain + 1e-9, 5) AS gain, count(*) AS n FROM (SELECT * FROM go QUALIFY row_number() OVER (PARTITION BY mode, entity_id ORDER BY gain DESC, estimate, expected DESC, lower(title), item_id) <= 50) GROUP BY ALL""")
+    SELECT mode, entity_id, item_id, round(gain + 1e-9, 5) AS gain FROM go QUALIFY row_number() OVER (PARTITION BY mode, entity_id ORDER BY gain DESC, estimate, expected DESC, lower(title), item_id) <= 50""")
 def _(s, d):
     rows = written(rg.ranked(s, d))
     placed = written(analysed(s, d).select("mode", "item_id", "title", "level", "estimate"))
     out = rc.single_source(rows, placed, df.slopes(df.best(valid(s, d))))
-    return out.groupBy("mode", "entity_id", F.round(F.col("gain") + 1e-9, 5).alias("gain")).agg(F.count("*").alias("n"))
+    return out.select("mode", "entity_id", "item_id", F.round(F.col("gain") + 1e-9, 5).alias("gain"))
 
 
 @query("m24_entity_index", """, nm AS (SELECT CAST(s_suppkey AS VARCHAR) AS entity_id, substr(s_name, 1, 14) AS name FROM supplier), ct AS (SELECT entity_id, count(*) FILTER (mode = 'Single') AS singles, count(*) FILTER (mode = 'Double') AS doubles FROM best GROUP BY ALL)
