@@ -335,6 +335,29 @@ def test_quality_counts(spark, texts):
         r = got[d]
         assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == (len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in t), len(lines) - len(set(lines)), len(twice))
         assert r.base_failed == (len(w) < 50 or 100 * len(twice) > 50 * len(w)) and not (r.base_failed and r.kept)
+        if len(w) <= 400:
+            runs = longest_runs(w)
+            spans = {k for i, n in enumerate(runs) if n >= quality.LEAST for k in range(i, i + n)}
+            longest = max((n for n in runs if n >= quality.LEAST), default=0)
+            assert (r.covered, r.longest) == (pytest.approx(len(spans) / max(1, len(w)), abs=1e-6), longest)
+            assert r.kept == (not r.base_failed and len(spans) / len(w) <= quality.COVERED and longest <= quality.LONGEST * len(w))
+
+
+def test_megabytes_of_text(spark):
+    """One text of megabytes in each operator."""
+    long = " ".join(f"w{i * 7919 % 50_021}" for i in range(100_000)) + " +1 (389) 555-5010 " + "7" * 100_000
+    docs = spark.createDataFrame([(1, long, "a"), (2, None, "a"), (1, long, "a")], "doc_id long, text string, source string")
+    n = len(long.split())
+    assert {r.n_words for r in decontaminate.decontaminate(docs, spark.createDataFrame([(1, long[:9000])], "item_id long, text string")).collect() if r.n_hit} == {len(re.findall(r"[0-9a-z]+", long))}
+    assert {r.n_words for r in quality.rate(docs).collect()} == {n, 0}
+    assert [r.component_id for r in simhash.near_duplicates(docs).collect() if r.doc_id == 1] == [1, 1]
+    assert sorted(len(r.kept) for r in suffixes.drop_repeats(docs).collect())[-1] < len(long)
+    assert {len(r.base) for r in pii.find(docs).collect()} == {0, 1}
+    assert {r.n_tokens for r in maxent.score(docs).collect()} == {n + 1, 1}
+    assert {r["size"] for r in mixing.mix(docs).collect()} == {n, 0} and sharding.assign_shards(docs).count() == 3
+    assert {r.n_words for r in license.scan(docs).collect()} == {len(re.findall(r"[0-9a-z]+", long)), 0}
+    pages = spark.createDataFrame([(1, "u", f"<p>{long}</p>" * 2)], "page_id long, url string, html string")
+    assert html.extract(pages).first().n_chars == 2 * len(long) + 1
 
 
 BASE = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
@@ -412,6 +435,8 @@ def test_places_of_very_many_matches(spark):
     text = " x ".join(str(10 + i % 90) for i in range(40_000))
     rows = spark.createDataFrame([(text,)], "text string").select(pii.spans(F.col("text"), "[0-9]+").alias("m")).first().m
     assert [(m.start, m.end) for m in rows] == [m.span() for m in re.finditer("[0-9]+", text)]
+    short = spark.createDataFrame([("a tel: 12 345,6é7",)], "text string").select(pii.spans(F.col("text"), "[0-9]+").alias("m")).first().m
+    assert [(m.found, m.before, m.after) for m in short] == [("12", "a tel: ", " "), ("345", "12 ", ","), ("6", "345,", "é"), ("7", "6é", "")]
 
 
 def test_targets_fill_up(spark):

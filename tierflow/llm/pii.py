@@ -44,35 +44,47 @@ OTHER = (
     r"(?i)(\b(version|ver|release|build|isbn|issn|order|invoice|rechnung|factura|facture|ticket|ref|page|pages|pp|section|chapter|date|datum|fecha|year|since|until|size|range|"
     r"commit|sha[0-9]*|md5|hash|checksum|digest|uuid|guid|id|at|v|no|nr|number|total|sum|price)|[$\u20ac\u00a3#])\W{0,4}$"
 )
-#: Matches that are taken up together while their places are summed.
-PART = 128
+#: Matches that are taken up together while their places are summed, and characters before a match that are its context.
+PART, CONTEXT = 128, 24
 
 
 def spans(text: Column, pattern: str) -> Column:
-    """Array of (start, end, found) for the matches from left to right, in code points, end exclusive.
+    """Array of (start, end, found, before, after) for the matches from left to right, in code points, end exclusive.
 
-    Places are summed within parts of PART matches, then over the parts, so that a text of n matches takes n * PART and (n / PART) ** 2 steps.
+    ``before`` are up to CONTEXT characters of the match before and of what lies between, ``after`` is the next character; both come from the pieces that the text is
+    split into, as looking up a place in a long text takes as long as the text before it. Places are summed within parts of PART matches, then over the parts, so that a
+    text of n matches takes n * PART and (n / PART) ** 2 steps.
     """
-    pieces, found = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    rows = F.filter(F.arrays_zip(pieces.alias("piece"), found.alias("found")), lambda x: x["found"].isNotNull())
-    kind = "array<struct<start:int,end:int,found:string>>"
+    kind = "array<struct<start:int,end:int,found:string,before:string,after:string>>"
     zero = F.struct(F.lit(0).alias("at"), F.array().cast(kind).alias("out"))
+    tail = lambda x: F.when(F.length(x) > CONTEXT, x.substr(F.lit(-CONTEXT), F.lit(CONTEXT))).otherwise(x)
 
     def step(a: Column, x: Column) -> Column:
         start = a["at"] + F.length(x["piece"])
         end = start + F.length(x["found"])
-        one = F.array(F.struct(start.alias("start"), end.alias("end"), x["found"].alias("found")))
+        before = tail(F.concat(tail(x["last"]), tail(x["piece"])))
+        after = F.when(x["follow"] == "", F.coalesce(x["next"], F.lit(""))).otherwise(x["follow"]).substr(1, 1)
+        one = F.array(F.struct(start.alias("start"), end.alias("end"), x["found"].alias("found"), before.alias("before"), after.alias("after")))
         return F.struct(end.alias("at"), F.concat(a["out"], one).alias("out"))
 
     def whole(rows: Column) -> Column:
         parts = F.transform(F.sequence(F.lit(0), F.floor((F.size(rows) - 1) / PART).cast("int")), lambda k: F.aggregate(F.slice(rows, k * PART + 1, F.lit(PART)), zero, step))
         first = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
-        bases = F.aggregate(parts, first, lambda a, x: F.struct((a["at"] + x["at"]).alias("at"), F.concat(a["out"], F.array(a["at"])).alias("out")))["out"]
-        moved = lambda x, base: F.transform(x["out"], lambda m: F.struct((m["start"] + base).alias("start"), (m["end"] + base).alias("end"), m["found"].alias("found")))
-        return F.flatten(F.zip_with(parts, bases, moved))
+        # a lambda's argument is evaluated once, where a column that is named again may not be
+        return F.transform(F.array(parts), lambda p: F.flatten(F.zip_with(p, F.aggregate(p, first, base)["out"], moved)))[0]
 
-    # a lambda's argument is evaluated once, where a column that is named again may not be
-    return F.transform(F.array(rows), lambda r: F.when(F.size(r) <= PART, F.aggregate(r, zero, step)["out"]).otherwise(whole(r)))[0]
+    base = lambda a, x: F.struct((a["at"] + x["at"]).alias("at"), F.concat(a["out"], F.array(a["at"])).alias("out"))
+    moved = lambda x, n: F.transform(x["out"], lambda m: F.struct((m["start"] + n).alias("start"), (m["end"] + n).alias("end"), *[m[c].alias(c) for c in ("found", "before", "after")]))
+    split = F.struct(F.split(text, pattern, -1).alias("p"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("f"))
+
+    def placed(x: Column) -> Column:
+        p, f = x["p"], x["f"]
+        none, n = F.array(F.lit("")), F.size(f)
+        rows = F.arrays_zip(p.alias("piece"), f.alias("found"), F.slice(p, F.lit(2), n).alias("follow"), F.slice(f, F.lit(2), n).alias("next"), F.concat(none, f).alias("last"))
+        rows = F.filter(rows, lambda m: m["found"].isNotNull())
+        return F.transform(F.array(rows), lambda r: F.when(F.size(r) <= PART, F.aggregate(r, zero, step)["out"]).otherwise(whole(r)))[0]
+
+    return F.transform(F.array(split), placed)[0]
 
 
 def luhn(digits: Column) -> Column:
@@ -102,7 +114,7 @@ def candidates(docs: DataFrame) -> DataFrame:
 
     def describe(m: Column, kind: str, ruled: bool) -> Column:
         x = m["found"]
-        before = text.substr(F.greatest(m["start"] - 23, F.lit(1)), F.least(m["start"], F.lit(24)))
+        before = m["before"]
         rule = passes(kind, x) if kind != "secret" and ruled else F.lit(False)
         named, other = before.rlike(NAMES[kind]), before.rlike(OTHER)
         known = F.when(named & ~other, F.lit(True)).when((other | ~rule if ruled else other) & ~named, F.lit(False))
@@ -111,7 +123,7 @@ def candidates(docs: DataFrame) -> DataFrame:
             F.length(x).cast("double"), count(x, "[^0-9]"), count(x, "[^A-Za-z]"), count(x, "[^A-Z]"), count(x, "[^A-Fa-f0-9]"), F.size(runs).cast("double"),
             F.coalesce(F.array_max(F.transform(F.slice(runs, 1, 16), lambda r: F.length(r))), F.lit(0)).cast("double"), count(x, "[^.]"), count(x, "[^-]"), count(x, r"[^\x20]"), count(x, "[^/]"),
             F.size(F.regexp_extract_all(x, F.lit("[A-Za-z](?=[0-9])"), F.lit(0))).cast("double"), flag(x.startswith("+")), flag(x.contains("@")), flag(x.rlike(r"@.*\.\p{L}{2,}$")), flag(x.startswith("0")),
-            flag(before.rlike(r"\w$")), flag(text.substr(m["end"] + 1, F.lit(1)).rlike(r"\w")),
+            flag(before.rlike(r"\w$")), flag(m["after"].rlike(r"\w")),
             flag(before.rlike(r"[:=]\W{0,3}$")), flag(before.rlike("[\"']$")), flag((before == "") | before.rlike(r"\n\s*$")),
             *[F.lit(float(kind == k)) for k in KINDS],
         ]
@@ -121,7 +133,7 @@ def candidates(docs: DataFrame) -> DataFrame:
 
     def generate(kind: str, pattern: str, ruled: bool) -> Column:
         needs = text.contains("@") if kind == "email" else text.rlike("[0-9]")
-        raw = F.when(needs, spans(text, pattern)).otherwise(F.array().cast("array<struct<start:int,end:int,found:string>>"))
+        raw = F.when(needs, spans(text, pattern)).otherwise(F.array().cast("array<struct<start:int,end:int,found:string,before:string,after:string>>"))
         return F.transform(raw, lambda m: describe(m, kind, ruled))
 
     return docs.select("doc_id", F.concat(*[generate(*g) for g in GENERATORS]).alias("found"))

@@ -39,7 +39,7 @@ def repeats(ids: np.ndarray, ends: np.ndarray) -> np.ndarray:
     key[1:] = (ids[order][1:] != ids[order][:-1]) | (ends[order][1:] != ends[order][:-1])
     rank = np.empty(n, np.int64)
     rank[order] = np.maximum.accumulate(np.where(key, np.arange(n), 0))
-    levels, step = [rank.copy()], 1
+    levels, step = [rank.astype(np.int32)], 1
     active = order[~(key & np.append(key[1:], True))]
     while len(active):
         after = active + step
@@ -55,7 +55,7 @@ def repeats(ids: np.ndarray, ends: np.ndarray) -> np.ndarray:
         at = np.arange(len(active))
         first, start = np.maximum.accumulate(np.where(group, at, 0)), np.maximum.accumulate(np.where(part, at, 0))
         rank[active] = own + start - first
-        levels.append(rank.copy())
+        levels.append(rank.astype(np.int32))  # places in a block, which has fewer words than that
         active = active[~(part & np.append(part[1:], True))]
         step *= 2
     array = np.empty(n, np.int64)
@@ -120,7 +120,8 @@ def rate(docs: DataFrame, least: int = LEAST, max_covered: float = COVERED, max_
     Returns doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, covered (share of words in maximal
     repeated substrings of ``least`` words or more, their spans united), longest (words of the longest), base_failed, and
     kept: not base_failed, ``covered`` is ``max_covered`` at most and ``longest`` is ``max_longest`` of the words at most.
-    Words are runs of anything but ASCII white space. A null, empty or blank text has zero in all counts and isn't kept.
+    Words are runs of anything but ASCII white space. A null, empty or blank text has zero in all counts and isn't kept. Repeated rows are rated
+    alike, an empty table gives an empty result, other columns play no part; a share or length just at its limit is kept.
     Documents aren't shuffled; the suffixes of about 2 MB of whole texts are sorted together, each document's apart.
     """
 
@@ -134,7 +135,7 @@ def rate(docs: DataFrame, least: int = LEAST, max_covered: float = COVERED, max_
 
 
 def keep_good(docs: DataFrame, least: int = LEAST, max_covered: float = COVERED, max_longest: float = LONGEST) -> DataFrame:
-    """The rows of ``docs`` that ``rate`` keeps, with all their columns; rows pass through one step and aren't shuffled."""
+    """The rows of ``docs`` that ``rate`` keeps, with all their columns, whatever their names; rows pass through one step and aren't shuffled."""
     held = docs.select(F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)]).alias("held"))
     place = docs.columns.index("text")
 
