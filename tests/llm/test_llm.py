@@ -345,7 +345,7 @@ def test_quality_counts(spark, texts):
 
 def test_megabytes_of_text(spark):
     """One text of megabytes in each operator."""
-    long = " ".join(f"w{i * 7919 % 50_021}" for i in range(100_000)) + " +1 (389) 555-5010 " + "7" * 100_000
+    long = " ".join(f"w{i * 7919 % 50_021}" for i in range(100_000)) + " +1 (389) 555-5010 x " + "7" * 100_000
     docs = spark.createDataFrame([(1, long, "a"), (2, None, "a"), (1, long, "a")], "doc_id long, text string, source string")
     n = len(long.split())
     assert {r.n_words for r in decontaminate.decontaminate(docs, spark.createDataFrame([(1, long[:9000])], "item_id long, text string")).collect() if r.n_hit} == {len(re.findall(r"[0-9a-z]+", long))}
