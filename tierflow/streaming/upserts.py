@@ -3,21 +3,82 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import StructType
 
 from ..operators.upkeep import upsert
 
 
+#: Buckets of the state, by hash of the entity; a batch writes those that it touches.
+BUCKETS = 256
+
+
+def _manifests(spark: SparkSession, path: str) -> DataFrame | None:
+    """(bucket, state, query, batch, manifest) of all generations, or None before the first."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/manifest")
+    if not folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
+        return None
+    return spark.read.schema("bucket int, state long, query string, batch long, generation long").parquet(f"{path}/manifest")
+
+
+def _generation(spark: SparkSession, path: str, number: int | None = None) -> list:
+    """The rows of a generation's manifest, one for each bucket; of the newest if none is named."""
+    rows = _manifests(spark, path)
+    if rows is None:
+        return []
+    number = rows.agg(F.max("generation")).first()[0] if number is None else number
+    return rows.filter(F.col("generation") == number).collect() if number is not None else []
+
+
+def current_state(spark: SparkSession, path: str, schema: str | StructType) -> DataFrame:
+    """The newest state under ``path``: of each bucket the folder that the newest manifest names."""
+    return _read(spark, path, _generation(spark, path), schema)
+
+
+def _read(spark: SparkSession, path: str, rows: list, schema: str | StructType) -> DataFrame:
+    folders = [f"{path}/state={r.state}/bucket={r.bucket}" for r in rows]
+    return spark.read.schema(schema).parquet(*folders) if folders else spark.createDataFrame([], schema)
+
+
+def stale_states(spark: SparkSession, path: str, keep: int = 2) -> list[str]:
+    """Folders that none of the last ``keep`` generations reads, which may be removed."""
+    rows = _manifests(spark, path)
+    if rows is None:
+        return []
+    last = rows.agg(F.max("generation")).first()[0]
+    used = rows.groupBy("bucket", "state").agg(F.max("generation").alias("last")).filter(F.col("last") <= last - keep).collect()
+    return sorted(f"{path}/state={r.state}/bucket={r.bucket}" for r in used)
+
+
 def stream_upserts(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Keep the best attempts of ``stream`` under ``path``, one folder for each batch's state; late rows count whenever they come.
+    """Keep the best attempts of ``stream`` under ``path``; late rows count whenever they come.
 
-    A batch that runs again after a failure writes its own folder anew from the one before, so results don't depend on restarts.
+    A batch reads and writes the buckets of its entities alone, in a folder of its own, and its manifest, which names the folder of each bucket, comes last; readers take
+    ``current_state``. A batch that runs again after a failure starts from the generation before its own, so results don't depend on restarts; a stream with a
+    new checkpoint goes on from the state that is there.
     """
 
     def merge(batch: DataFrame, number: int) -> None:
         spark: SparkSession = batch.sparkSession
-        state = spark.read.parquet(f"{path}/state={number - 1}") if number else batch.limit(0)
-        upsert(state.select(*batch.columns), batch).write.mode("overwrite").parquet(f"{path}/state={number}")
+        query = spark.sparkContext.getLocalProperty("sql.streaming.queryId") or checkpoint
+        before, generation = _generation(spark, path), 0
+        if before:
+            generation = before[0].generation + 1
+            if any((r.query, r.batch) == (query, number) for r in before):
+                generation -= 1
+                before = _generation(spark, path, generation - 1) if generation else []
+        bucket = F.pmod(F.xxhash64("entity_id"), F.lit(BUCKETS)).cast("int")
+        touched = {r.b for r in batch.select(bucket.alias("b")).distinct().collect()}
+        state = _read(spark, path, [r for r in before if r.bucket in touched], batch.schema)
+        rows = upsert(state.select(*batch.columns), batch).withColumn("bucket", bucket)
+        rows.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/state={generation}")
+        kept = [(r.bucket, r.state, r.query, r.batch, generation) for r in before if r.bucket not in touched]
+        now = [(b, generation, query, number, generation) for b in sorted(touched)]
+        manifest = spark.createDataFrame(kept + now, "bucket int, state long, query string, batch long, generation long").coalesce(1)
+        old = _manifests(spark, path)
+        if old is None or not old.filter(F.col("generation") == generation).head(1):
+            manifest.write.mode("append").parquet(f"{path}/manifest")
 
     return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
