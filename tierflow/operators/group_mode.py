@@ -36,6 +36,11 @@ def observations(attempts: DataFrame, items: DataFrame) -> DataFrame:
     return precedence(rows.filter("source = 'current'"), rows.filter("source = 'archive'"), ["entity_id", "item_id"])
 
 
+def totals(observed: DataFrame) -> DataFrame:
+    """(entity_id, total, n): the group rating of an entity is the sum over its items."""
+    return observed.groupBy("entity_id").agg(F.sum("rating").alias("total"), F.count("*").alias("n"))
+
+
 def with_ability(observed: DataFrame, abilities: DataFrame) -> DataFrame:
     """``ability`` from (source, entity_id, percentile): of the same source, else of the other, else a half; and which of them it is."""
     same = abilities.select("source", "entity_id", F.col("percentile").alias("same"))

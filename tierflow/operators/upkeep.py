@@ -42,6 +42,12 @@ def cross_references(source: DataFrame, target: DataFrame, known: DataFrame | No
     return found if known is None else found.unionByName(known.join(found, keys, "left_anti").select(*found.columns))
 
 
+def overlapping(attempts: DataFrame, days: int = 7) -> DataFrame:
+    """Attempts from ``days`` before the last of their entity on, which an incremental run reads again."""
+    last = attempts.groupBy("entity_id").agg(F.max("recorded_ts").alias("last"))
+    return attempts.join(last, "entity_id").filter(F.col("recorded_ts") >= F.col("last") - F.expr(f"interval {days} days")).drop("last")
+
+
 def keep_known(attempts: DataFrame, entities: DataFrame, items: DataFrame) -> DataFrame:
     """Attempts whose entity still consents and whose item is still in the catalog."""
     return attempts.join(entities.select("entity_id"), "entity_id", "left_semi").join(items.select("item_id"), "item_id", "left_semi")

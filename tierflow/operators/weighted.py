@@ -65,6 +65,11 @@ def top_rating(ranked: DataFrame, own: list[str] = OWN) -> DataFrame:
     return out.withColumn("rating", fx.skill_rating(F.col("mode"), F.col("top_mean")))
 
 
+def top_totals(pool: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, total, n): the sum of the TOP best values of a ranked pool, and its size."""
+    return pool.groupBy(*keys).agg(F.sum(F.when(F.col("rank_value") <= P.TOP, F.col("value"))).alias("total"), F.count("*").alias("n"))
+
+
 def ability_percentile(best_by_score: DataFrame) -> DataFrame:
     """Share of entities under each one's mean of its twenty best scores; ties share their middle, and one alone has a half."""
     rank = F.row_number().over(Window.partitionBy("entity_id").orderBy(F.col("score").desc(), "item_id", "seq"))

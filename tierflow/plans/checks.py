@@ -26,7 +26,8 @@ def _(s, d):
     return au.soft_upsert(rows.filter("mode <> 'CoOp' or level <= 13"), rows.filter("level > 13").withColumn("author", F.concat("author", F.lit("+"))), "item_id", ["author"])
 
 
-@query("i11_explained_diff", "SELECT CASE WHEN level = 20 THEN CASE WHEN mode = 'Single' THEN 'explained' ELSE 'unexplained' END WHEN level = 19 AND mode = 'Single' THEN 'unused' ELSE 'exact' END AS verdict, count(*) AS n FROM items GROUP BY 1")
+@query("i11_explained_diff", """, l AS (SELECT item_id AS path, level AS value FROM items), r AS (SELECT item_id AS path, CASE WHEN level = 20 THEN 0 ELSE level END AS value FROM items), x AS (SELECT item_id AS path FROM items WHERE level IN (19, 20) AND mode = 'Single')
+    SELECT CASE WHEN l.value IS NOT DISTINCT FROM r.value THEN CASE WHEN x.path IS NULL THEN 'exact' ELSE 'unused' END WHEN x.path IS NULL THEN 'unexplained' ELSE 'explained' END AS verdict, count(*) AS n FROM l FULL JOIN r USING (path) LEFT JOIN x USING (path) GROUP BY 1""")
 def _(s, d):
     rows = tb.items(s, d)
     right = rows.select(F.col("item_id").alias("path"), F.when(F.col("level") == 20, 0).otherwise(F.col("level")).alias("value"))
@@ -70,10 +71,10 @@ def _(s, d):
     return au.headroom_audit(rows, ["l_suppkey"], 0.99)
 
 
-@query("i25_field_diff", "SELECT 'author' AS field, 0 AS n UNION ALL SELECT 'level', count(*) FILTER (level <> level_archive) FROM items UNION ALL SELECT 'notes', count(*) FILTER (notes_archive <> notes_current) FROM items")
+@query("i25_field_diff", "SELECT 'author' AS field, count(*) FILTER (CASE WHEN level > 20 THEN author || '*' ELSE author END <> author) AS n FROM items UNION ALL SELECT 'level', count(*) FILTER (level <> level_archive) FROM items UNION ALL SELECT 'notes', count(*) FILTER (notes_archive <> notes_current) FROM items")
 def _(s, d):
     rows = tb.items(s, d)
-    old = rows.select("item_id", "author", F.col("level_archive").alias("level"), F.col("notes_archive").alias("notes"))
+    old = rows.select("item_id", F.when(F.col("level") > 20, F.concat("author", F.lit("*"))).otherwise(F.col("author")).alias("author"), F.col("level_archive").alias("level"), F.col("notes_archive").alias("notes"))
     return au.field_diff(old, rows.select("item_id", "author", "level", F.col("notes_current").alias("notes")), ["item_id"], ["author", "level", "notes"])
 
 

@@ -8,9 +8,12 @@ from .. import params as P
 from ..functions import formulas as fx
 from ..operators import audits as au
 from ..operators import difficulty as df
+from ..operators import group_mode as gm
 from ..operators import intake as it
 from ..operators import linking as ln
 from ..operators import upkeep as up
+from ..operators import views as vw
+from ..operators import weighted as wt
 from ..sources import tables as tb
 from . import registry as rg
 from .registry import query, six, valid
@@ -60,7 +63,8 @@ def _(s, d):
     return it.field_names(rows, "raw", ["event_id", "person.id"])
 
 
-@query("s12_manifest", "SELECT mode AS name, CASE mode WHEN 'CoOp' THEN 'missing' WHEN 'Double' THEN 'changed' ELSE 'exact' END AS verdict FROM attempts GROUP BY mode")
+@query("s12_manifest", """, h AS (SELECT mode AS name, count(*) AS n, max(sha256(concat_ws('|', entity_id, item_id, CAST(seq AS VARCHAR)))) AS digest FROM attempts GROUP BY mode), w AS (SELECT name, n + (name = 'Double')::INT AS n, digest FROM h)
+    SELECT name, CASE WHEN h.n IS NULL THEN 'missing' WHEN h.n = w.n AND h.digest = w.digest THEN 'exact' ELSE 'changed' END AS verdict FROM w LEFT JOIN (SELECT * FROM h WHERE name <> 'CoOp') h USING (name)""")
 def _(s, d):
     rows = tb.attempts(s, d)
     counts = rows.groupBy(F.col("mode").alias("name")).agg(F.count("*").alias("n"), F.max(up.row_hash("entity_id", "item_id", "seq")).alias("digest"))
@@ -119,7 +123,8 @@ def _(s, d):
     return au.typed_events(rows, "line", ["click", "view"], ["kind"]).select("event_id", "kind", "problem")
 
 
-@query("i20_same_sources", "SELECT mode AS name, mode <> 'Double' AS reuse FROM items GROUP BY mode")
+@query("i20_same_sources", """, h AS (SELECT mode AS name, count(*) AS n, max(sha256(concat_ws('|', item_id, CAST(level AS VARCHAR), title))) AS digest FROM items GROUP BY mode), w AS (SELECT name, n - (name = 'Double')::INT AS n, digest FROM h)
+    SELECT name, h.n = w.n AND h.digest = w.digest AS reuse FROM h JOIN w USING (name)""")
 def _(s, d):
     rows = tb.items(s, d).withColumn("h", up.row_hash("item_id", "title", "level"))
     now = rows.groupBy(F.col("mode").alias("name")).agg(F.count("*").alias("n"), F.max("h").alias("digest"))
@@ -141,7 +146,7 @@ def _(s, d):
 
 @query("f8_group_catalog", "SELECT item_id, level || 'x' AS label FROM items WHERE mode = 'CoOp' AND level IN (2, 3, 4, 5)")
 def _(s, d):
-    return tb.items(s, d).filter((F.col("mode") == P.GROUP) & F.col("level").isin(2, 3, 4, 5)).select("item_id", F.concat(F.col("level").cast("string"), F.lit("x")).alias("label"))
+    return gm.catalog(tb.items(s, d)).select("item_id", F.col("folder").alias("label"))
 
 
 @query("f9_level_window", """, tt AS (SELECT mode, entity_id, avg(level) FILTER (rank_value <= 20) - 2 AS rating FROM ranked GROUP BY mode, entity_id)
@@ -149,7 +154,7 @@ def _(s, d):
 def _(s, d):
     rows = rg.ranked(s, d)
     ratings = rows.groupBy("mode", "entity_id").agg((F.avg(F.when(F.col("rank_value") <= P.RATING_TOP, F.col("level"))) - 2).alias("rating"))
-    return rows.join(ratings, ["mode", "entity_id"]).filter(fx.level_window(F.col("level"), F.col("rating"))).select("mode", "entity_id", "item_id")
+    return vw.near_rating(rows, ratings, ["mode", "entity_id"]).select("mode", "entity_id", "item_id")
 
 
 @query("f12_unrated", "SELECT item_id, folder, contributors < 20 AS limited FROM final WHERE delta IS NULL OR contributors < 20")
@@ -162,16 +167,12 @@ def _(s, d):
     SELECT entity_id, round(sum(value) FILTER (r <= 50) + 1e-9, 6) AS total, count(*) AS n FROM sp GROUP BY entity_id""")
 def _(s, d):
     pool = df.ranked(df.best(valid(s, d)), ["entity_id"])
-    return pool.groupBy("entity_id").agg(F.sum(F.when(F.col("rank_value") <= P.TOP, F.col("value"))).alias("total"), F.count("*").alias("n")).select("entity_id", *six("total"), "n")
+    return wt.top_totals(pool, ["entity_id"]).select("entity_id", *six("total"), "n")
 
 
 @query("a28_coverage", """SELECT mode, count(*) AS attempts, count(*) FILTER (value <= 0 OR is_broken) AS rejected, count(DISTINCT entity_id) AS entities, count(DISTINCT item_id) AS items, count(*) FILTER (source = 'archive') AS archive_rows, count(DISTINCT entity_id) FILTER (source = 'archive') AS archive_entities FROM attempts GROUP BY mode""")
 def _(s, d):
-    archive = F.col("source") == "archive"
-    return tb.attempts(s, d).groupBy("mode").agg(
-        F.count("*").alias("attempts"), F.count_if((F.col("value") <= 0) | F.col("is_broken")).alias("rejected"), F.count_distinct("entity_id").alias("entities"), F.count_distinct("item_id").alias("items"),
-        F.count_if(archive).alias("archive_rows"), F.count_distinct(F.when(archive, F.col("entity_id"))).alias("archive_entities"),
-    )
+    return vw.coverage(tb.attempts(s, d))
 
 
 @query("c34_core_names", raw=r"""SELECT p_partkey, CASE WHEN contains(n, 'full song') THEN 'full-song' ELSE 'normal' END AS variant, b AS base, CASE WHEN c <> '' AND c <> b THEN b || '|' || c ELSE b END AS cores FROM (SELECT *, trim(regexp_replace(regexp_replace(b, '\s+ft\b.*$', ''), '\s+(bolt|ring)$', '')) AS c
@@ -197,8 +198,7 @@ def _(s, d):
 
 @query("c41_readiness", "SELECT mode, entity_id, count(*) AS n, 100 AS required, greatest(0, 100 - count(*)) AS lacking, count(*) >= 100 AS ready FROM best GROUP BY mode, entity_id")
 def _(s, d):
-    n = F.count("*")
-    return df.best(valid(s, d)).groupBy("mode", "entity_id").agg(n.alias("n"), F.lit(100).alias("required"), F.greatest(F.lit(0), 100 - n).alias("lacking"), (n >= 100).alias("ready"))
+    return vw.readiness(df.best(valid(s, d)), ["mode", "entity_id"], 100)
 
 
 @query("c11_grade_floor", f"SELECT seq, {rg._case('least(CAST(trunc(score) AS BIGINT), 1000000)', [(b, b) for b, _, _ in P.GRADE_BANDS])} AS least_score, {rg._grade('score')} AS grade FROM attempts")

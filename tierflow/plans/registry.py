@@ -11,6 +11,7 @@ from .. import params as P
 from ..functions import formulas as fx
 from ..operators import difficulty as df
 from ..operators import upkeep as up
+from ..operators import views as vw
 from ..operators import weighted as wt
 from ..sources import tables as tb
 
@@ -161,15 +162,12 @@ def _(s, d):
 
 @query("f11_text_search", "SELECT item_id, title FROM items WHERE contains(lower(title || ' ' || author), 'bolt')")
 def _(s, d):
-    return tb.items(s, d).filter(F.contains(F.lower(F.concat_ws(" ", "title", "author")), F.lit("bolt"))).select("item_id", "title")
+    return vw.matching(tb.items(s, d), "Bolt", ["title", "author"]).select("item_id", "title")
 
 
 @query("f13_difficulty_options", "SELECT label, CAST(row_number() OVER (ORDER BY mode DESC, level) AS INTEGER) AS ord FROM (SELECT DISTINCT substr(mode, 1, 1) || level AS label, mode, level FROM items WHERE mode <> 'CoOp')")
 def _(s, d):
-    from pyspark.sql import Window
-
-    rows = tb.items(s, d).filter("mode <> 'CoOp'").select(F.concat(F.substring("mode", 1, 1), F.col("level").cast("string")).alias("label"), "mode", "level").distinct()
-    return rows.select("label", F.row_number().over(Window.orderBy(F.col("mode").desc(), "level")).alias("ord"))  # one row for each folder
+    return vw.difficulty_options(tb.items(s, d))
 
 
 @query("j3_source_precedence", "SELECT seq, entity_id, item_id, source FROM valid v WHERE source = 'current' OR NOT EXISTS (SELECT 1 FROM valid c WHERE c.source = 'current' AND c.entity_id = v.entity_id AND c.item_id = v.item_id AND c.mode = v.mode)")
@@ -439,9 +437,7 @@ def _(s, d):
 
 @query("i2_overlap_window", "SELECT seq, entity_id FROM (SELECT *, max(recorded_ts) OVER (PARTITION BY entity_id) AS last FROM attempts) WHERE recorded_ts >= last - INTERVAL 7 DAY")
 def _(s, d):
-    rows = tb.attempts(s, d)
-    last = rows.groupBy("entity_id").agg(F.max("recorded_ts").alias("last"))
-    return rows.join(last, "entity_id").filter("recorded_ts >= last - interval 7 days").select("seq", "entity_id")
+    return up.overlapping(tb.attempts(s, d)).select("seq", "entity_id")
 
 
 @query("i4_pruning", "SELECT seq FROM attempts SEMI JOIN (SELECT CAST(s_suppkey AS VARCHAR) AS entity_id FROM supplier WHERE s_acctbal > 0) USING (entity_id) SEMI JOIN (SELECT item_id FROM items WHERE level >= 16) USING (item_id)")

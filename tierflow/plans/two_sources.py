@@ -157,7 +157,7 @@ def _(s, d):
 
 @query("a21_group_totals", GROUPS + " SELECT entity_id, round(sum(rating) + 1e-9, 6) AS total, count(*) AS n FROM gm GROUP BY entity_id")
 def _(s, d):
-    return groups(s, d).groupBy("entity_id").agg(F.sum("rating").alias("total"), F.count("*").alias("n")).select("entity_id", *six("total"), "n")
+    return gm.totals(groups(s, d)).select("entity_id", *six("total"), "n")
 
 
 @query("w18_anchors", GROUPS + """, sg AS (SELECT item_id, quantile_cont(ln(1 + 1e6::DOUBLE - score), 0.25) AS signal FROM gm GROUP BY item_id), oo AS (SELECT *, row_number() OVER (ORDER BY signal, item_id) AS r, count(*) OVER () AS n FROM sg),
