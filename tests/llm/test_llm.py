@@ -524,6 +524,23 @@ def test_license_texts(spark):
         assert license.Automaton(license.TEMPLATES[n]).match([w.encode() for w in words], 0) == -1
 
 
+def test_anchors_in_pieces(monkeypatch):
+    """Every 100-byte string has the same anchor, in however small pieces a block is looked at; and documents keep theirs apart."""
+    rng = np.random.default_rng(8)
+    texts = [bytes(rng.integers(97, 101, int(n), dtype=np.uint8)) for n in (0, 99, 100, 350, 1200, 101, 640)]
+    cuts = np.cumsum([0, *map(len, texts)])
+
+    def found():
+        pos, least, most, _ = suffixes.anchors(texts)
+        counts = [len(g) for g, _ in suffixes.gram_counts(texts)]
+        return {p - x: p for p, a, b in zip(pos.tolist(), least.tolist(), most.tolist(), strict=True) for x in range(a, b + 1)}, counts
+
+    want = found()
+    assert set(want[0]) == {i for a, n in zip(cuts, map(len, texts), strict=False) for i in range(a, a + n - 99)}
+    monkeypatch.setattr(suffixes, "PIECE", 170)
+    assert found() == want
+
+
 def test_near_copies_of_texts_without_words(spark):
     docs = spark.createDataFrame([(3, ""), (5, None), (9, " \n")], "doc_id long, text string")
     assert {tuple(r) for r in similar.near_copies(docs).collect()} == {(5, 3), (9, 3)}

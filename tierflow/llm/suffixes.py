@@ -28,7 +28,7 @@ LENGTH, GRAM = 100, 16
 #: Places that a string's gram can have; the last bytes to the left that a string can have.
 PLACES, LEFT = LENGTH - GRAM + 1, LENGTH - GRAM
 #: Bits of a position within a block, the longest piece that is looked at at once, and bytes of a block.
-BITS, PIECE, BLOCK = 24, 1 << 23, 1 << 20
+BITS, PIECE, BLOCK = 24, 1 << 20, 1 << 20
 #: Members that are merged at once (whole groups of one gram), and contexts that a task remembers.
 MERGED, REMEMBERED = 1 << 14, 1 << 19
 
