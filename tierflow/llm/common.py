@@ -27,6 +27,8 @@ SPACE = np.isin(np.arange(256), list(b" \t\n\x0b\x0c\r"))
 FACTOR = 0x9E3779B97F4A7C15
 VALUE = np.array([xxhash.xxh64_intdigest(bytes([b]), 7) for b in range(256)], np.uint64)
 PIECE = 1 << 20
+#: Rows of a text table that are sent to Python at once.
+ROWS = 2000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -145,8 +147,16 @@ def hashed_words(texts: list[bytes], table: bytes | None = None) -> tuple[np.nda
     return h, np.bincount(doc, minlength=len(texts)), tail
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches of ROWS rows instead of Spark's 10,000, which are tens of megabytes of text in the JVM and again in Python; a session that names another number keeps it."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name) == "10000":
+        spark.conf.set(name, str(ROWS))
+
+
 def texts_of(df: DataFrame, key: str = "doc_id", text: str = "text", extra: dict[str, Column] | None = None) -> DataFrame:
     """Key, text and ``extra`` alone, so that other columns of the input, whatever their names, play no part."""
+    small_batches(df.sparkSession)
     more = [c.alias(name) for name, c in (extra or {}).items()]
     return df.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"), *more)
 

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import text_blocks
+from .common import small_batches, text_blocks
 
 #: Lines in a block, and characters outside links from which on a block counts as text.
 BLOCK, SURGE = 3, 86
@@ -245,6 +245,7 @@ def extract(pages: DataFrame, block: int = BLOCK, surge: int = SURGE) -> DataFra
             out = [main_text(x or "", block, surge) for x in batch.column("html").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(out, pa.string()), pa.array([len(x) for x in out], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
+    small_batches(pages.sparkSession)
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
     return rows.mapInArrow(run, "page_id long, url string, text string, n_chars long")
 

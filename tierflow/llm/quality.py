@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import as_bytes, text_blocks, texts_of
+from .common import as_bytes, small_batches, text_blocks, texts_of
 
 #: Words that a repeated substring has at least to count as one; share of a text's words that such ones may cover, and
 #: share that the longest one may have.
@@ -136,6 +136,7 @@ def rate(docs: DataFrame, least: int = LEAST, max_covered: float = COVERED, max_
 
 def keep_good(docs: DataFrame, least: int = LEAST, max_covered: float = COVERED, max_longest: float = LONGEST) -> DataFrame:
     """The rows of ``docs`` that ``rate`` keeps, with all their columns, whatever their names; rows pass through one step and aren't shuffled."""
+    small_batches(docs.sparkSession)
     held = docs.select(F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)]).alias("held"))
     place = docs.columns.index("text")
 
