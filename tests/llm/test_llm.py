@@ -541,6 +541,17 @@ def test_anchors_in_pieces(monkeypatch):
     assert found() == want
 
 
+def test_hashed_words_in_pieces(monkeypatch):
+    texts = [b"", b"one two  three", b"A" * 300 + b" b", b" \n", "é ü one".encode(), b"one"]
+    from tierflow.llm import common
+
+    want = [x.tolist() for x in common.hashed_words(texts)]
+    assert want[1] == [0, 3, 2, 0, 3, 1] and want[0][0] == want[0][-1] == want[0][-2] and len(set(want[0])) == 7
+    for piece in (1, 7, 64, 1 << 12):
+        monkeypatch.setattr(common, "PIECE", piece)
+        assert [x.tolist() for x in common.hashed_words(texts)] == want
+
+
 def test_near_copies_of_texts_without_words(spark):
     docs = spark.createDataFrame([(3, ""), (5, None), (9, " \n")], "doc_id long, text string")
     assert {tuple(r) for r in similar.near_copies(docs).collect()} == {(5, 3), (9, 3)}

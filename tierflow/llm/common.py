@@ -26,7 +26,7 @@ LOWER = bytes(b + 32 if 0x41 <= b <= 0x5A else b for b in range(256))
 SPACE = np.isin(np.arange(256), list(b" \t\n\x0b\x0c\r"))
 FACTOR = 0x9E3779B97F4A7C15
 VALUE = np.array([xxhash.xxh64_intdigest(bytes([b]), 7) for b in range(256)], np.uint64)
-PIECE = 1 << 20
+PIECE = 1 << 18
 #: Rows of a text table that are sent to Python at once.
 ROWS = 2000
 
@@ -118,7 +118,7 @@ def _words(low: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(start, hash, last three bytes) of the words of some bytes."""
     edge = np.diff(np.concatenate([[0], (~SPACE[low]).astype(np.int8), [0]]))
     start, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-    power, inverse = _powers(1 << max(12, len(low).bit_length()))
+    power, inverse = _powers(1 << max(12, (len(low) - 1).bit_length()))
     sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(VALUE[low] * power[: len(low)], dtype=np.uint64)])
     tail = np.zeros(len(start), np.uint64)
     for k in (3, 2, 1):
