@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, html, license, maxent, mixing, pii, quality, sharding, simhash, suffixes
+from . import decontaminate, html, infill, license, maxent, mixing, pii, quality, resample, sharding, simhash, suffixes, urls
 
 QUERIES = {
     "op1_decontamination": decontaminate.op1_decontamination,
@@ -15,6 +15,9 @@ QUERIES = {
     "op8_mixing": mixing.op8_mixing,
     "op9_pii": pii.op9_pii,
     "op10_lm": maxent.op10_lm,
+    "op11_urls": urls.op11_urls,
+    "op12_infill": infill.op12_infill,
+    "op13_resample": resample.op13_resample,
 }
 
 SQL = {
@@ -22,4 +25,6 @@ SQL = {
     "op2_license": license.OP2_SQL,
     "op4_sharding": sharding.OP4_SQL,
     "op8_mixing": mixing.OP8_SQL,
+    "op11_urls": urls.OP11_SQL,
+    "op12_infill": infill.OP12_SQL,
 }
