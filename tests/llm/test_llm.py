@@ -294,7 +294,7 @@ class Article(HTMLParser):
 
 @needs_data
 def test_given_pages_by_another_parser(spark):
-    """All given pages have one article; with its tag made a div, short lines at its ends may go, and nothing else comes in."""
+    """All given pages have one article; with its tag made a div, its text is the same on nearly all of them, and nothing else comes in."""
     pages = duckdb.sql("select page_id, html from '/root/testdata/sf0.01/pages.parquet'").fetchall()
     want = {}
     for i, page in pages:
@@ -308,7 +308,7 @@ def test_given_pages_by_another_parser(spark):
         text = html.main_text(re.sub("<(/?)article", r"<\1div", page))
         assert text in want[i] and len(text) > 0.8 * len(want[i])
         same += text == want[i]
-    assert same > 0.9 * len(pages)
+    assert same > 0.95 * len(pages)
 
 
 def longest_runs(w):

@@ -17,7 +17,7 @@ BLOCK, SURGE = 3, 86
 
 MARKUP = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
-    r"|<(?P<raw>script|style|noscript|template|textarea|iframe|svg|math|title|select|object)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*(?:/>|>.*?(?:</(?P=raw)\s*>|\Z))"
+    r"|<(?P<raw>script|style|noscript|textarea|iframe|title)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*(?:/>|>.*?(?:</(?P=raw)\s*>|\Z))"
     r"|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s>/]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*'|[\"'])*?)(?:>|\Z)",
     re.S | re.I,
 )
@@ -27,12 +27,19 @@ BREAKS = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header "
     "hgroup hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead tr ul".split()
 )
+#: Elements whose children belong together.
+CONTAINERS = frozenset("article body center dd div fieldset li main section td".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-ASIDE = frozenset("nav footer aside form menu button dialog".split())
+ASIDE = frozenset("nav footer aside form menu button dialog svg template select".split())
+#: Foreign elements that the start of one of these ends, also without their own end tag, unless it is in a part of them that holds HTML.
+FOREIGN, HOLDS_HTML = ("svg", "math"), ("foreignobject", "desc", "annotation-xml", "mi", "mo", "mn", "ms", "mtext")
+ENDS_FOREIGN = frozenset(
+    "b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li listing menu meta nobr ol p pre ruby s small span strong strike sub sup table tt u ul var".split()
+)
 NOISE = frozenset(
     "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner sidebar menu nav navbar navigation breadcrumb breadcrumbs footer "
     "cookie cookies consent notice notices popup modal newsletter subscribe subscription signup comment comments disqus respond social share sharing related "
-    "recommended widget pagination pager masthead complementary contentinfo".split()
+    "recommended widget pagination pager masthead complementary contentinfo legal copyright disclaimer imprint impressum".split()
 )
 #: Parts that a name of several may have besides: whole names count, so "with-sidebar" or "post-related" are no noise, "site-footer" and "ad-box" are.
 NEUTRAL = frozenset(
@@ -51,6 +58,8 @@ SCOPES = {
     **dict.fromkeys(("td", "th", "tr", "table", "caption", *_ROWS), ("table",)), "li": ("ul", "ol", "menu", "dir", "dl", "section", "article", "blockquote", *_CELLS),
     **dict.fromkeys(("dt", "dd"), ("dl", "ul", "ol", "section", "article", "blockquote", *_CELLS)),
 }
+#: Elements within lines whose end tag also ends blocks that are open in them.
+WHOLE = frozenset("button math object select svg template".split())
 P_STAYS = frozenset("body caption head html legend option tbody td tfoot th thead tr".split())
 
 
@@ -90,6 +99,8 @@ class OpenElements:
 
     def start(self, tag: str) -> None:
         """Ends what the start of ``tag`` implies the end of."""
+        if tag in ENDS_FOREIGN and (at := self.last(FOREIGN)) > self.last(HOLDS_HTML):
+            self.cut(min(p for t in FOREIGN for p in self.places.get(t, ()) if p > self.last(HOLDS_HTML)))
         if tag in BREAKS and tag not in P_STAYS and (at := self.last(("p",))) > self.last(_CELLS):
             self.cut(at)
         if closed := OPTIONAL_END.get(tag):
@@ -108,21 +119,22 @@ class OpenElements:
         """Ends the innermost open ``tag`` and all in it; an end tag without a start is ignored."""
         if not (p := self.places.get(tag)):
             return
-        if tag in BREAKS:
-            bound = self.last(t for t in SCOPES.get(tag, _CELLS) if t != tag) if tag not in ("html", "body") else -1
+        if tag in BREAKS or tag in WHOLE:
+            bound = self.last(t for t in SCOPES.get(tag, _CELLS) if t != tag) if tag not in ("html", "body", "template") else -1
         else:
             bound = self.blocks[-1] if self.blocks else -1
         if p[-1] > bound:
             self.cut(p[-1])
 
 
-def lines(html: str) -> list[tuple[str, int, int]]:
-    """The page's lines: (text, its characters outside links, number of the outermost article or main element that it is in, or 0).
+def lines(html: str) -> list[tuple[str, int, int, int]]:
+    """The page's lines: (text, its characters outside links, number of the outermost article or main element that it is in, or 0, number of the innermost container that it is in).
 
     Elements that aren't content by their tag are left out, and those that aren't by their names unless nothing else has a surge and they hold over half of
     the page's characters outside links.
     """
-    out: list[tuple[str, int, int, tuple[int, ...]]] = []
+    out: list[tuple[str, int, int, int, tuple[int, ...]]] = []
+    containers, boxes = 0, []  # number of the containers so far; place and number of the open ones
     held: list[str] = []
     opened = OpenElements()
     plain = link = at = regions = named = 0
@@ -140,7 +152,7 @@ def lines(html: str) -> list[tuple[str, int, int]]:
     def end() -> None:
         nonlocal plain
         if held and (text := " ".join("".join(held).split())):
-            out.append((text, plain, region[1], tuple(n for _, n in noise)))
+            out.append((text, plain, region[1], boxes[-1][1] if boxes else 0, tuple(n for _, n in noise)))
         held.clear()
         plain = 0
 
@@ -159,6 +171,9 @@ def lines(html: str) -> list[tuple[str, int, int]]:
         else:
             opened.start(tag)
         depth = len(opened.stack)
+        while boxes and depth <= boxes[-1][0]:
+            end()
+            boxes.pop()
         if depth <= region[0]:
             end()
             region = (-1, 0)
@@ -188,18 +203,21 @@ def lines(html: str) -> list[tuple[str, int, int]]:
                 regions += 1
                 region = (depth, regions)
         if not closing and not alone:
+            if tag in CONTAINERS:
+                containers += 1
+                boxes.append((depth, containers))
             opened.push(tag)
     put(html[at:])
     end()
-    clean = [x[:3] for x in out if not x[3]]
+    clean = [x[:4] for x in out if not x[4]]
     if len(clean) == len(out) or any(sum(x[1] for x in clean[i : i + BLOCK]) >= SURGE for i in range(len(clean))):
         return clean
     sums: dict[int, int] = {}
-    for _, n, _, within in out:
+    for _, n, _, _, within in out:
         for x in within:
             sums[x] = sums.get(x, 0) + n
     total = sum(x[1] for x in out)
-    return [x[:3] for x in out if all(2 * sums[k] > total for k in x[3])]
+    return [x[:4] for x in out if all(2 * sums[k] > total for k in x[4])]
 
 
 def main_text(html: str, block: int = BLOCK, surge: int = SURGE) -> str:
@@ -207,6 +225,7 @@ def main_text(html: str, block: int = BLOCK, surge: int = SURGE) -> str:
 
     If article and main elements hold at least half of the characters outside links of that text, it is the lines of those
     of them that it touches: what else lies between surge and dive goes, and their short first and last lines come in.
+    Else surge and dive are moved out over lines of the container that holds most of the text, so that its title and short paragraphs at its ends stay.
     """
     found = lines(html)
     sizes = [x[1] for x in found]
@@ -221,10 +240,18 @@ def main_text(html: str, block: int = BLOCK, surge: int = SURGE) -> str:
     stop = min(len(sizes), stop + block)
     while not sizes[stop - 1]:
         stop -= 1
-    kept = found[start:stop]
+    first, last, kept = start, stop, found[start:stop]
     if 2 * sum(x[1] for x in kept if x[2]) >= sum(x[1] for x in kept):
         regions = {x[2] for x in kept if x[2]}
         kept = [x for x in found if x[2] in regions]
+    else:
+        held: dict[int, int] = {}
+        for x in kept:
+            held[x[3]] = held.get(x[3], 0) + x[1]
+        box = max(held, key=lambda k: held[k])
+        own = [i for i, x in enumerate(found) if x[3] == box and x[1]]
+        start, stop = min(start, own[0]), max(stop, own[-1] + 1)
+        kept = [x for i, x in enumerate(found) if start <= i < stop and (first <= i < last or x[3] == box)]
     return " ".join(x[0] for x in kept)
 
 
@@ -235,7 +262,7 @@ def extract(pages: DataFrame, block: int = BLOCK, surge: int = SURGE) -> DataFra
     the page's text and no block of the rest reaches ``SURGE``) are stripped; what is left falls into lines at the elements that break them, with character references decoded and white space made single.
     Characters outside links are summed over ``block`` lines from each line on. The text is kept from the first line
     whose sum reaches ``surge`` (the largest sum, if none does) to the end of the last such block, without lines of links
-    at either end. Where article or main elements hold most of it, the lines of those are kept. Elements end as HTML says, also
+    at either end, and with the other lines of the container that holds most of it. Where article or main elements hold most of it, the lines of those are kept. Elements end as HTML says, also
     where it lets their end tags be left out. A null, empty or markup-only page has an empty text. Repeated rows each get theirs, an empty table gives an empty result,
     other columns play no part. Pages aren't shuffled, and whole pages are read.
     """

@@ -12,7 +12,7 @@ from .common import as_bytes, key_runs, text_blocks
 
 #: Bytes of text in a chunk, and for which there is a bucket; bits of a key within its bucket.
 CHUNK, BUCKET, KEY = 4 << 20, 8 << 20, 40
-#: Stands for the number of a text where several of a chunk have the key.
+#: Stands for the number of a text where several of a chunk have the key, so a chunk has at most as many texts.
 SEVERAL = 0xFFFF
 
 
@@ -39,7 +39,7 @@ def sent_keys(rows: DataFrame, hashes: Callable[[list[bytes]], list[tuple[np.nda
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in text_blocks(batches, CHUNK):
+        for batch in (b.slice(k, SEVERAL) for b in text_blocks(batches, CHUNK) for k in range(0, b.num_rows, SEVERAL)):
             ids = batch.column("doc_id").to_numpy()
             sets, weights = zip(*hashes(as_bytes(batch)), strict=True)
             n = np.array([len(x) for x in sets], np.int32)

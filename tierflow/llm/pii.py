@@ -6,7 +6,7 @@ from functools import reduce
 
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import settled, texts_of
@@ -29,6 +29,8 @@ GENERATORS = [
 #: Candidates that the trees are fitted on (at most about as many, by hash, the same number of each kind and label), trees, depth, share of right ones
 #: that a threshold promises.
 SAMPLE, TREES, DEPTH, PRECISION = 20_000, 12, 3, 0.95
+#: Parts of the labelled candidates, without each of which trees are fitted.
+FOLDS = 3
 FEATURES = (
     "length", "digits", "letters", "capitals", "hex", "groups", "widest", "dots", "dashes", "spaces", "slashes", "changes", "plus", "at", "dot after at", "zero",
     "word before", "word after", "colon before", "quote before", "line start", *KINDS,
@@ -153,10 +155,9 @@ def fit(found: DataFrame, sample: int = SAMPLE) -> tuple[object, dict[int, float
     Right ones are candidates of any generator right after words that name their kind, wrong ones those right after words that name something else
     (a version, an order, a date, a commit) and, without words that name them, matches of the contract's generators that fail its rules; the rest have no label, those that
     pass the rules too. The features don't see those words, so the trees have to
-    tell right from wrong by format and by other context. Each kind and label has an equal part of ``sample``, taken by hash; four fifths of what is
-    taken fit the trees. All other labelled candidates calibrate them, each standing for as many of its kind and label as were
-    taken away: by kind, the share of right ones at each margin is made monotone (isotonic regression), and the threshold is the lowest margin at which it is at
-    least PRECISION. A kind without right ones has no threshold and gets no spans added.
+    tell right from wrong by format and by other context. Each kind and label has an equal part of ``sample``, taken by hash. Labelled candidates fall into FOLDS parts, and
+    trees are fitted without each part in turn, so that all of them calibrate, each by trees that haven't seen it: by kind, the share of right ones at each margin is made monotone (isotonic regression),
+    and the threshold is the lowest margin at which it is at least PRECISION. A candidate's margin is the mean of all trees'. A kind without right ones has no threshold and gets no spans added.
     """
     rows = found.select("doc_id", F.explode("found").alias("c")).filter("c.label is not null")
     key = F.xxhash64("doc_id", "c.kind", "c.start", "c.end")
@@ -167,29 +168,31 @@ def fit(found: DataFrame, sample: int = SAMPLE) -> tuple[object, dict[int, float
     share = F.create_map(*[F.lit(v) for (k, x), n in sizes.items() for v in (k * 2 + int(x), min(1.0, sample / len(sizes) / n))])
     fraction = F.shiftrightunsigned("key", 11) / F.lit(float(1 << 53))
     stratum = (F.col("kind") * 2 + F.col("label")).cast("int")
-    fits = (fraction <= F.element_at(share, stratum)) & (F.pmod("key", F.lit(5)) != 0)
-    train = settled(rows.filter(fits).withColumn("vector", array_to_vector("features")))
-    if train.select("label").distinct().count() < 2:
-        return None, {}
-    model = GBTClassifier(featuresCol="vector", labelCol="label", maxIter=TREES, maxDepth=DEPTH, seed=1, maxBins=32, cacheNodeIds=False).fit(train)
-    parts = [(float(w), t._call_java("rootNode")) for w, t in zip(model.treeWeights, model.trees, strict=True)]
-    margin = lambda x: reduce(lambda a, b: a + b, [F.lit(w) * _tree(root, x) for w, root in parts])
-    held = rows.filter(~fits).select("kind", "label", F.round(margin(F.col("features")), 2).alias("margin"))
-    counts = held.groupBy("kind", "label", "margin").agg(F.count("*").alias("n")).collect()
-    left: dict[tuple[int, float], int] = {}
-    for r in counts:
-        left[r.kind, r.label] = left.get((r.kind, r.label), 0) + r.n
+    fits, fold = fraction <= F.element_at(share, stratum), F.pmod("key", F.lit(FOLDS)).cast("int")
+    rows = settled(rows.select("kind", "label", "features", fits.alias("fits"), fold.alias("fold")))
+    margins = []
+    for k in range(FOLDS):
+        train = rows.filter((F.col("fold") != k) & F.col("fits")).withColumn("vector", array_to_vector("features"))
+        if train.select("label").distinct().count() < 2:
+            return None, {}
+        model = GBTClassifier(featuresCol="vector", labelCol="label", maxIter=TREES, maxDepth=DEPTH, seed=1, maxBins=32, cacheNodeIds=False).fit(train)
+        parts = [(float(w), t._call_java("rootNode")) for w, t in zip(model.treeWeights, model.trees, strict=True)]
+        margins.append(lambda x, parts=parts: reduce(lambda a, b: a + b, [F.lit(w) * _tree(root, x) for w, root in parts]))
+    apart = F.lit(None).cast("double")
+    for k in range(FOLDS):
+        apart = F.when(F.col("fold") == k, margins[k](F.col("features"))).otherwise(apart)
+    counts = rows.select("kind", "label", F.round(apart, 2).alias("margin")).groupBy("kind", "label", "margin").agg(F.count("*").alias("n")).collect()
     steps: dict[tuple[int, float], list[float]] = {}
     for r in counts:
-        step, n = steps.setdefault((r.kind, r.margin), [0.0, 0.0]), r.n * sizes[r.kind, r.label] / left[r.kind, r.label]
-        step[0] += r.label * n
-        step[1] += n
+        step = steps.setdefault((r.kind, r.margin), [0.0, 0.0])
+        step[0] += r.label * r.n
+        step[1] += r.n
     best: dict[int, float] = {}
     for kind in {k for k, _ in steps}:
         curve = calibrated([(m, *x) for (k, m), x in sorted(steps.items()) if k == kind])
         if sure := [m for m, p in curve if p >= PRECISION]:
             best[kind] = min(sure)
-    return margin, best
+    return lambda x: reduce(lambda a, b: a + b, [m(x) for m in margins]) / len(margins), best
 
 
 def calibrated(points: list[tuple[float, float, float]]) -> list[tuple[float, float]]:
@@ -211,27 +214,33 @@ def find(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
     ``base`` are the matches of the contract's generators that pass its rules. ``added`` are candidates of the other
     generators, and matches that failed, whose margin reaches their kind's threshold; of overlapping ones the one with the larger margin stays, then the
     first in (start, kind, end), and none overlaps a base span. Null, empty and wordless texts have none. Repeated rows each get theirs, an empty table
-    gives an empty result, other columns play no part. All work on texts is in column
-    expressions of one pass without a shuffle; candidates are few and are kept as a checkpoint.
+    gives an empty result, other columns play no part. All work on texts is in column expressions of one pass without a shuffle; candidates are few and are kept as a checkpoint. Spans are held against
+    each other in the order of their starts by running maxima, so a text takes time in proportion to its candidates; only candidates that overlap in a chain, all over their thresholds, are compared with one another.
     """
-    found = settled(candidates(texts_of(docs)))
+    found = settled(candidates(texts_of(docs)).withColumn("row", F.monotonically_increasing_id()))
     margin, best = fit(found, sample)
+    limit = F.create_map(*[F.lit(v) for k, m in best.items() for v in (k, m)]) if best else None
+    at_least = lambda c: F.coalesce(F.round(margin(c["features"]), 2) >= F.element_at(limit, c["kind"]), F.lit(False)) if best else F.lit(False)
+    kept = F.filter("found", lambda c: c["base"] | at_least(c))
+    m = lambda c: F.when(c["base"], F.lit(0.0)).otherwise(-margin(c["features"]) if best else F.lit(0.0))
     span = lambda c: F.struct(c["start"].alias("start"), c["kind"].alias("kind"), c["end"].alias("end"))
-    base = F.array_sort(F.transform(F.filter("found", lambda c: c["base"]), span))
-    if not best:
-        return found.select("doc_id", base.alias("base"), F.array().cast("array<struct<start:int,kind:int,end:int>>").alias("added"))
-    limit = F.create_map(*[F.lit(v) for k, m in best.items() for v in (k, m)])
+    rows = found.select("row", "doc_id", F.explode_outer(F.transform(kept, lambda c: F.struct(c["base"].alias("base"), m(c).alias("m"), span(c).alias("span")))).alias("c")).select("row", "doc_id", "c.*")
+    start, end, by = F.col("span")["start"], F.col("span")["end"], Window.partitionBy("row")
+    # a range up to a start takes in all that begin there
+    reach = F.max(F.when(F.col("base"), end)).over(by.orderBy(start.asc()))
+    follow = F.min(F.when(F.col("base"), start)).over(by.orderBy(start.desc()))
+    rows = rows.withColumn("free", ~F.col("base") & F.coalesce(reach <= start, F.lit(True)) & F.coalesce(follow >= end, F.lit(True)))
+    free = Window.partitionBy("row", "free").orderBy(start.asc(), end.asc())
+    over = F.max(end).over(free.rowsBetween(Window.unboundedPreceding, -1))
+    rows = rows.withColumn("first", F.coalesce((over <= start).cast("int"), F.lit(1))).withColumn("chain", F.sum("first").over(free.rowsBetween(Window.unboundedPreceding, 0)))
+    none = F.array().cast("array<struct<start:int,kind:int,end:int>>")
     apart = lambda a, b: (a["end"] <= b["start"]) | (b["end"] <= a["start"])
-    scored = F.transform(
-        F.filter("found", lambda c: ~c["base"]),
-        lambda c: F.struct((-margin(c["features"])).alias("m"), c["start"].alias("start"), c["kind"].alias("kind"), c["end"].alias("end")),
-    )
-    rows = found.select("doc_id", base.alias("base"), F.array_sort(F.array_distinct(scored)).alias("scored"))
-    fits = lambda c: (F.round(-c["m"], 2) >= F.element_at(limit, c["kind"])) & ~F.exists("base", lambda b: ~apart(b, c))
-    rows = rows.withColumn("scored", F.filter("scored", lambda c: F.coalesce(fits(c), F.lit(False))))
-    none = F.array().cast("array<struct<m:double,start:int,kind:int,end:int>>")
-    chosen = F.aggregate("scored", none, lambda a, c: F.when(F.exists(a, lambda b: ~apart(b, c)), a).otherwise(F.concat(a, F.array(c))))
-    return rows.select("doc_id", "base", F.array_sort(F.transform(chosen, span)).alias("added"))
+    ordered = F.transform(F.array_sort(F.collect_list(F.when(F.col("free"), F.struct("m", "span")))), lambda c: c["span"])
+    chosen = F.aggregate(ordered, none, lambda a, c: F.when(F.exists(a, lambda b: ~apart(b, c)), a).otherwise(F.concat(a, F.array(c))))
+    # base spans and those that overlap them are in one group for each text, which its length bounds; free ones are by chain
+    chains = rows.groupBy("row", F.when(F.col("free"), F.col("chain")).alias("chain")).agg(F.first("doc_id").alias("doc_id"), F.collect_list(F.when(F.col("base"), F.col("span"))).alias("base"), chosen.alias("added"))
+    every = lambda c: F.array_sort(F.flatten(F.collect_list(c)))
+    return chains.groupBy("row").agg(F.first("doc_id").alias("doc_id"), every("base").alias("base"), every("added").alias("added")).drop("row")
 
 
 def digest(found: Column) -> Column:
