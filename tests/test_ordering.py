@@ -4,7 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from tierflow.operators.ordering import numbered
+from tierflow.operators.ordering import accumulated, numbered
 
 
 def test_places_over_all_rows(spark):
@@ -33,3 +33,15 @@ def test_places_of_nothing_and_of_repeated_rows(spark):
     assert numbered(none, [F.col("x")], "place").collect() == []
     same = spark.createDataFrame([(1, 1)] * 20, "x int, id long")
     assert sorted(r.place for r in numbered(same, [F.col("x"), F.col("id")], "place").collect()) == list(range(1, 21))
+
+
+def test_running_sums_with_a_hot_key(spark):
+    rng = random.Random(5)
+    rows = [(rng.choice(["a", "a", "a", "b"]), i, rng.choice([None, 1, 2])) for i in range(500)]
+    df = spark.createDataFrame(rows, "k string, x int, n int").repartition(5)
+    want, run = {}, {"a": 0, "b": 0}
+    for k, x, n in rows:
+        run[k] += n or 0
+        want[x] = run[k]
+    for spread in (True, False):
+        assert {r.x: r.run for r in accumulated(df, [F.col("x").asc()], {"run": F.col("n")}, ["k"], spread).collect()} == want

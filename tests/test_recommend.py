@@ -34,6 +34,20 @@ def test_peers_equal_brute_force(spark, n):
     assert got == want
 
 
+@pytest.mark.parametrize("held", [50_000, 1])
+def test_peers_of_an_item_with_a_third_of_all_rows(spark, held):
+    """Many ties in ratings and scores, entities without a rating, and wanted ones that are no peers; three digits by a radix of 4, with and without ranges."""
+    rng = random.Random(7)
+    item = lambda i: "hot" if i % 3 == 0 else f"i{i % 11}"
+    rows = {(f"e{i}", item(i + j)): (round(20 + rng.random() * 2, 1), float(rng.randrange(0, 30)), float(rng.choice([1, 2]))) for i in range(60) for j in range(3)}
+    rows = [("Single", e, k, *v) for (e, k), v in rows.items()]
+    df = spark.createDataFrame(rows, PEER)
+    asked = df.select("mode", "entity_id", "item_id", "rating").union(spark.createDataFrame([("Single", "guest", "hot", 21.0), ("Single", "guest", "i1", 21.3), ("Double", "guest", "hot", 21.0), ("Single", "guest", "i2", None)], "mode string, entity_id string, item_id string, rating double"))
+    got = {(r.mode, r.entity_id, r.item_id): (r.peer_score, r.support) for r in rc.peer_scores(asked, df, held, radix=4).collect()}
+    want = {(m, e, k): b for m, e, k, rating in asked.collect() if rating is not None and (b := brute([r for r in rows if r[2] == k and r[0] == m], e, rating))}
+    assert got == want and len(got) > 20
+
+
 def test_bands_reach_over_bins_and_unknown_ratings_have_no_peers(spark):
     rows = [("Single", f"e{i}", "x", 19.99, 900_000.0 + i, 1.0) for i in range(5)] + [("Single", "me", "x", 20.01, 1.0, 1.0), ("Single", "odd", "x", None, 2.0, 1.0)]
     df = spark.createDataFrame(rows, PEER)

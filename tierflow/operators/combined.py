@@ -13,6 +13,7 @@ from ..functions import formulas as fx
 from . import difficulty as df
 from . import weighted as wt
 from .lineage import written
+from .quantiles import large_keys, percentiles
 
 OWN = ["source", "mode", "entity_id"]
 KEYS = ["mode", "item_id"]
@@ -101,7 +102,7 @@ def difficulty(observed: DataFrame, items: DataFrame) -> DataFrame:
     sources = observed.groupBy(*KEYS).agg(F.count("*").alias("contributors"), F.count_if(is_archive()).alias("archive_n"), F.count_if(~is_archive()).alias("current_n"))
     rows = items.filter(F.col("mode").isin(*P.MODES) & (F.col("level") >= P.MIN_LEVEL)).withColumn("folder", fx.folder(F.col("mode"), F.col("level")))
     rows = written(rows.join(sources, KEYS, "left").join(stats, KEYS, "left").fillna(0, ["contributors", "archive_n", "current_n", "ess"]))
-    folders = rows.groupBy("mode", "folder").agg(F.percentile("location", F.lit(0.5)).alias("reference"))
+    folders = percentiles(rows, ["mode", "folder"], F.col("location"), {"reference": 0.5}, large=large_keys(rows, ["mode", "folder"]))
     rows = rows.join(folders, ["mode", "folder"]).join(df.shrinkage(rows, "ess"), "mode", "left")
     rows = rows.withColumn("k", F.coalesce("k", F.lit(P.DEFAULT_K))).withColumn("weight", F.col("ess") / (F.col("ess") + F.col("k")))
     shift = lambda c: F.col("weight") * (F.col(c) - F.col("reference")) * -P.SCALE

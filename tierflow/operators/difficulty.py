@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 from .. import params as P
 from ..functions import formulas as fx
 from .lineage import written
+from .ordering import numbered
+from .quantiles import large_keys, percentiles
 
 OWN = ["mode", "entity_id"]
 
@@ -89,15 +91,17 @@ def selected(ranked: DataFrame, least: int | Column = P.MIN_ATTEMPTS, own: list[
     })
 
 
-def robust(rows: DataFrame, keys: list[str], value: str = "residual") -> DataFrame:
-    """Mean, median, deviation and clipped mean of ``value`` by ``keys``; exact percentiles merge in parts, so a hot key isn't gathered."""
-    half = lambda c: F.percentile(c, F.lit(0.5))
-    first = rows.groupBy(*keys).agg(F.count(value).alias("n_values"), F.avg(value).alias("mean"), half(F.col(value)).alias("median"), F.coalesce(F.stddev_samp(value), F.lit(0.0)).alias("std"))
-    around = rows.select(*keys, value).join(first, keys)
-    spread = around.groupBy(*keys).agg(half(F.abs(F.col(value) - F.col("median"))).alias("mad"))
+def robust(rows: DataFrame, keys: list[str], value: str = "residual", held: int = P.HELD) -> DataFrame:
+    """Mean, median, deviation and clipped mean of ``value`` by ``keys``; the places of a key of over ``held`` rows are found by counts of bins, so that no task gathers its values."""
+    rows, x = written(rows.select(*keys, value)), F.col(value)
+    large = large_keys(rows, keys, held)
+    first = percentiles(rows, keys, x, {"median": 0.5}, [F.count(value).alias("n_values"), F.avg(value).alias("mean"), F.coalesce(F.stddev_samp(value), F.lit(0.0)).alias("std")], large=large, held=held)
+    first = first if large is None else written(first)
+    around = rows.join(first, keys)
+    spread = percentiles(around, keys, F.abs(x - F.col("median")), {"mad": 0.5}, large=large, held=held)
     clip = F.lit(P.CLIP) * F.col("mad")
-    held = F.least(F.greatest(F.col(value), F.col("median") - clip), F.col("median") + clip)
-    whole = around.join(spread, keys).groupBy(*keys).agg(F.avg(held).alias("clipped"), F.first("mad").alias("mad"))
+    kept = F.least(F.greatest(x, F.col("median") - clip), F.col("median") + clip)
+    whole = around.join(spread, keys).groupBy(*keys).agg(F.avg(kept).alias("clipped"), F.first("mad").alias("mad"))
     out = first.join(whole, keys)
     return out.withColumn("location", F.when((F.col("n_values") < 3) | (F.col("mad") <= 0), F.col("mean")).otherwise(F.col("clipped"))).drop("clipped")
 
@@ -152,24 +156,24 @@ def bootstrap(rows: DataFrame, keys: list[str], row: str, resamples: int = P.RES
     small = placed.filter(F.col("n") <= held).groupBy(*keys, "base").agg(F.array_sort(F.collect_list(F.struct("place", "x"))).alias("cells")).toDF(*names, "base", "cells")
     kinds = ", ".join(f"{n} {t}" for n, (_, t) in zip(names, placed.select(*keys).dtypes, strict=True))
     out = small.mapInPandas(resampled, f"{kinds}, low double, high double").toDF(*keys, "low", "high")
-    return out.union(_resampled_rows(placed.filter(F.col("n") > held), keys, resamples))
+    return out.union(_resampled_rows(placed.filter(F.col("n") > held), keys, resamples, held))
 
 
-def _resampled_rows(placed: DataFrame, keys: list[str], resamples: int) -> DataFrame:
-    """``bootstrap`` of large keys, whose rows stay apart."""
+def _resampled_rows(placed: DataFrame, keys: list[str], resamples: int, held: int) -> DataFrame:
+    """``bootstrap`` of large keys, whose rows stay apart, as do those of each resample."""
     draws = placed.select(*keys, "base", "place", "n", F.explode(F.sequence(F.lit(1), F.lit(resamples))).alias("b"))
     draws = draws.select(*keys, "b", draw(F.col("base"), F.col("b"), F.col("place"), F.col("n")).alias("place"))
     times = draws.groupBy(*keys, "b", "place").agg(F.count("*").alias("times"))
     drawn = written(times.join(placed.select(*keys, F.col("place").cast("long").alias("place"), "x"), [*keys, "place"]))
-    half = lambda c: F.percentile(c, F.lit(0.5), F.col("times"))
-    x, again = F.col("x"), [*keys, "b"]
-    mean = F.sum(x * F.col("times")) / F.sum("times")
-    first = drawn.groupBy(*again).agg(half(x).alias("median"), mean.alias("mean"), F.sum("times").alias("n"))
+    x, again, n = F.col("x"), [*keys, "b"], F.col("times")
+    large = large_keys(drawn, again, held)
+    first = percentiles(drawn, again, x, {"median": 0.5}, [(F.sum(x * n) / F.sum(n)).alias("mean"), F.sum(n).alias("n")], n, large, held)
+    first = first if large is None else written(first)
     around = drawn.join(first, again)
-    mads = around.groupBy(*again).agg(half(F.abs(x - F.col("median"))).alias("mad"))
+    mads = percentiles(around, again, F.abs(x - F.col("median")), {"mad": 0.5}, None, n, large, held)
     clip = F.lit(P.CLIP) * F.col("mad")
-    held = F.least(F.greatest(x, F.col("median") - clip), F.col("median") + clip)
-    clipped = around.join(mads, again).groupBy(*again).agg((F.sum(held * F.col("times")) / F.sum("times")).alias("clipped"), F.first("mad").alias("mad"), F.first("mean").alias("mean"), F.first("n").alias("n"))
+    kept = F.least(F.greatest(x, F.col("median") - clip), F.col("median") + clip)
+    clipped = around.join(mads, again).groupBy(*again).agg((F.sum(kept * n) / F.sum(n)).alias("clipped"), F.first("mad").alias("mad"), F.first("mean").alias("mean"), F.first("n").alias("n"))
     location = F.when((F.col("n") < 3) | (F.col("mad") <= 0), F.col("mean")).otherwise(F.col("clipped"))
     return clipped.select(*keys, location.alias("location")).groupBy(*keys).agg(F.percentile("location", F.lit(0.025)).alias("low"), F.percentile("location", F.lit(0.975)).alias("high"))
 
@@ -205,7 +209,7 @@ def slopes(best: DataFrame, keys: list[str] | None = None) -> DataFrame:
 def shrinkage(measured: DataFrame, support: str = "contributors") -> DataFrame:
     """Prior strength k by mode from the ratio of variance within items to that between them, for rows (mode, folder, location, std, ``support``)."""
     rows = measured.filter(F.col("location").isNotNull() & (F.col(support) > 0))
-    centre = rows.groupBy("mode", "folder").agg(F.percentile("location", F.lit(0.5)).alias("centre"))
+    centre = percentiles(rows, ["mode", "folder"], F.col("location"), {"centre": 0.5}, large=large_keys(rows, ["mode", "folder"]))
     many = F.col(support) > 1
     square = F.col("std") * F.col("std")
     sums = rows.join(centre, ["mode", "folder"]).groupBy("mode").agg(
@@ -233,7 +237,7 @@ def within_level(items: DataFrame, stats: DataFrame, slopes: DataFrame) -> DataF
     rows = items.filter(F.col("mode").isin(*P.MODES) & (F.col("level") >= P.MIN_LEVEL)).withColumn("folder", fx.folder(F.col("mode"), F.col("level")))
     # a row for each item of the catalog, which four steps read
     rows = written(rows.join(stats, ["mode", "item_id"], "left").fillna(0, ["scored", "contributors"]))
-    folders = rows.groupBy("mode", "folder").agg(F.percentile("location", F.lit(0.5)).alias("reference"), F.count("location").alias("measured"))
+    folders = percentiles(rows, ["mode", "folder"], F.col("location"), {"reference": 0.5}, [F.count("location").alias("measured")], large=large_keys(rows, ["mode", "folder"]))
     folders = folders.join(compressions(folders, "measured"), "measured")
     ratio = F.when(F.col("scored") > 0, F.col("contributors") / F.col("scored"))
     rows = rows.join(folders, ["mode", "folder"]).join(shrinkage(rows), "mode", "left").join(slopes.select("mode", "slope"), "mode", "left")
@@ -255,8 +259,9 @@ def placed(rows: DataFrame) -> DataFrame:
     n = F.count("delta").over(level)
     percentile = (F.rank().over(level.orderBy(F.col("delta").asc_nulls_last())) + (ties - 1) / 2 - 0.5) / n
     rows = rows.withColumns({"level_rank": F.when(known, F.row_number().over(level.orderBy(*order))), "percentile": F.when(known, percentile)})
-    # hundredths of a level; those without a difference come last
-    rows = ranked_in_bins(rows, ["mode"], F.coalesce(F.floor(F.col("delta") * 100), F.lit(1 << 60)), order, "mode_rank").withColumn("mode_rank", F.when(known, F.col("mode_rank")))
+    rows = written(rows)  # read for those with and without a difference
+    some = numbered(rows.filter(known), order, "mode_rank", ["mode"]).withColumn("mode_rank", F.col("mode_rank").cast("int"))
+    rows = some.union(rows.filter(~known).withColumn("mode_rank", F.lit(None).cast("int")))
     return rows.withColumns({"decile": fx.decile(F.col("percentile")), "band": fx.band(F.col("delta"))}).withColumn("band_name", fx.band_name(F.col("band")))
 
 

@@ -10,6 +10,7 @@ from .. import params as P
 from ..functions import formulas as fx
 from .difficulty import first_by
 from .lineage import written
+from .quantiles import large_keys, percentiles
 from .upkeep import precedence
 
 TERMS = ("x1", "x2", "x3", "x4")
@@ -73,7 +74,7 @@ def coefficients(rows: DataFrame) -> list[float]:
 def signals(rows: DataFrame, fitted: list[float]) -> DataFrame:
     """(item_id, signal, support): the lower quartile of each item's log miss, as of the median ability in the current source."""
     shift = sum((F.col(c) * v for c, v in zip(TERMS, fitted, strict=True)), F.lit(0.0))
-    return rows.groupBy("item_id").agg(F.percentile(F.col("y") - shift + fitted[3], F.lit(0.25)).alias("signal"), F.count("*").alias("support"))
+    return percentiles(rows, ["item_id"], F.col("y") - shift + fitted[3], {"signal": 0.25}, [F.count("*").alias("support")], large=large_keys(rows, ["item_id"]))
 
 
 def calibrated(signals: DataFrame) -> DataFrame:

@@ -2,18 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import params as P
 from ..functions import formulas as fx
-from .difficulty import ranked_in_bins
+from .ordering import numbered
 
 
 def tier_order(placed: DataFrame) -> DataFrame:
     """``place`` of each item in its mode by estimate, those without one last, then title and id."""
-    bins = F.coalesce(F.floor(F.col("estimate") * 100), F.lit(1 << 60))
-    return ranked_in_bins(placed, ["mode"], bins, [F.col("estimate").asc_nulls_last(), F.col("title"), F.col("item_id")], "place")
+    return numbered(placed, [F.col("estimate").asc_nulls_last(), F.col("title").asc(), F.col("item_id").asc()], "place", ["mode"]).withColumn("place", F.col("place").cast("int"))
 
 
 def buckets(placed: DataFrame) -> DataFrame:
@@ -56,6 +55,11 @@ def write_shards(df: DataFrame, path: str, columns: list[str], rows: int = 5000)
     return marked.groupBy("file").agg(F.count("*").alias("n"), F.sha2(F.array_join(F.array_sort(F.collect_list("h")), ",").cast("binary"), 256).alias("digest"))  # ``rows`` bound the list
 
 
+def model_shards(rows: DataFrame, keys: list[str], order: list[Column], size: int) -> DataFrame:
+    """``shard`` (from 0) of each row: ``size`` rows in a row of ``order`` by ``keys``, numbered over ranges."""
+    return numbered(rows, order, "place", keys).withColumn("shard", F.floor((F.col("place") - 1) / size)).drop("place")
+
+
 def packed(rows: DataFrame, key: str, columns: list[str], by: str) -> DataFrame:
     """One row for each key with its rows as an array of structs in the order of ``by``; a key's rows must be few, as lists of 50 are."""
     cells = F.array_sort(F.collect_list(F.struct(F.col(by).alias("_by"), *columns)))

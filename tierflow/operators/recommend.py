@@ -12,10 +12,12 @@ from ..functions import formulas as fx
 from . import weighted as wt
 from .difficulty import OWN, ranked_in_bins
 from .lineage import written
+from .ordering import accumulated, numbered
+from .quantiles import large_keys, percentiles
 
 KEYS = ["mode", "item_id"]
-#: Peers are dealt by bins as wide as the largest radius, so that a band lies in a bin and its two neighbours.
-WIDTH = max(P.PEER_RADII)
+#: Digits of a place by score that are told apart at once.
+RADIX = 16
 
 
 def rating_source(counts: DataFrame) -> DataFrame:
@@ -43,30 +45,65 @@ def own_ratings(ranked: DataFrame, own: list[str] = OWN) -> DataFrame:
     return wt.without_item(ranked, own).join(full, own).withColumn("rating", F.coalesce("rating_without", "full_rating"))
 
 
-def peer_scores(wanted: DataFrame, peers: DataFrame) -> DataFrame:
-    """(mode, entity_id, item_id, peer_score, support) of wanted (mode, entity_id, item_id, rating): the weighted lower median of other entities' scores.
+def peer_scores(wanted: DataFrame, peers: DataFrame, held: int = P.HELD, radix: int = RADIX) -> DataFrame:
+    """(mode, entity_id, item_id, peer_score, support) of wanted (mode, entity_id, item_id, rating), each once: the weighted lower median of other entities' scores.
 
     ``peers`` are rows (mode, entity_id, item_id, rating, score, weight). The radius is the first that has the largest number of peers which any of them has;
     with fewer than the least number there is no row. Every peer in the band counts.
+
+    No pairs are made. Peers of an item stand in the order of their ratings, and what a band holds is the difference of two running sums, at its upper and its lower edge: of rows for the radius, then of
+    weights. The median is found digit by digit of the peers' places by score: the weights of the ``radix`` next digits in the band tell which one it lies in. So rows grow with peers and wanted ones, and digits
+    with the logarithm of an item's peers. Where an item has over ``held`` rows, all is summed over ranges. Weights should be such that their sums are exact, as whole numbers are.
     """
-    bins = F.floor(F.col("rating") / WIDTH)
-    near = wanted.filter("rating is not null").select(*OWN, "item_id", "rating", F.explode(F.array(bins - 1, bins, bins + 1)).alias("bin"))
-    others = peers.filter("rating is not null").select(*KEYS, F.col("entity_id").alias("peer"), F.col("rating").alias("peer_rating"), "score", "weight", bins.alias("bin"))
-    off = F.abs(F.col("rating") - F.col("peer_rating"))
-    pairs = near.join(others, [*KEYS, "bin"]).filter(F.col("peer") != F.col("entity_id")).withColumn("off", off).filter(F.col("off") <= WIDTH + 1e-9)
-    # the widest step, read twice; of pairs with the same distance, score and weight one row stays, with their number
-    pairs = written(pairs.groupBy(*OWN, "item_id", "off", "score", "weight").agg(F.count("*").alias("times")))
-    within = lambda r: F.col("off") <= r + 1e-9
-    counts = pairs.groupBy(*OWN, "item_id").agg(*[F.sum(F.when(within(r), F.col("times")).otherwise(0)).alias(f"n{i}") for i, r in enumerate(P.PEER_RADII)])
+    own_key = [*OWN, "item_id"]
+    asked = written(wanted.filter("rating is not null").select(*own_key, "rating"))
+    lent = peers.filter("rating is not null").select(*KEYS, F.col("entity_id").alias("peer"), F.col("rating").alias("at"), "score", F.when(F.col("score").isNotNull() & (F.col("weight") > 0), F.col("weight")).otherwise(0).cast("double").alias("weight"))
+    spread = large_keys(asked.select(*KEYS).union(lent.select(*KEYS)), KEYS, max(1, held // 2 // len(P.PEER_RADII))) is not None  # a wanted row has two edges for each radius
+    lent = written(numbered(lent, [F.col("score").asc(), F.col("peer").asc()], "rank", KEYS, spread).withColumn("rank", F.col("rank") - 1))
+    mine = written(asked.join(lent.withColumnRenamed("peer", "entity_id"), own_key))  # an entity is no peer of its own
+    reach = lambda r: F.lit(r) + 1e-9
+    edge = lambda k, r, side: F.struct(F.lit(k).alias("edge"), (F.col("rating") + (2 * side - 1) * reach(r)).alias("at"), F.lit(2 * side).alias("kind"))
+    order = [F.col("at").asc(), F.col("kind").asc()]  # of equal ratings the lower edge comes first, then peers, then the upper edge
+    sides = [(i, side) for i in range(len(P.PEER_RADII)) for side in (0, 1)]
+    edges = asked.select(*own_key, F.explode(F.array(*[edge(2 * i + side, P.PEER_RADII[i], side) for i, side in sides])).alias("e")).select(*own_key, "e.*", F.lit(0).alias("one"))
+    lent_rows = lent.select("mode", F.lit(None).cast("string").alias("entity_id"), "item_id", F.lit(None).cast("int").alias("edge"), "at", F.lit(1).alias("kind"), F.lit(1).alias("one"))
+    run = accumulated(lent_rows.union(edges), order, {"run": F.col("one")}, KEYS, spread).filter("edge is not null")
+    within = run.groupBy(*own_key).agg(*[F.sum(F.when(F.col("edge") == 2 * i + 1, F.col("run")).when(F.col("edge") == 2 * i, -F.col("run"))).alias(f"n{i}") for i in range(len(P.PEER_RADII))])
+    off = F.abs(F.col("rating") - F.col("at"))
+    selves = mine.groupBy(*own_key).agg(*[F.count_if(off <= reach(r)).alias(f"o{i}") for i, r in enumerate(P.PEER_RADII)])
+    counts = within.join(selves, own_key, "left").fillna(0).select(*own_key, *[(F.col(f"n{i}") - F.col(f"o{i}")).alias(f"n{i}") for i in range(len(P.PEER_RADII))])
     radius, support = F.lit(None).cast("double"), F.lit(None).cast("long")
     for target in sorted(P.PEER_TARGETS):  # the largest target is asked first, so it is put on top last
         for i in reversed(range(len(P.PEER_RADII))):
-            reached = F.col(f"n{i}") >= target
-            radius, support = F.when(reached, P.PEER_RADII[i]).otherwise(radius), F.when(reached, F.col(f"n{i}")).otherwise(support)
-    chosen = counts.select(*OWN, "item_id", radius.alias("radius"), support.alias("support")).filter("radius is not null")
-    used = pairs.join(chosen, [*OWN, "item_id"]).filter(F.col("off") <= F.col("radius") + 1e-9).withColumn("weight", F.col("weight") * F.col("times"))
-    scores = wt.lower_quantile(used, [*OWN, "item_id"], "score", "weight", 0.5, "peer_score")
-    return scores.join(chosen.drop("radius"), [*OWN, "item_id"])
+            enough = F.col(f"n{i}") >= target
+            radius, support = F.when(enough, P.PEER_RADII[i]).otherwise(radius), F.when(enough, F.col(f"n{i}")).otherwise(support)
+    chosen = counts.select(*own_key, radius.alias("radius"), support.alias("support")).filter("radius is not null").join(asked, own_key)
+    state = chosen.withColumns({"prefix": F.lit(0).cast("long"), "before": F.lit(0.0), "goal": F.lit(None).cast("double")})
+    last = lent.agg(F.max("rank")).first()[0] or 0
+    digits = 1
+    while radix**digits <= last:
+        digits += 1
+    cells = range(radix)
+    for k in range(digits):
+        state = written(state)
+        unit = radix ** (digits - 1 - k)
+        prefix, digit = F.floor(F.col("rank") / (unit * radix)), F.floor(F.col("rank") / unit) % radix
+        sides = state.select(*own_key, "prefix", F.explode(F.array(*[edge(side, F.col("radius"), side) for side in (0, 1)])).alias("e")).select(*own_key, "prefix", "e.*", F.lit(None).cast("long").alias("digit"), F.lit(0.0).alias("weight"))
+        stand = lent.select("mode", F.lit(None).cast("string").alias("entity_id"), "item_id", prefix.alias("prefix"), F.lit(None).cast("int").alias("edge"), "at", F.lit(1).alias("kind"), digit.alias("digit"), "weight")
+        sums = accumulated(stand.union(sides), order, {f"w{v}": F.when(F.col("digit") == v, F.col("weight")).otherwise(0.0) for v in cells}, [*KEYS, "prefix"], spread).filter("edge is not null")
+        own = mine.join(state.select(*own_key, "prefix", "radius"), own_key).filter((off <= reach(F.col("radius"))) & (F.col("prefix") == prefix))
+        parts = sums.select(*own_key, *[(F.col(f"w{v}") * (F.col("edge") * 2 - 1)).alias(f"w{v}") for v in cells])
+        parts = parts.union(own.select(*own_key, *[F.when(digit == v, -F.col("weight")).otherwise(0.0).alias(f"w{v}") for v in cells])).groupBy(*own_key).agg(*[F.sum(f"w{v}").alias(f"w{v}") for v in cells])
+        upto = [F.col("before")]
+        for v in cells:
+            upto.append(upto[-1] + F.col(f"w{v}"))
+        rows = state.join(parts, own_key).withColumn("goal", F.coalesce("goal", upto[-1] * 0.5)).filter("goal > 0")
+        ladder = F.array(*upto[1:])
+        first = F.array_position(F.transform(ladder, lambda x: x >= F.col("goal")), F.lit(True)).cast("int")
+        at = F.when(first > 0, first).otherwise(F.array_position(ladder, F.array_max(ladder)).cast("int"))  # the latter where sums aren't exact
+        rows = rows.withColumns({"at": at, "ladder": F.concat(F.array(F.col("before")), ladder)})
+        state = rows.select(*own_key, "radius", "support", "rating", (F.col("prefix") * radix + F.col("at") - 1).alias("prefix"), F.element_at("ladder", F.col("at")).alias("before"), "goal")
+    return state.join(lent.select(*KEYS, F.col("rank").alias("prefix"), "score"), [*KEYS, "prefix"]).select(*own_key, F.col("score").alias("peer_score"), "support")
 
 
 def grade_floor(score: Column) -> Column:

@@ -8,28 +8,40 @@ from pyspark.sql import functions as F
 from .. import params as P
 from ..functions import formulas as fx
 from .difficulty import OWN
+from .lineage import written
+from .quantiles import large_keys, reached
 
 
-def lower_quantile(rows: DataFrame, keys: list[str], value: str, weight: str, q: float, name: str) -> DataFrame:
+def lower_quantile(rows: DataFrame, keys: list[str], value: str, weight: str, q: float, name: str, large: DataFrame | None = None, held: int = P.HELD) -> DataFrame:
     """By ``keys`` the smallest value whose cumulative weight reaches ``q`` of the whole; only positive weights count.
 
-    Equal values are summed first, so that a hot key's rows shrink to its different values before they are put in order.
+    Equal values are summed first. The values of keys in ``large`` (``large_keys``) aren't put in order: bins of them are counted, and only the one in which the weight is reached is looked into again.
+    Weights are added up in another order there, which matters where sums aren't exact and just reach the share.
     """
-    sums = rows.filter(F.col(value).isNotNull() & (F.col(weight) > 0)).groupBy(*keys, value).agg(F.sum(weight).alias("w"))
+    rows = rows.filter(F.col(value).isNotNull() & (F.col(weight) > 0))
+    few = rows if large is None else rows.join(large, keys, "left_anti")
+    sums = few.groupBy(*keys, value).agg(F.sum(weight).alias("w"))
     by = Window.partitionBy(*keys)
     running = F.sum("w").over(by.orderBy(value).rowsBetween(Window.unboundedPreceding, 0))
-    reached = sums.select(*keys, value, running.alias("run"), F.sum("w").over(by).alias("total"))
-    return reached.filter(F.col("run") >= F.col("total") * q).groupBy(*keys).agg(F.min(value).alias(name))
+    reach = sums.select(*keys, value, running.alias("run"), F.sum("w").over(by).alias("total"))
+    out = reach.filter(F.col("run") >= F.col("total") * q).groupBy(*keys).agg(F.min(value).alias(name))
+    if large is None:
+        return out
+    many = rows.join(large, keys, "left_semi").select(*keys, value, F.col(weight).cast("double").alias("w"))
+    goals = many.groupBy(*keys).agg((F.sum("w") * q).alias("goal"))
+    return out.union(reached(many, keys, value, goals, F.col("w"), held).select(*keys, F.col(value).alias(name)))
 
 
-def weighted_stats(rows: DataFrame, keys: list[str], value: str, weight: str) -> DataFrame:
+def weighted_stats(rows: DataFrame, keys: list[str], value: str, weight: str, held: int = P.HELD) -> DataFrame:
     """By ``keys``: rows n, effective size, mean, median, clipped location, deviation and 95 % interval of weighted values."""
     v, w = F.col(value), F.col(weight)
-    rows = rows.filter(v.isNotNull() & (w > 0)).select(*keys, value, weight)
+    rows = written(rows.filter(v.isNotNull() & (w > 0)).select(*keys, value, weight))
+    large = large_keys(rows, keys, held)
     sums = rows.groupBy(*keys).agg(F.count("*").alias("n"), F.sum(w).alias("sw"), F.sum(w * w).alias("sww"), F.sum(w * v).alias("swv"))
-    out = sums.join(lower_quantile(rows, keys, value, weight, 0.5, "median"), keys).withColumn("mean", F.col("swv") / F.col("sw")).withColumn("ess", F.col("sw") * F.col("sw") / F.col("sww"))
+    out = sums.join(lower_quantile(rows, keys, value, weight, 0.5, "median", large, held), keys).withColumn("mean", F.col("swv") / F.col("sw")).withColumn("ess", F.col("sw") * F.col("sw") / F.col("sww"))
+    out = written(out)  # a row by key, read three times
     around = rows.join(out.select(*keys, "median", "mean"), keys).withColumn("off", F.abs(v - F.col("median")))
-    mads = lower_quantile(around, keys, "off", weight, 0.5, "mad")
+    mads = lower_quantile(around, keys, "off", weight, 0.5, "mad", large, held)
     clip = F.col("mad") * P.CLIP
     held = F.least(F.greatest(v, F.col("median") - clip), F.col("median") + clip)
     more = around.join(mads, keys).groupBy(*keys).agg(

@@ -66,7 +66,7 @@ MEDAL_PRIOR, MEDAL_ROOM, MEDAL_CAPS, DEFAULT_CAP = 8.0, 0.25, (5, 10, 20, 40, 80
 RESAMPLES, SEED = 500, 20260807
 #: Points of a mean score in one bin of abilities.
 ABILITY_BIN = 250
-#: Rows of a key that are resampled as one array.
+#: Rows of a key that are resampled as one array, or whose values one aggregate or one window takes up.
 HELD = 50_000
 SOURCE_WEIGHTS = {"archive": 1.0, "current": 2.0}
 #: Multiplier of the reference result (grade S with the second medal) of the skill rating.

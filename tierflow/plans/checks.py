@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from .. import params as P
 from ..functions import formulas as fx
 from ..operators import audits as au
 from ..operators import linking as ln
+from ..operators import payload as pl
 from ..sources import tables as tb
 from . import registry as rg
 from .registry import query, r6, six, valid
@@ -111,9 +111,8 @@ def _(s, d):
 
 @query("s16_entity_shards", "SELECT entity_id, (row_number() OVER (PARTITION BY f ORDER BY username, entity_id) - 1) // 10 AS shard, f FROM (SELECT CAST(s_suppkey AS VARCHAR) AS entity_id, lower(s_name) AS username, " + rg._fold("CAST(s_suppkey AS VARCHAR)") + " AS f FROM supplier)")
 def _(s, d):
-    rows = tb.entities(s, d).withColumn("f", fx.fold(F.col("entity_id")))  # numbered within folds, so that no task orders all entities
-    place = F.row_number().over(Window.partitionBy("f").orderBy(F.lower("username"), "entity_id"))
-    return rows.select("entity_id", F.floor((place - 1) / 10).alias("shard"), "f")
+    rows = tb.entities(s, d).select("entity_id", F.lower("username").alias("name"), fx.fold(F.col("entity_id")).alias("f"))
+    return pl.model_shards(rows, ["f"], [F.col("name").asc(), F.col("entity_id").asc()], 10).select("entity_id", "shard", "f")
 
 
 @query("c32_titles", raw="SELECT p_partkey, trim(regexp_replace(lower(replace(p_name, '&', ' and ')), '[^a-z0-9]+', ' ', 'g')) AS normal, regexp_replace(lower(p_name), '[^a-z0-9]', '', 'g') AS compact FROM part")
