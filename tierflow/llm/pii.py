@@ -219,12 +219,11 @@ def find(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """
     found = settled(candidates(texts_of(docs)).withColumn("row", F.monotonically_increasing_id()))
     margin, best = fit(found, sample)
-    limit = F.create_map(*[F.lit(v) for k, m in best.items() for v in (k, m)]) if best else None
-    at_least = lambda c: F.coalesce(F.round(margin(c["features"]), 2) >= F.element_at(limit, c["kind"]), F.lit(False)) if best else F.lit(False)
-    kept = F.filter("found", lambda c: c["base"] | at_least(c))
-    m = lambda c: F.when(c["base"], F.lit(0.0)).otherwise(-margin(c["features"]) if best else F.lit(0.0))
-    span = lambda c: F.struct(c["start"].alias("start"), c["kind"].alias("kind"), c["end"].alias("end"))
-    rows = found.select("row", "doc_id", F.explode_outer(F.transform(kept, lambda c: F.struct(c["base"].alias("base"), m(c).alias("m"), span(c).alias("span")))).alias("c")).select("row", "doc_id", "c.*")
+    m = lambda c: F.when(~c["base"], -margin(c["features"])) if best else F.lit(None).cast("double")
+    # margins are found within the array, each once, so that no filter repeats the trees
+    scored = F.transform("found", lambda c: F.struct(c["base"].alias("base"), F.struct(c["start"].alias("start"), c["kind"].alias("kind"), c["end"].alias("end")).alias("span"), m(c).alias("m")))
+    limit = F.create_map(*[F.lit(v) for k, m in (best or {-1: 0.0}).items() for v in (k, m)])
+    rows = found.select("row", F.inline(scored)).filter(F.col("base") | F.coalesce(F.round(-F.col("m"), 2) >= F.element_at(limit, F.col("span")["kind"]), F.lit(False)))
     start, end, by = F.col("span")["start"], F.col("span")["end"], Window.partitionBy("row")
     # a range up to a start takes in all that begin there
     reach = F.max(F.when(F.col("base"), end)).over(by.orderBy(start.asc()))
@@ -238,9 +237,10 @@ def find(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
     ordered = F.transform(F.array_sort(F.collect_list(F.when(F.col("free"), F.struct("m", "span")))), lambda c: c["span"])
     chosen = F.aggregate(ordered, none, lambda a, c: F.when(F.exists(a, lambda b: ~apart(b, c)), a).otherwise(F.concat(a, F.array(c))))
     # base spans and those that overlap them are in one group for each text, which its length bounds; free ones are by chain
-    chains = rows.groupBy("row", F.when(F.col("free"), F.col("chain")).alias("chain")).agg(F.first("doc_id").alias("doc_id"), F.collect_list(F.when(F.col("base"), F.col("span"))).alias("base"), chosen.alias("added"))
+    chains = rows.groupBy("row", F.when(F.col("free"), F.col("chain")).alias("chain")).agg(F.collect_list(F.when(F.col("base"), F.col("span"))).alias("base"), chosen.alias("added"))
     every = lambda c: F.array_sort(F.flatten(F.collect_list(c)))
-    return chains.groupBy("row").agg(F.first("doc_id").alias("doc_id"), every("base").alias("base"), every("added").alias("added")).drop("row")
+    out = found.select("row", "doc_id").join(chains.groupBy("row").agg(every("base").alias("base"), every("added").alias("added")), "row", "left")
+    return out.select("doc_id", F.coalesce("base", none).alias("base"), F.coalesce("added", none).alias("added"))
 
 
 def digest(found: Column) -> Column:
