@@ -103,32 +103,3 @@ def test_snapshot_files(spark, tmp_path):
     assert rows.first().value == 1.5 and items.first().level == 20
     with pytest.raises(ValueError, match="columns are missing: b"):
         tables.require_columns(rows.selectExpr("value as a"), "a", "b")
-
-
-def test_stream_of_attempts(spark, tmp_path):
-    from tierflow.streaming.upserts import stream_upserts
-
-    kind = "entity_id string, item_id string, value double, score double, recorded_at string, medal string, seq long"
-    rows = [("e", f"i{k % 3}", float(k), 1.0, "2026", "x", k) for k in range(12)]
-    for k in range(3):
-        spark.createDataFrame(rows[4 * k : 4 * k + 4], kind).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-    stream = spark.readStream.schema(kind).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-    stream_upserts(stream, str(tmp_path / "out"), str(tmp_path / "check")).awaitTermination(120)
-    last = spark.read.parquet(str(tmp_path / "out/state=2"))
-    assert {(r.item_id, r.seq) for r in last.collect()} == {("i0", 9), ("i1", 10), ("i2", 11)}
-
-
-def test_stream_goes_on_from_a_state(spark, tmp_path):
-    """Only touched buckets are written, and a new checkpoint doesn't start from nothing."""
-    from tierflow.streaming import upserts as us
-
-    kind = "entity_id string, item_id string, value double, score double, recorded_at string, medal string, seq long"
-    out = str(tmp_path / "out")
-    for k, rows in enumerate([[(f"e{i}", "i", 1.0, 1.0, "2026", "x", i) for i in range(40)], [("e3", "i", 9.0, 1.0, "2026", "x", 100), ("e4", "i", 0.5, 1.0, "2026", "x", 101)]]):
-        spark.createDataFrame(rows, kind).coalesce(1).write.parquet(str(tmp_path / f"in{k}"))
-        us.stream_upserts(spark.readStream.schema(kind).parquet(str(tmp_path / f"in{k}")), out, str(tmp_path / f"check{k}")).awaitTermination(120)
-    got = {r.entity_id: r.seq for r in us.current_state(spark, out, kind).collect()}
-    assert got == {f"e{i}": 100 if i == 3 else i for i in range(40)}
-    second = spark.read.parquet(f"{out}/state=1")
-    assert second.select("bucket").distinct().count() <= 2 and us.stale_states(spark, out) == []
-    assert len(us.stale_states(spark, out, keep=1)) == second.select("bucket").distinct().count()

@@ -2,85 +2,92 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
-from ..operators.upkeep import upsert
-
+from ..operators.difficulty import first_by
+from ..operators.upkeep import sync_order
 
-#: Buckets of the state, by hash of the entity; a batch writes those that it touches.
-BUCKETS = 256
+#: Parts of a tier that become one of the next.
+FAN = 8
+KEYS = ["entity_id", "item_id"]
 
 
-def _manifests(spark: SparkSession, path: str) -> DataFrame | None:
-    """(bucket, state, query, batch, manifest) of all generations, or None before the first."""
-    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/manifest")
-    if not folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
-        return None
-    return spark.read.schema("bucket int, state long, query string, batch long, generation long").parquet(f"{path}/manifest")
+def winners(rows: DataFrame) -> DataFrame:
+    """The best attempt of each entity at each item."""
+    return first_by(rows, KEYS, sync_order())
 
 
-def _generation(spark: SparkSession, path: str, number: int | None = None) -> list:
-    """The rows of a generation's manifest, one for each bucket; of the newest if none is named."""
-    rows = _manifests(spark, path)
-    if rows is None:
-        return []
-    number = rows.agg(F.max("generation")).first()[0] if number is None else number
-    return rows.filter(F.col("generation") == number).collect() if number is not None else []
+def _folder(spark: SparkSession, path: str):
+    """The folder, and its file system, which may be any that Spark knows."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return folder, folder.getFileSystem(spark._jsc.hadoopConfiguration())
 
 
-def current_state(spark: SparkSession, path: str, schema: str | StructType) -> DataFrame:
-    """The newest state under ``path``: of each bucket the folder that the newest manifest names."""
-    return _read(spark, path, _generation(spark, path), schema)
+def parts(spark: SparkSession, path: str) -> dict[int, list[str]]:
+    """The whole parts under ``path`` by tier, oldest first, without those that a part of the next tier has taken in."""
+    folder, files = _folder(spark, path)
+    found: dict[int, list[str]] = {}
+    for tier in files.listStatus(folder) if files.exists(folder) else []:
+        number = int(tier.getPath().getName().rpartition("=")[2])
+        for part in sorted(files.listStatus(tier.getPath()), key=lambda x: (x.getModificationTime(), x.getPath().getName())):
+            names = {x.getPath().getName() for x in files.listStatus(part.getPath())}
+            if "_SUCCESS" in names and "_merged" not in names:
+                found.setdefault(number, []).append(part.getPath().toString())
+    return found
 
 
-def _read(spark: SparkSession, path: str, rows: list, schema: str | StructType) -> DataFrame:
-    folders = [f"{path}/state={r.state}/bucket={r.bucket}" for r in rows]
+def _read(spark: SparkSession, folders: list[str], schema: str | StructType) -> DataFrame:
     return spark.read.schema(schema).parquet(*folders) if folders else spark.createDataFrame([], schema)
 
 
-def stale_states(spark: SparkSession, path: str, keep: int = 2) -> list[str]:
-    """Folders that none of the last ``keep`` generations reads, which may be removed."""
-    rows = _manifests(spark, path)
-    if rows is None:
-        return []
-    last = rows.agg(F.max("generation")).first()[0]
-    used = rows.groupBy("bucket", "state").agg(F.max("generation").alias("last")).filter(F.col("last") <= last - keep).collect()
-    return sorted(f"{path}/state={r.state}/bucket={r.bucket}" for r in used)
+def current_state(spark: SparkSession, path: str, schema: str | StructType) -> DataFrame:
+    """The best attempt of each entity at each item of all that came so far."""
+    return winners(_read(spark, [f for found in parts(spark, path).values() for f in found], schema))
 
 
-def stream_upserts(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Keep the best attempts of ``stream`` under ``path``; late rows count whenever they come.
+def compact(spark: SparkSession, path: str, schema: str | StructType, fan: int = FAN) -> int:
+    """Merge each tier of ``fan`` parts or more into one part of the next, and return how many were merged.
 
-    A batch reads and writes the buckets of its entities alone, in a folder of its own, and its manifest, which names the folder of each bucket, comes last; readers take
-    ``current_state``. A batch that runs again after a failure starts from the generation before its own, so results don't depend on restarts; a stream with a
-    new checkpoint goes on from the state that is there.
+    A winner is the same however often and in whatever order rows are compared, so parts may be read besides the one that took them in: those are only marked, and removed by the
+    next call, when readers are done with them. A call that fails leaves a part that isn't whole, or rows twice, and neither changes the state.
+    """
+    merged = 0
+    folder, files = _folder(spark, path)
+    for tier in files.listStatus(folder) if files.exists(folder) else []:
+        for part in files.listStatus(tier.getPath()):
+            if files.exists(mark := _folder(spark, f"{part.getPath()}/_merged")[0]):
+                files.delete(part.getPath(), True)
+    tier = 0
+    while found := parts(spark, path).get(tier):
+        if len(found) >= fan:
+            winners(_read(spark, found, schema)).write.parquet(f"{path}/tier={tier + 1}/part={uuid.uuid4().hex}")
+            for part in found:
+                mark, _ = _folder(spark, f"{part}/_merged")
+                files.create(mark).close()
+            merged += len(found)
+        tier += 1
+    return merged
+
+
+def stream_upserts(stream: DataFrame, path: str, checkpoint: str, fan: int = FAN) -> StreamingQuery:
+    """Keep the best attempts of ``stream`` under ``path``; late rows count whenever they come. Readers take ``current_state``.
+
+    A batch writes its own winners alone, so it reads nothing and writes in proportion to itself; parts are merged by tiers, so a row is written again once for each
+    tier, of which there are as many as the logarithm of the number of batches. A batch that runs again after a failure replaces its part, or adds the same rows where that was merged already; a stream with a
+    new checkpoint adds to what is there. Results depend on neither.
     """
 
-    def merge(batch: DataFrame, number: int) -> None:
+    def add(batch: DataFrame, number: int) -> None:
         spark: SparkSession = batch.sparkSession
-        query = spark.sparkContext.getLocalProperty("sql.streaming.queryId") or checkpoint
-        before, generation = _generation(spark, path), 0
-        if before:
-            generation = before[0].generation + 1
-            if any((r.query, r.batch) == (query, number) for r in before):
-                generation -= 1
-                before = _generation(spark, path, generation - 1) if generation else []
-        bucket = F.pmod(F.xxhash64("entity_id"), F.lit(BUCKETS)).cast("int")
-        touched = {r.b for r in batch.select(bucket.alias("b")).distinct().collect()}
-        state = _read(spark, path, [r for r in before if r.bucket in touched], batch.schema)
-        rows = upsert(state.select(*batch.columns), batch).withColumn("bucket", bucket)
-        rows.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/state={generation}")
-        kept = [(r.bucket, r.state, r.query, r.batch, generation) for r in before if r.bucket not in touched]
-        now = [(b, generation, query, number, generation) for b in sorted(touched)]
-        manifest = spark.createDataFrame(kept + now, "bucket int, state long, query string, batch long, generation long").coalesce(1)
-        old = _manifests(spark, path)
-        if old is None or not old.filter(F.col("generation") == generation).head(1):
-            manifest.write.mode("append").parquet(f"{path}/manifest")
-
-    return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        query = spark.sparkContext.getLocalProperty("sql.streaming.queryId") or uuid.uuid5(uuid.NAMESPACE_URL, checkpoint).hex
+        winners(batch).write.mode("overwrite").parquet(f"{path}/tier=0/part={query}-{number}")
+        compact(spark, path, batch.schema, fan)
+
+    return stream.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def distinct_events(stream: DataFrame, delay: str = "7 days") -> DataFrame:
