@@ -50,11 +50,13 @@ def title_links(texts: DataFrame, catalog: DataFrame) -> DataFrame:
 def named(texts: DataFrame, names: DataFrame) -> DataFrame:
     """The pairs of ``texts`` (label, normal, ...) and ``names`` (label, name, ...) whose name stands in the text as whole words.
 
-    They meet at the longest word of the name, so that a text is only held against names of which it has that word.
+    They meet at that word of the name which the fewest texts of the label have, so a word that all texts have only brings names to them that have no other. Names with a word that no text has meet none.
     """
-    words = F.split("name", " ")
-    longest = F.array_max(F.transform(words, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
-    keyed = names.filter("name <> ''").withColumn("word", longest)
+    words = texts.select("label", F.explode(F.array_distinct(F.split("normal", " "))).alias("word")).groupBy("label", "word").agg(F.count("*").alias("seen"))
+    of_name = names.filter("name <> ''").select("label", "name").distinct().withColumn("words", F.array_distinct(F.split("name", " ")))
+    known = of_name.select("label", "name", F.size("words").alias("many"), F.explode("words").alias("word")).join(words, ["label", "word"])
+    rarest = known.groupBy("label", "name").agg(F.min_by("word", F.struct("seen", "word")).alias("word"), F.count("*").alias("met"), F.first("many").alias("many")).filter("met = many").drop("met", "many")
+    keyed = names.join(rarest, ["label", "name"])
     rows = texts.withColumn("word", F.explode(F.array_distinct(F.split("normal", " ")))).join(keyed, ["label", "word"])
     return rows.filter(F.contains(F.concat(F.lit(" "), "normal", F.lit(" ")), F.concat(F.lit(" "), "name", F.lit(" ")))).drop("word")
 
@@ -119,9 +121,14 @@ def variant(normal: Column) -> Column:
 VARIANT_PAIRS, GUEST = (("short", "cut"), ("full", "song")), ("feat", "ft")
 
 
+def _rest(words: Column) -> Column:
+    """All words but the first."""
+    return F.slice(words, F.lit(2), F.greatest(F.size(words), F.lit(1)))
+
+
 def _before(words: Column, stops: Column) -> Column:
     """The words before the first, after the first word, of ``stops``."""
-    place = F.array_min(F.transform(stops, lambda g: F.when(F.array_position(F.slice(words, 2, 10_000), g) > 0, F.array_position(F.slice(words, 2, 10_000), g))))
+    place = F.array_min(F.transform(stops, lambda g: F.when(F.array_position(_rest(words), g) > 0, F.array_position(_rest(words), g))))
     return F.when(place.isNull(), words).otherwise(F.slice(words, F.lit(1), place.cast("int")))
 
 
@@ -129,7 +136,7 @@ def base_name(normal: Column) -> Column:
     """The normal form without words for its variant, which may be written as one."""
     words = F.filter(F.split(normal, " "), lambda w: w != "")
     joined = [a + b for a, b in VARIANT_PAIRS]
-    following = F.concat(F.slice(words, 2, 10_000), F.array(F.lit("")))
+    following = F.concat(_rest(words), F.array(F.lit("")))
     leading = F.concat(F.array(F.lit("")), words)
     is_pair = lambda a, b: reduce(lambda t, p: t | ((a == p[0]) & (b == p[1])), VARIANT_PAIRS, F.lit(False))
     cells = F.arrays_zip(words.alias("w"), following.alias("f"), leading.alias("l"))

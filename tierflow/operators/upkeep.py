@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .difficulty import first_by
+from .lineage import written
 
 
 def sync_order() -> list[Column]:
@@ -63,14 +64,64 @@ def row_hash(*columns: str) -> Column:
     return F.sha2(F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("null")) for c in sorted(columns)]).cast("binary"), 256)
 
 
-def table_digest(df: DataFrame, *columns: str) -> DataFrame:
-    """One row (n, digest) that doesn't depend on the order of rows: hashes are sorted and hashed within 65,536 buckets, then those again.
+#: Rows that a leaf of a table's tree is meant to have, at most.
+LEAF = 1000
 
-    A bucket's list grows with the table over 65,536; no task holds more than its buckets, and the last step has a row for each bucket.
+
+def tree_depth(rows: int, leaf: int = LEAF) -> int:
+    """Hex digits that part ``rows`` hashes into leaves of about ``leaf`` or fewer."""
+    depth = 0
+    while leaf * 16**depth < rows:
+        depth += 1
+    return depth
+
+
+def _leaves(hashes: DataFrame, depth: int) -> DataFrame:
+    """(prefix, n, digest): by the first digits of ``h`` the digest of the hashes and how often each is there. Hashes are spread evenly, and equal ones are counted first, so the lists stay near LEAF."""
+    once = hashes.groupBy("h").agg(F.count("*").alias("m"))
+    cells = F.transform(F.array_sort(F.collect_list(F.struct("h", "m"))), lambda x: F.concat_ws(":", x["h"], x["m"]))
+    return once.groupBy(F.substring("h", 1, depth).alias("prefix")).agg(F.sum("m").alias("n"), F.sha2(F.array_join(cells, ",").cast("binary"), 256).alias("digest"))
+
+
+def _parents(nodes: DataFrame) -> DataFrame:
+    """The nodes above: each the digest of its children, of which there are sixteen at most."""
+    cells = F.transform(F.array_sort(F.collect_list(F.struct("prefix", "digest"))), lambda x: F.concat_ws(":", x["prefix"].substr(F.length(x["prefix"]), F.lit(1)), x["digest"]))
+    above = F.col("prefix").substr(F.lit(1), F.length("prefix") - 1)
+    return nodes.groupBy(above.alias("above")).agg(F.sum("n").alias("n"), F.sha2(F.array_join(cells, ",").cast("binary"), 256).alias("digest")).withColumnRenamed("above", "prefix")
+
+
+def table_tree(hashes: DataFrame, depth: int) -> list[DataFrame]:
+    """Nodes (prefix, n, digest) by depth, from the root to the leaves, of a table of hashes (h); each level is written, as the next one and comparisons read it.
+
+    A node's digest follows from its children's, so trees of the same depth agree in a node just where they hold the same hashes, as often, under its prefix.
     """
+    levels = [written(_leaves(hashes, depth))]
+    for _ in range(depth):
+        levels.append(written(_parents(levels[-1])))
+    return levels[::-1]
+
+
+def table_digest(df: DataFrame, *columns: str, leaf: int = LEAF) -> DataFrame:
+    """One row (n, digest) that doesn't depend on the order of rows: the root of the tree over the rows' hashes, whose depth follows from their number."""
     hashes = df.select(row_hash(*columns).alias("h"))
-    buckets = hashes.groupBy(F.substring("h", 1, 4).alias("b")).agg(F.count("*").alias("n"), F.sha2(F.array_join(F.array_sort(F.collect_list("h")), ",").cast("binary"), 256).alias("d"))
-    return buckets.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("b", "d"))), lambda x: x["d"]), ",").cast("binary"), 256).alias("digest"))
+    depth = tree_depth(df.count(), leaf)
+    nodes = _leaves(hashes, depth)
+    for _ in range(depth):
+        nodes = _parents(nodes)
+    return nodes.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.max("digest"), F.sha2(F.lit("").cast("binary"), 256)).alias("digest"))
+
+
+def differing(left: list[DataFrame], right: list[DataFrame]) -> DataFrame:
+    """(prefix) of the leaves in which two trees of the same depth differ: from the root on, only the children of nodes that differ are compared."""
+    asked = None
+    for a, b in zip(left, right, strict=True):
+        if asked is not None:
+            under = F.col("prefix").substr(F.lit(1), F.length("prefix") - 1)
+            a, b = (x.withColumn("above", under).join(asked, "above", "left_semi").drop("above") for x in (a, b))
+        both = a.join(b.select("prefix", F.col("n").alias("other_n"), F.col("digest").alias("other")), "prefix", "full_outer")
+        found = written(both.filter(~F.col("digest").eqNullSafe(F.col("other"))).select("prefix"))
+        asked = found.withColumnRenamed("prefix", "above")
+    return found
 
 
 def revisions(history: DataFrame, now: DataFrame, keys: list[str], at: Column) -> DataFrame:
@@ -86,15 +137,27 @@ def revisions(history: DataFrame, now: DataFrame, keys: list[str], at: Column) -
     return history.filter("valid_to is not null").select(*kept.columns).unionByName(kept).unionByName(opened)
 
 
-def reconcile(left: DataFrame, right: DataFrame, keys: list[str], hash_name: str = "row_hash", ledger: DataFrame | None = None) -> DataFrame:
-    """Rows by verdict: exact, explained (its key is in the ledger), changed, missing on the right, or extra."""
-    both = left.select(*keys, F.col(hash_name).alias("l")).join(right.select(*keys, F.col(hash_name).alias("r")), keys, "full_outer")
+def reconcile(left: DataFrame, right: DataFrame, keys: list[str], hash_name: str = "row_hash", ledger: DataFrame | None = None, leaf: int = LEAF) -> DataFrame:
+    """Rows by verdict: exact, explained (its key is in the ledger), changed, missing on the right, or extra.
+
+    Keys and hashes of both tables go into trees by the hashes of the keys, so that both rows of a key are in one leaf. Leaves that agree hold exact rows alone and are only counted; the rows of the others are joined.
+    """
+    named = lambda t, name: t.select(F.sha2(F.concat_ws("|", *[F.coalesce(F.col(k).cast("string"), F.lit("null")) for k in keys]).cast("binary"), 256).alias("k"), *keys, F.col(hash_name).alias(name))
+    l, r = named(left, "l"), named(right, "r")
+    depth = tree_depth(max(left.count(), right.count()), leaf)
+    hashed = lambda t, name: t.select(F.concat("k", F.lit("="), F.coalesce(F.col(name).cast("string"), F.lit("null"))).alias("h"))
+    trees = [table_tree(hashed(l, "l"), depth), table_tree(hashed(r, "r"), depth)]
+    apart = differing(*trees)
+    same = trees[0][-1].join(apart, "prefix", "left_anti").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).select(F.lit("exact").alias("verdict"), "n")
+    l, r = (t.withColumn("prefix", F.substring("k", 1, depth)).join(apart, "prefix", "left_semi").drop("k", "prefix") for t in (l, r))
+    both = l.join(r, keys, "full_outer")
     if ledger is not None:
         both = both.join(ledger.select(*keys, F.lit(True).alias("known")), keys, "left")
     else:
         both = both.withColumn("known", F.lit(None).cast("boolean"))
     verdict = F.when(F.col("l").eqNullSafe(F.col("r")), "exact").when(F.col("known"), "explained").when(F.col("r").isNull(), "missing").when(F.col("l").isNull(), "extra").otherwise("changed")
-    return both.groupBy(verdict.alias("verdict")).agg(F.count("*").alias("n"))
+    rows = both.groupBy(verdict.alias("verdict")).agg(F.count("*").alias("n"))
+    return same.union(rows).groupBy("verdict").agg(F.sum("n").alias("n")).filter("n > 0")
 
 
 def violations(attempts: DataFrame, items: DataFrame) -> DataFrame:

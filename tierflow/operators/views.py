@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -29,7 +31,7 @@ def visible(view: str, rating: Column | None = None) -> Column:
 def difficulty_slice(rows: DataFrame, label: str) -> DataFrame:
     """Rows (mode, level) of one official label such as S18; one that isn't written so, or that no row has, is an error."""
     name = label.strip().upper()
-    if not rows.sparkSession.range(1).select(F.lit(name).rlike(f"^{LABEL}$")).first()[0]:
+    if not re.fullmatch(LABEL, name):
         raise ValueError(f"{label!r} isn't a label such as S16 or D17")
     found = rows.filter(F.col("mode").isin(*P.MODES) & (fx.folder(F.col("mode"), F.col("level")) == name))
     if found.isEmpty():

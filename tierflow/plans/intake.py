@@ -137,8 +137,7 @@ def _(s, d):
     return au.correlated_sources(tb.attempts(s, d), "entity_id", "source", "item_id", ("archive", "current"))
 
 
-@query("i26_semantic_digest", """, h AS (SELECT sha256(concat_ws('|', entity_id, item_id, CAST(seq AS VARCHAR))) AS h FROM attempts), b AS (SELECT substr(h, 1, 4) AS b, count(*) AS n, sha256(string_agg(h, ',' ORDER BY h)) AS d FROM h GROUP BY 1)
-    SELECT CAST(sum(n) AS BIGINT) AS n, sha256(string_agg(d, ',' ORDER BY b)) AS digest FROM b""")
+@query("i26_semantic_digest", rg.DIGEST)
 def _(s, d):
     rows = tb.attempts(s, d).select("entity_id", "item_id", "seq").withColumn("generated_at", F.current_timestamp())
     return up.semantic_digest(rows, "generated_at")

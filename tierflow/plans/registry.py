@@ -461,10 +461,17 @@ def _(s, d):
     return up.revisions(old, new, ["item_id"], now).select("item_id", "row_hash", "revision", F.when(F.col("valid_to").isNull(), "open").otherwise("closed").alias("state"))
 
 
+#: The SQL of a digest: leaves by the first digits of a row's hash, as many as the number of rows asks for, and their parents, where the root stays as it is.
+_parent = lambda a, b: f"{b} AS (SELECT substr(p, 1, greatest(length(p) - 1, 0)) AS p, CAST(sum(n) AS BIGINT) AS n, CASE WHEN max(length(p)) = 0 THEN max(d) ELSE sha256(string_agg(right(p, 1) || ':' || d, ',' ORDER BY p)) END AS d FROM {a} GROUP BY 1)"
+_depth = "CASE " + " ".join(f"WHEN c <= {up.LEAF * 16**k} THEN {k}" for k in range(6)) + " END"
+DIGEST = f""", h AS (SELECT h, count(*) AS m FROM (SELECT sha256(concat_ws('|', entity_id, item_id, CAST(seq AS VARCHAR))) AS h FROM attempts) GROUP BY h), dp AS (SELECT {_depth} AS depth FROM (SELECT sum(m) AS c FROM h)),
+    d0 AS (SELECT substr(h, 1, depth) AS p, sum(m) AS n, sha256(string_agg(h || ':' || m, ',' ORDER BY h)) AS d FROM h, dp GROUP BY 1), {", ".join(_parent(f"d{k}", f"d{k + 1}") for k in range(6))}
+    SELECT n, d AS digest FROM d6"""
+
+
 @query(
     "i9_table_digest",
-    """, h AS (SELECT sha256(concat_ws('|', entity_id, item_id, CAST(seq AS VARCHAR))) AS h FROM attempts), b AS (SELECT substr(h, 1, 4) AS b, count(*) AS n, sha256(string_agg(h, ',' ORDER BY h)) AS d FROM h GROUP BY 1)
-    SELECT CAST(sum(n) AS BIGINT) AS n, sha256(string_agg(d, ',' ORDER BY b)) AS digest FROM b""",
+    DIGEST,
 )
 def _(s, d):
     return up.table_digest(tb.attempts(s, d), "entity_id", "item_id", "seq")
