@@ -6,6 +6,8 @@ not from the number of attempts. ``fit`` is -1 for all entities, else the fold w
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -16,6 +18,8 @@ from ..functions import formulas as fx
 from .lineage import written
 from .recommend import source_offsets
 
+#: Passes over both axes at most, and how far a score moves in the last one at most.
+PASSES, STILL = 12, 0.01
 FIT = ["mode", "fit"]
 CELL = [*FIT, "r", "d"]
 ALL = -1
@@ -98,39 +102,40 @@ def pooled(values: np.ndarray, weights: np.ndarray) -> np.ndarray:
     return np.repeat([b[0] for b in blocks], [b[2] for b in blocks])
 
 
-def isotonic(rows: DataFrame, keys: list[str], at: str, value: str, weight: str, rising: bool = True) -> DataFrame:
-    """(keys, at, fitted): by ``keys`` the monotone sequence along ``at`` nearest to ``value``. A line of positions is a group, so they must be few, as bins are."""
+def isotonic(rows: DataFrame, keys: list[str], at: str, value: str, weight: str, rising: bool = True, kept: list[str] | None = None) -> DataFrame:
+    """(keys, at, fitted): by ``keys`` the monotone sequence along ``at`` nearest to ``value``, with the columns ``kept``.
+
+    Each line of positions, which must be few, as bins are, becomes a row of arrays, and lines are fitted in batches of rows.
+    """
     sign = 1.0 if rising else -1.0
 
-    def fit(line: pd.DataFrame) -> pd.DataFrame:
-        line = line.sort_values(at)
-        fitted = pooled(sign * line[value].to_numpy(float), line[weight].to_numpy(float)) * sign
-        return line[[*keys, at]].assign(fitted=fitted)
+    @F.pandas_udf("array<double>")
+    def fit(values: pd.Series, weights: pd.Series) -> pd.Series:
+        return pd.Series([(pooled(sign * np.asarray(v, float), np.asarray(w, float)) * sign).tolist() for v, w in zip(values, weights, strict=True)])
 
-    types = dict(rows.dtypes)
-    return rows.select(*keys, at, value, weight).groupBy(*keys).applyInPandas(fit, ", ".join(f"`{c}` {types[c]}" for c in [*keys, at]) + ", fitted double")
+    cells = F.struct(F.col(at).alias("at"), F.col(value).cast("double").alias("v"), F.col(weight).cast("double").alias("w"), *[F.col(c).alias(f"_{c}") for c in kept or []])
+    lines = rows.groupBy(*keys).agg(F.array_sort(F.collect_list(cells)).alias("line")).withColumn("fitted", fit("line.v", "line.w"))
+    return lines.select(*keys, F.inline(F.zip_with("line", "fitted", lambda x, f: F.struct(x["at"].alias(at), *[x[f"_{c}"].alias(c) for c in kept or []], f.alias("fitted")))))
 
 
-def monotone(grid: DataFrame) -> DataFrame:
+def monotone(grid: DataFrame, passes: int = PASSES, still: float = STILL) -> DataFrame:
     """The surface with scores that rise with rating and fall with difficulty, weighted by support.
 
-    Lines along both axes are fitted in turn until a pass moves nothing by 0.01, at most twelve times. A task has one surface, whose size
-    the axes bound; running extremes then remove what floating point left.
+    Lines along both axes are fitted in turn, a row of arrays for each, until a pass moves no score of a surface by ``still``, at most ``passes`` times. Each pass is written, and the driver sees
+    one number for each surface: how far its scores moved. Running extremes then remove what floating point left.
     """
-
-    def fit(cells: pd.DataFrame) -> pd.DataFrame:
-        cells = cells.sort_values(["r", "d"])
-        shape = (cells["r"].max() + 1, cells["d"].max() + 1)
-        score, weight = (cells[c].to_numpy(float).reshape(shape) for c in ("score", "support"))
-        for _ in range(12):
-            before = score
-            score = np.stack([pooled(score[:, j], weight[:, j]) for j in range(shape[1])], axis=1)
-            score = np.stack([-pooled(-score[i], weight[i]) for i in range(shape[0])])
-            if np.abs(score - before).max() < 0.01:
-                break
-        return cells.assign(score=score.ravel())
-
-    return extremes(grid.groupBy(*FIT).applyInPandas(fit, grid.schema))
+    state, done = grid, []
+    for k in range(passes):
+        up = isotonic(state, [*FIT, "d"], "r", "score", "support", kept=["score", "support"])
+        moved = written(isotonic(up.withColumnRenamed("fitted", "up"), [*FIT, "r"], "d", "up", "support", rising=False, kept=["score", "support"]))
+        by = moved.groupBy(*FIT).agg(F.max(F.abs(F.col("fitted") - F.col("score"))).alias("by")).collect()
+        ends = reduce(lambda a, b: a | b, [(F.col("mode") == r.mode) & (F.col("fit") == r.fit) for r in by if r["by"] < still], F.lit(False))
+        state = moved.select(*CELL, F.col("fitted").alias("score"), "support").select(*grid.columns)
+        done.append(state.filter(ends))
+        state = state.filter(~ends)
+        if all(r["by"] < still for r in by):
+            break
+    return extremes(reduce(DataFrame.union, done, state))
 
 
 def extremes(grid: DataFrame) -> DataFrame:

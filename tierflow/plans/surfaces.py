@@ -94,9 +94,29 @@ def _(s, d):
     return sf.isotonic(rows, ["mode", "level"], "bin", "v", "w").select("mode", "level", "bin", *six("fitted"))
 
 
-@query("m12_monotone_surface")
+def _line(name: str, rows: str, line: str, at: str, sign: int) -> str:
+    """The nearest monotone line in closed form: the largest over starts up to a place of the smallest mean up to ends from it on."""
+    return f"""{name}_a AS MATERIALIZED (SELECT a.mode, a.fit, a.{line}, a.{at} AS i, b.{at}, sum(b.s * b.w) OVER u / sum(b.w) OVER u AS m FROM {rows} a JOIN {rows} b ON a.mode = b.mode AND a.fit = b.fit AND a.{line} = b.{line} AND b.{at} >= a.{at}
+      WINDOW u AS (PARTITION BY a.mode, a.fit, a.{line}, a.{at} ORDER BY b.{at} ROWS UNBOUNDED PRECEDING)),
+    {name}_b AS (SELECT mode, fit, {line}, i, {at}, min({sign} * m) OVER (PARTITION BY mode, fit, {line}, i ORDER BY {at} DESC ROWS UNBOUNDED PRECEDING) AS m FROM {name}_a),
+    {name} AS MATERIALIZED (SELECT b.mode, b.fit, b.r, b.d, {sign} * f.m AS s, b.w, b.support FROM {rows} b JOIN (SELECT mode, fit, {line}, {at}, max(m) AS m FROM {name}_b GROUP BY ALL) f USING (mode, fit, {line}, {at}))"""
+
+
+def _pass(k: int) -> str:
+    """One pass over both axes of the surfaces that still move: g{k} has those, e{k} those that have ended."""
+    return f"""{_line(f"u{k}", f"g{k}", "d", "r", 1)}, {_line(f"v{k}", f"u{k}", "r", "d", -1)},
+    n{k} AS MATERIALIZED (SELECT mode, fit, max(abs(v.s - g.s)) < {sf.STILL} AS ended FROM v{k} v JOIN g{k} g USING (mode, fit, r, d) GROUP BY ALL),
+    e{k} AS MATERIALIZED (SELECT v{k}.* FROM v{k} JOIN n{k} USING (mode, fit) WHERE ended), g{k + 1} AS MATERIALIZED (SELECT v{k}.* FROM v{k} JOIN n{k} USING (mode, fit) WHERE NOT ended)"""
+
+
+MONOTONE = SMOOTHED + f""", g0 AS (SELECT mode, fit, r, d, score AS s, greatest(support, 1e-6::DOUBLE) AS w, support FROM sm), {", ".join(_pass(k) for k in range(sf.PASSES))},
+    mo AS ({" UNION ALL ".join(f"SELECT * FROM e{k}" for k in range(sf.PASSES))} UNION ALL SELECT * FROM g{sf.PASSES}), mx AS (SELECT *, max(s) OVER (PARTITION BY mode, fit, d ORDER BY r) AS t FROM mo),
+    sv AS MATERIALIZED (SELECT mode, fit, r, d, least(1e6, greatest(0, min(t) OVER (PARTITION BY mode, fit, r ORDER BY d))) AS score, support FROM mx)"""
+
+
+@query("m12_monotone_surface", MONOTONE + " SELECT mode, fit, r, d, round(score + 1e-9, 3) AS score, support FROM sv")
 def _(s, d):
-    return sf.fit(prepared(s, d))[1].select(*sf.CELL, *six("score"), "support")
+    return sf.fit(prepared(s, d))[1].select(*sf.CELL, F.round(F.col("score") + 1e-9, 3).alias("score"), "support")
 
 
 _grades, _medals = ", ".join(f"'{g}'" for _, g, _ in P.GRADE_BANDS), ", ".join(f"('{n}', {i})" for i, (n, _, _) in enumerate(P.MEDALS))
