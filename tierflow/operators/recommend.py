@@ -107,8 +107,8 @@ def peer_scores(wanted: DataFrame, peers: DataFrame, held: int = P.HELD, radix:
 
 
 def grade_floor(score: Column) -> Column:
-    """The least score that earns the same grade."""
-    return fx.ladder(F.least(score.cast("long"), F.lit(1_000_000)), [(b, b) for b, _, _ in P.GRADE_BANDS])
+    """The least score that earns the same grade; null for a null one."""
+    return F.when(score.isNotNull(), fx.ladder(F.least(score.cast("long"), F.lit(1_000_000)), [(b, b) for b, _, _ in P.GRADE_BANDS]))
 
 
 def archive_goals(rows: DataFrame) -> DataFrame:
@@ -165,7 +165,7 @@ def candidates(ratings: DataFrame, peers: DataFrame, placed: DataFrame, goals: D
         "from_archive": own, "confidence": F.when(own, "high").otherwise(F.col("confidence")),
     })
     rows = rows.join(medals.select(*OWN, "grade", F.col("medal").alias("own_medal")), [*OWN, "grade"], "left").join(usual, ["mode", "grade"], "left").withColumn("medal", F.coalesce("own_medal", "medal"))
-    rows = rows.withColumn("expected", fx.attempt_value(F.col("mode"), F.col("level"), F.col("grade"), F.col("medal")))
+    rows = rows.withColumn("expected", F.when(F.col("grade").isNotNull(), fx.attempt_value(F.col("mode"), F.col("level"), F.col("grade"), F.col("medal"))))
     return rows.withColumn("edge", F.col("level") + 0.5 - F.col("estimate"))
 
 

@@ -99,8 +99,8 @@ def _(s, d):
     return rc.peer_scores(rows.select("mode", "entity_id", "item_id", "rating"), rows).select("mode", "entity_id", "item_id", "support", *six("peer_score"))
 
 
-def scored_candidates(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    """(candidates of all entities, valued current attempts), which both kinds of recommendations share."""
+def model(s: SparkSession, d: str) -> dict[str, DataFrame]:
+    """What recommendations are made of, each written: ratings, peers, items, goals, medals of entities and of all, the surface with its axes, and the attempts that count."""
     valued = written(worth(s, d))
     rows = cb.normalised(df.best(df.valid(valued), cb.OWN), tb.items(s, d)).drop("level_archive")
     rated = written(rc.own_ratings(df.ranked(rows, cb.OWN), cb.OWN))
@@ -113,11 +113,18 @@ def scored_candidates(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     joined = rated.withColumns({"grade": fx.grade(F.col("score")), "medal": fx.medal_name(F.col("medal"))}).filter("grade is not null and medal is not null")
     joined = up.precedence(joined.filter("source = 'current'"), joined.filter("source = 'archive'"), ["mode", "entity_id", "item_id"])
     population, counts = written(wt.medal_distribution(joined)), written(md.own_counts(joined))
-    medals = md.projected(counts, population, md.chosen_cap(md.cap_losses(counts, population)))
-    ratings = rc.chosen_ratings(wt.top_rating(rated, cb.OWN).join(rated.groupBy(*cb.OWN).agg(F.max("full_rating").alias("full_rating")), cb.OWN))
-    project = lambda asked: sf.projections(asked, known, axis, surface)
-    out = rc.candidates(ratings, lent, placed, archive_goals(s, d), medals, wt.median_medal(population), project)
-    return written(out), written(df.best(df.valid(valued).filter("source = 'current'")))
+    medals = written(md.projected(counts, population, md.chosen_cap(md.cap_losses(counts, population))))
+    ratings = written(rc.chosen_ratings(wt.top_rating(rated, cb.OWN).join(rated.groupBy(*cb.OWN).agg(F.max("full_rating").alias("full_rating")), cb.OWN)))
+    own = written(df.best(df.valid(valued).filter("source = 'current'")))
+    return {"ratings": ratings, "lent": lent, "placed": placed, "goals": archive_goals(s, d), "medals": medals, "usual": wt.median_medal(population), "known": known, "axis": axis, "surface": surface, "own": own}
+
+
+def scored_candidates(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """(candidates of all entities, valued current attempts), which both kinds of recommendations share."""
+    m = model(s, d)
+    project = lambda asked: sf.projections(asked, m["known"], m["axis"], m["surface"])
+    out = rc.candidates(m["ratings"], m["lent"], m["placed"], m["goals"], m["medals"], m["usual"], project)
+    return written(out), m["own"]
 
 
 @query("m18_recommendations")

@@ -119,6 +119,38 @@ def _(s, d):
     return sf.fit(prepared(s, d))[1].select(*sf.CELL, F.round(F.col("score") + 1e-9, 3).alias("score"), "support")
 
 
+#: Peers of every row at a rating moved by 0.04, projections from them or from the surface; a third of the entities counts as unknown to it.
+PROJECTED = MONOTONE + f""", kn1 AS MATERIALIZED (SELECT mode, entity_id, item_id, rating, difficulty, calibrated AS score, CASE WHEN source = 'archive' THEN 1.0::DOUBLE ELSE 2.0::DOUBLE END AS w FROM ca WHERE fit = -1),
+    as1 AS MATERIALIZED (SELECT mode, entity_id, item_id, rating + 0.04::DOUBLE AS rating, difficulty + 0.03::DOUBLE AS difficulty, CASE WHEN CAST(entity_id AS BIGINT) % 3 > 0 THEN {rg._fold("entity_id")} ELSE -1 END AS fit FROM kn1),
+    pp1 AS MATERIALIZED (SELECT a.mode, a.entity_id, a.item_id, b.score, b.w, abs(a.rating - b.rating) AS dist FROM as1 a JOIN kn1 b ON a.mode = b.mode AND a.item_id = b.item_id AND a.entity_id <> b.entity_id WHERE abs(a.rating - b.rating) <= 0.5 + 1e-9),
+    pc1 AS (SELECT mode, entity_id, item_id, count(*) FILTER (dist <= 0.2 + 1e-9) AS a, count(*) FILTER (dist <= 0.3 + 1e-9) AS b, count(*) FILTER (dist <= 0.4 + 1e-9) AS c, count(*) AS e FROM pp1 GROUP BY ALL),
+    pd1 AS (SELECT *, CASE WHEN e >= 20 THEN 20 WHEN e >= 10 THEN 10 ELSE 5 END AS t FROM pc1 WHERE e >= 5),
+    pf1 AS (SELECT *, CASE WHEN a >= t THEN 0.2 WHEN b >= t THEN 0.3 WHEN c >= t THEN 0.4 ELSE 0.5 END AS radius, CASE WHEN a >= t THEN a WHEN b >= t THEN b WHEN c >= t THEN c ELSE e END AS support FROM pd1),
+    pg1 AS (SELECT mode, entity_id, item_id, support, score, sum(w) AS w FROM pp1 JOIN pf1 USING (mode, entity_id, item_id) WHERE dist <= radius + 1e-9 GROUP BY ALL),
+    ph1 AS (SELECT *, sum(w) OVER (PARTITION BY mode, entity_id, item_id ORDER BY score ROWS UNBOUNDED PRECEDING) AS run, sum(w) OVER (PARTITION BY mode, entity_id, item_id) AS total FROM pg1),
+    pk1 AS (SELECT mode, entity_id, item_id, any_value(support) AS peers, min(score) AS peer_score FROM ph1 WHERE run >= total * 0.5 GROUP BY ALL),
+    lo1 AS (SELECT a.*, (rating - r0 / 10) / 0.1::DOUBLE AS x, (difficulty - d0 / 10) / 0.1::DOUBLE AS y, nr, nd FROM as1 a JOIN ax USING (mode, fit) WHERE rating BETWEEN r0 / 10 - 1e-9 AND (r0 + nr - 1) / 10 + 1e-9 AND difficulty BETWEEN d0 / 10 - 1e-9 AND (d0 + nd - 1) / 10 + 1e-9),
+    w AS (SELECT *, least(1, greatest(0, x - lr)) AS rw, least(1, greatest(0, y - ld)) AS dw FROM (SELECT *, least(greatest(floor(x + 1e-9), 0)::INT, nr - 2) AS lr, least(greatest(floor(y + 1e-9), 0)::INT, nd - 2) AS ld FROM lo1)),
+    lk1 AS (SELECT w.mode, w.entity_id, w.item_id, {_mix("score")} AS cell, round_even(greatest(0, {_mix("support")}), 0)::BIGINT AS near FROM w {_corner(0, 0, 0)} {_corner(1, 0, 1)} {_corner(2, 1, 0)} {_corner(3, 1, 1)}),
+    pj1 AS (SELECT a.*, peers, peer_score, CASE WHEN near >= 5 THEN cell END AS cell, CASE WHEN near >= 5 THEN near END AS near FROM as1 a LEFT JOIN pk1 USING (mode, entity_id, item_id) LEFT JOIN lk1 USING (mode, entity_id, item_id))""".replace("JOIN sm c", "JOIN sv c")
+
+
+@query("m14_projections", PROJECTED + """ SELECT mode, entity_id, item_id, CASE WHEN coalesce(peer_score, cell) IS NOT NULL THEN round_even(least(1e6, greatest(0, coalesce(peer_score, cell))), 0) END AS projected, coalesce(peers, near, 0)::BIGINT AS support,
+    CASE WHEN peer_score IS NOT NULL THEN 'peers' WHEN cell IS NOT NULL THEN CASE WHEN fit >= 0 THEN 'crossfit' ELSE 'full' END END AS origin,
+    CASE WHEN peer_score IS NOT NULL THEN CASE WHEN peers >= 20 THEN 'high' WHEN peers >= 10 THEN 'medium' ELSE 'low' END WHEN cell IS NULL THEN 'unavailable' WHEN near >= 200 THEN 'high' WHEN near >= 50 THEN 'medium' ELSE 'low' END AS confidence FROM pj1""")
+def _(s, d):
+    rows = prepared(s, d)
+    axis, surface = sf.fit(rows)
+    known = rows.filter(F.col("fit") == sf.ALL)
+    weight = F.when(F.col("source") == "archive", P.SOURCE_WEIGHTS["archive"]).otherwise(P.SOURCE_WEIGHTS["current"])
+    lent = known.select("mode", "entity_id", "item_id", "rating", F.col("calibrated").alias("score"), weight.alias("weight"))
+    asked = known.select("mode", "entity_id", "item_id", (F.col("rating") + 0.04).alias("rating"), (F.col("difficulty") + 0.03).alias("difficulty"))
+    near = rc.peer_scores(asked.drop("difficulty"), lent)
+    wanted = asked.join(near, ["mode", "entity_id", "item_id"], "left")
+    out = sf.projections(wanted, known.filter(F.col("entity_id").cast("long") % 3 > 0), axis, surface)
+    return out.select("mode", "entity_id", "item_id", "projected", "support", "origin", "confidence")
+
+
 _grades, _medals = ", ".join(f"'{g}'" for _, g, _ in P.GRADE_BANDS), ", ".join(f"('{n}', {i})" for i, (n, _, _) in enumerate(P.MEDALS))
 MEDALS = f""", gr AS (SELECT *, {rg._grade("score")} AS grade FROM best), cn AS (SELECT mode, grade, medal, count(*) AS c FROM gr GROUP BY ALL),
     ml AS (SELECT * FROM (VALUES {_medals}) v(medal, ord)), ms AS (SELECT * FROM (SELECT DISTINCT mode FROM cn), (SELECT unnest([{_grades}]) AS grade), ml),
