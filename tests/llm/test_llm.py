@@ -515,6 +515,11 @@ def test_license_texts(spark):
     assert "MIT" in got[0] and "MIT" in got[2] and "MIT" not in got[1] | got[3]
     for i, n in enumerate(names * 3):
         assert names[i // 3] in got[len(texts) + i]
+    # a text that goes on otherwise after its first paragraph isn't accepted
+    for n in ("BSL-1.0", "Unlicense"):
+        words = filled(license.parse(license.TEMPLATES[n]), rng, 0.0)
+        words[len(words) // 2 :] = "the authors keep all copyright and you must pay".split()
+        assert license.Automaton(license.TEMPLATES[n]).match([w.encode() for w in words], 0) == -1
     # a word of the mandatory wording changed
     for n in names:
         tree = license.parse(license.TEMPLATES[n])
