@@ -64,11 +64,17 @@ def peer_scores(wanted: DataFrame, peers: DataFrame, held: int = P.HELD, radix:
     reach = lambda r: F.lit(r) + 1e-9
     edge = lambda k, r, side: F.struct(F.lit(k).alias("edge"), (F.col("rating") + (2 * side - 1) * reach(r)).alias("at"), F.lit(2 * side).alias("kind"))
     order = [F.col("at").asc(), F.col("kind").asc()]  # of equal ratings the lower edge comes first, then peers, then the upper edge
-    sides = [(i, side) for i in range(len(P.PEER_RADII)) for side in (0, 1)]
-    edges = asked.select(*own_key, F.explode(F.array(*[edge(2 * i + side, P.PEER_RADII[i], side) for i, side in sides])).alias("e")).select(*own_key, "e.*", F.lit(0).alias("one"))
-    lent_rows = lent.select("mode", F.lit(None).cast("string").alias("entity_id"), "item_id", F.lit(None).cast("int").alias("edge"), "at", F.lit(1).alias("kind"), F.lit(1).alias("one"))
-    run = accumulated(lent_rows.union(edges), order, {"run": F.col("one")}, KEYS, spread).filter("edge is not null")
-    within = run.groupBy(*own_key).agg(*[F.sum(F.when(F.col("edge") == 2 * i + 1, F.col("run")).when(F.col("edge") == 2 * i, -F.col("run"))).alias(f"n{i}") for i in range(len(P.PEER_RADII))])
+    if spread:
+        sides = [(i, side) for i in range(len(P.PEER_RADII)) for side in (0, 1)]
+        edges = asked.select(*own_key, F.explode(F.array(*[edge(2 * i + side, P.PEER_RADII[i], side) for i, side in sides])).alias("e")).select(*own_key, "e.*", F.lit(0).alias("one"))
+        lent_rows = lent.select("mode", F.lit(None).cast("string").alias("entity_id"), "item_id", F.lit(None).cast("int").alias("edge"), "at", F.lit(1).alias("kind"), F.lit(1).alias("one"))
+        run = accumulated(lent_rows.union(edges), order, {"run": F.col("one")}, KEYS).filter("edge is not null")
+        within = run.groupBy(*own_key).agg(*[F.sum(F.when(F.col("edge") == 2 * i + 1, F.col("run")).when(F.col("edge") == 2 * i, -F.col("run"))).alias(f"n{i}") for i in range(len(P.PEER_RADII))])
+    else:
+        # the same differences for the rows themselves: frames that begin with an item's first row are summed as they grow
+        rows = asked.select(*own_key, F.col("rating").alias("at"), F.lit(0).alias("one")).union(lent.select("mode", F.lit(None).cast("string"), "item_id", "at", F.lit(1)))
+        upto = lambda x: F.expr(f"coalesce(sum(one) over (partition by {', '.join(KEYS)} order by at range between unbounded preceding and {x}), 0)")
+        within = rows.select(*own_key, *[(upto(f"{r + 1e-9!r}D following") - upto(f"{r + 1.1e-9!r}D preceding")).alias(f"n{i}") for i, r in enumerate(P.PEER_RADII)]).filter("entity_id is not null")
     off = F.abs(F.col("rating") - F.col("at"))
     selves = mine.groupBy(*own_key).agg(*[F.count_if(off <= reach(r)).alias(f"o{i}") for i, r in enumerate(P.PEER_RADII)])
     counts = within.join(selves, own_key, "left").fillna(0).select(*own_key, *[(F.col(f"n{i}") - F.col(f"o{i}")).alias(f"n{i}") for i in range(len(P.PEER_RADII))])
