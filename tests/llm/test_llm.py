@@ -50,7 +50,7 @@ def none(spark):
 @pytest.mark.parametrize("name", sorted(SQL))
 def test_query_equals_its_sql(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "benchmark", "pages"):
+    for t in ("documents", "benchmark", "pages", "labels"):
         con.sql(f"create view {t} as select * from '{DATA}/{t}.parquet'")
     want = con.sql(SQL[name])
     order = sorted(want.columns)
