@@ -529,6 +529,20 @@ def test_license_texts(spark):
         assert license.Automaton(license.TEMPLATES[n]).match([w.encode() for w in words], 0) == -1
 
 
+@pytest.mark.parametrize("name", ["Apache-2.0", "CC0-1.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "MPL-2.0"])
+def test_whole_license(name):
+    rng = np.random.default_rng(8)
+    tree, automaton = license.parse(license.TEMPLATES[name]), license.Automaton(license.TEMPLATES[name])
+    bare, full = ([w.encode() for w in filled(tree, rng, p)] for p in (0.0, 1.0))
+    assert len(bare) > 1000
+    around = [b"before", b"it"], [b"and", b"after"]
+    for words in (bare, full):
+        assert automaton.match(around[0] + words + around[1], 2) == 2 + len(words)
+    for at in (*rng.integers(1, len(bare), 20), len(bare) * 19 // 20, len(bare) - 2):
+        for other in (bare[:at] + [b"elsewhat"] + bare[at + 1 :], bare[:at] + [b"elsewhat"] + bare[at:], bare[:at]):  # changed, put in, cut off
+            assert automaton.match(other, 0) == -1
+
+
 def test_anchors_in_pieces(monkeypatch):
     """Every 100-byte string has the same anchor, in however small pieces a block is looked at; and documents keep theirs apart."""
     rng = np.random.default_rng(8)

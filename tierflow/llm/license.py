@@ -59,7 +59,7 @@ class Automaton:
         self.free: list[list[int]] = [[]]  # moves without a token
         tree = parse(markup)
         self.final = self._build(tree, 0)
-        self.mandatory = [x.encode() for x in tree if isinstance(x, str)]
+        self.mandatory = sorted({x.encode() for x in tree if isinstance(x, str)}, key=len, reverse=True)  # long words are rare, so most texts fail at once
         self.starts = {t for s in self._closure({0}) for t, _ in self.steps[s]}
         if not all(isinstance(t, bytes) for t in self.starts):
             raise ValueError("a template can't begin with a replaceable region")

@@ -1,8 +1,10 @@
-"""License texts as templates. ``[[ ]]`` may be left out; ``{{name:n:pattern}}`` stands for one to n words that each match the pattern.
+"""License texts and notices as templates. ``[[ ]]`` may be left out; ``{{name:n:pattern}}`` stands for one to n words that each match the pattern.
 
 Fixed values: the wording is that of the public licenses.
 """
 
+from .license_texts import WHOLE
+
 _AS_IS = """IS PROVIDED BY {{holders:16}} "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS
 FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL {{holders:16}} BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT
 LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT
@@ -11,7 +13,7 @@ _BSD = """Redistribution and use in source and binary forms, with or without mod
 retain the above copyright notice, this list of conditions and the following disclaimer. [[2.]] Redistributions in binary form must reproduce the above copyright notice, this list of
 conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."""
 
-TEXTS = {
+TEXTS = WHOLE | {
     "MIT": """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without
 restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software
 is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice [[(including the next paragraph)]] shall be included in all copies or substantial
@@ -47,9 +49,11 @@ ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WIT
 [[{{url:8}}]] Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either
 express or implied. See the License for the specific language governing permissions and limitations under the License.""",
     "GPL-header": """free software[[;]] you can redistribute it and/or modify it under the terms of the GNU [[{{kind:1:lesser|library|affero}}]] General Public License as published by the Free Software
-Foundation[[,]] either version {{version:2:[0-9]+}} of the License[[, or (at your option) any later version]].""",
-    "MPL-2.0-header": """This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at""",
+Foundation[[,]] either version {{version:2:[0-9]+}} of the License[[, or (at your option) any later version]]. {{program:8}} is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY;
+without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU [[{{kind:1:lesser|library|affero}}]] General Public License for more details.""",
+    "MPL-2.0-header": """This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at
+{{scheme:1:http|https}}://mozilla.org/MPL/2.0/.""",
     "CC-legalcode": """Creative Commons [[{{kind:4:attribution|noncommercial|non|commercial|sharealike|share|alike|noderivatives|no|derivatives|derivs}}]] {{version:2:[0-9]+}} [[{{port:1:international|unported|generic}}]]
 [[public]] [[license]] legal code""",
-    "CC0-dedication": """To the extent possible under law, {{person:12}} has waived all copyright and related or neighboring rights to""",
+    "CC0-dedication": """To the extent possible under law, {{person:12}} has waived all copyright and related or neighboring rights to {{work:12}}""",
 }
