@@ -74,3 +74,51 @@ def test_offset_of_sources(spark):
     assert (one.n, one.offset) == (3, pytest.approx(500)) and one.slope == pytest.approx(1000)
     assert rc.source_offset(df.filter("source = 'archive'")).first().offset == 0
     assert rc.source_offset(df.limit(0)).first().n == 0
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_first_unseen_equals_brute_force(spark, seed):
+    """Entities with nothing of their own, with scattered items, with the whole head of the order (past the broadcast places), and with all items; two modes whose orders differ in length."""
+    rng = random.Random(seed)
+    sizes, shown = {"Single": 60, "Double": 9}, 5
+    items = [(m, f"{m[0]}{i}", i) for m, n in sizes.items() for i in range(1, n + 1)]
+    held = {"none": lambda i, n: False, "some": lambda i, n: rng.random() < 0.4, "head": lambda i, n: i <= 30, "all": lambda i, n: True, "last": lambda i, n: i == n}
+    own = [(m, e, k, i) for m, k, i in items for e, f in held.items() if f(i, sizes[m])]
+    who = spark.createDataFrame([(m, e) for m in sizes for e in held], "mode string, entity_id string")
+    got = rc.first_unseen(who, spark.createDataFrame(own, "mode string, entity_id string, item_id string, at long"), spark.createDataFrame(items, "mode string, item_id string, at long"), "at", ["mode", "entity_id"], ["mode"], shown)
+    rows = [tuple(r) for r in got.collect()]
+    assert len(rows) == len(set(rows))
+    mine = {x[:3] for x in own}
+    for m in sizes:
+        for e in held:
+            want = [k for x, k, _ in items if x == m and (m, e, k) not in mine][:shown]
+            assert {k for x, y, k in rows if (x, y) == (m, e) and (m, e, k) not in mine} == set(want)
+    assert len([r for r in rows if r[1] == "none"]) == 2 * shown  # what the order's head costs hangs on own items in it alone
+
+
+def test_group_candidates_equal_all_pairs(spark):
+    """Own goals and ratings of items with and without a ladder's goal, of entities that aren't asked for, and entities without any."""
+    rng = random.Random(5)
+    placed = [(f"g{i}", f"T{i % 7}", None if i % 11 == 0 else round(rng.uniform(10, 28), 1), rng.random()) for i in range(130)]
+    entities = spark.createDataFrame([(f"e{i}",) for i in range(6)], "entity_id string")
+    marks = [(b, g) for b, g, _ in rc.P.GRADE_BANDS]
+    goals = [(f"e{e}", f"g{i}", *rng.choice(marks)) for e in range(1, 8) for i in range(130) if rng.random() < 0.3]
+    seen = [(f"e{e}", f"g{i}", rng.choice(["current", "archive"]), round(rng.uniform(0, 140), 2)) for e in range(1, 8) for i in range(130) if rng.random() < (1.0 if e == 5 else 0.4)]
+    placed = spark.createDataFrame(placed, "item_id string, title string, estimate double, continuous double")
+    goals = spark.createDataFrame(goals, "entity_id string, item_id string, goal_score long, goal_grade string")
+    seen = spark.createDataFrame(seen, "entity_id string, item_id string, source string, rating double")
+    got = rc.group_candidates(placed, entities, seen, goals)
+    # all pairs: every group item is one of the entity's own, with a goal or rating of nothing
+    from tierflow.functions import formulas as fx
+
+    pairs = entities.crossJoin(placed.filter("estimate is not null")).join(goals, ["entity_id", "item_id"], "left").join(seen.filter("source = 'current'"), ["entity_id", "item_id"], "left")
+    grade = fx.lookup(F.col("estimate"), rc.P.GROUP_GOALS)
+    score = fx.lookup(grade, {g: b for b, g, _ in rc.P.GRADE_BANDS})
+    own = F.col("goal_score").isNotNull() & (score.isNull() | (F.col("goal_score") > score))
+    pairs = pairs.withColumn("grade", F.when(own, F.col("goal_grade")).otherwise(grade)).filter("grade is not null").withColumn("expected", fx.group_rating(F.col("grade"), F.lit(rc.P.GROUP_MEDAL)))
+    want = {}
+    for r in pairs.collect():
+        gain = max(0.0, round(r.expected - (r.rating or 0.0), 2))
+        want.setdefault(r.entity_id, []).append((-gain, r.continuous, -r.expected, r.title.lower(), r.item_id))
+    want = {(e, x[4]): (i + 1, -x[0]) for e, rows in want.items() for i, x in enumerate(sorted(rows)[:50])}
+    assert {(r.entity_id, r.item_id): (r.place, r.gain) for r in got.collect()} == want and len(want) > 200

@@ -123,20 +123,42 @@ def archive_goals(rows: DataFrame) -> DataFrame:
     return best.select("entity_id", "item_id", grade_floor(F.col("best")).alias("goal_score"), fx.grade(F.col("best")).alias("goal_grade")).filter("goal_grade is not null")
 
 
+def first_unseen(who: DataFrame, own: DataFrame, items: DataFrame, place: str, by: list[str], common: list[str], shown: int = P.SHOWN) -> DataFrame:
+    """(by, item_id): at least the first ``shown`` items in the catalog's order ``place`` (from 1, within ``common``) that each of ``who`` (by) has no row in ``own`` (by, item_id, place) of; own ones among them come along.
+
+    The i-th own item in that order stands before the last one wanted if fewer than ``shown`` others do, which are its place less i; so the places wanted are ``shown`` and as many
+    as there are such own items. Rows don't grow with the catalog, and hardly with what an entity has. Places that all ask for are in a table of ``2 * shown`` rows for each of ``common``, which is broadcast.
+    """
+    nth = F.row_number().over(Window.partitionBy(*by).orderBy(place))
+    before = own.withColumn("__nth", nth).filter(F.col(place) - F.col("__nth") < shown).groupBy(*by).agg(F.count("*").alias("__before"))
+    most = shown + F.coalesce("__before", F.lit(0).cast("long"))
+    places = who.join(before, by, "left").select(*by, F.explode(F.sequence(F.lit(1).cast("long"), most)).alias(place))
+    on, head = [*common, place], F.col(place) <= 2 * shown
+    items = items.select(*on, "item_id")
+    found = places.filter(head).join(F.broadcast(items.filter(head)), on).union(places.filter(~head).join(items.filter(~head), on))
+    return found.select(*by, "item_id")
+
+
 def group_candidates(placed: DataFrame, entities: DataFrame, observed: DataFrame, goals: DataFrame) -> DataFrame:
     """Group items for each entity: the ladder's goal or a better own one of the archive, its rating and gain; the 50 of most gain.
 
-    ``placed`` has (item_id, title, estimate, continuous); there are few group items, so each goes to every entity.
+    ``placed`` has (item_id, title, estimate, continuous). An item of which an entity has neither goal nor rating gains what the ladder's goal is worth, for all alike; so of those each entity only gets the first 50 of one order.
     """
     grade = fx.lookup(F.col("estimate"), P.GROUP_GOALS)
+    worth = lambda c: fx.group_rating(F.col(c), F.lit(P.GROUP_MEDAL))
+    gain = lambda existing: F.greatest(F.lit(0.0), F.round(F.col("expected") - existing, 2))
+    order = [F.col("gain").desc(), F.col("continuous"), F.col("expected").desc(), F.lower("title"), F.col("item_id")]
     ladder = placed.filter("estimate is not null").select("item_id", "title", "continuous", grade.alias("ladder_grade"), fx.lookup(grade, {g: b for b, g, _ in P.GRADE_BANDS}).alias("ladder_score"))
+    alike = ladder.filter("ladder_grade is not null").withColumn("expected", worth("ladder_grade")).withColumn("gain", gain(F.lit(0.0)))
+    alike = written(numbered(alike, order, "ladder_place").select("item_id", "ladder_place"))
     current = observed.filter("source = 'current'").select("entity_id", "item_id", F.col("rating").alias("existing"))
-    rows = entities.select("entity_id").crossJoin(ladder).join(goals, ["entity_id", "item_id"], "left").join(current, ["entity_id", "item_id"], "left")
-    own = F.col("goal_score").isNotNull() & (F.col("ladder_score").isNull() | (F.col("goal_score") > F.col("ladder_score")))
-    rows = rows.withColumns({"score": F.when(own, F.col("goal_score")).otherwise(F.col("ladder_score")), "grade": F.when(own, F.col("goal_grade")).otherwise(F.col("ladder_grade"))})
-    rows = rows.filter("grade is not null").withColumn("expected", fx.group_rating(F.col("grade"), F.lit(P.GROUP_MEDAL)))
-    rows = rows.withColumn("gain", F.greatest(F.lit(0.0), F.round(F.col("expected") - F.coalesce("existing", F.lit(0.0)), 2)))
-    order = [F.col("gain").desc(), F.col("continuous"), F.col("expected").desc(), F.lower("title"), F.col("item_id")]
+    who = entities.select("entity_id").distinct()
+    own = written(goals.select("entity_id", "item_id").union(current.select("entity_id", "item_id")).distinct().join(who, "entity_id", "left_semi"))
+    rows = first_unseen(who, own.join(alike, "item_id"), alike, "ladder_place", ["entity_id"], []).union(own).distinct()
+    rows = rows.join(ladder, "item_id").join(goals, ["entity_id", "item_id"], "left").join(current, ["entity_id", "item_id"], "left")
+    better = F.col("goal_score").isNotNull() & (F.col("ladder_score").isNull() | (F.col("goal_score") > F.col("ladder_score")))
+    rows = rows.withColumns({"score": F.when(better, F.col("goal_score")).otherwise(F.col("ladder_score")), "grade": F.when(better, F.col("goal_grade")).otherwise(F.col("ladder_grade"))})
+    rows = rows.filter("grade is not null").withColumn("expected", worth("grade")).withColumn("gain", gain(F.coalesce("existing", F.lit(0.0))))
     return rows.withColumn("place", F.row_number().over(Window.partitionBy("entity_id").orderBy(*order))).filter(F.col("place") <= P.SHOWN)
 
 
@@ -208,8 +230,7 @@ def single_source(ranked: DataFrame, placed: DataFrame, slopes: DataFrame) -> Da
     """The 50 items of most gain from one source alone: expected is the baseline moved by the mode's slope and the edge over the baseline's.
 
     Every item of level 16 and more with an estimate may be among them, but what is expected of an item depends on its edge alone. So of the items that an entity has
-    no attempt at only the first in the order of edges can have a gain, and only the first in the order of estimates can follow without one; with n own attempts, 50 + n of
-    each order are looked at, and the own items. Rows don't grow with the catalog.
+    no attempt at only the first 50 in the order of edges can have a gain, and only the first 50 in the order of estimates can follow without one. Those and the own items are looked at.
     """
     base = short_baselines(ranked, placed).join(slopes.filter("slope > 0").select("mode", "slope"), "mode")
     items = placed.filter((F.col("level") >= P.MIN_LEVEL) & F.col("estimate").isNotNull()).select("mode", "item_id", "title", "level", "estimate", (F.col("level") + 0.5 - F.col("estimate")).alias("edge"))
@@ -217,10 +238,9 @@ def single_source(ranked: DataFrame, placed: DataFrame, slopes: DataFrame) -> Da
     items = ranked_in_bins(items, ["mode"], F.floor(F.col("edge") * -100), [F.col("edge").desc(), F.col("estimate"), *ties], "by_edge")
     items = written(ranked_in_bins(items, ["mode"], F.floor(F.col("estimate") * 100), [F.col("estimate"), F.col("edge").desc(), *ties], "by_estimate"))
     totals = ranked.groupBy(*OWN).agg(F.max(F.when(F.col("rank_value") == P.TOP, F.col("value"))).alias("cutoff"), F.count("*").alias("n"))
-    places = base.join(totals.select(*OWN, "n"), OWN).select(*OWN, F.explode(F.sequence(F.lit(1), (F.col("n") + P.SHOWN).cast("int"))).alias("k"))
-    wanted = [places.withColumnRenamed("k", by).join(items.select("mode", by, "item_id"), ["mode", by]).select(*OWN, "item_id") for by in ("by_edge", "by_estimate")]
-    own = ranked.select(*OWN, "item_id")
-    rows = wanted[0].union(wanted[1]).union(own).distinct().join(base, OWN).join(items, KEYS)
+    who, own = base.select(*OWN), written(ranked.select(*OWN, "item_id").join(items, KEYS).select(*OWN, "item_id", "by_edge", "by_estimate"))
+    first = [first_unseen(who, own, items, by, OWN, ["mode"]) for by in ("by_edge", "by_estimate")]
+    rows = first[0].union(first[1]).union(own.select(*OWN, "item_id")).distinct().join(base, OWN).join(items, KEYS)
     rows = rows.withColumn("expected", F.greatest(F.lit(0.0), F.col("base") + F.col("slope") * (F.col("edge") - F.col("base_edge"))))
     rows = wt.gains(rows, ranked, totals, F.col("expected"))
     return rows.withColumn("place", F.row_number().over(Window.partitionBy(*OWN).orderBy(*gain_order()))).filter(F.col("place") <= P.SHOWN)
