@@ -472,6 +472,15 @@ def test_tree_of_words():
         assert len(set(ways)) == n
         share = [math.prod(1 / (1 + math.exp(-bias[k] if r else bias[k])) for k, r in way) for way in ways]
         assert share == pytest.approx((mass / mass.sum()).tolist())
+        classes = np.sort(rng.integers(0, 12, n))
+        start, node, right, bias = maxent.paths(mass, classes)
+        ways = [tuple(zip(node[a:b].tolist(), right[a:b].tolist(), strict=True)) for a, b in zip(start[:-1], start[1:], strict=True)]
+        assert [math.prod(1 / (1 + math.exp(-bias[k] if r else bias[k])) for k, r in way) for way in ways] == pytest.approx((mass / mass.sum()).tolist())
+        for c in np.unique(classes):  # one way leads to a class, and no other class has a decision of those in it
+            own, others = ([w for w, k in zip(ways, classes, strict=True) if (k == c) == inside] for inside in (True, False))
+            seen = {k for w in others for k, _ in w}
+            heads = {tuple(x for x in w if x[0] in seen) for w in own}
+            assert len(heads) == 1 and all(w[: len(next(iter(heads)))] in heads for w in own)
     common = np.sort(rng.integers(0, 1 << 63, 50).astype(np.uint64))
     model = maxent.Model(common, rng.integers(1, 90, 50), rng.integers(0, maxent.CLASSES, 50), rng.random(maxent.CLASSES) * 9 + 0.1, 10, rng.normal(0, 1, 1 << 10).astype(np.float32))
     leaves = np.arange(50 + maxent.CLASSES)

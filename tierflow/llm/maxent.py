@@ -15,7 +15,7 @@ from .common import as_bytes, hashed_words, mixed, text_blocks, texts_of, writte
 
 #: Word classes, by a hash of a word's last three bytes.
 CLASSES = 40
-#: Decisions on the way to a word that see all features (they pick its class); those after see the word before.
+#: Decisions on the way to a word that see all features (a tree over classes of equal mass has as many); those after see the word before.
 DEEP = 6
 #: The weight table has a weight for so many training tokens, and so many bits at most and at least.
 SPREAD, BITS, LEAST_BITS = 1, 20, 16
@@ -74,20 +74,26 @@ def count_tokens(rows: DataFrame) -> DataFrame:
     return each.groupBy("h").agg(F.min("suffix").alias("suffix"), F.sum("c").alias("c"))
 
 
-def paths(mass: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def paths(mass: np.ndarray, classes: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """A binary tree over leaves with ``mass``, each part split where its halves weigh most alike: (start, node, right) and bias.
 
+    ``classes`` of the leaves, which rise: a part with several of them is only split between two, so each class is a subtree, and the decisions before it are those of a tree over classes.
     The decisions of leaf i are those from start[i] to start[i + 1]: the node, and whether it goes right. A node is named by its split;
     ``bias`` is the log odds of going right by mass.
     """
     n = len(mass)
     total = np.concatenate([[0.0], np.cumsum(mass)])
+    edge = np.flatnonzero(np.diff(classes, prepend=-1, append=-1)) if classes is not None and n else np.array([0, n])  # where classes begin, and the end
     lo, hi = np.zeros(n, np.int64), np.full(n, n)
     leaf, bias = np.arange(n), np.zeros(n)
     found = [(np.zeros(0, np.int64),) * 3]
     while len(leaf := leaf[hi[leaf] - lo[leaf] > 1]):
         a, b = lo[leaf], hi[leaf]
-        split = np.clip(np.searchsorted(total, (total[a] + total[b]) / 2), a + 1, b - 1)
+        half = (total[a] + total[b]) / 2
+        split = np.clip(np.searchsorted(total, half), a + 1, b - 1)
+        first, last = np.searchsorted(edge, a, "right"), np.searchsorted(edge, b) - 1  # edges inside of the part
+        between = edge[np.clip(np.searchsorted(total[edge], half), first, np.maximum(first, last))]
+        split = np.where(first <= last, between, split)
         bias[split] = np.log((total[b] - total[split]) / (total[split] - total[a]))
         right = leaf >= split
         found.append((leaf, split, right.astype(np.int64)))
@@ -100,8 +106,8 @@ def paths(mass: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndar
 class Model:
     """What tasks need for scores: frequent tokens with their counts, what the rest of each class has, and the weights.
 
-    Leaves of the tree are the frequent tokens and, of each class, the rest, in the order of classes; so the first decisions pick
-    a token's class, and the others the token in it. The tree is made anew in each process from the counts.
+    Leaves of the tree are the frequent tokens and, of each class, the rest. Each class is a subtree: the decisions before it pick
+    a token's class, and those in it the token. The tree is made anew in each process from the counts.
     """
 
     def __init__(self, common: np.ndarray, counts: np.ndarray, suffixes: np.ndarray, room: np.ndarray, bits: int, weights: np.ndarray | None = None):
@@ -120,7 +126,7 @@ class Model:
             order = np.lexsort((-mass, of))
             place = np.empty(len(of), np.int64)
             place[order] = np.arange(len(of))
-            start, node, right, bias = paths(mass[order])
+            start, node, right, bias = paths(mass[order], of[order])
             mark = node.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
             self._tree = place[: len(self.common)], place[len(self.common) :], start, mark, right.astype(np.int8), bias[node].astype(np.float32)
         return self._tree
