@@ -268,6 +268,10 @@ def placed(rows: DataFrame) -> DataFrame:
 def analysis(attempts: DataFrame, items: DataFrame, resamples: int | None = P.RESAMPLES) -> DataFrame:
     """The whole standalone analysis; without ``resamples`` (None) there are no intervals."""
     # written, as item statistics and slopes read them several times
-    rows = written(ranked(best(valid(attempts))))
+    return analysis_of_ranked(written(ranked(best(valid(attempts)))), items, resamples)
+
+
+def analysis_of_ranked(rows: DataFrame, items: DataFrame, resamples: int | None = P.RESAMPLES) -> DataFrame:
+    """The same from best attempts that are ranked already, a written table, for those who read them for other things too."""
     chosen = written(selected(rows).select("mode", "entity_id", "item_id", "level", "selected", "baseline", "residual"))
     return within_level(items, item_stats(chosen, resamples), slopes(rows))

@@ -232,8 +232,8 @@ _gain = "CASE WHEN in_top THEN greatest(0, expected - coalesce(existing, 0)) WHE
     SELECT mode, entity_id, item_id, round(gain + 1e-9, 5) AS gain FROM go QUALIFY row_number() OVER (PARTITION BY mode, entity_id ORDER BY gain DESC, estimate, expected DESC, lower(title), item_id) <= 50""")
 def _(s, d):
     rows = written(rg.ranked(s, d))
-    placed = written(analysed(s, d).select("mode", "item_id", "title", "level", "estimate"))
-    out = rc.single_source(rows, placed, df.slopes(df.best(valid(s, d))))
+    placed = written(df.analysis_of_ranked(rows, tb.items(s, d), resamples=None).select("mode", "item_id", "title", "level", "estimate"))
+    out = rc.single_source(rows, placed, df.slopes(rows))
     return out.select("mode", "entity_id", "item_id", F.round(F.col("gain") + 1e-9, 5).alias("gain"))
 
 
