@@ -104,12 +104,19 @@ def rerates(rows: DataFrame, catalog: DataFrame, aliases: dict[str, str] | None
 
 
 def close_titles(rows: DataFrame, catalog: DataFrame, least: float = 0.45, most: int = 3) -> DataFrame:
-    """The closest titles of the same label, by edit distance as a share of the longer one; up to ``most`` that are at least ``least`` alike."""
-    pairs = rows.join(catalog.select("item_id", "label", F.col("normal").alias("name")), "label")
-    alike = F.lit(1.0) - F.levenshtein("normal", "name") / F.greatest(F.length("normal"), F.length("name"), F.lit(1))
-    near = pairs.withColumn("alike", alike).filter(F.col("alike") >= least)
-    place = F.row_number().over(Window.partitionBy("text_id").orderBy(F.col("alike").desc(), "item_id"))
-    return near.withColumn("place", place).filter(F.col("place") <= most).select("text_id", "item_id", "alike", "place")
+    """(text_id, item_id, alike, place): the closest titles of the same label, by edit distance as a share of the longer one; up to ``most`` items that are at least ``least`` alike.
+
+    ``rows``: (text_id, label, normal), ``catalog``: (item_id, label, normal). Different titles of a label are compared once each. Of items with the same title only the first ``most`` can have a place, and rows that read alike share what is found.
+    """
+    name = catalog.select("label", F.col("normal").alias("name")).distinct()
+    longer = F.greatest(F.length("normal"), F.length("name"), F.lit(1))
+    pairs = rows.select("label", "normal").distinct().join(name, "label").filter(F.abs(F.length("normal") - F.length("name")) <= (1 - least + 1e-9) * longer)  # no distance is under that of lengths
+    near = pairs.withColumn("alike", F.lit(1.0) - F.levenshtein("normal", "name") / longer).filter(F.col("alike") >= least)
+    near = near.withColumn("place", F.rank().over(Window.partitionBy("label", "normal").orderBy(F.col("alike").desc()))).filter(F.col("place") <= most).drop("place")
+    items = catalog.select("item_id", "label", F.col("normal").alias("name"), F.row_number().over(Window.partitionBy("label", "normal").orderBy("item_id")).alias("nth")).filter(F.col("nth") <= most)
+    first = lambda found, *by: found.withColumn("place", F.row_number().over(Window.partitionBy(*by).orderBy(F.col("alike").desc(), "item_id"))).filter(F.col("place") <= most)
+    nearest = first(near.join(items, ["label", "name"]), "label", "normal").select("label", "normal", "item_id", "alike")
+    return first(rows.join(nearest, ["label", "normal"]), "text_id").select("text_id", "item_id", "alike", "place")
 
 
 def variant(normal: Column) -> Column:
