@@ -50,10 +50,20 @@ def test_close_titles_are_those_of_all_pairs(spark):
     assert {(r.text_id, r.item_id, round(r.alike, 9), r.place) for r in ln.close_titles(asked, items).collect()} == want
 
 
+def test_linked_titles_are_those_of_all_pairs(spark):
+    catalog, texts, items, asked = tables(spark)
+    want = {}
+    for t, m, x in texts:
+        for i, n, y in catalog:
+            if m == n and y and f" {y} " in f" {x} ":
+                want[t, m] = min(want.get((t, m), (1, "")), (-len(y), i))
+    assert {(r.text_id, r.label, r.item_id) for r in ln.title_links(asked, items).collect()} == {(*k, i) for k, (_, i) in want.items()}
+
+
 def test_copies_of_titles_are_no_pairs(spark):
     n = 3000  # all pairs would be 9 million
     items = spark.range(n).select(F.col("id").cast("string").alias("item_id"), F.lit("A").alias("label"), F.lit("red bolt").alias("normal"))
     asked = items.withColumnRenamed("item_id", "text_id")
-    for found in (ln.close_titles(asked, items),):
+    for found in (ln.close_titles(asked, items), ln.title_links(asked, items)):
         assert len(found.collect()) in (n, 3 * n)
         assert 0 < compared(found._jdf.queryExecution().executedPlan()) <= 3 * n

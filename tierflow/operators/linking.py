@@ -38,13 +38,14 @@ def unique_matches(rows: DataFrame, catalog: DataFrame, keys: list[str]) -> tupl
 
 
 def title_links(texts: DataFrame, catalog: DataFrame) -> DataFrame:
-    """(text_id, item_id) where the text, blocked by label, has the item's normal title as whole words; the longest title of a text and label wins.
+    """(text_id, label, item_id) where the text, blocked by label, has the item's normal title as whole words; the longest title of a text and label wins.
 
-    ``texts``: (text_id, label, normal), ``catalog``: (item_id, label, normal).
+    ``texts``: (text_id, label, normal), ``catalog``: (item_id, label, normal). Texts that read alike are looked at once, and of items with the same title the first is kept, so rows don't grow with the square of copies.
+    A text_id that several texts of a label have gets one item.
     """
-    best = Window.partitionBy("text_id", "label").orderBy(F.length("name").desc(), "item_id")
-    found = named(texts, catalog.select("item_id", "label", F.col("normal").alias("name")))
-    return found.withColumn("place", F.row_number().over(best)).filter("place = 1").select("text_id", "label", "item_id")
+    names = catalog.groupBy("label", F.col("normal").alias("name")).agg(F.min("item_id").alias("item_id"))
+    longest = named(texts.select("label", "normal").distinct(), names).groupBy("label", "normal").agg(F.min(F.struct((-F.length("name")).alias("short"), "item_id")).alias("top"))
+    return texts.join(longest, ["label", "normal"]).groupBy("text_id", "label").agg(F.min("top").alias("top")).select("text_id", "label", "top.item_id")
 
 
 def named(texts: DataFrame, names: DataFrame) -> DataFrame:
