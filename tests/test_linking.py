@@ -60,10 +60,27 @@ def test_linked_titles_are_those_of_all_pairs(spark):
     assert {(r.text_id, r.label, r.item_id) for r in ln.title_links(asked, items).collect()} == {(*k, i) for k, (_, i) in want.items()}
 
 
+def test_linked_items_are_those_of_all_pairs(spark):
+    catalog, texts, items, asked = tables(spark, 60)
+    catalog += [("0", "A", "ring"), ("0", "B", "cold plate")]
+    ranked = [(*t, int(t[0][1:]) % 4) for t in texts]
+    found = ln.linked_items(
+        spark.createDataFrame(catalog, "item_id string, label string, name string"), spark.createDataFrame(ranked, "text_id string, label string, normal string, rank int"), spark.createDataFrame([("7", "t3")], "item_id string, text_id string")
+    )
+    want = set()
+    for item in {i for i, _, _ in catalog}:
+        hits = {(k, t) for i, n, y in catalog if i == item and y for t, m, x, k in ranked if m == n and f" {y} " in f" {x} "}
+        best = {t for k, t in hits if k == min(hits)[0]}
+        status = "override" if item == "7" else "missing" if not best else "ambiguous" if len(best) > 1 else "mapped"
+        want.add((item, status, "t3" if item == "7" else min(best) if status == "mapped" else None))
+    assert {tuple(r) for r in found.collect()} == want
+
+
 def test_copies_of_titles_are_no_pairs(spark):
     n = 3000  # all pairs would be 9 million
     items = spark.range(n).select(F.col("id").cast("string").alias("item_id"), F.lit("A").alias("label"), F.lit("red bolt").alias("normal"))
     asked = items.withColumnRenamed("item_id", "text_id")
-    for found in (ln.close_titles(asked, items), ln.title_links(asked, items)):
+    names, none = items.withColumnRenamed("normal", "name"), spark.createDataFrame([], "item_id string, text_id string")
+    for found in (ln.close_titles(asked, items), ln.title_links(asked, items), ln.linked_items(names, asked.withColumn("rank", F.lit(1)), none)):
         assert len(found.collect()) in (n, 3 * n)
         assert 0 < compared(found._jdf.queryExecution().executedPlan()) <= 3 * n

@@ -72,10 +72,14 @@ def linked_items(catalog: DataFrame, texts: DataFrame, overrides: DataFrame) ->
     unknown = overrides.join(catalog, "item_id", "left_anti").select("item_id").union(overrides.join(texts, "text_id", "left_anti").select("text_id"))
     if bad := [r[0] for r in unknown.limit(5).collect()]:
         raise ValueError(f"overrides name unknown items or texts, as {', '.join(bad)}")
-    found = named(texts, catalog).groupBy("item_id", "rank").agg(F.count_distinct("text_id").alias("n"), F.min("text_id").alias("text_id"))
-    first = found.groupBy("item_id").agg(F.min_by(F.struct("n", "text_id"), "rank").alias("top"))
+    # of texts that read alike the first and the last of the best rank say all, and items with the same name share what it finds
+    alike = texts.filter("text_id is not null and rank is not null").groupBy("label", "normal", "rank").agg(F.min("text_id").alias("text_id"), F.max("text_id").alias("last"))
+    alike = alike.groupBy("label", "normal").agg(F.min(F.struct("rank", "text_id", "last")).alias("best")).select("label", "normal", "best.*")
+    best = lambda found, by: found.groupBy(*by, "rank").agg(F.min("text_id").alias("text_id"), F.max("last").alias("last")).groupBy(*by).agg(F.min(F.struct("rank", "text_id", "last")).alias("top"))
+    of_name = best(named(alike, catalog.select("label", "name").distinct()), ["label", "name"]).select("label", "name", "top.*")
+    first = best(catalog.select("item_id", "label", "name").join(of_name, ["label", "name"]), ["item_id"])
     rows = catalog.select("item_id").distinct().join(first, "item_id", "left").join(overrides.select("item_id", F.col("text_id").alias("forced")), "item_id", "left")
-    status = F.when(F.col("forced").isNotNull(), "override").when(F.col("top").isNull(), "missing").when(F.col("top.n") > 1, "ambiguous").otherwise("mapped")
+    status = F.when(F.col("forced").isNotNull(), "override").when(F.col("top").isNull(), "missing").when(F.col("top.text_id") != F.col("top.last"), "ambiguous").otherwise("mapped")
     rows = rows.withColumn("status", status)
     return rows.select("item_id", "status", F.when(F.col("status") == "override", F.col("forced")).when(F.col("status") == "mapped", F.col("top.text_id")).alias("text_id"))
 
