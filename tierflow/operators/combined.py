@@ -45,7 +45,8 @@ def rebased(rows: DataFrame) -> DataFrame:
     """Archive values move with their item's level by the archive's own slope; what falls to zero or has no slope goes."""
     then = rows.filter(is_archive()).withColumn("level", F.col("level_archive"))
     slope = df.slopes(then).select("mode", F.col("slope").alias("old_slope"))
-    moved = rows.join(slope, "mode", "left").withColumn(
+    # slopes are a row for each mode: a join by mode would send all rows to as many tasks
+    moved = rows.join(F.broadcast(slope), "mode", "left").withColumn(
         "value", F.when(is_archive(), F.col("value") + (F.col("level") - F.col("level_archive")) * F.col("old_slope")).otherwise(F.col("value"))
     )
     return moved.filter("value > 0").drop("old_slope", "level_archive")
@@ -56,7 +57,7 @@ def contributions(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     rows = df.ranked(rows, OWN).filter(F.col("n") >= least_attempts())
     slopes = df.slopes(rows, ["source", "mode"]).select("source", "mode", "slope").filter("slope is not null")
     chosen = df.selected(rows, least_attempts(), OWN).filter("selected")
-    return chosen.join(slopes, ["source", "mode"]).withColumn("residual", F.col("residual") / F.col("slope")), slopes
+    return chosen.join(F.broadcast(slopes), ["source", "mode"]).withColumn("residual", F.col("residual") / F.col("slope")), slopes
 
 
 def merged(chosen: DataFrame, rows: DataFrame) -> DataFrame:
@@ -88,7 +89,8 @@ def with_weights(chosen: DataFrame, ratings: DataFrame) -> DataFrame:
 
 def observations(attempts: DataFrame, items: DataFrame) -> DataFrame:
     """All weighted contributions of both sources."""
-    rows = normalised(df.best(df.valid(attempts), OWN), items)
+    # written, as ratings, the archive's slopes and rebased rows read them
+    rows = written(normalised(df.best(df.valid(attempts), OWN), items))
     ratings = rating_rows(rows)
     moved = written(rebased(rows))
     chosen, _ = contributions(moved)
