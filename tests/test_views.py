@@ -63,3 +63,9 @@ def test_states_of_two_sides(spark):
     base = spark.createDataFrame([("a", 5, "b"), ("b", 5, "b"), ("c", None, "b"), ("d", None, "b")], "entity_id string, synced int, origin string")
     live = spark.createDataFrame([("a", 5, "l"), ("b", 4, "l"), ("c", 1, "l"), ("d", None, "l"), ("e", 9, "l")], "entity_id string, synced int, origin string")
     assert {r.entity_id: r.origin for r in up.merged_states(base, live).collect()} == {"a": "l", "b": "b", "c": "l", "d": "b"}
+
+
+def test_core_names_work_out_the_base_once(spark):
+    out = spark.createDataFrame([("old bolt feat x full song",), (None,)], "n string").select(ln.core_names(F.col("n"), ["remix", "bolt|ring"]).alias("c"))
+    assert out.first().c == ["old bolt feat x", "old"]
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("split(") == 2  # the title and its base name

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -133,6 +134,11 @@ def variant(normal: Column) -> Column:
 VARIANT_PAIRS, GUEST = (("short", "cut"), ("full", "song")), ("feat", "ft")
 
 
+def _once(x: Column, f: Callable[[Column], Column]) -> Column:
+    """``f`` of ``x``, which is worked out once, however often ``f`` names it."""
+    return F.transform(F.array(x), f)[0]
+
+
 def _rest(words: Column) -> Column:
     """All words but the first."""
     return F.slice(words, F.lit(2), F.greatest(F.size(words), F.lit(1)))
@@ -140,29 +146,35 @@ def _rest(words: Column) -> Column:
 
 def _before(words: Column, stops: Column) -> Column:
     """The words before the first, after the first word, of ``stops``."""
-    place = F.array_min(F.transform(stops, lambda g: F.when(F.array_position(_rest(words), g) > 0, F.array_position(_rest(words), g))))
-    return F.when(place.isNull(), words).otherwise(F.slice(words, F.lit(1), place.cast("int")))
+    found = _once(_rest(words), lambda rest: F.transform(stops, lambda g: F.nullif(F.array_position(rest, g), F.lit(0))))
+    return _once(F.array_min(found), lambda place: F.when(place.isNull(), words).otherwise(F.slice(words, F.lit(1), place.cast("int"))))
 
 
 def base_name(normal: Column) -> Column:
     """The normal form without words for its variant, which may be written as one."""
-    words = F.filter(F.split(normal, " "), lambda w: w != "")
     joined = [a + b for a, b in VARIANT_PAIRS]
-    following = F.concat(_rest(words), F.array(F.lit("")))
-    leading = F.concat(F.array(F.lit("")), words)
     is_pair = lambda a, b: reduce(lambda t, p: t | ((a == p[0]) & (b == p[1])), VARIANT_PAIRS, F.lit(False))
-    cells = F.arrays_zip(words.alias("w"), following.alias("f"), leading.alias("l"))
-    kept = F.filter(cells, lambda c: c["w"].isNotNull() & ~c["w"].isin(*joined) & ~is_pair(c["w"], c["f"]) & ~is_pair(c["l"], c["w"]))
-    return F.array_join(F.transform(kept, lambda c: c["w"]), " ")
+
+    def kept(words: Column) -> Column:
+        following = F.concat(_rest(words), F.array(F.lit("")))
+        leading = F.concat(F.array(F.lit("")), words)
+        cells = F.arrays_zip(words.alias("w"), following.alias("f"), leading.alias("l"))
+        kept = F.filter(cells, lambda c: c["w"].isNotNull() & ~c["w"].isin(*joined) & ~is_pair(c["w"], c["f"]) & ~is_pair(c["l"], c["w"]))
+        return F.array_join(F.transform(kept, lambda c: c["w"]), " ")
+
+    return _once(F.filter(F.split(normal, " "), lambda w: w != ""), kept)
 
 
 def core_names(normal: Column, suffixes: list[str]) -> Column:
     """The base name, and it without a guest and the given last words (a pattern each), where that leaves something else."""
-    name = base_name(normal)
-    core = F.array_join(_before(F.split(name, " "), F.array(*map(F.lit, GUEST))), " ")
-    for suffix in suffixes:
-        core = F.trim(F.regexp_replace(core, rf"\s+(?:{suffix})$", ""))
-    return F.array_distinct(F.when(core != "", F.array(name, core)).otherwise(F.array(name)))
+
+    def cores(name: Column) -> Column:
+        core = _once(F.split(name, " "), lambda words: F.array_join(_before(words, F.array(*map(F.lit, GUEST))), " "))
+        for suffix in suffixes:
+            core = F.trim(F.regexp_replace(core, rf"\s+(?:{suffix})$", ""))
+        return _once(core, lambda core: F.array_distinct(F.when(core != "", F.array(name, core)).otherwise(F.array(name))))
+
+    return _once(base_name(normal), cores)
 
 
 def pattern_rank(text: Column, steps: list[tuple[str, int]], otherwise: int = 0) -> Column:

@@ -179,7 +179,8 @@ def _(s, d):
 def _(s, d):
     extra = F.concat(F.when(F.col("p_size") % 3 == 0, " ft x").otherwise(""), F.when(F.col("p_size") % 2 == 0, " (Full Song)").otherwise(""))
     normal = ln.normal_title(F.concat("p_name", extra))
-    return s.read.parquet(f"{d}/part.parquet").select("p_partkey", ln.variant(normal).alias("variant"), ln.base_name(normal).alias("base"), F.array_join(ln.core_names(normal, ["bolt|ring"]), "|").alias("cores"))
+    rows, n = s.read.parquet(f"{d}/part.parquet").select("p_partkey", normal.alias("normal")), F.col("normal")
+    return rows.select("p_partkey", ln.variant(n).alias("variant"), ln.base_name(n).alias("base"), F.array_join(ln.core_names(n, ["bolt|ring"]), "|").alias("cores"))
 
 
 @query("c36_pattern_rank", raw=r"SELECT doc_id, CASE WHEN regexp_matches(text, 'https?://') THEN 3 WHEN regexp_matches(text, '@') THEN 2 WHEN regexp_matches(text, '[0-9]') THEN 1 ELSE 0 END AS place FROM documents")
