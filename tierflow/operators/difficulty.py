@@ -61,6 +61,11 @@ def ranked(best: DataFrame, own: list[str] = OWN) -> DataFrame:
     )
 
 
+def ranked_best(attempts: DataFrame, own: list[str] = OWN) -> DataFrame:
+    """``ranked`` of ``best``; rows are dealt by ``own`` once, which serves both."""
+    return ranked(best(attempts.repartition(*own), own), own)
+
+
 def baselines(ranked: DataFrame, least: int = P.MIN_ATTEMPTS) -> DataFrame:
     """Statistics of ranks 11 to 30 of entities with ``least`` attempts and all of those ranks."""
     window = ranked.filter((F.col("n") >= least) & F.col("rank_value").between(P.BASE_FIRST, P.BASE_LAST))
@@ -91,12 +96,39 @@ def selected(ranked: DataFrame, least: int | Column = P.MIN_ATTEMPTS, own: list[
     })
 
 
-def robust(rows: DataFrame, keys: list[str], value: str = "residual", held: int = P.HELD) -> DataFrame:
-    """Mean, median, deviation and clipped mean of ``value`` by ``keys``; the places of a key of over ``held`` rows are found by counts of bins, so that no task gathers its values."""
-    rows, x = written(rows.select(*keys, value)), F.col(value)
+def robust(rows: DataFrame, keys: list[str], value: str = "residual", held: int = P.HELD, ready: bool = False) -> DataFrame:
+    """Mean, median, deviation and clipped mean of ``value`` by ``keys``, for rows that are written before, unless they are ``ready``, as they are read several times.
+
+    Keys of up to ``held`` rows are put in order by value and again by distance, in one exchange; the places of a larger one are found by counts of bins, so that no task gathers its values.
+    """
+    rows = rows.select(*keys, value) if ready else written(rows.select(*keys, value))
     large = large_keys(rows, keys, held)
-    first = percentiles(rows, keys, x, {"median": 0.5}, [F.count(value).alias("n_values"), F.avg(value).alias("mean"), F.coalesce(F.stddev_samp(value), F.lit(0.0)).alias("std")], large=large, held=held)
-    first = first if large is None else written(first)
+    if large is None:
+        return _robust_in_order(rows, keys, F.col(value))
+    return _robust_in_order(rows.join(large, keys, "left_anti"), keys, F.col(value)).unionByName(_robust_in_bins(rows.join(large, keys, "left_semi"), keys, F.col(value), large, held))
+
+
+def _robust_in_order(rows: DataFrame, keys: list[str], x: Column) -> DataFrame:
+    by = Window.partitionBy(*keys)
+
+    def with_median(rows: DataFrame, c: Column, name: str) -> DataFrame:
+        rows = rows.withColumns({"__at": F.row_number().over(by.orderBy(c.asc_nulls_last())), "__n": F.count(c).over(by)})
+        at = lambda f: F.max(F.when(F.col("__at") == f((F.col("__n") - 1) / 2) + 1, c)).over(by)
+        rows = rows.withColumns({"__low": at(F.floor), "__high": at(F.ceil)})
+        return rows.withColumn(name, F.when(F.col("__low") == F.col("__high"), F.col("__low")).otherwise(F.col("__low") * 0.5 + F.col("__high") * 0.5))
+
+    rows = with_median(with_median(rows.na.drop(subset=keys), x, "median"), F.abs(x - F.col("median")), "mad")
+    clip = F.lit(P.CLIP) * F.col("mad")
+    kept = F.least(F.greatest(x, F.col("median") - clip), F.col("median") + clip)
+    out = rows.groupBy(*keys).agg(
+        F.first("median").alias("median"), F.count(x).alias("n_values"), F.avg(x).alias("mean"), F.coalesce(F.stddev_samp(x), F.lit(0.0)).alias("std"), F.first("mad").alias("mad"), F.avg(kept).alias("clipped"),
+    )
+    return out.withColumn("location", F.when((F.col("n_values") < 3) | (F.col("mad") <= 0), F.col("mean")).otherwise(F.col("clipped"))).drop("clipped")
+
+
+def _robust_in_bins(rows: DataFrame, keys: list[str], x: Column, large: DataFrame, held: int) -> DataFrame:
+    first = percentiles(rows, keys, x, {"median": 0.5}, [F.count(x).alias("n_values"), F.avg(x).alias("mean"), F.coalesce(F.stddev_samp(x), F.lit(0.0)).alias("std")], large=large, held=held)
+    first = written(first)
     around = rows.join(first, keys)
     spread = percentiles(around, keys, F.abs(x - F.col("median")), {"mad": 0.5}, large=large, held=held)
     clip = F.lit(P.CLIP) * F.col("mad")
@@ -180,13 +212,21 @@ def _resampled_rows(placed: DataFrame, keys: list[str], resamples: int, held: in
 
 def item_stats(selected: DataFrame, resamples: int | None = None) -> DataFrame:
     """By item of level 16 and more: entities that scored it and were selected, and statistics of the selected residuals, with ``low`` and ``high`` of their location if resamples are asked for."""
-    rows = selected.filter(F.col("level") >= P.MIN_LEVEL)
     keys = ["mode", "item_id"]
+    # written, as counts and statistics read them several times
+    rows = written(selected.filter(F.col("level") >= P.MIN_LEVEL).select(*keys, *([] if resamples is None else ["entity_id"]), "selected", "baseline", "residual"))
     counts = rows.groupBy(*keys).agg(F.count("*").alias("scored"), F.count_if("selected").alias("contributors"), F.avg(F.when(F.col("selected"), F.col("baseline"))).alias("mean_baseline"))
-    out = counts.join(robust(rows.filter("selected"), keys).drop("n_values"), keys, "left")
+    out = counts.join(robust(rows.filter("selected"), keys, ready=True).drop("n_values"), keys, "left")
     return out if resamples is None else out.join(bootstrap(rows.filter("selected"), keys, "entity_id", resamples), keys, "left")
 
 
+def appearance(selected: DataFrame, items: DataFrame) -> DataFrame:
+    """(mode, item_id, appearance) of the catalog's items: the share of those who scored it whose attempt is selected; null where nobody did."""
+    counts = selected.filter(F.col("level") >= P.MIN_LEVEL).groupBy("mode", "item_id").agg(F.count("*").alias("scored"), F.count_if("selected").alias("contributors"))
+    rows = items.filter(F.col("mode").isin(*P.MODES) & (F.col("level") >= P.MIN_LEVEL)).join(counts, ["mode", "item_id"], "left")
+    return rows.select("mode", "item_id", (F.col("contributors") / F.col("scored")).alias("appearance"))
+
+
 def slopes(best: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """Value for a level by mode, within entities and narrow score bins; null where too few rows or levels compare.
 
@@ -268,10 +308,9 @@ def placed(rows: DataFrame) -> DataFrame:
 def analysis(attempts: DataFrame, items: DataFrame, resamples: int | None = P.RESAMPLES) -> DataFrame:
     """The whole standalone analysis; without ``resamples`` (None) there are no intervals."""
     # written, as item statistics and slopes read them several times
-    return analysis_of_ranked(written(ranked(best(valid(attempts)))), items, resamples)
+    return analysis_of_ranked(written(ranked_best(valid(attempts))), items, resamples)
 
 
 def analysis_of_ranked(rows: DataFrame, items: DataFrame, resamples: int | None = P.RESAMPLES) -> DataFrame:
     """The same from best attempts that are ranked already, a written table, for those who read them for other things too."""
-    chosen = written(selected(rows).select("mode", "entity_id", "item_id", "level", "selected", "baseline", "residual"))
-    return within_level(items, item_stats(chosen, resamples), slopes(rows))
+    return within_level(items, item_stats(selected(rows), resamples), slopes(rows))

@@ -37,6 +37,39 @@ def weighted_stats(rows: DataFrame, keys: list[str], value: str, weight: str, he
     v, w = F.col(value), F.col(weight)
     rows = written(rows.filter(v.isNotNull() & (w > 0)).select(*keys, value, weight))
     large = large_keys(rows, keys, held)
+    out = _sums_in_order(rows if large is None else rows.join(large, keys, "left_anti"), keys, v, w)
+    if large is not None:
+        out = out.unionByName(_sums_in_bins(rows.join(large, keys, "left_semi"), keys, value, weight, large, held))
+    room = F.col("sw") - F.col("sww") / F.col("sw")
+    deviation = F.when(F.col("ess") > 1, F.sqrt(F.col("sq") / room)).otherwise(0.0)
+    location = F.when((F.col("n") < 3) | (F.col("mad") <= 0), F.col("mean")).otherwise(F.col("swh") / F.col("sw"))
+    out = out.withColumns({"location": location, "std": deviation})
+    half = F.when(F.col("ess") > 1, F.lit(1.96) * F.col("std") / F.sqrt("ess")).otherwise(0.0)
+    return out.select(*keys, "n", "ess", "mean", "median", "location", "std", (F.col("location") - half).alias("low"), (F.col("location") + half).alias("high"))
+
+
+def _sums_in_order(rows: DataFrame, keys: list[str], v: Column, w: Column) -> DataFrame:
+    """Sums, median and deviation of keys whose rows are put in order by value and again by distance, in one exchange."""
+    by = Window.partitionBy(*keys)
+
+    def with_median(rows: DataFrame, c: Column, name: str) -> DataFrame:
+        rows = rows.withColumns({"__run": F.sum(w).over(by.orderBy(c)), "__total": F.sum(w).over(by)})  # equal values count at once
+        return rows.withColumn(name, F.min(F.when(F.col("__run") >= F.col("__total") * 0.5, c)).over(by))
+
+    rows = with_median(rows.na.drop(subset=keys), v, "median").withColumn("mean", F.sum(w * v).over(by) / F.col("__total"))
+    rows = with_median(rows.withColumn("off", F.abs(v - F.col("median"))), F.col("off"), "mad")
+    clip = F.col("mad") * P.CLIP
+    held = F.least(F.greatest(v, F.col("median") - clip), F.col("median") + clip)
+    out = rows.groupBy(*keys).agg(
+        F.count("*").alias("n"), F.sum(w).alias("sw"), F.sum(w * w).alias("sww"), *[F.first(c).alias(c) for c in ("mean", "median", "mad")],
+        F.sum(w * held).alias("swh"), F.sum(w * (v - F.col("mean")) * (v - F.col("mean"))).alias("sq"),
+    )
+    return out.withColumn("ess", F.col("sw") * F.col("sw") / F.col("sww"))
+
+
+def _sums_in_bins(rows: DataFrame, keys: list[str], value: str, weight: str, large: DataFrame, held: int) -> DataFrame:
+    """The same for keys in ``large``, whose rows aren't put in order."""
+    v, w = F.col(value), F.col(weight)
     sums = rows.groupBy(*keys).agg(F.count("*").alias("n"), F.sum(w).alias("sw"), F.sum(w * w).alias("sww"), F.sum(w * v).alias("swv"))
     out = sums.join(lower_quantile(rows, keys, value, weight, 0.5, "median", large, held), keys).withColumn("mean", F.col("swv") / F.col("sw")).withColumn("ess", F.col("sw") * F.col("sw") / F.col("sww"))
     out = written(out)  # a row by key, read three times
@@ -47,24 +80,19 @@ def weighted_stats(rows: DataFrame, keys: list[str], value: str, weight: str, he
     more = around.join(mads, keys).groupBy(*keys).agg(
         F.first("mad").alias("mad"), F.sum(w * held).alias("swh"), F.sum(w * (v - F.col("mean")) * (v - F.col("mean"))).alias("sq")
     )
-    out = out.join(more, keys)
-    room = F.col("sw") - F.col("sww") / F.col("sw")
-    deviation = F.when(F.col("ess") > 1, F.sqrt(F.col("sq") / room)).otherwise(0.0)
-    location = F.when((F.col("n") < 3) | (F.col("mad") <= 0), F.col("mean")).otherwise(F.col("swh") / F.col("sw"))
-    out = out.withColumns({"location": location, "std": deviation})
-    half = F.when(F.col("ess") > 1, F.lit(1.96) * F.col("std") / F.sqrt("ess")).otherwise(0.0)
-    return out.select(*keys, "n", "ess", "mean", "median", "location", "std", (F.col("location") - half).alias("low"), (F.col("location") + half).alias("high"))
+    return out.join(more, keys).drop("swv")
 
 
 def without_item(ranked: DataFrame, own: list[str] = OWN) -> DataFrame:
     """Rating of each attempt's entity without that attempt: ranks 11 to 30 of the rest; null with fewer than 31 attempts."""
-    at = lambda r: F.max(F.when(F.col("rank_value") == r, F.col("value")))
+    by = Window.partitionBy(*own)  # the exchange that the ranks have made
+    at = lambda r: F.max(F.when(F.col("rank_value") == r, F.col("value"))).over(by)
     inside = F.col("rank_value").between(P.BASE_FIRST, P.BASE_LAST)
-    sums = ranked.groupBy(*own).agg(F.sum(F.when(inside, F.col("value"))).alias("s"), at(P.BASE_FIRST).alias("first"), at(P.BASE_LAST + 1).alias("next"))
+    rows = ranked.na.drop(subset=own).withColumns({"s": F.sum(F.when(inside, F.col("value"))).over(by), "first": at(P.BASE_FIRST), "next": at(P.BASE_LAST + 1)})
     rank = F.col("rank_value")
     total = F.when(rank < P.BASE_FIRST, F.col("s") - F.col("first") + F.col("next")).when(inside, F.col("s") - F.col("value") + F.col("next")).otherwise(F.col("s"))
     rating = F.when(F.col("n") > P.BASE_LAST, fx.skill_rating(F.col("mode"), total / (P.BASE_LAST - P.BASE_FIRST + 1)))
-    return ranked.join(sums, own).withColumn("rating_without", rating).drop("s", "first", "next")
+    return rows.withColumn("rating_without", rating).drop("s", "first", "next")
 
 
 def top_rating(ranked: DataFrame, own: list[str] = OWN) -> DataFrame:

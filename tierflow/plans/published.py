@@ -126,7 +126,7 @@ def _(s, d):
 
 @query("a3_appearance", "SELECT mode, item_id, CASE WHEN scored > 0 THEN round(contributors::DOUBLE / scored + 1e-9, 6) END AS appearance FROM catalog")
 def _(s, d):
-    return df.analysis(tb.attempts(s, d), tb.items(s, d), resamples=None).select("mode", "item_id", *six("appearance"))
+    return df.appearance(df.selected(rg.ranked(s, d)), tb.items(s, d)).select("mode", "item_id", *six("appearance"))
 
 
 _snapshot = "entity_id, item_id, value, score, medal, recorded_at, is_broken, source"

@@ -13,6 +13,7 @@ from ..operators import difficulty as df
 from ..operators import upkeep as up
 from ..operators import views as vw
 from ..operators import weighted as wt
+from ..operators.lineage import written
 from ..sources import tables as tb
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -113,7 +114,7 @@ def valid(s: SparkSession, d: str) -> DataFrame:
 
 
 def ranked(s: SparkSession, d: str) -> DataFrame:
-    return df.ranked(df.best(valid(s, d)))
+    return df.ranked_best(valid(s, d))
 
 
 @query("s2_attempts", "SELECT entity_id, item_id, mode, level, score, value, recorded_at, is_broken, source, medal FROM attempts")
@@ -215,8 +216,8 @@ def _(s, d):
 @query("a12_shrinkage", f"SELECT mode, items, repeated, {r6('k')} FROM prior")
 def _(s, d):
     stats = df.item_stats(df.selected(ranked(s, d)))
-    rows = tb.items(s, d).join(stats, ["mode", "item_id"]).withColumn("folder", fx.folder(F.col("mode"), F.col("level")))
-    return df.shrinkage(rows).select("mode", "items", "repeated", *six("k"))
+    rows = tb.items(s, d).join(stats, ["mode", "item_id"]).select("mode", fx.folder(F.col("mode"), F.col("level")).alias("folder"), "location", "std", "contributors")
+    return df.shrinkage(written(rows)).select("mode", "items", "repeated", *six("k"))
 
 
 def _mixed(x: str) -> str:
