@@ -147,3 +147,10 @@ def test_interval_ends_change_sides(spark):
     assert got["h"].delta == pytest.approx(0.8 * share) and got["h"].estimate == pytest.approx(20.5 + 0.8 * share)
     assert (got["h"].delta_low, got["h"].delta_high) == (pytest.approx(0.72 * share), pytest.approx(0.88 * share))
     assert got["e"].delta_low == got["e"].delta_high == pytest.approx(-0.8 * share)
+
+
+def test_prepared_rows_are_repeated_for_fits_as_they_are_read(spark):
+    rows = spark.createDataFrame([("Single", f"e{e}", f"i{i}", "current", 9e5 + i, 15.0 + e, 16.5) for e in range(4) for i in range(5)], "mode string, entity_id string, item_id string, source string, score double, rating double, difficulty double")
+    out = sf.prepared(rows)
+    assert out.count() == 4 * 5 * 5  # all fits but the entity's own fold, and that of all
+    assert "Generate explode" in out._jdf.queryExecution().executedPlan().toString()

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from .. import params as P
 from ..functions import formulas as fx
 from .lineage import written
-from .recommend import source_offsets
+from .recommend import offsets_of_sums, source_sums
 
 #: Passes over both axes at most, and how far a score moves in the last one at most.
 PASSES, STILL = 12, 0.01
@@ -43,15 +43,19 @@ def joined_scores(rated: DataFrame) -> DataFrame:
 
 
 def fits(rows: DataFrame) -> DataFrame:
-    """Each row once for every fit that may learn from it."""
-    others = F.filter(F.array(*[F.lit(f) for f in range(P.FOLDS)]), lambda f: f != fx.fold(F.col("entity_id"), P.FOLDS))
+    """Each row once for every fit that may learn from it: all but that of its ``fold``."""
+    others = F.filter(F.array(*[F.lit(f) for f in range(P.FOLDS)]), lambda f: f != F.col("fold"))
     return rows.withColumn("fit", F.explode(F.concat(F.array(F.lit(ALL)), others)))
 
 
 def calibrated(rows: DataFrame) -> DataFrame:
-    """Rows with their score on the scale of the current source: archive scores move by their fit's offset."""
+    """Rows of every fit with their score on the scale of the current source: archive scores move by their fit's offset.
+
+    An entity's sums are the same in every fit, so those are what is repeated before the offsets. Rows are repeated as they are read.
+    """
+    offsets = written(offsets_of_sums(fits(written(source_sums(rows, ["mode", "fold"]))), FIT))  # a row by fit
     moved = F.col("score") + F.when(F.col("source") == "archive", F.coalesce("offset", F.lit(0.0))).otherwise(0.0)
-    return rows.join(F.broadcast(source_offsets(rows, FIT)), FIT, "left").withColumn("calibrated", F.least(F.lit(1e6), F.greatest(F.lit(0.0), moved))).drop("offset", "slope")  # a row by fit
+    return fits(rows).join(F.broadcast(offsets.select(*FIT, "offset")), FIT, "left").withColumn("calibrated", F.least(F.lit(1e6), F.greatest(F.lit(0.0), moved))).drop("offset", "fold")
 
 
 def axes(rows: DataFrame) -> DataFrame:
@@ -147,14 +151,17 @@ def extremes(grid: DataFrame) -> DataFrame:
 
 def weighed(rows: DataFrame) -> DataFrame:
     """Rows with their weight: that of the source over the number of the entity's rows in the mode, which is the same in every fit."""
-    counts = rows.groupBy("mode", "entity_id").agg(F.count("*").alias("own_n"))
-    return rows.join(counts, ["mode", "entity_id"]).withColumn("weight", F.when(F.col("source") == "archive", P.SOURCE_WEIGHTS["archive"]).otherwise(P.SOURCE_WEIGHTS["current"]) / F.col("own_n")).drop("own_n")
+    own_n = F.count("*").over(Window.partitionBy("mode", "entity_id"))
+    return rows.withColumn("weight", F.when(F.col("source") == "archive", P.SOURCE_WEIGHTS["archive"]).otherwise(P.SOURCE_WEIGHTS["current"]) / own_n)
 
 
-def prepared(scores: DataFrame, placed: DataFrame) -> DataFrame:
-    """Calibrated and weighed rows for every fit, of joined scores at items with an estimate; written, as three steps read them."""
-    rows = scores.join(placed.filter("estimate is not null").select("mode", "item_id", F.col("estimate").alias("difficulty")), ["mode", "item_id"])
-    return written(calibrated(written(fits(weighed(rows)))))
+def prepared(scores: DataFrame, placed: DataFrame | None = None) -> DataFrame:
+    """Calibrated and weighed rows for every fit, of joined scores at items with an estimate, or with a ``difficulty`` of their own.
+
+    Several steps read them. They are written once, not once for each fit.
+    """
+    rows = scores if placed is None else scores.join(placed.filter("estimate is not null").select("mode", "item_id", F.col("estimate").alias("difficulty")), ["mode", "item_id"])
+    return calibrated(written(weighed(rows.na.drop(subset=["mode", "entity_id"])).withColumn("fold", fx.fold(F.col("entity_id"), P.FOLDS))))
 
 
 def fit(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
