@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from tierflow.operators import difficulty as df
+from tierflow.operators import recommend as rc
 from tierflow.operators import weighted as wt
 
 
@@ -40,3 +41,19 @@ def test_appearance_of_items_that_nobody_scored_is_null(spark):
     items = spark.createDataFrame([("i1", "Single", 17), ("i2", "Single", 18), ("none", "Single", 20), ("low", "Single", 15)], "item_id string, mode string, level int")
     got = {r.item_id: r.appearance for r in df.appearance(df.selected(df.ranked_best(df.valid(attempts(spark)))), items).collect()}
     assert got == {"i1": 1.0, "i2": 1.0, "none": None}
+
+
+def test_peer_scores_take_one_exchange_and_batches_may_cut_items(spark):
+    rows = [("Single", f"e{e}", f"i{i}", 15 + (e * 7 + i) % 10 / 20, 9e5 + e * 37 % 11, 1.0 + e % 2) for e in range(12) for i in range(6)]
+    peers = spark.createDataFrame(rows, "mode string, entity_id string, item_id string, rating double, score double, weight double")
+    asked = peers.select("mode", "entity_id", "item_id", "rating")
+    out = rc.peer_scores(asked, peers)
+    assert plan(out).count("Exchange hashpartitioning") == 1
+    want = sorted(map(tuple, rc.peer_scores(asked, peers, held=8).collect()))  # by ranges, without groups
+    assert len(want) > 20
+    for size in (3, 5, 10000):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+        try:
+            assert sorted(map(tuple, rc.peer_scores(asked, peers).collect())) == want
+        finally:
+            spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")

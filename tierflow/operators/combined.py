@@ -28,13 +28,13 @@ def least_attempts() -> Column:
     return F.when(is_archive(), P.BASE_LAST).otherwise(P.MIN_ATTEMPTS)
 
 
-def normalised(best: DataFrame, items: DataFrame) -> DataFrame:
+def normalised(best: DataFrame, items: DataFrame | None = None) -> DataFrame:
     """Attempts at items of the catalog; archive scores follow changed note counts, and their values the changed scores.
 
-    Adds ``level_archive``, the item's level when the archive was made.
+    Adds ``level_archive``, the item's level when the archive was made. Without ``items``, attempts have that and the note counts already.
     """
-    known = items.select("item_id", "notes_archive", "notes_current", "level_archive")
-    rows = best.join(known, "item_id").withColumn("old_score", F.col("score"))
+    rows = best if items is None else best.join(items.select("item_id", "notes_archive", "notes_current", "level_archive"), "item_id")
+    rows = rows.withColumn("old_score", F.col("score"))
     score = F.when(is_archive(), fx.normal_score(F.col("score"), F.col("notes_archive"), F.col("notes_current"))).otherwise(F.col("score"))
     rows = rows.withColumn("score", score)
     value = F.when(is_archive() & (F.col("score") != F.col("old_score")), fx.reband(F.col("value"), F.col("old_score"), F.col("score")))
