@@ -11,7 +11,6 @@ from ..functions import formulas as fx
 from .difficulty import first_by
 from .lineage import written
 from .quantiles import large_keys, percentiles
-from .upkeep import precedence
 
 TERMS = ("x1", "x2", "x3", "x4")
 
@@ -25,16 +24,18 @@ def observations(attempts: DataFrame, items: DataFrame) -> DataFrame:
     """The best attempt of each entity at each group item, of the archive only where the current source has none.
 
     Order: score (whole, at most a million), its rating, time as text, arrival. Values may be zero here; scores without a grade or medal are left out.
+    Rows are written with their score, so that grades are told from a column and not from all that a score is made of, and one exchange by entity and item does the rest.
     """
     known = catalog(items).select("item_id", "notes_archive", "notes_current")
     rows = attempts.filter(~F.coalesce("is_broken", F.lit(False))).join(known, "item_id")
     score = F.when(F.col("source") == "archive", fx.normal_score(F.col("score"), F.col("notes_archive"), F.col("notes_current"))).otherwise(F.col("score"))
-    rows = rows.withColumn("score", F.least(score.cast("long"), F.lit(1_000_000)))
-    rows = rows.withColumns({"grade": fx.grade(F.col("score")), "medal": fx.medal_name(F.col("medal"))}).filter("grade is not null and medal is not null")
-    rows = rows.withColumn("rating", fx.group_rating(F.col("grade"), F.col("medal")))
+    rows = written(rows.withColumn("score", F.least(score.cast("long"), F.lit(1_000_000))).select("entity_id", "item_id", "source", "score", "medal", "recorded_at", "seq"))
+    rows = rows.withColumns({"grade": fx.grade(F.col("score")), "medal": fx.medal_name(F.col("medal"))}).filter("grade is not null and medal is not null and source in ('current', 'archive')")
+    rows = rows.withColumn("rating", fx.group_rating(F.col("grade"), F.col("medal"))).repartition("entity_id", "item_id")
     order = [F.col("score").desc(), F.col("rating").desc(), F.col("recorded_at").desc_nulls_last(), F.col("seq")]
     rows = first_by(rows, ["source", "entity_id", "item_id"], order).select("entity_id", "item_id", "source", "score", "grade", "medal", "rating", "recorded_at", "seq")
-    return precedence(rows.filter("source = 'current'"), rows.filter("source = 'archive'"), ["entity_id", "item_id"])
+    current = F.max(F.col("source") == "current").over(Window.partitionBy("entity_id", "item_id")) & F.col("entity_id").isNotNull()
+    return rows.withColumn("has_current", current).filter((F.col("source") == "current") | ~F.col("has_current")).drop("has_current")
 
 
 def totals(observed: DataFrame) -> DataFrame:
@@ -110,8 +111,8 @@ def quantile_rows(observed: DataFrame, q: float = 0.75) -> DataFrame:
 
 def difficulty(observed: DataFrame, abilities: DataFrame, items: DataFrame) -> DataFrame:
     """Every group item with its estimate, rank and percentile, and the row at three quarters of its scores."""
-    observed = written(observed)
     rows = written(design(with_ability(observed, abilities)))
+    observed = rows  # as many rows, with all their columns
     placed = calibrated(signals(rows, coefficients(rows)))
     counts = observed.groupBy("item_id").agg(F.count_if(F.col("source") == "archive").alias("archive_n"), F.count_if(F.col("source") == "current").alias("current_n"))
     tops = quantile_rows(observed)
